@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, simhash, token_files, toxicity
+from . import bpe, language_id, line_dedup, mixing, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op4_token_files": token_files.op4_token_files,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_mixing": mixing.op6_mixing,
+        "op7_language_id": language_id.op7_language_id,
         "op8_simhash": simhash.op8_simhash,
         "op10_bpe": bpe.op10_bpe,
     }
