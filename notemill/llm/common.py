@@ -15,6 +15,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import reach
+
 #: The white space that separates words, as characters and as a Java pattern.
 WHITE = " \t\n\x0b\f\r"
 WHITE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
@@ -22,7 +24,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(col: str | Column) -> Column:

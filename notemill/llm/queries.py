@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_dedup, mixing, simhash, token_files, toxicity
+from . import bpe, language_id, line_dedup, metric_join, mixing, nearest, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_nearest": nearest.op1_nearest,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_token_files": token_files.op4_token_files,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_mixing": mixing.op6_mixing,
         "op7_language_id": language_id.op7_language_id,
         "op8_simhash": simhash.op8_simhash,
+        "op9_metric_join": metric_join.op9_metric_join,
         "op10_bpe": bpe.op10_bpe,
     }
 
