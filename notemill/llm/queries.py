@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_dedup, metric_join, mixing, nearest, simhash, token_files, toxicity
+from . import bpe, context_mixing, language_id, line_dedup, metric_join, mixing, nearest, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_nearest": nearest.op1_nearest,
+        "op2_context_mixing": context_mixing.op2_context_mixing,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_token_files": token_files.op4_token_files,
         "op5_toxicity": toxicity.op5_toxicity,
