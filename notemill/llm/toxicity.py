@@ -114,6 +114,52 @@ def restore(stretch: str, log: np.ndarray, beam: int = 24) -> str:
     return max(((score + float(log[context << 5]), word) for (context, _), (score, word) in paths.items()), default=(0, ""))[1]
 
 
+def _kinds() -> np.ndarray:
+    """1 for letters, 2 for signs that may stand for one, 4 for white space, by code point."""
+    out = np.zeros(0x2100, np.uint8)
+    for c in range(len(out)):
+        out[c] = 1 if chr(c).isalpha() else 4 if chr(c).isspace() else 2 if chr(c) in LOOKS_LIKE or chr(c) in "._-'" else 0
+    return out
+
+
+_KINDS = _kinds()
+
+
+def suspects(text: str) -> np.ndarray:
+    """Positions at which a disguised stretch can be: a sign before a letter, the third of three equal letters, or the
+    third single letter or sign within seven characters. Every match of DISGUISED has one."""
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    kind = np.where(code < len(_KINDS), _KINDS[np.minimum(code, len(_KINDS) - 1)], np.uint8(1))
+    if len(code) < 3:
+        return np.zeros(0, np.int64)
+    letter = kind == 1
+    hit = np.zeros(len(code), bool)
+    hit[:-1] = (kind[:-1] == 2) & letter[1:]
+    hit[2:] |= letter[2:] & (code[2:] == code[1:-1]) & (code[2:] == code[:-2])
+    single = letter | (kind == 2)
+    single[1:] &= ~letter[:-1]
+    single[:-1] &= ~letter[1:]
+    at = np.flatnonzero(single)
+    hit[at[2:][at[2:] - at[:-2] <= 6]] = True
+    return np.flatnonzero(hit)
+
+
+def stretches(text: str) -> Iterator[str]:
+    """What DISGUISED matches, looked for in windows around the suspects, from white space to white space."""
+    done = 0
+    for p in suspects(text).tolist():
+        if p + 40 < done:
+            continue
+        start, end = max(done - 80, p - 60, 0), min(len(text), p + 100)
+        while start > 0 and start > p - 120 and not text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and end < p + 160 and not text[end].isspace():
+            end += 1
+        done = end
+        for m in DISGUISED.finditer(text, start, end):
+            yield m[0]
+
+
 class Restorer:
     """Words of a text with what is disguised restored; stretches are remembered, at most 200,000."""
 
@@ -126,14 +172,14 @@ class Restorer:
         if word is None:
             if len(self.known) >= 200_000:
                 self.known.clear()
-            word = self.known[compact] = restore(compact[:200], self.log) if len(compact) <= 200 else ""
+            word = self.known[compact] = restore(compact, self.log)
         return word
 
     def words(self, text: str) -> set[str]:
         """Lower-cased distinct words: those that stand in the text, and those that disguised stretches restore to."""
         text = text.lower()
         found = set(WORD.findall(text))
-        found.update(self.restored(m[0]) for m in DISGUISED.finditer(text))
+        found.update(map(self.restored, stretches(text)))
         return found
 
 
@@ -194,14 +240,16 @@ class Classifier:
     def __init__(self, log: np.ndarray, names: list[str], weights: np.ndarray, odds: np.ndarray, bias: float):
         self.log, self.weight, self.odds, self.bias = log, dict(zip(names, weights.tolist())), dict(zip(names, odds.tolist())), bias
         self.marker = float(weights[-1]) if len(weights) > len(names) else 0.0
-        self.lengths = sorted({len(n) - 1 for n in names if n.startswith("^")})
+        self.words = frozenset(n for n in names if not n.startswith("^"))
+        self.shortest = min(BEGINNINGS)
+        self.openings = frozenset(n[1 : 1 + self.shortest] for n in names if n.startswith("^"))
 
     def score(self, restorer: Restorer, text: str) -> float:
-        words, weight = restorer.words(text), self.weight
-        hits = [w for w in words if w in weight]
-        for n in self.lengths:
-            hits += {b for w in words if (b := "^" + w[:n]) in weight and len(w) >= n}
-        z = self.bias + sum(weight[h] for h in hits) + self.marker * max((self.odds[h] for h in hits), default=0.0)
+        words, weight, short, openings = restorer.words(text), self.weight, self.shortest, self.openings
+        hits = set(words & self.words)
+        for w in [w for w in words if w[:short] in openings]:
+            hits.update(b for n in BEGINNINGS if (b := "^" + w[:n]) in weight and len(w) >= n)
+        z = self.bias + sum(weight[h] for h in sorted(hits)) + self.marker * max((self.odds[h] for h in hits), default=0.0)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
