@@ -69,6 +69,24 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(F.btrim(text, F.lit(WHITE)), WHITE_RUN), F.lit(1), n.cast("int")), " ")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """docs as the mix takes them: a document as often as it is taken whole, and the one at a source's cut with its first
+    words up to the exact budget. Documents without words, which no budget counts, stay once where their source is taken
+    at all. Columns are those of docs."""
+    rows = docs.withColumn("_size", n_words(F.col(text_col)))
+    taken = mix(docs, n_words(F.col(text_col)), id_col, source_col).groupBy("id", "source", "size").agg(F.max("taken").alias("_taken"), F.max("target").alias("_target"))
+    joined = rows.join(taken.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_same"), "_taken", "_target"), F.expr(f"`{id_col}` <=> _id and `{source_col}` <=> _source and _size = _same"))
+    times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1)))).cast("int")
+    rest = F.col("_taken") - F.when(F.col("_size") == 0, F.col("_taken")).otherwise(times * F.col("_size"))
+    whole = F.array_repeat(F.lit(-1).cast("long"), times)
+    copies = joined.withColumn("_copy", F.explode(F.when(rest > 0, F.concat(whole, F.array(rest))).otherwise(whole)))
+    text = F.when(F.col("_copy") < 0, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_copy")))
+    out = copies.withColumn(text_col, text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_copy") < 0, F.col("n_chars")).otherwise(F.char_length(text_col)))
+    return out.select(*docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
