@@ -203,7 +203,7 @@ def _gather(docs: DataFrame, cells: int, count) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
-    summed = docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    summed = docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(cells, np.int64)
     out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
     return out
@@ -296,9 +296,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
                 bits.append(np.packbits(x).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["y", "bits"])
 
-    got = rows.mapInArrow(presence, "y int, bits binary").toPandas()
-    y = got["y"].to_numpy(np.float32)
-    x = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1)[:, : len(names)] if names else np.zeros((len(got), 0), np.uint8)
+    got = rows.mapInArrow(presence, "y int, bits binary").toArrow()
+    y = got["y"].to_numpy().astype(np.float32)
+    x = np.unpackbits(np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8).reshape(len(y), -1), axis=1)[:, : len(names)] if names else np.zeros((len(y), 0), np.uint8)
     n1, n0 = y.sum(), len(y) - y.sum()
     a, b = x[y == 1].sum(0, dtype=np.float64), x[y == 0].sum(0, dtype=np.float64)
     odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
