@@ -121,15 +121,15 @@ def unwrap_note(c: Column | str, trusted: bool = False) -> Column:
     json_text = F.when(F.left(t, F.lit(1)).isin("{", '"', "["), t) if trusted else strict_json(t)
     v = F.try_parse_json(json_text)
     kind = F.schema_of_variant(v)
-    fields = F.from_json(F.when(kind.startswith("OBJECT"), F.to_json(v)), "map<string,string>")
-    is_text = F.from_json(F.when(kind.startswith("OBJECT"), F.to_json(v)), "map<string,variant>")
-    texts = F.map_filter(fields, lambda k, x: (F.schema_of_variant(F.element_at(is_text, k)) == "STRING") & (clean_scalar(x) != ""))
+    fields = F.from_json(F.when(kind.startswith("OBJECT"), F.to_json(v)), "map<string,variant>")
+    words = lambda x: clean_scalar(F.try_variant_get(x, "$", "string"))
+    texts = F.map_filter(fields, lambda k, x: (F.schema_of_variant(x) == "STRING") & (words(x) != ""))
     found = F.lit(None).cast("struct<note:string,warning:string>")
     note = lambda x, why: F.struct(x.alias("note"), F.lit(why).alias("warning"))
     for key in reversed(NOTE_KEYS):
         value = F.try_element_at(texts, F.lit(key))
-        found = F.when(value.isNotNull(), note(clean_scalar(value), f"unwrapped JSON field: {key}")).otherwise(found)
-    single = F.when(F.size(texts) == 1, note(clean_scalar(F.map_values(texts)[0]), "unwrapped single-string JSON object"))
+        found = F.when(value.isNotNull(), note(words(value), f"unwrapped JSON field: {key}")).otherwise(found)
+    single = F.when(F.size(texts) == 1, note(words(F.map_values(texts)[0]), "unwrapped single-string JSON object"))
     plain = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
     whole = F.when(clean_scalar(plain) != "", note(clean_scalar(plain), "unwrapped JSON string"))
     return F.coalesce(found, single, whole, F.struct(t.alias("note"), F.lit(None).cast("string").alias("warning")))

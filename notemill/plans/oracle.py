@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import registry  # noqa: F401  the queries register their SQL
+from .catalogue import ORACLES
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import document_queries, fact_queries, judge_queries, reference_queries, text_queries  # noqa: F401  they register
+from .catalogue import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
