@@ -74,7 +74,7 @@ def head(df: DataFrame, n: int, index: str = "row_index") -> DataFrame:
 
 def pending(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """Rows whose key is not done: what a resumed run still has to do."""
-    return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return rows.join(done.select(*keys).distinct(), list(keys), "left_anti").select(*rows.columns)
 
 
 def hash_sample(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
