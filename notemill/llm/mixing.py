@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", ranges: int = RANGES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(id, source, size, source_size, target, taken), one row for each row of docs.
 
-    A source's budget is its target, rounded. Its documents lie in the order of a hash of their id; the mix takes them
+    A source's budget is its target, rounded. Its documents lie in the order of a hash (MD5 of seed and id) of their id; the mix takes them
     whole, again from the start if needed, and cuts the last one at the exact budget, so taken sums to the budget and is
     at most max_epochs times a document's size. The prefix sums are two-level: over key ranges of a source (at most
     ``ranges`` rows each) and inside a range; a source with a third of all rows spreads over ``ranges`` groups.
@@ -44,8 +44,9 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     without words has the target 0 and takes nothing. Reruns agree, as the keys depend on the ids alone.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
-    keyed = keyed.withColumn("key", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(SEED)))
-    keyed = cut(keyed.withColumn("range", F.pmod(F.shiftright("key", 40), F.lit(ranges))).withColumn("named", F.coalesce("source", F.lit(""))).withColumn("absent", F.col("source").isNull()))
+    keyed = keyed.withColumn("key", F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges
+    keyed = cut(keyed.withColumn("range", F.shiftright(place, 32).cast("int")).withColumn("named", F.coalesce("source", F.lit(""))).withColumn("absent", F.col("source").isNull()))
     parts = keyed.groupBy("absent", "named", "range").agg(F.sum("size").alias("n"), F.min("source").alias("source"))
     in_source = W.partitionBy("absent", "named")
     parts = parts.withColumn("before", F.sum("n").over(in_source.orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
@@ -90,3 +91,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, CAST(source_size AS DOUBLE) * 3 AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+h AS (SELECT arg_min(level, cap / w) AS share FROM l WHERE level * w <= cap),
+t AS (SELECT source, source_size, CASE WHEN share IS NULL OR share * w > cap THEN cap ELSE share * w END AS target FROM r LEFT JOIN h ON true),
+p AS (SELECT d.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS budget,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
+      FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(budget // greatest(source_size, 1), 3) END AS whole FROM p)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, budget - whole * source_size - start)) AS BIGINT) AS taken FROM q
+"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.OP3_SQL}
+    return {"op3_line_dedup": line_dedup.OP3_SQL, "op6_mixing": mixing.OP6_SQL, "op9_metric_join": metric_join.OP9_SQL}
