@@ -90,11 +90,29 @@ def test_a_words_probabilities_sum_to_at_most_one():
 
 def test_adaptive_part_is_a_distribution():
     codes = np.array([1, 2, 1, 2, 1, 2, 3])
-    logs = np.full(8, math.log10(1 / 8))
+    logs = np.full(8, -math.log(8))
     last = [10 ** (cm.adapted(np.append(codes, x), np.full(len(codes) + 1, logs[0])) - cm.adapted(codes, np.full(len(codes), logs[0]))) for x in range(8)]
     assert abs(sum(last) - 1) < 1e-9
 
 
+def test_classes_are_a_distribution_and_adapt():
+    own = np.array([[8, 0], [0, 8], [4, 4], [1, 0]])
+    shares = own.sum(0) / own.sum()
+    logs = np.log(own.sum(1) / own.sum())
+    lift = cm.lifts(own, shares)
+    lift = np.log(lift) - np.log((np.exp(logs)[:, None] * lift).sum(0))
+    mixed = lambda words: cm.in_classes(logs[words], lift[words], np.log(shares))
+    for before in ([], [0, 0, 2], [1, 1, 1]):
+        assert abs(sum(np.exp(mixed([*before, x])[-1]) for x in range(4)) - 1) < 1e-9
+    assert mixed([0, 0, 0])[-1] > logs[0] > mixed([1, 1, 0])[-1]
+    rng = np.random.default_rng(0)
+    counts = np.vstack((rng.poisson([5, 5, 0, 0], (50, 4)), rng.poisson([0, 0, 5, 5], (50, 4))))
+    model = cm.Classes(counts, [b"a", b"b", b"c", b"d"], 2)
+    best = (counts @ model.words + model.share).argmax(1)
+    assert len(set(best[:50])) == len(set(best[50:])) == 1 and best[0] != best[99]
+    assert cm.Classes(np.zeros((0, 0)), []).k == 1
+
+
 def test_language(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, 0.5) for r in rows] + [(9000, None, "en", 0.5), (9001, "12 !?", "en", 0.5), (None, "the fox", "en", 0.5), (9002, "der hund", None, 0.5), (9003, "", "zz", 0.5)], "doc_id long, text string, lang string, score double")
