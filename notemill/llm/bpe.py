@@ -14,6 +14,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -198,6 +199,34 @@ def normalised(text: str) -> str:
     return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
 
+#: Signs that end a word as pre-tokens of their own.
+ENDINGS = b".,;:!?%&$#*|\")"
+
+
+def word_and_ending(piece: bytes) -> tuple[bytes, bytes]:
+    """A piece as (letters, signs) whose tokens in a row are the piece's, or (piece, nothing); ASCII letters are lowered."""
+    core = piece.rstrip(ENDINGS)
+    if core.isalpha():  # of bytes: ASCII letters only
+        return core.lower(), piece[len(core) :]
+    if core and len(core) < len(piece):
+        text = core.decode("utf-8", "replace")
+        if text.isalpha() and normalised(text).isalpha():  # a capital that lower case turns into a letter and a mark is not
+            return core, piece[len(core) :]
+    return piece, b""
+
+
+_PARTED = re.compile(rb"(?<=[A-Za-z])[,.](?=[ \n])")
+
+
+def pieces_of(text: str | bytes) -> list[bytes]:
+    """The text (or its UTF-8 bytes) cut at ASCII white space; so that fewer pieces differ, a lone comma or stop after an ASCII letter is a
+    piece of its own, as it is a pre-token of its own, and texts of ASCII only are lowered, as the normaliser would."""
+    raw = text if isinstance(text, bytes) else text.encode("utf-8", "replace")
+    if raw.isascii() and b"<|" not in raw:
+        raw = raw.lower()
+    return _PARTED.sub(rb" \g<0>", raw).split()
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Model:
     return Model(path)
@@ -231,11 +260,16 @@ class Memo(dict):
 def _digest_memo(path: str) -> Memo:
     model = load(path)
 
-    def make(chunk: bytes) -> tuple[bytes, bytes]:
-        ids = model.encode(chunk.decode("utf-8", "replace"))
+    def make(piece: bytes) -> tuple[bytes, bytes]:
+        word, ending = word_and_ending(piece)
+        if ending or word != piece:
+            a, b = memo[word], memo[ending] if ending else None
+            return (a[0] + b" " + b[0], a[1] + b" " + b[1]) if b else a
+        ids = model.encode(piece.decode("utf-8", "replace"))
         return b" ".join(b"%d" % i for i in ids), " ".join(model.text[i] for i in ids).encode("utf-8")
 
-    return Memo(make)
+    memo = Memo(make)
+    return memo
 
 
 @lru_cache(maxsize=4)
@@ -259,7 +293,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         for batch in batches:
             n, a, b = [], [], []
             for text in batch.column(1).to_pylist():
-                found = [memo[w] for w in text.encode("utf-8", "replace").split()]
+                found = [memo[w] for w in pieces_of(text)]
                 if any(not x[0] for x in found):  # white space beyond ASCII only
                     found = [x for x in found if x[0]]
                 ids = b" ".join([x[0] for x in found])
@@ -280,7 +314,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = _ids_memo(path)
         for texts in batches:
-            yield pa.array([[i for w in (text or "").encode("utf-8", "replace").split() for i in memo[w]] for text in texts.to_pylist()], pa.list_(pa.int32()))
+            yield pa.array([[i for w in pieces_of(text or "") for i in memo[w]] for text in texts.to_pylist()], pa.list_(pa.int32()))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn("ids", F.arrow_udf(run, "array<int>")(F.col(text_col))).drop(text_col)
