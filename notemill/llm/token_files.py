@@ -13,7 +13,9 @@ bit k of all ids, packed. Width is the number of planes that are not all zero, f
 
 from __future__ import annotations
 
+import gc
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .bpe import word_file
+from .bpe import pieces_of, word_and_ending, word_file
 from .common import shared_folder, table, text_of
 
 #: Parameters: ids of a block, ids after which a frame is closed, words that a worker remembers.
-BLOCK, CHUNK, MEMO = 1 << 16, 1 << 20, 500_000
+BLOCK, CHUNK, MEMO = 1 << 16, 1 << 20, 600_000
 HEAD = struct.Struct("<4sBBIIQI")
 MAGIC = b"NMT1"
 
@@ -94,16 +96,20 @@ class LibraryWords:
     """Ids (little-endian u32) that the tokenizers library gives for pieces between ASCII white space, remembered.
 
     The normaliser and the pre-tokeniser of the file never look over ASCII white space, so a text's ids are its pieces'
-    ids in a row. New pieces go to the library many at a time, joined by spaces: the ids are told apart by the word-end
+    ids in a row. Words that the normaliser would leave as they are skip it. New pieces go to the library many at a time, joined by spaces: the ids are told apart by the word-end
     marks, one a pre-token; if their number is not as expected, the pieces are encoded one by one.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.plain = Tokenizer.from_file(path)  # for words that the normaliser leaves as they are and that are one pre-token
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        for tokenizer in (self.library, self.plain):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         for t, i in vocab.items():
@@ -112,31 +118,62 @@ class LibraryWords:
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        counts = np.array([len(self.pretokens.findall(t.lower())) for t in texts], np.int64)
-        ids = np.array(self.library.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
+    def _ids(self, texts: list[str], counts: np.ndarray | None) -> list[bytes] | None:
+        """Ids of pieces of so many pre-tokens each (None: one), encoded in a row; None if their number is another."""
+        tokenizer = self.plain if counts is None else self.library
+        ids = np.array(tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if counts.all() and len(ends) == counts.sum() and not any("|>" in t for t in texts):
-            cuts = [0, *ends[np.cumsum(counts) - 1].tolist()]
-            blob = ids.tobytes()
-            return [blob[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(ends) != (len(texts) if counts is None else counts.sum()):
+            return None
+        cuts = [0, *(ends if counts is None else ends[np.cumsum(counts) - 1]).tolist()]
+        blob = ids.tobytes()
+        return [blob[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+
+    def _encode(self, pieces: list[bytes], letters: bool) -> list[bytes]:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        if letters:
+            found = self._ids(texts, None)
+        else:
+            counts = np.array([len(self.pretokens.findall(t.lower())) for t in texts], np.int64)
+            found = self._ids(texts, counts) if counts.all() and not any("|>" in t for t in texts) else None
+        return found or [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         """A dict that has all the pieces."""
         if len(self.new) > MEMO // 2:
             self.old, self.new = self.new, {}
-        missing = pieces - self.new.keys()
-        for p in missing & self.old.keys():
-            self.new[p] = self.old[p]
-        todo = sorted(missing - self.old.keys())
-        plain, odd = [p for p in todo if p.isascii()], [p for p in todo if not p.isascii()]
-        for group in (plain, odd):
-            for at in range(0, len(group), 64):
-                part = group[at : at + 64]
-                self.new.update(zip(part, self._encode(part)))
-        return self.new
+        new, old = self.new, self.old
+        words, others, joined = set(), set(), []
+        for p in pieces - new.keys():
+            if (known := old.get(p)) is not None:
+                new[p] = known
+                continue
+            word, ending = word_and_ending(p)
+            if ending or word != p:
+                joined.append((p, word, ending))
+                (words if is_plain(word) else others).add(word)
+                if ending:
+                    others.add(ending)
+            else:
+                (words if is_plain(p) else others).add(p)
+        for group, letters in ((words, True), (others, False)):
+            group -= new.keys()
+            for p in group & old.keys():
+                new[p] = old[p]
+            todo = list(group - new.keys())
+            for at in range(0, len(todo), 256):
+                new.update(zip(todo[at : at + 256], self._encode(todo[at : at + 256], letters)))
+        for p, word, ending in joined:
+            new[p] = new[word] + new[ending] if ending else new[word]
+        return new
+
+
+def is_plain(piece: bytes) -> bool:
+    """Whether a piece is letters only, in normal form C and lower case."""
+    if piece.isalpha():  # of bytes: ASCII letters only
+        return piece.islower()
+    text = piece.decode("utf-8", "replace")
+    return text.isalpha() and text.islower() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
 
 @lru_cache(maxsize=2)
@@ -172,18 +209,20 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             chunk, before, ids, blobs, n = chunk + 1, before + n, [], [], 0
             return out
 
+        gc.disable()  # what is kept here holds no cycles, and looking for them takes a twentieth of the time
         for batch in batches:
             names = batch.column(0).type
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                pieces = [t.encode("utf-8", "replace").split() for t in part.column(1).to_pylist()]
+                pieces = [pieces_of(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 known = words.learn(set().union(*pieces))
                 for i, p in zip(part.column(0).to_pylist(), pieces):
                     ids.append(i)
-                    blobs.append(b"".join([known[w] for w in p]) + end)
+                    blobs.append(b"".join(map(known.__getitem__, p)) + end)
                     n += len(blobs[-1]) // 4
                     if n >= CHUNK:
                         yield row(names)
+        gc.enable()
         if ids:
             yield row(names)
 
