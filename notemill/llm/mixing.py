@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import WHITE, WHITE_RUN, cut, n_words, table
+from .common import WHITE, WHITE_RUN, n_words, table
 
 #: Parameters: key ranges per source, which bound the rows of the prefix over ranges, and the most epochs of a document.
 RANGES, MAX_EPOCHS, SEED = 4096, 3, 20
@@ -46,7 +46,8 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     keyed = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
     keyed = keyed.withColumn("key", F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges
-    keyed = cut(keyed.withColumn("range", F.shiftright(place, 32).cast("int")).withColumn("named", F.coalesce("source", F.lit(""))).withColumn("absent", F.col("source").isNull()))
+    keyed = keyed.withColumn("range", F.shiftright(place, 32).cast("int")).withColumn("named", F.coalesce("source", F.lit(""))).withColumn("absent", F.col("source").isNull())
+    keyed = keyed.persist()  # a few columns, so that texts are counted once; what a lost executor held is counted again
     parts = keyed.groupBy("absent", "named", "range").agg(F.sum("size").alias("n"), F.min("source").alias("source"))
     in_source = W.partitionBy("absent", "named")
     parts = parts.withColumn("before", F.sum("n").over(in_source.orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
