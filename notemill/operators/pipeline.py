@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_scalar, unwrap_note
+from ..functions.rules import note_status
+from ..functions.text import clean_scalar, match_normalize, unwrap_note
 from ..sources.sinks import scratch
 from . import documents, facts, notes, references
 from .backends import Config, ask
@@ -142,9 +143,6 @@ def write_notes(bundles: DataFrame, profiles: DataFrame, config: Config, skip_un
     noted = asked.withColumn("n", unwrap_note("response")).withColumn("generated_note", F.coalesce("n.note", F.lit(""))).withColumn("backend", F.lit(config.kind)).drop("n", "response", "system", "user")
     skipped = empty.withColumn("error", F.lit(None).cast("string")).withColumn("generated_note", F.lit("")).withColumn("backend", F.lit("skipped_no_evidence"))
     out = noted.unionByName(skipped)
-    from ..functions.rules import note_status
-    from ..functions.text import match_normalize
-
     out = out.withColumn("w", notes.note_warnings(F.col("generated_note"), match_normalize("evidence"), F.col("opening"), F.col("style_prompt")))
     status = note_status(F.col("generated_note"), F.size("w.warnings"), F.lit(dry_run))
     return out.select("record_id", "professor", "generated_note", status.alias("validation_status"), F.col("w.warnings").alias("validation_warnings"), F.col("w.unsupported").alias("unsupported_terms_or_claims"), "backend", "error")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_scalar, collapse, slug, short_hash
+from ..functions.text import clean_scalar, short_hash, slug
 
 #: Columns that can hold a record's id, best first.
 ID_COLUMNS = ("record_id", "Record_ID", "patient_id", "Patient_ID", "encounter_id", "visit_id", "case_id", "수술ID", "operation_id", "Operation_ID")
@@ -140,6 +140,3 @@ def text_rows(files: DataFrame, name: str = "name", text: str = "text", professo
     out = files.select(F.lit(professor).alias("professor"), F.concat(slug(stem), F.lit("_"), short_hash(cleaned, 6)).alias("record_id"), cleaned.alias("input"), F.lit("").alias("output"), F.col(name).alias("source_file"))
     return out.where(F.col("input") != "")
 
-
-def collapse_columns(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: collapse(c) for c in columns})

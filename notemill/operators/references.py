@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ABBREVIATION, DATE, clean_scalar, lines, truncate_middle
@@ -109,6 +109,3 @@ def opening_line(notes: DataFrame, note: str = "output", at: str = "row_index")
     totals = notes.groupBy("professor").agg(F.count("*").alias("all"))
     return counted.join(totals, "professor").where(F.col("n") == F.col("all")).select("professor", F.col("value").alias("line"))
 
-
-def professors(df: DataFrame) -> Column:
-    return F.array_sort(F.collect_set("professor"))
