@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_of
 from .components import connected_components
 
 BITS, PARTS, SEED = 64, 4, 42
+#: Parameters: documents whose shingles are counted for an order, and shingles that it names. They change no result.
+ORDER_SAMPLE, ORDER_TOP = 4096, 1 << 18
+#: Parameter: as many ids are broadcast at most.
+BROADCAST_IDS = 1 << 19
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -48,17 +52,6 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(majority(shingle_hashes(text, words)))
 
 
-def long_fingerprint(text: bytes, words: int, size: int) -> np.ndarray:
-    """size 64-bit parts, each the majority of the shingles' hashes mixed anew (splitmix64 finaliser)."""
-    hashes, out = shingle_hashes(text, words), np.zeros(size, np.uint64)
-    for k in range(size if len(hashes) else 0):
-        x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[k] = majority(x ^ (x >> np.uint64(31)))
-    return out
-
-
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, fp): fp as a signed long of the same 64 bits."""
 
@@ -122,62 +115,146 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, parts: int = 25) -> DataFrame:
-    """(id, component_id) for every row: groups of documents whose word shingles have a Jaccard similarity of at least
-    ``similarity``, as a SimHash of parts * 64 bits shows it; component_id is the smallest id of the group.
+def shingle_order(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts): the most frequent shingles of ORDER_SAMPLE documents of rows (id, text), by shingle.
+
+    They only say in which order a document's shingles are looked at, rare ones first; any order gives the same pairs.
+    """
+    every = max(1, rows.count() // ORDER_SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit("order")), F.lit(every)) == 0).select("text")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], names=["s"])
+
+    top = some.mapInArrow(shingles, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    top = top.orderBy(F.col("n").desc(), "s").limit(ORDER_TOP).orderBy("s").toArrow()
+    return top.column("s").to_numpy(), top.column("n").to_numpy()
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text.encode("utf-8", "surrogatepass"), words))
+
+
+def sorted_set(text: str, words: int) -> np.ndarray:
+    return np.sort(shingle_set(text, words).view(np.int64))
+
+
+def name_sets(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def first_shingles(shingles: np.ndarray, size: int, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The size first shingles (distinct longs, ascending) by count in order, then by value."""
+    known, counts = order
+    at = np.searchsorted(known, shingles)
+    at[at == len(known)] = 0
+    often = known[at] == shingles if len(known) else np.zeros(len(shingles), bool)
+    rare = shingles[~often][:size]
+    if len(rare) == size:
+        return rare
+    rest = shingles[often]
+    return np.concatenate((rare, rest[np.lexsort((rest, counts[at[often]]))][: size - len(rare)]))
 
-    Two sets of similarity J have a cosine of 2J / (1 + J), and each bit differs with the probability angle / pi (0.15 for
-    0.8). At that rate 64 bits differ in up to 20 places, too many for an exact key, so the ring is made longer. It is cut
-    into segments of as many bits as name every document four times over; each segment starts a chain: within an equal
-    segment a document meets the least and the greatest id there, two rows a document however large the group. Chains
-    whose next 64 bits differ in more than 20 places are pruned, and the whole ring decides: at most the expected
-    differences and two standard deviations. A pair at the threshold is found with a probability of about 0.9, one of
-    similarity 0.9 with over 0.99; nothing is capped or dropped.
 
-    Texts of the same fingerprint (copies) are one node. Texts without words are copies of each other. Rows with a null id
-    have a null component and link with nothing.
+def jaccard_links(pairs: DataFrame, rows: DataFrame, least: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is at least p / q. least (x, id) names a row (id, text) of each set."""
+    wanted = least.join(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "x", "left_semi").select("id").distinct()
+    wanted = cut(wanted)
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)  # else all texts are dealt by id
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [sorted_set(t, words) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([name_sets(sets), lists(sets)], names=["x", "set"])
+
+    found = rows.join(wanted, "id", "left_semi").select("text").mapInArrow(run, "x long, set array<long>")
+    found = cut(found.groupBy("x").agg(F.any_value("set").alias("set")))
+    of_a, of_b = found.select(F.col("x").alias("a"), F.col("set").alias("u")), found.select(F.col("x").alias("b"), F.col("set").alias("v"))
+    both = F.size(F.array_intersect("u", "v")).cast("long")
+    return cut(pairs.join(of_a, "a").join(of_b, "b").where(both * (p + q) >= (F.size("u") + F.size("v")) * p).select("a", "b"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) for every row: groups of documents whose sets of word shingles have a Jaccard similarity of at
+    least ``similarity``; component_id is the smallest id of the group. The groups are exact (up to equal 64-bit hashes).
+
+    64 bits of a SimHash differ in up to 20 places at 0.8, so they give no exact key; shingles do. Two sets of sizes n and m
+    that are similar by p / q share at least p (n + m) / (p + q) shingles. With all shingles in one order, their first common
+    one has at least so many from there to the end in either set. So every similar pair meets on one of the first
+    n - ceil(n p / q) + 1 shingles of both, whatever the number of documents, and rare shingles come first.
+
+    Members of a key are first compared with one of them (for two such a document), so that a group of near copies becomes one
+    component at once.
+
+    Texts of the same set are one node. Texts without words are copies of each other. Rows with a null id have a null
+    component and link with nothing.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    rate, bits = math.acos(cosine) / math.pi, 64 * parts
-    most = math.floor(bits * rate + 2 * math.sqrt(bits * rate * (1 - rate)))
+    p, q = Fraction(str(similarity)).as_integer_ratio()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            marks = [long_fingerprint(t.encode("utf-8", "surrogatepass"), words, parts).view(np.int64) for t in texts.to_pylist()]
-            offsets = pa.array(np.arange(len(marks) + 1) * parts, pa.int32())
-            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64), pa.int64()))
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    marked = cut(rows.select("id", F.arrow_udf(run, "array<long>")("text").alias("ring")))
-    named = marked.where("id is not null").withColumn("h1", F.xxhash64("ring")).withColumn("h2", F.xxhash64(F.lit("second"), "ring"))
-    nodes = cut(named.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.any_value("ring").alias("ring")))
-    wide = min(32, max(12, math.ceil(math.log2(nodes.count() + 1)) + 2))
-    places = []
-    for s in range(bits // wide):
-        word, at = divmod(s * wide, 64)
-        key = F.shiftrightunsigned(F.col("ring")[word], at)
-        if at + wide > 64:
-            key = key.bitwiseOR(F.shiftleft(F.col("ring")[word + 1], 64 - at))
-        key = key.bitwiseAND(F.lit((1 << wide) - 1)).bitwiseOR(F.lit(s << wide))
-        places.append(F.struct(key.alias("key"), F.col("ring")[(word + 2) % parts].alias("next")))
-    met = nodes.select("node", F.inline(F.array(*places)))
+    order = rows.sparkSession.sparkContext.broadcast(shingle_order(rows, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [sorted_set(t, words) for t in batch.column(1).to_pylist()]
+            first = [first_shingles(s, len(s) - -(-len(s) * p // q) + 1, order.value) if len(s) else s for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), name_sets(sets), pa.array([len(s) for s in sets], pa.int32()), lists(first)], names=["id", "x", "n", "first"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    marked = cut(rows.mapInArrow(run, f"id {kind}, x long, n int, first array<long>"))
+    least = cut(marked.where("id is not null").groupBy("x").agg(F.min("id").alias("id")))
+    keys = marked.where("id is not null").select("x", "n", F.posexplode("first").alias("pos", "key")).select("key", "x", "n", (F.col("n") - F.col("pos")).alias("left"))
     same = W.partitionBy("key")
-    met = met.withColumn("low", F.min(F.struct("node", "next")).over(same)).withColumn("high", F.max(F.struct("node", "next")).over(same))
-    ends = F.array(F.col("low"), F.col("high"))
-    pairs = met.where("low.node < high.node").select("node", "next", F.explode(ends).alias("end"))
-    pairs = pairs.where((F.col("node") != F.col("end.node")) & (F.bit_count(F.col("next").bitwiseXOR(F.col("end.next"))) <= 20))
-    pairs = pairs.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
-    ring_a, ring_b = nodes.select(F.col("node").alias("a"), F.col("ring").alias("x")), nodes.select(F.col("node").alias("b"), F.col("ring").alias("y"))
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-    links = pairs.join(ring_a, "a").join(ring_b, "b").where(differ <= most).select("a", "b")
-    groups = connected_components(links).withColumnRenamed("id", "node")
-    found = nodes.join(groups, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
-    keyed = marked.select("id", F.xxhash64("ring").alias("h1"), F.xxhash64(F.lit("second"), "ring").alias("h2"))
-    out = keyed.join(found, ["h1", "h2"], "left")
+    smaller = F.col("left") * (p + q) >= F.col("n") * (2 * p)  # may be the smaller one of a pair
+    keys = keys.withColumn("hub", F.min(F.col("x").bitwiseXOR(F.col("key"))).over(same).bitwiseXOR(F.col("key")))
+    keys = keys.withColumn("several", F.min("x").over(same) < F.max("x").over(same)).withColumn("meets", F.max(smaller).over(same))
+    members = cut(keys.where("several and meets").select("key", "x", "n", "left", "hub").distinct())
+
+    hubs = members.where("x = hub").select("key", F.col("n").alias("u_n"), F.col("left").alias("u_left"))
+    near = members.where("x <> hub").join(hubs, "key").where(may_be_similar(p, q)).groupBy("x").agg(F.min("hub").alias("h1"), F.max("hub").alias("h2"))
+    near = near.select("x", F.explode(F.array("h1", "h2")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = jaccard_links(cut(near.distinct()), rows, least, words, p, q)
+
+    found = connected_components(links).withColumnRenamed("id", "x")
+    named = least.join(found, "x", "left").select("x", "id", F.coalesce("component", "x").alias("component"))
+    named = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("x", "component_id")
+    out = marked.select("id", "x").join(named, "x", "left")
     return out.select("id", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def may_be_similar(p: int, q: int) -> Column:
+    """Whether sets of the sizes n and u_n whose first common shingle has left and u_left to the end can be similar by p / q."""
+    enough = F.least("u_left", "left") * (p + q) >= (F.col("u_n") + F.col("n")) * p
+    return enough & (F.least("u_n", "n") * q >= F.greatest("u_n", "n") * p)
+
+
+def may_be_similar(p: int, q: int) -> Column:
+    """Whether sets of the sizes n and u_n whose first common shingle has left and u_left to the end can be similar by p / q."""
+    enough = F.least("u_left", "left") * (p + q) >= (F.col("u_n") + F.col("n")) * p
+    return enough & (F.least("u_n", "n") * q >= F.greatest("u_n", "n") * p)
+
+
+def pairs_across(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b) of different components that meet in members (key, x, n, left) and may be similar: in each key, those outside
+    its most frequent component against all."""
+    placed = members.join(groups, "x", "left").select("key", "x", "n", "left", F.coalesce("component", "x").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    placed = cut(placed.join(mixed, "key"))
+    main = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"))
+    outside = placed.join(main, "key").where("component <> main")
+    u, v = outside.select("key", *(F.col(c).alias(f"u_{c}") for c in ("x", "n", "left", "component"))), placed
+    met = u.join(v, "key").where("u_component <> component")
+    met = met.where(may_be_similar(p, q))
+    return met.select(F.least("x", "u_x").alias("a"), F.greatest("x", "u_x").alias("b")).distinct()
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

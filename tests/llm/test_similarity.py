@@ -103,6 +103,24 @@ def test_similar_documents(spark):
     assert got[9002] == 9001 and got[None] is None
 
 
+def similar_groups(spark, texts, words=5):
+    """Ids of the rows and the smallest id of each one's group, from similar_documents and by brute force."""
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (t.split() for t in texts)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    got = {r.id: r.component_id for r in sh.similar_documents(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()}
+    return [got[k] for k in range(len(texts))], roots(len(texts), pairs)
+
+
+def test_similar_documents_at_the_threshold(spark):
+    rng, texts = random.Random(21), []
+    for _ in range(250):  # Jaccard 0.80 to 0.82
+        words = ["w%d" % rng.randrange(9000) for _ in range(rng.choice((204, 205, 206, 208)))]
+        cut = len(words) - rng.choice((20, 21, 22))
+        texts += [" ".join(words), " ".join(words[:cut] + ["n%d" % rng.randrange(9000) for _ in range(len(words) - cut)])]
+    got, want = similar_groups(spark, texts)
+    assert got == want and len(set(want)) < 420
+
+
 def vectors(seed=0, clusters=6, dims=16):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((clusters, dims))
