@@ -192,7 +192,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n - ceil(n p / q) + 1 shingles of both, whatever the number of documents, and rare shingles come first.
 
     Members of a key are first compared with one of them (for two such a document), so that a group of near copies becomes one
-    component at once.
+    component at once. Then, in each key that still has several components, all pairs across them are compared whose sizes
+    and places allow the similarity. Pairs left out are in one component already.
 
     Texts of the same set are one node. Texts without words are copies of each other. Rows with a null id have a null
     component and link with nothing.
@@ -221,6 +222,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = members.where("x <> hub").join(hubs, "key").where(may_be_similar(p, q)).groupBy("x").agg(F.min("hub").alias("h1"), F.max("hub").alias("h2"))
     near = near.select("x", F.explode(F.array("h1", "h2")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     links = jaccard_links(cut(near.distinct()), rows, least, words, p, q)
+    groups = connected_components(links).withColumnRenamed("id", "x")
+    links = links.unionByName(jaccard_links(cut(pairs_across(members, groups, p, q)), rows, least, words, p, q))
 
     found = connected_components(links).withColumnRenamed("id", "x")
     named = least.join(found, "x", "left").select("x", "id", F.coalesce("component", "x").alias("component"))
@@ -235,12 +238,6 @@ def may_be_similar(p: int, q: int) -> Column:
     return enough & (F.least("u_n", "n") * q >= F.greatest("u_n", "n") * p)
 
 
-def may_be_similar(p: int, q: int) -> Column:
-    """Whether sets of the sizes n and u_n whose first common shingle has left and u_left to the end can be similar by p / q."""
-    enough = F.least("u_left", "left") * (p + q) >= (F.col("u_n") + F.col("n")) * p
-    return enough & (F.least("u_n", "n") * q >= F.greatest("u_n", "n") * p)
-
-
 def pairs_across(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFrame:
     """(a, b) of different components that meet in members (key, x, n, left) and may be similar: in each key, those outside
     its most frequent component against all."""

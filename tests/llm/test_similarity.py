@@ -121,6 +121,18 @@ def test_similar_documents_at_the_threshold(spark):
     assert got == want and len(set(want)) < 420
 
 
+def test_similar_documents_in_a_crowd(spark):
+    rng = random.Random(22)
+    shared = ["s%d" % k for k in range(240)]
+    texts = [" ".join(shared + ["w%d" % rng.randrange(9000) for _ in range(60)]) for _ in range(700)]  # Jaccard about 0.66
+    for k in range(300, 400):  # near copies (0.81 to 0.88) in the middle, so that others have the least and the greatest id
+        words = texts[k].split()
+        changed = rng.randrange(20, 32)
+        texts.insert(350, " ".join(words[:-changed] + ["n%d" % rng.randrange(9000) for _ in range(changed)]))
+    got, want = similar_groups(spark, texts)
+    assert got == want and 600 < len(set(want)) < 720
+
+
 def vectors(seed=0, clusters=6, dims=16):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((clusters, dims))
