@@ -133,6 +133,18 @@ def test_similar_documents_in_a_crowd(spark):
     assert got == want and 600 < len(set(want)) < 720
 
 
+def test_similar_documents_are_not_linked_below_the_threshold(spark):
+    rng, texts = random.Random(23), []
+    for _ in range(100):  # Jaccard 0.75 to 0.79, and repeated lines that a set holds once
+        words = ["w%d" % rng.randrange(9000) for _ in range(204)]
+        new = rng.choice((24, 26, 28))
+        texts += [" ".join(words), " ".join(words[:-new] + ["n%d" % rng.randrange(9000) for _ in range(new)])]
+        line = ["r%d" % rng.randrange(9000) for _ in range(12)]
+        texts += [" ".join(line * 30 + words[:20]), " ".join(line * 30 + words[20:40])]
+    got, want = similar_groups(spark, texts)
+    assert got == want == list(range(len(texts)))
+
+
 def vectors(seed=0, clusters=6, dims=16):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((clusters, dims))
