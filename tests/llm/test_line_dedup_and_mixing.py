@@ -96,3 +96,40 @@ def test_word_count(spark):
     texts = [None, "", " \x0b", "a", " a\tb\r\nc ", "a\xa0b c"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r[0] for r in df.orderBy("i").select(mx.n_words(F.col("t"))).collect()] == [0, 0, 0, 1, 3, 2]
+
+
+def test_targets_of_equal_sources(spark):
+    for sizes in ({s: 100 for s in "abcdef"}, {"a": 300, "b": 600}, {"a": 1, "b": 2, "c": 3, "d": 600}, {"a": 0, "b": 5}, {"a": 0}):
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mx.source_targets(df).collect()}
+        want = fill(sizes)
+        assert all(abs(got[s] - want[s]) < 1e-6 for s in sizes), (sizes, got)
+        assert abs(sum(got.values()) - sum(sizes.values())) < 1e-6
+
+
+def test_mix_sql_agrees_on_ties(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, s, "w " * n) for k, (s, n) in enumerate([("a", 3), ("b", 6), ("a", 3), ("b", 6), (None, 9), ("d", 1), ("e", 2), ("f", 3), ("g", 100)])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, text string, more string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = mx.op6_mixing(spark, str(tmp_path))
+    want = duck.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({mx.OP6_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_mixed_documents_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "s", "a b c d e f g h i j", "x", 5)] * 60 + [(2, "t", "a " * 447, "y", 6)] + [(None, None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, size string, taken int")
+    got = mx.mixed_documents(df)
+    assert got.columns == df.columns
+    target = {r.source: r.target for r in mx.mix(df, mx.n_words(F.col("text"))).collect()}
+    words = defaultdict(int)
+    for r in got.collect():
+        words[r.source] += len((r.text or "").split())
+        assert r.source is None or (r.size, r.taken) in (("x", 5), ("y", 6))
+    assert words["s"] == round(target["s"]) and words["t"] == round(target["t"])
+    assert sum(r.source is None for r in got.collect()) == 3
+    assert mx.mixed_documents(df.where("false")).count() == 0
