@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, stored, table, text_of
 from .components import connected_components
 
 BITS, PARTS, SEED = 64, 4, 42
@@ -20,6 +20,8 @@ BITS, PARTS, SEED = 64, 4, 42
 ORDER_SAMPLE, ORDER_TOP = 4096, 1 << 18
 #: Parameter: as many ids are broadcast at most.
 BROADCAST_IDS = 1 << 19
+#: Parameter: 64-bit words of a set's parity bits.
+PARITY = 16
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -163,23 +165,48 @@ def first_shingles(shingles: np.ndarray, size: int, order: tuple[np.ndarray, np.
     return np.concatenate((rare, rest[np.lexsort((rest, counts[at[often]]))][: size - len(rare)]))
 
 
-def jaccard_links(pairs: DataFrame, rows: DataFrame, least: DataFrame, words: int, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is at least p / q. least (x, id) names a row (id, text) of each set."""
-    wanted = least.join(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "x", "left_semi").select("id").distinct()
-    wanted = cut(wanted)
+def parities(sets: list[np.ndarray]) -> list[pa.Array]:
+    """PARITY columns: each member of a set flips one of its 64 * PARITY bits, chosen by the upper bits of its hash."""
+    size = 64 * PARITY
+    place = [s.view(np.uint64) >> np.uint64(64 - size.bit_length() + 1) for s in sets]
+    cell = np.concatenate([np.zeros(0, np.int64), *(p.astype(np.int64) + k * size for k, p in enumerate(place))])
+    odd = (np.bincount(cell, minlength=len(sets) * size) & 1).astype(np.uint8)
+    words = np.packbits(odd, bitorder="little").view("<i8").reshape(len(sets), PARITY)
+    return [pa.array(np.ascontiguousarray(words[:, k])) for k in range(PARITY)]
+
+
+def within_parity(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) whose sets can have a Jaccard similarity of p / q by their sizes and parity bits.
+
+    Bits that differ are flipped by members of one set only, so there are at most as many as members that the sets do not
+    share, of which similar sets of sizes n and m have at most (n + m) (q - p) / (q + p): no similar pair is left out.
+    """
+    marks = [f"b{k}" for k in range(PARITY)]
+    sides = [nodes.select(F.col("x").alias(e), F.col("n").alias(f"{e}_n"), *(F.col(m).alias(f"{e}_{m}") for m in marks)) for e in "ab"]
+    differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in marks), F.lit(0)).cast("long")
+    met = pairs.join(sides[0], "a").join(sides[1], "b").where(differ * (p + q) <= (F.col("a_n") + F.col("b_n")) * (q - p))
+    return met.select("a", "b")
+
+
+def jaccard_links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is at least p / q. nodes (x, id, n, parity bits) names a row (id,
+    text) of each set. Whole sets are compared, and sent, only for the pairs that sizes and parity bits allow."""
+    pairs = stored(within_parity(pairs, nodes, p, q), "pairs")
+    wanted = stored(nodes.select("x", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "x", "left_semi"), "wanted")
+    ids = wanted.select("id").distinct()
     if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)  # else all texts are dealt by id
+        ids = F.broadcast(ids)  # else all texts are dealt by id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [sorted_set(t, words) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([name_sets(sets), lists(sets)], names=["x", "set"])
 
-    found = rows.join(wanted, "id", "left_semi").select("text").mapInArrow(run, "x long, set array<long>")
-    found = cut(found.groupBy("x").agg(F.any_value("set").alias("set")))
+    found = stored(rows.join(ids, "id", "left_semi").select("text").mapInArrow(run, "x long, set array<long>"), "sets")
     of_a, of_b = found.select(F.col("x").alias("a"), F.col("set").alias("u")), found.select(F.col("x").alias("b"), F.col("set").alias("v"))
     both = F.size(F.array_intersect("u", "v")).cast("long")
-    return cut(pairs.join(of_a, "a").join(of_b, "b").where(both * (p + q) >= (F.size("u") + F.size("v")) * p).select("a", "b"))
+    alike = pairs.join(of_a, "a").join(of_b, "b").where(both * (p + q) >= (F.size("u") + F.size("v")) * p)
+    return stored(alike.select("a", "b").distinct(), "links")  # a row that is repeated has its set more than once
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -206,27 +233,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             sets = [sorted_set(t, words) for t in batch.column(1).to_pylist()]
             first = [first_shingles(s, len(s) - -(-len(s) * p // q) + 1, order.value) if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), name_sets(sets), pa.array([len(s) for s in sets], pa.int32()), lists(first)], names=["id", "x", "n", "first"])
+            columns = [batch.column(0), name_sets(sets), pa.array([len(s) for s in sets], pa.int32()), *parities(sets), lists(first)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "x", "n", *bits, "first"])
 
+    bits = [f"b{k}" for k in range(PARITY)]
     kind = rows.schema["id"].dataType.simpleString()
-    marked = cut(rows.mapInArrow(run, f"id {kind}, x long, n int, first array<long>"))
-    least = cut(marked.where("id is not null").groupBy("x").agg(F.min("id").alias("id")))
+    marked = stored(rows.mapInArrow(run, ", ".join([f"id {kind}, x long, n int", *(f"{b} long" for b in bits), "first array<long>"])), "marked")
+    nodes = stored(marked.where("id is not null").groupBy("x").agg(F.min("id").alias("id"), *(F.max(c).alias(c) for c in ("n", *bits))), "nodes")
     keys = marked.where("id is not null").select("x", "n", F.posexplode("first").alias("pos", "key")).select("key", "x", "n", (F.col("n") - F.col("pos")).alias("left"))
     same = W.partitionBy("key")
     smaller = F.col("left") * (p + q) >= F.col("n") * (2 * p)  # may be the smaller one of a pair
     keys = keys.withColumn("hub", F.min(F.col("x").bitwiseXOR(F.col("key"))).over(same).bitwiseXOR(F.col("key")))
     keys = keys.withColumn("several", F.min("x").over(same) < F.max("x").over(same)).withColumn("meets", F.max(smaller).over(same))
-    members = cut(keys.where("several and meets").select("key", "x", "n", "left", "hub").distinct())
+    members = stored(keys.where("several and meets").select("key", "x", "n", "left", "hub").distinct(), "members")
 
     hubs = members.where("x = hub").select("key", F.col("n").alias("u_n"), F.col("left").alias("u_left"))
     near = members.where("x <> hub").join(hubs, "key").where(may_be_similar(p, q)).groupBy("x").agg(F.min("hub").alias("h1"), F.max("hub").alias("h2"))
     near = near.select("x", F.explode(F.array("h1", "h2")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = jaccard_links(cut(near.distinct()), rows, least, words, p, q)
+    links = jaccard_links(near.distinct(), rows, nodes, words, p, q)
     groups = connected_components(links).withColumnRenamed("id", "x")
-    links = links.unionByName(jaccard_links(cut(pairs_across(members, groups, p, q)), rows, least, words, p, q))
+    links = links.unionByName(jaccard_links(pairs_across(members, groups, p, q), rows, nodes, words, p, q))
 
     found = connected_components(links).withColumnRenamed("id", "x")
-    named = least.join(found, "x", "left").select("x", "id", F.coalesce("component", "x").alias("component"))
+    named = nodes.join(found, "x", "left").select("x", "id", F.coalesce("component", "x").alias("component"))
     named = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("x", "component_id")
     out = marked.select("id", "x").join(named, "x", "left")
     return out.select("id", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -243,7 +272,7 @@ def pairs_across(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataF
     its most frequent component against all."""
     placed = members.join(groups, "x", "left").select("key", "x", "n", "left", F.coalesce("component", "x").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    placed = cut(placed.join(mixed, "key"))
+    placed = stored(placed.join(mixed, "key"), "placed")
     main = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"))
     outside = placed.join(main, "key").where("component <> main")
     u, v = outside.select("key", *(F.col(c).alias(f"u_{c}") for c in ("x", "n", "left", "component"))), placed

@@ -207,3 +207,13 @@ def test_nearest(spark, monkeypatch):
 
 def test_chi_square():
     assert abs(ne.chi_square_quantile(0.95, 8) - 15.507) < 1e-3 and abs(ne.chi_square_quantile(0.5, 2) - 1.386) < 1e-3
+
+
+def test_similar_documents_of_empty_tables_repeats_and_clashing_names(spark):
+    text = " ".join("w%d" % k for k in range(50))
+    rows = [(3, text, 1), (3, text, 2), (3, text + " more", 3), (1, text, 4), (None, text, 5), (7, "other words here", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int").withColumn("component", F.lit("c")).withColumn("n", F.lit(None).cast("int"))
+    got = sorted(((r.id, r.component_id) for r in sh.similar_documents(df).collect()), key=repr)
+    assert got == sorted([(3, 1), (3, 1), (3, 1), (1, 1), (None, None), (7, 7)], key=repr)
+    assert sh.similar_documents(df.where("false")).count() == 0
+    assert sh.similar_documents(df.where("id is null") if "id" in df.columns else df.where("doc_id is null")).collect() == [(None, None)]
