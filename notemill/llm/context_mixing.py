@@ -1,53 +1,49 @@
 """LM scoring by online logistic context mixing over bits, learned from a corpus.
 
 A text is its lower-cased words, each with a space after it, and one newline as its end. Its probability is the product
-over the bits of these bytes. Each bit has several predictors: hashed contexts of the last 1, 2 and 4 bytes of the word
-(bit counts in tables of a fixed number of cells) and the word so far (exact counts of every prefix of the corpus' words,
-which grow with the corpus; for the first DEEP bytes of a word). Their log odds are combined by weights from one of 24
-sets, gated by how often the word so far was seen and whether only one bit ever followed it. The weights are learned
-online, against counts without the occurrence itself, and the result is refined by an adaptive probability map (gate by
-log odds to observed frequency). Each chunk of the vocabulary learns on its own, then weights are averaged and maps summed.
-
-Layout: documents are dealt to buckets of about BUCKET bytes; a bucket counts its distinct words and writes each document
-as codes into them, so a word of a third of all documents is one row a bucket. The buckets' words are range-sorted into
-chunks of about CHUNK words; within a chunk counts of prefixes are range sums, and prefixes over a chunk's edge are summed
-from the chunks' edges. A chunk sends a word's score back to the buckets that hold it, where each document mixes them, word by word, with predictors
-that adapt to it online: classes of documents, by whose counts a word is likelier or less likely, weighted by what the
-document has shown so far; words repeated; pairs repeated (see adapted). The classes are a mixture of unigrams over frequent
-words, fitted on a bounded sample of training documents; every training document is then assigned and counted.
+over the bits of these bytes. Each bit has several predictors: hashed contexts of the last 1, 2 and 4 bytes (bit counts in
+tables of a fixed number of cells), the word so far (exact counts of every prefix of the corpus' words, which grow with the
+corpus; for the first DEEP bytes of a word), and the word so far after a text of the same state. The state crosses word edges: it is the
+class of documents that the words before in the same document speak for, 0 before any of them does; hashed contexts that reach
+beyond the start of the word hold it too. The predictors' log odds are combined by weights from one of 32 sets, gated by how often
+the word so far was seen in that state, whether only one bit ever followed it, and whether other states saw it more often.
+The weights are learned online, against counts without the occurrence itself, and the result is refined by an adaptive probability
+map (gate by log odds to observed frequency). Each chunk of the vocabulary learns on its own, then weights are averaged and maps
+summed. At last each document mixes the model, word by word, with two predictors that adapt to it online (see adapted).
+
+Classes are a mixture of unigrams over frequent words, fitted by expectation maximisation over all training documents: a
+round is one distributed sum. Frequent words are counted over all buckets, their number and that of the classes follow the corpus.
+
+Layout: each task codes its documents into buckets of about BUCKET bytes, so texts are never shuffled; a bucket has its distinct words once
+and each document as codes into them, so a word of a third of all documents is one row a bucket. The buckets' words are range-sorted into
+chunks of about CHUNK rows; within a chunk counts of prefixes are range sums, and prefixes over a chunk's edge are summed in a
+table of the chunks' edges that is joined to the chunks. A chunk sends a word's score in each state back to the buckets that hold it.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, shared_folder, table, text_of
+from .common import id_remainder, stored, table, text_of
 
 #: Parameters: text bytes of a bucket, rows of a chunk, bytes of a word with exact counts, hashed orders and their cells.
-BUCKET, CHUNK, DEEP = 16 << 20, 300_000, 48
-ORDERS = ((1, 16), (2, 19), (4, 20))
-GATES, STEPS, INPUTS = 24, 64, len(ORDERS) + 2
+BUCKET, CHUNK, DEEP = 16 << 20, 150_000, 48
+ORDERS = ((1, 16), (2, 18), (4, 19))
+GATES, STEPS, INPUTS = 32, 64, len(ORDERS) + 3
 END = b"\n"
-#: Parameters: classes of documents, training documents and frequent words they are fitted on, pull of rare words to the mean.
-CLASSES, SAMPLE, FREQUENT, PULL = 5, 2048, 512, 0.5
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read from there."""
-    path = f"{shared_folder(df.sparkSession)}/mixing-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Parameters: most classes of documents and frequent words, words that a bucket reports, rounds of the fit, documents that it starts from.
+CLASSES, FREQUENT, REPORTED, ROUNDS, SEEDS = 8, 1024, 4096, 8, 512
+#: Parameters: tokens and word rows that are handled at a time.
+SLICE = 1 << 16
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -61,148 +57,267 @@ def grow(blob: bytes, kind) -> np.ndarray:
 # ---------------------------------------------------------------- documents to buckets of words and codes
 
 
-class Classes:
-    """A mixture of unigrams: log probability of each frequent word (row) in each class (column), log share of each class."""
+class Bucket:
+    """Distinct words of some documents, and these documents as codes into them."""
 
-    def __init__(self, counts: np.ndarray, names: list[bytes], k: int = CLASSES, rounds: int = 40):
-        """From documents' counts of the names, by expectation maximisation from documents far apart."""
-        self.place = {w: i for i, w in enumerate(names)}
-        counts = counts[counts.sum(1) > 0].astype(np.float64)
-        k = max(1, min(k, len(counts)))
-        root = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
-        chosen = [int(counts.sum(1).argmax())] if len(counts) else []
-        while len(chosen) < k and len(counts):
-            far = (1 - root @ root[chosen].T).min(1) * np.log1p(counts.sum(1))
-            chosen.append(int(far.argmax()))
-        resp = (root @ root[chosen].T).argmax(1) if len(counts) else np.zeros(0, np.int64)
-        resp = np.eye(k)[resp]
-        self.words, self.share = np.zeros((len(names), k)), np.full(k, -math.log(k))
-        for _ in range(rounds if len(counts) else 0):
-            mass = counts.T @ resp + 0.05
-            self.words = np.log(mass / mass.sum(0))
-            self.share = np.log((resp.sum(0) + 1) / (len(counts) + k))
-            value = counts @ self.words + self.share
-            resp = np.exp(value - value.max(1, keepdims=True))
-            resp /= resp.sum(1, keepdims=True)
-
-    @property
-    def k(self) -> int:
-        return len(self.share)
-
-
-def code_bucket(docs: pa.Table, classes: Classes) -> pa.Table:
-    """(id, held, codes, n_bytes) of each document and (token, code, n) of each distinct word of one bucket; n has a count
-    for each class of documents, as bytes."""
-    codes: dict[bytes, int] = {END: 0}
-    put, place, k = codes.setdefault, classes.place, classes.k
-    blobs, sizes, seen, ends = [], [], [[] for _ in range(k)], np.zeros(k, np.int64)
-    held = docs.column("held").to_pylist()
-    totals = [np.zeros(1, np.int64)] * k
-    for text, out in zip(docs.column("text").to_pylist(), held):
+    def __init__(self):
+        self.codes: dict[bytes, int] = {END: 0}
+        self.docs: list[np.ndarray] = []
+        self.ids: list = []
+        self.held: list[bool] = []
+        self.sizes: list[int] = []
+        self.bytes = 0
+
+    def add(self, name, held: bool, text: str) -> None:
+        put, codes = self.codes.setdefault, self.codes
         words = text.encode("utf-8", "replace").lower().split()
-        found = np.array([put(w, len(codes)) for w in words], np.int32)
-        blobs.append(squeeze(np.append(found, np.int32(0))))
-        sizes.append(sum(map(len, words)) + len(words) + 1)
-        if not out:
-            at = [place[w] for w in words if w in place]
-            own = int((np.bincount(np.array(at, np.int64), minlength=len(place)) @ classes.words + classes.share).argmax())
-            ends[own] += 1
-            if len(found):
-                seen[own].append(found)
-            if len(seen[own]) >= 1024:
-                totals[own], seen[own] = _added(totals[own], seen[own], len(codes)), []
-    totals = np.stack([_added(a, b, len(codes)) for a, b in zip(totals, seen)], 1)
-    totals[0] += ends
-    counts = totals.astype("<i4").tobytes()
-    n, m = len(blobs), len(codes)
-    tokens = [END, *(w + b" " for w in list(codes)[1:])]
-    bucket = docs.column("bucket")[0].as_py()
-
-    def both(first, second, kind):
-        return pa.chunked_array([pa.array(first, kind), pa.array(second, kind)], kind)
-
-    return pa.table(
-        {
-            "bucket": pa.array([bucket] * (n + m), pa.int32()),
-            "id": pa.chunked_array([*docs.column("id").chunks, pa.nulls(m, docs.column("id").type)], docs.column("id").type),
-            "held": both(held, [None] * m, pa.bool_()),
-            "codes": both(blobs, [None] * m, pa.binary()),
-            "n_bytes": both(sizes, [None] * m, pa.int64()),
-            "token": both([None] * n, tokens, pa.binary()),
-            "code": both([None] * n, range(m), pa.int32()),
-            "n": both([None] * n, [counts[4 * k * i : 4 * k * (i + 1)] for i in range(m)], pa.binary()),
+        found = [put(w, len(codes)) for w in words]
+        found.append(0)
+        self.docs.append(np.array(found, np.int32))
+        self.ids.append(name)
+        self.held.append(held)
+        self.sizes.append(sum(map(len, words)) + len(words) + 1)
+        self.bytes += len(text) + 64
+
+    def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
+        codes, lengths, held = np.concatenate(self.docs), np.array(list(map(len, self.docs))), np.array(self.held, bool)
+        tokens = [END, *(w + b" " for w in list(self.codes)[1:])]
+        counts = np.bincount(codes[np.repeat(~held, lengths)], minlength=len(tokens))
+        counts[0] = 0  # the end says nothing
+        top = np.argsort(-counts, kind="stable")[:REPORTED]
+        top = top[counts[top] > 0]
+        words = pa.StructArray.from_arrays([pa.array([tokens[k] for k in top], pa.binary()), pa.array(counts[top], pa.int64())], names=["token", "n"])
+        columns = {
+            "bucket": pa.array([number], pa.int64()),
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(self.ids)], pa.int32()), pa.array(self.ids, kind)),
+            "held": pa.array([squeeze(held)], pa.binary()),
+            "codes": pa.array([squeeze(codes)], pa.binary()),
+            "lengths": pa.array([squeeze(lengths.astype(np.int64))], pa.binary()),
+            "sizes": pa.array([squeeze(np.array(self.sizes, np.int64))], pa.binary()),
+            "data": pa.array([squeeze(np.frombuffer(b"".join(tokens), np.uint8))], pa.binary()),
+            "token_lengths": pa.array([squeeze(np.array(list(map(len, tokens)), np.int32))], pa.binary()),
+            "top": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
         }
-    )
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _added(totals: np.ndarray, seen: list[np.ndarray], size: int) -> np.ndarray:
-    out = np.zeros(size, np.int64)
-    out[: len(totals)] = totals
-    if seen:
-        out += np.bincount(np.concatenate(seen), minlength=size)
-    return out
+CODED = "bucket long, ids array<{0}>, held binary, codes binary, lengths binary, sizes binary, data binary, token_lengths binary, top array<struct<token:binary,n:long>>"
 
 
-def pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, bucket, code, n), sorted by token, to chunk rows that never part a token's rows."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
+def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, held, text) to one row a bucket. A task's buckets have numbers of their own."""
+    number, bucket, kind = TaskContext.get().partitionId() << 24, Bucket(), None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for name, held, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            bucket.add(name, held, text)
+            if bucket.bytes >= BUCKET:
+                yield bucket.row(number, kind)
+                number, bucket = number + 1, Bucket()
+    if bucket.ids:
+        yield bucket.row(number, kind)
 
-    def packed(whole: pa.Table) -> pa.RecordBatch:
-        whole = whole.combine_chunks()
-        token = whole.column("token").combine_chunks() if isinstance(whole.column("token"), pa.ChunkedArray) else whole.column("token")
-        first = np.concatenate(([True], pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False))) if len(token) > 1 else np.ones(len(token), bool)
-        starts = np.flatnonzero(first)
-        words = token.take(pa.array(starts))
-        each = np.frombuffer(b"".join(whole.column("n").to_pylist()), "<i4").reshape(whole.num_rows, -1)
-        classes = np.add.reduceat(each.astype(np.int64), starts, axis=0)
-        count = classes.sum(1)
-        lengths = pc.binary_length(words).to_numpy()
-        data = b"".join(words.to_pylist())
-        blob = [squeeze(np.frombuffer(data, np.uint8)), squeeze(lengths.astype(np.int32)), squeeze(count.astype(np.int64)), squeeze((np.cumsum(first) - 1).astype(np.int32)), squeeze(whole.column("bucket").to_numpy().astype(np.int32)), squeeze(whole.column("code").to_numpy().astype(np.int32)), squeeze(classes)]
-        return pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blob], names=["data", "lengths", "count", "row", "bucket", "code", "classes"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= CHUNK:
-            whole = pa.Table.from_batches(held)
-            last = whole.column("token")[whole.num_rows - 1]
-            cut = whole.num_rows - 1 - next((k for k in range(1, whole.num_rows) if whole.column("token")[whole.num_rows - 1 - k] != last), whole.num_rows - 1)
-            if cut > 0:
-                yield packed(whole.slice(0, cut))
-                held = whole.slice(cut).to_batches()
-                rows = whole.num_rows - cut
-    if rows:
-        yield packed(pa.Table.from_batches(held))
+def tokens_of(data: bytes, lengths: bytes) -> list[bytes]:
+    data, ends = grow(data, np.uint8).tobytes(), np.cumsum(grow(lengths, np.int32))
+    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+# ---------------------------------------------------------------- classes of documents
+
+
+class Classes:
+    """A mixture of unigrams: log probability of each frequent word (row) in each class (column), log share of each class."""
+
+    def __init__(self, names: list[bytes], words: np.ndarray, share: np.ndarray):
+        self.place, self.words, self.share = {w: i for i, w in enumerate(names)}, words, share
+
+    @property
+    def states(self) -> int:
+        return len(self.share) + 1
+
+    def frequent(self, tokens: list[bytes]) -> np.ndarray:
+        """The place of each token among the frequent words, or -1."""
+        get = self.place.get
+        return np.array([get(t, -1) for t in tokens], np.int32)
+
+
+def start_classes(counts: np.ndarray, names: list[bytes], k: int) -> Classes:
+    """Classes around up to k documents (rows of counts) far apart."""
+    counts = counts[counts.sum(1) > 0].astype(np.float64)
+    k = max(1, min(k, len(counts)))
+    resp = np.zeros((len(counts), k))
+    if len(counts):
+        root = np.sqrt(counts / counts.sum(1, keepdims=True))
+        chosen = [int(counts.sum(1).argmax())]
+        while len(chosen) < k:
+            chosen.append(int(((1 - root @ root[chosen].T).min(1) * np.log1p(counts.sum(1))).argmax()))
+        resp[np.arange(len(counts)), (root @ root[chosen].T).argmax(1)] = 1
+    return updated_classes(names, counts.T @ resp, resp.sum(0))
+
+
+def updated_classes(names: list[bytes], mass: np.ndarray, docs: np.ndarray) -> Classes:
+    mass = np.round(mass, 6) + 0.05  # sums come in any order: rounded, reruns agree
+    docs = np.round(docs, 6) + 1
+    return Classes(names, np.log(mass / mass.sum(0)), np.log(docs / docs.sum()))
+
+
+def sparse_counts(classes: Classes, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, frequent word, count) of the training documents of a bucket."""
+    codes, lengths, held = grow(row["codes"], np.int32), grow(row["lengths"], np.int64), grow(row["held"], bool)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    word = classes.frequent(tokens_of(row["data"], row["token_lengths"]))[codes]
+    use = (word >= 0) & ~held[doc]
+    key, n = np.unique(doc[use] * len(classes.place) + word[use], return_counts=True)
+    return key // max(1, len(classes.place)), key % max(1, len(classes.place)), n
+
+
+def expected(classes: Classes, doc: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mass of each word in each class, documents of each class) of one bucket's documents."""
+    k, f = len(classes.share), len(classes.place)
+    mass, docs = np.zeros((f, k)), np.zeros(k)
+    if len(doc):
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(doc) != 0)))
+        value = np.add.reduceat(classes.words[word] * n[:, None], starts, axis=0) + classes.share
+        resp = np.exp(value - value.max(1, keepdims=True))
+        resp /= resp.sum(1, keepdims=True)
+        docs += resp.sum(0)
+        each = np.repeat(resp, np.diff(np.append(starts, len(doc))), axis=0) * n[:, None]
+        for c in range(k):
+            mass[:, c] = np.bincount(word, each[:, c], f)
+    return mass, docs
+
+
+def fit_classes(coded: DataFrame) -> Classes:
+    """By expectation maximisation over all training documents of coded, started from SEEDS of them."""
+    spark = coded.sparkSession
+    top = coded.select(F.explode("top").alias("t")).groupBy("t.token").agg(F.sum("t.n").alias("n"))
+    names = [bytes(r["token"]) for r in top.orderBy(F.col("n").desc(), "token").limit(FREQUENT).collect()]
+    found = spark.sparkContext.broadcast(Classes(names, np.zeros((len(names), 1)), np.zeros(1)))
+
+    def sparse(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc, word, n = sparse_counts(found.value, row)
+                spread = (np.unique(doc) * 2654435761 + row["bucket"] * 40503) % (1 << 32)
+                few = np.unique(doc)[np.argsort(spread, kind="stable")[:16]]
+                seeds = [(int(h), np.bincount(word[doc == d], n[doc == d], len(names)).astype("<i4").tobytes()) for d, h in zip(few, np.sort(spread))]
+                kinds = pa.StructArray.from_arrays([pa.array([s[0] for s in seeds], pa.int64()), pa.array([s[1] for s in seeds], pa.binary())], names=["h", "n"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([squeeze(x.astype(np.int32))], pa.binary()) for x in (doc, word, n)), pa.ListArray.from_arrays(pa.array([0, len(seeds)], pa.int32()), kinds), pa.array([len(np.unique(doc))], pa.int64())], names=["doc", "word", "n", "seeds", "docs"])
+
+    counts = stored(coded.select("bucket", "held", "codes", "lengths", "data", "token_lengths").mapInArrow(sparse, "doc binary, word binary, n binary, seeds array<struct<h:long,n:binary>>, docs long"), "classes")
+    total = counts.agg(F.sum("docs")).first()[0] or 0
+    k = int(min(CLASSES, 2 + math.log2(total + 1) / 2))
+    seeds = counts.select(F.explode("seeds").alias("s")).orderBy("s.h", "s.n").limit(SEEDS).collect()
+    matrix = np.frombuffer(b"".join(r["s"]["n"] for r in seeds), "<i4").reshape(len(seeds), len(names)) if seeds and names else np.zeros((0, len(names)), np.int32)
+    classes = start_classes(matrix, names, k)
+
+    def gather(model):
+        def run(batches):
+            mass, docs = np.zeros_like(model.value.words), np.zeros_like(model.value.share)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    m, d = expected(model.value, *(grow(row[c], np.int32).astype(np.int64) for c in ("doc", "word", "n")))
+                    mass, docs = mass + m, docs + d
+            value = np.append(mass.reshape(-1), docs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], names=["cell", "value"])
+
+        return run
+
+    for _ in range(ROUNDS if total and names else 0):
+        model = spark.sparkContext.broadcast(classes)
+        got = counts.select("doc", "word", "n").mapInArrow(gather(model), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        value = np.zeros((len(names) + 1) * len(classes.share))  # of all tasks: a cell for each word and class
+        value[got["cell"].to_numpy()] = got["value"].to_numpy()
+        classes = updated_classes(names, value[: -len(classes.share)].reshape(len(names), -1), value[-len(classes.share) :])
+    return classes
+
+
+def states(classes: Classes, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The state at each token: 1 + the class that the frequent words before it in its document speak for, 0 before any.
+
+    word: the frequent word at each token, or -1; lengths: tokens of each document. Tokens are handled SLICE at a time.
+    """
+    out = np.zeros(len(word), np.int64)
+    starts = np.cumsum(lengths) - lengths
+    table = np.vstack((classes.words, np.zeros((1, len(classes.share)))))  # the last row, at -1: nothing
+    table = np.hstack((table, np.append(np.ones(len(classes.words)), 0)[:, None]))  # the last column counts
+    carry = np.zeros(table.shape[1])
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    for at in range(0, len(word), SLICE):
+        part, here = word[at : at + SLICE], doc[at : at + SLICE]
+        own = table[part]
+        path = np.cumsum(own, axis=0)
+        before = path - own
+        first = starts[here] - at  # where the document starts in this slice
+        base = np.where((first >= 0)[:, None], before[np.maximum(first, 0)], -carry)
+        since = before - base
+        out[at : at + SLICE] = np.where(since[:, -1] > 0.5, 1 + (since[:, :-1] + classes.share).argmax(1), 0)
+        carry = since[-1] + own[-1]
+    return out
+
+
+# ---------------------------------------------------------------- buckets to rows of words and chunks of words
 
 
-PACKED = "data binary, lengths binary, count binary, row binary, bucket binary, code binary, classes binary"
+PAIRED = "bucket long, ids array<{0}>, held binary, codes binary, lengths binary, sizes binary, present binary, token binary, code int, mask int, n binary"
 
 
-# ---------------------------------------------------------------- one chunk of sorted words
+def pair_rows(classes: Classes, row: dict, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """One row with the bucket's documents as codes of (word, state), and one row (token, bucket, code, mask of its states,
+    training count in each state) for each of its words."""
+    s, tokens = classes.states, tokens_of(row["data"], row["token_lengths"])
+    codes, lengths, held = grow(row["codes"], np.int32).astype(np.int64), grow(row["lengths"], np.int64), grow(row["held"], bool)
+    key = codes * s + states(classes, classes.frequent(tokens)[codes], lengths)
+    there = np.zeros(len(tokens) * s, bool)
+    there[key] = True
+    counts = np.bincount(key[np.repeat(~held, lengths)], minlength=len(there)).astype("<i4").tobytes()
+    named = np.cumsum(there) - 1
+    mask = there.reshape(-1, s) @ (1 << np.arange(s))
+    names = ["bucket", "ids", "held", "codes", "lengths", "sizes", "present", "token", "code", "mask", "n"]
+    ids = pa.ListArray.from_arrays(pa.array([0, len(row["ids"])], pa.int32()), pa.array(row["ids"], kind))
+    blobs = [row["held"], squeeze(named[key].astype(np.int32)), row["lengths"], row["sizes"], squeeze(np.flatnonzero(there).astype(np.int32)), None]
+    yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int64()), ids, *(pa.array([b], pa.binary()) for b in blobs), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names=names)
+    size = 4 * s
+    for at in range(0, len(tokens), SLICE):
+        part = tokens[at : at + SLICE]
+        m = len(part)
+        each = [counts[size * i : size * (i + 1)] for i in range(at, at + m)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, row["bucket"])), pa.nulls(m, pa.list_(kind)), *[pa.nulls(m, pa.binary())] * 5, pa.array(part, pa.binary()), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(mask[at : at + m].astype(np.int32)), pa.array(each, pa.binary())], names=names)
 
 
 class Chunk:
-    """Sorted distinct words with their training counts; walks down their bits."""
-
-    def __init__(self, data: bytes, lengths: bytes, count: bytes):
-        self.data, self.lengths, self.count = grow(data, np.uint8), grow(lengths, np.int32).astype(np.int64), grow(count, np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
-        n, deep = len(self.lengths), int(min(DEEP, self.lengths.max()))
-        self.deep = deep
-        at = self.starts[:, None] + np.arange(deep)
-        inside = np.arange(deep) < self.lengths[:, None]
-        self.bytes = np.where(inside, self.data[np.minimum(at, len(self.data) - 1)], 0).astype(np.uint8)
-        differ = self.bytes[1:] != self.bytes[:-1]
+    """Sorted distinct words with their training counts in each state; its rows are pairs (word, state). Walks down their bits."""
+
+    def __init__(self, data: bytes, lengths: bytes, n: bytes, mask: bytes):
+        self.data, size, mask = grow(data, np.uint8), grow(lengths, np.int32).astype(np.int64), grow(mask, np.int32)
+        n = grow(n, np.int64).reshape(len(size), -1)
+        self.states = n.shape[1]
+        self.word, self.state = np.nonzero((mask[:, None] >> np.arange(self.states)) & 1)
+        self.count = n[self.word, self.state]
+        starts = np.cumsum(size) - size
+        self.deep = deep = int(min(DEEP, size.max()))
+        short = np.minimum(size, deep)
+        row = np.repeat(np.arange(len(size)), short)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(short) - short, short)
+        words = np.zeros((len(size), deep), np.uint8)
+        words[row, col] = self.data[starts[row] + col]
+        differ = words[1:] != words[:-1]
         some = differ.any(1)
         byte = np.where(some, differ.argmax(1), deep)
-        rows = np.arange(n - 1)
-        xor = self.bytes[1:][rows, np.minimum(byte, deep - 1)] ^ self.bytes[:-1][rows, np.minimum(byte, deep - 1)]
-        zeros = 8 - np.ceil(np.log2(xor.astype(np.float64) + 1)).astype(np.int64)
-        self.common = np.where(some, 8 * byte + zeros, 8 * deep)  # bits that neighbours share
+        at = np.arange(len(size) - 1)
+        xor = words[1:][at, np.minimum(byte, deep - 1)] ^ words[:-1][at, np.minimum(byte, deep - 1)]
+        shared = np.where(some, 8 * byte + 8 - np.ceil(np.log2(xor.astype(np.float64) + 1)).astype(np.int64), 8 * deep)  # bits that neighbours share
+        self.bytes, self.lengths, self.starts = words[self.word], size[self.word], starts[self.word]
+        same = self.word[1:] == self.word[:-1]
+        self.common = np.where(same, 8 * deep, np.append(shared, 0)[self.word[:-1]])
+
+    def weights(self) -> np.ndarray:
+        """Counts of the rows by state; the last column is of all states."""
+        out = np.zeros((len(self.count), self.states + 1), np.int64)
+        out[np.arange(len(self.count)), self.state] = self.count
+        out[:, -1] = self.count
+        return out
 
     def edge(self, row: int) -> Iterator[tuple[bytes, int]]:
         """(key, bits) of every prefix of a word: the key is its bytes with the bits after the prefix cleared."""
@@ -212,22 +327,23 @@ class Chunk:
             key = word[:whole] + (bytes([word[whole] >> (8 - rest) << (8 - rest)]) if rest else b"")
             yield key, bits
 
-    def edge_sums(self) -> dict[tuple[bytes, int], int]:
-        """The chunk's own count of every prefix of its first and its last word."""
-        total, out = np.concatenate(([0], np.cumsum(self.count))), {}
+    def edge_sums(self) -> dict[tuple[bytes, int], np.ndarray]:
+        """The chunk's own counts of every prefix of its first and its last word."""
+        total, out = np.vstack((np.zeros(self.states + 1, np.int64), np.cumsum(self.weights(), axis=0))), {}
         n = len(self.count)
         for row, shared in ((0, np.minimum.accumulate(self.common)), (n - 1, np.minimum.accumulate(self.common[::-1]))):
             for key, bits in self.edge(row):
                 reach = int((shared >= bits).sum())  # neighbours that share the prefix
-                out[key, bits] = int(total[reach + 1] - total[0]) if row == 0 and n else int(total[n] - total[n - 1 - reach])
+                out[key, bits] = total[reach + 1] if row == 0 else total[n] - total[n - 1 - reach]
         return out
 
-    def walk(self, totals: dict[tuple[bytes, int], int]):
-        """For every byte and bit: (rows, byte position, bit, actual bits, node, counts before, counts after)."""
-        rows, common = np.arange(len(self.count)), self.common
+    def walk(self, totals: dict[tuple[bytes, int], np.ndarray]):
+        """For every byte and bit: (rows, byte position, bit, actual bits, node, counts before, counts after); counts are
+        (of all states, of the row's state)."""
+        rows, common, weights = np.arange(len(self.count)), self.common, self.weights()
         first = {bits: totals[key, bits] for key, bits in self.edge(0) if (key, bits) in totals}
         last = {bits: totals[key, bits] for key, bits in self.edge(len(rows) - 1) if (key, bits) in totals}
-        sums = np.concatenate(([0], np.cumsum(self.count)))
+        sums = np.vstack((np.zeros(self.states + 1, np.int64), np.cumsum(weights, axis=0)))
         has_first = has_last = True
 
         def level(bits):
@@ -238,7 +354,8 @@ class Chunk:
                 n[0] = first[bits]
             if has_last and bits in last:
                 n[-1] = last[bits]
-            return np.repeat(n, ends - starts)
+            group = np.repeat(np.arange(len(starts)), ends - starts)
+            return n[group, self.states], n[group, self.state[rows]]
 
         for p in range(self.deep):
             if p:
@@ -248,12 +365,13 @@ class Chunk:
                     if not len(kept):
                         return
                     has_first, has_last = has_first and bool(stay[0]), has_last and bool(stay[-1])
-                    common = np.minimum.reduceat(common, kept[:-1]) if len(kept) > 1 else common[:0]
+                    least = common
+                    common = np.minimum.reduceat(least, kept[:-1]) if len(kept) > 1 else least[:0]
                     if len(kept) > 1 and kept[-1] < len(rows) - 1:  # the last stretch of reduceat ran past the last kept row
                         common = common.copy()
-                        common[-1] = self._least(rows, kept[-2], kept[-1])
+                        common[-1] = least[kept[-2] : kept[-1]].min()
                     rows = rows[kept]
-                    sums = np.concatenate(([0], np.cumsum(self.count[rows])))
+                    sums = np.vstack((np.zeros(self.states + 1, np.int64), np.cumsum(weights[rows], axis=0)))
             byte = self.bytes[rows, p].astype(np.int32)
             before = level(8 * p)
             for b in range(8):
@@ -261,12 +379,9 @@ class Chunk:
                 yield rows, p, b, (byte >> (7 - b)) & 1, (1 << b) | (byte >> (8 - b)), before, after
                 before = after
 
-    def _least(self, rows: np.ndarray, i: int, j: int) -> int:
-        return int(self.common[rows[i] : rows[j]].min())
-
     def contexts(self, p: int, rows: np.ndarray) -> list[np.ndarray]:
-        """Hashes of the last 1, 2 and 4 bytes before position p of the words in rows."""
-        return [hashed([self.bytes[rows, p - k - 1].astype(np.uint32) if p > k else None for k in range(order)], len(rows)) for order, _ in ORDERS]
+        """Hashes of the last 1, 2 and 4 bytes before position p of the words in rows, the state where they reach beyond the word."""
+        return [hashed([self.bytes[rows, p - k - 1].astype(np.uint32) if p > k else self.state[rows].astype(np.uint32) + np.uint32(0x100) for k in range(order)], len(rows)) for order, _ in ORDERS]
 
     def tails(self) -> tuple[np.ndarray, np.ndarray]:
         """(row, place in data) of the bytes beyond DEEP."""
@@ -276,55 +391,132 @@ class Chunk:
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         return row, self.starts[row] + self.deep + inner
 
+    def bits_of_tail(self):
+        """(rows, contexts, byte) of bytes beyond DEEP, SLICE at a time."""
+        row, place = self.tails()
+        for at in range(0, len(row), SLICE):
+            r, p = row[at : at + SLICE], place[at : at + SLICE]
+            yield r, [hashed([self.data[p - k - 1].astype(np.uint32) for k in range(order)], len(r)) for order, _ in ORDERS], self.data[p].astype(np.int32)
+
 
-def hashed(before: list[np.ndarray | None], n: int) -> np.ndarray:
+PACKED = "chunk long, data binary, lengths binary, n binary, mask binary, row binary, bucket binary, code binary, states binary, edges array<struct<key:binary,bits:int,n:array<long>>>"
+
+
+def pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, bucket, code, mask, n), sorted by token, to chunk rows that never part a token's rows (one a bucket)."""
+    held: list[pa.RecordBatch] = []
+    rows, number = 0, TaskContext.get().partitionId() << 24
+
+    def packed(whole: pa.Table) -> pa.RecordBatch:
+        nonlocal number
+        token = pa.concat_arrays(whole.column("token").chunks)
+        new = np.concatenate(([True], pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False))) if len(token) > 1 else np.ones(len(token), bool)
+        starts = np.flatnonzero(new)
+        words = token.take(pa.array(starts))
+        each = np.frombuffer(b"".join(whole.column("n").to_pylist()), "<i4").reshape(whole.num_rows, -1)
+        n = np.add.reduceat(each, starts, axis=0, dtype=np.int64)
+        mask = whole.column("mask").to_numpy()
+        data = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+        head = [data, pc.binary_length(words).to_numpy().astype(np.int32), n, np.bitwise_or.reduceat(mask, starts)]
+        blobs = [squeeze(x) for x in (*head, (np.cumsum(new) - 1).astype(np.int32), whole.column("bucket").to_numpy(), whole.column("code").to_numpy(), mask)]
+        edges = Chunk(*blobs[:4]).edge_sums()
+        kind = pa.list_(pa.struct([("key", pa.binary()), ("bits", pa.int32()), ("n", pa.list_(pa.int64()))]))
+        edges = pa.array([[{"key": key, "bits": bits, "n": c.tolist()} for (key, bits), c in edges.items()]], kind)
+        out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs), edges], names=["chunk", "data", "lengths", "n", "mask", "row", "bucket", "code", "states", "edges"])
+        number += 1
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            whole = pa.Table.from_batches(held)
+            last = whole.column("token")[whole.num_rows - 1]
+            cut = whole.num_rows - 1 - next((k for k in range(1, whole.num_rows) if whole.column("token")[whole.num_rows - 1 - k] != last), whole.num_rows - 1)
+            if cut > 0:
+                yield packed(whole.slice(0, cut))
+                held = whole.slice(cut).to_batches()
+                rows = whole.num_rows - cut
+    if rows:
+        yield packed(pa.Table.from_batches(held))
+
+
+def with_totals(chunks: DataFrame, width: int) -> DataFrame:
+    """chunks with ``totals`` in place of edges: what all chunks count together for those prefixes that several of them share."""
+    edges = chunks.select("chunk", F.explode("edges").alias("e")).select("chunk", "e.key", "e.bits", "e.n")
+    sums = edges.groupBy("key", "bits").agg(F.count("*").alias("chunks"), *(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(width))).where("chunks > 1")
+    sums = sums.select("key", "bits", F.array(*(f"n{k}" for k in range(width))).alias("n"))
+    shared = edges.select("chunk", "key", "bits").join(sums, ["key", "bits"]).groupBy("chunk").agg(F.collect_list(F.struct("key", "bits", "n")).alias("totals"))
+    return chunks.drop("edges").join(shared, "chunk", "left")
+
+
+def totals_of(row: dict) -> dict[tuple[bytes, int], np.ndarray]:
+    return {(e["key"], e["bits"]): np.array(e["n"], np.int64) for e in row["totals"] or ()}
+
+
+def chunk_of(row: dict) -> Chunk:
+    return Chunk(row["data"], row["lengths"], row["n"], row["mask"])
+
+
+# ---------------------------------------------------------------- hashed contexts
+
+
+def hashed(before: list[np.ndarray], n: int) -> np.ndarray:
     x = np.zeros(n, np.uint32)
     for b in before:
-        x = (x + (b if b is not None else np.uint32(0x100)) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        x = (x + b + np.uint32(1)) * np.uint32(0x9E3779B1)
     return x
 
 
-def cells(context: np.ndarray, node: np.ndarray, k: int, first: int | None = None) -> np.ndarray:
-    """Cells of order k, of which the tables' cell ``first`` is the first (by default after those of lower orders)."""
-    x = (context ^ _NODES[node]) * np.uint32(0xC2B2AE35)
-    x >>= np.uint32(32 - ORDERS[k][1])
-    if first is None:
-        x += np.uint32(sum(1 << b for _, b in ORDERS[:k]))
-    return x
+def cells(context: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+    """Cells of order k, from 0."""
+    return ((context ^ _NODES[node]) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - ORDERS[k][1])
 
 
 _NODES = np.arange(256, dtype=np.uint32) * np.uint32(0x85EBCA6B)
+_FIRST = np.cumsum([0, *(1 << b for _, b in ORDERS)])
+CELLS = int(_FIRST[-1])
 
 
-CELLS = sum(1 << b for _, b in ORDERS)
-
-
-def _bits_of_tail(chunk: Chunk):
-    """(rows, contexts, byte) of bytes beyond DEEP, a million at a time."""
-    row, place = chunk.tails()
-    for at in range(0, len(row), 1 << 20):
-        r, p = row[at : at + (1 << 20)], place[at : at + (1 << 20)]
-        contexts = [hashed([chunk.data[p - k - 1].astype(np.uint32) for k in range(order)], len(r)) for order, _ in ORDERS]
-        yield r, contexts, chunk.data[p].astype(np.int32)
-
+class LowCounts:
+    """Counts of 0 and 1 bits in each hashed cell, weighted by training counts, over any number of chunks."""
 
-def low_counts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of 0 and 1 bits in each hashed cell, weighted by the words' training counts."""
-    both, parts = [np.zeros(2 << bits) for _, bits in ORDERS], []
-    for p in range(chunk.deep):
-        rows = np.flatnonzero((chunk.lengths > p) & (chunk.count > 0))
-        if len(rows):
-            parts.append((rows, chunk.contexts(p, rows), chunk.bytes[rows, p].astype(np.int32)))
-    if parts:
-        parts = [(np.concatenate([x[0] for x in parts]), [np.concatenate([x[1][k] for x in parts]) for k in range(len(ORDERS))], np.concatenate([x[2] for x in parts]))]
-    for rows, contexts, byte in (*parts, *_bits_of_tail(chunk)):
-        weight = chunk.count[rows].astype(np.float64)
-        for b in range(8):
-            node, bit = (1 << b) | (byte >> (8 - b)), ((byte >> (7 - b)) & 1).astype(np.uint32)
-            for k, context in enumerate(contexts):
-                both[k] += np.bincount((cells(context, node, k, 0) << np.uint32(1)) | bit, weight, len(both[k]))
-    whole = np.concatenate(both).reshape(-1, 2)
-    return whole[:, 0], whole[:, 1]
+    def __init__(self):
+        self.both = [np.zeros(2 << bits) for _, bits in ORDERS]
+        self.parts: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
+        self.held = 0
+
+    def add(self, chunk: Chunk) -> None:
+        for p in range(chunk.deep):
+            rows = np.flatnonzero((chunk.lengths > p) & (chunk.count > 0))
+            for at in range(0, len(rows), SLICE):
+                r = rows[at : at + SLICE]
+                self._hold(chunk.count[r], chunk.contexts(p, r), chunk.bytes[r, p])
+        for rows, contexts, byte in chunk.bits_of_tail():
+            self._hold(chunk.count[rows], contexts, byte)
+
+    def _hold(self, count, contexts, byte) -> None:
+        self.parts.append((count.astype(np.float64), contexts, byte.astype(np.int32)))
+        self.held += len(count)
+        if self.held >= 16 * SLICE:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.parts:
+            weight, byte = (np.concatenate([x[k] for x in self.parts]) for k in (0, 2))
+            for k in range(len(ORDERS)):
+                context = np.concatenate([x[1][k] for x in self.parts])
+                for b in range(8):
+                    at = (cells(context, (1 << b) | (byte >> (8 - b)), k) << np.uint32(1)) | ((byte >> (7 - b)) & 1).astype(np.uint32)
+                    self.both[k] += np.bincount(at, weight, len(self.both[k]))
+        self.parts, self.held = [], 0
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        self.flush()
+        whole = np.concatenate(self.both).reshape(-1, 2)
+        return whole[:, 0], whole[:, 1]
 
 
 # ---------------------------------------------------------------- mixing
@@ -334,7 +526,7 @@ class Mixer:
     """Weights of each gate and the adaptive probability map (counts of 1 bits and of all, by gate and log odds)."""
 
     def __init__(self):
-        self.weights = np.tile(np.array([*[0.15] * len(ORDERS), 0.7, 0.0], np.float32), (GATES, 1))
+        self.weights = np.tile(np.array([*[0.1] * len(ORDERS), 0.3, 0.5, 0.0], np.float32), (GATES, 1))
         self.ones, self.all = np.zeros(GATES * STEPS), np.zeros(GATES * STEPS)
 
     def map(self) -> np.ndarray:
@@ -342,11 +534,14 @@ class Mixer:
         return ((self.ones + 2 * np.tile(centre, GATES)) / (self.all + 2)).astype(np.float32)
 
 
-def prefix_input(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log odds, gate) of the word so far."""
-    n = n0 + n1
-    gate = np.minimum(np.frexp(n.astype(np.float32))[1], 11) * 2 + ((n0 == 0) | (n1 == 0))
-    return np.log((n1 + 0.1) / (n0 + 0.1)).astype(np.float32), gate.astype(np.int32)
+def odds_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.log((n1 + 0.1) / (n0 + 0.1)).astype(np.float32)
+
+
+def gate_of(n: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
+    """By how often the state saw the word so far, whether one bit only followed, whether others saw it more often."""
+    s = s0 + s1
+    return (np.minimum(np.frexp(s.astype(np.float32))[1], 7) * 4 + 2 * ((s0 == 0) | (s1 == 0)) + (n > 4 * s)).astype(np.int32)
 
 
 def step_of(odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -362,22 +557,20 @@ def learn(chunk: Chunk, totals: dict, stretch: np.ndarray) -> tuple[np.ndarray,
         use = np.flatnonzero(chunk.count[rows] > 0)
         if not len(use):
             continue
-        own, other = after[use] - 1, before[use] - after[use]  # without this occurrence
         y = bit[use]
-        n1, n0 = np.where(y == 1, own, other), np.where(y == 1, other, own)
-        word, gate = prefix_input(n0, n1)
+        (n0, n1), (s0, s1) = ((np.where(y == 1, f - a, a - 1), np.where(y == 1, a - 1, f - a)) for f, a in ((before[k][use], after[k][use]) for k in (0, 1)))  # without this occurrence
+        gate = gate_of(n0 + n1, s0, s1)
         x = np.empty((INPUTS, len(use)), np.float32)
         for k, context in enumerate(contexts):
-            x[k] = stretch[cells(context[use], node[use], k)]
-        x[-2], x[-1] = word, 0.3
+            x[k] = stretch[cells(context[use], node[use], k) + _FIRST[k]]
+        x[-3], x[-2], x[-1] = odds_of(n0, n1), odds_of(s0, s1), 0.3
         c = chunk.count[rows[use]].astype(np.float64)
         for part in range(4):
             s = slice(part, None, 4)
             g, xs = gate[s], x[:, s]
             if not len(g):
                 continue
-            odds = np.einsum("kn,nk->n", xs, mixer.weights[g])
-            odds = np.clip(odds, -12, 12)
+            odds = np.clip(np.einsum("kn,nk->n", xs, mixer.weights[g]), -12, 12)
             at = step_of(odds, g)
             mixer.all += np.bincount(at, c[s], GATES * STEPS)
             mixer.ones += np.bincount(at, c[s] * y[s], GATES * STEPS)
@@ -391,7 +584,7 @@ def learn(chunk: Chunk, totals: dict, stretch: np.ndarray) -> tuple[np.ndarray,
 
 
 def scores(chunk: Chunk, totals: dict, stretch: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """log10 of each word's probability."""
+    """log10 of the probability of each row's word in its state."""
     out = np.zeros(len(chunk.count))
 
     def gain(odds, gate, bit):
@@ -402,18 +595,18 @@ def scores(chunk: Chunk, totals: dict, stretch: np.ndarray, weights: np.ndarray,
     for rows, p, b, bit, node, before, after in chunk.walk(totals):
         if b == 0:
             contexts = chunk.contexts(p, rows)
-        other = before - after
-        word, gate = prefix_input(np.where(bit == 1, other, after), np.where(bit == 1, after, other))
+        (n0, n1), (s0, s1) = ((np.where(bit == 1, f - a, a), np.where(bit == 1, a, f - a)) for f, a in ((before[k], after[k]) for k in (0, 1)))
+        gate = gate_of(n0 + n1, s0, s1)
         w = weights[gate]
-        odds = w[:, -2] * word + w[:, -1] * np.float32(0.3)
+        odds = w[:, -3] * odds_of(n0, n1) + w[:, -2] * odds_of(s0, s1) + w[:, -1] * np.float32(0.3)
         for k, context in enumerate(contexts):
-            odds += w[:, k] * stretch[cells(context, node, k)]
+            odds += w[:, k] * stretch[cells(context, node, k) + _FIRST[k]]
         out[rows] += gain(odds, gate, bit)
-    for rows, contexts, byte in _bits_of_tail(chunk):
-        gate = np.ones(len(rows), np.int32)  # nothing seen, so only one bit at most
+    for rows, contexts, byte in chunk.bits_of_tail():
+        gate = np.full(len(rows), 2, np.int32)  # nothing seen, so only one bit at most
         for b in range(8):
             node = (1 << b) | (byte >> (8 - b))
-            odds = sum(weights[1, k] * stretch[cells(context, node, k)] for k, context in enumerate(contexts)) + weights[1, -1] * np.float32(0.3)
+            odds = sum(weights[2, k] * stretch[cells(context, node, k) + _FIRST[k]] for k, context in enumerate(contexts)) + weights[2, -1] * np.float32(0.3)
             out += np.bincount(rows, gain(odds, gate, (byte >> (7 - b)) & 1), len(out))
     return out
 
@@ -428,18 +621,6 @@ def earlier(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def in_classes(logs: np.ndarray, lift: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """log of each word under the mixture of classes: logs of the corpus model, raised by lift (words, classes), the classes
-    weighted by their share and by what stood before."""
-    path = logs[:, None] + lift
-    np.cumsum(path, axis=0, out=path)
-    path += share
-    top = path.max(1)
-    path -= top[:, None]
-    whole = top + np.log(np.exp(path).sum(1))
-    return np.diff(whole, prepend=0.0)
-
-
 def adapted(codes: np.ndarray, logs: np.ndarray) -> float:
     """log10 of a document: the model mixed, word by word, with what the document itself has shown so far.
 
@@ -466,152 +647,117 @@ def adapted(codes: np.ndarray, logs: np.ndarray) -> float:
 # ---------------------------------------------------------------- the operator
 
 
-def lifts(own: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """How much likelier each word is in each class than in the corpus: its share of the word's counts, with PULL counts
-    spread as in the corpus added, over the class's share of all words."""
-    return (own + PULL * shares) / (own.sum(1, keepdims=True) + PULL) / shares
-
-
-def fit_classes(train: DataFrame) -> Classes:
-    """From the SAMPLE training documents (id, text) of the smallest hashes: their FREQUENT most frequent words and counts."""
-    train = train.where("id is not null")
-    chosen = train.select("id").orderBy(F.xxhash64("id", F.lit("classes")), "id").limit(SAMPLE).distinct()
-    texts = train.join(F.broadcast(chosen), "id").select("text")
-
-    def words(batches):
-        found: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(set(text.encode("utf-8", "replace").lower().split()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    top = texts.mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(FREQUENT)
-    names = [bytes(r["word"]) for r in top.collect()]
-    place = train.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
-
-    def counts(batches):
-        at = place.value
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                found = [at[w] for w in text.encode("utf-8", "replace").lower().split() if w in at]
-                out.append(np.bincount(np.array(found, np.int64), minlength=len(at)).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["n"])
-
-    rows = texts.mapInArrow(counts, "n binary").toArrow().column("n").to_pylist()
-    rows.sort()  # the fit does not depend on the order of rows
-    matrix = np.frombuffer(b"".join(rows), "<i4").reshape(len(rows), len(names)) if rows and names else np.zeros((0, len(names)), np.int32)
-    return Classes(matrix, names)
-
-
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row for each row of docs.
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, model_score, bits_per_byte), one row for each row of docs.
 
     Words come from documents whose id's crc32 modulo folds is not held. A null text is empty: its only token is the end.
-    base_score is the sum of log10((c + 1) / (N + V + 1)). Repeated rows each count; a null id hashes as an empty text.
-    With nothing to learn from, every bit has the probability 1/2. An empty table gives an empty result.
+    base_score is the sum of log10((c + 1) / (N + V + 1)); model_score is the mixer's alone, score has the document's own
+    adaptive part too. Repeated rows each count and are scored each; a null id hashes as an empty text. A text of any length is
+    one document of one bucket; words beyond DEEP bytes go on by hashed contexts. Other columns are not read. With nothing
+    to learn from, every bit has the probability 1/2. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), (id_remainder(id_col, folds) == held).alias("held"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    size = rows.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"]
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    if size is None:
-        return spark.createDataFrame([], schema)
-    n_buckets = max(1, math.ceil(size / BUCKET))
-    spread = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.md5("text")), F.lit("bucket"))
-    dealt = rows.select(F.pmod(spread, F.lit(n_buckets)).cast("int").alias("bucket"), "id", (id_remainder("id", folds) == held).alias("held"), "text")
-    classes = fit_classes(rows.where(id_remainder("id", folds) != held))
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, model_score double, bits_per_byte double"
+    coded = stored(rows.mapInArrow(code, CODED.format(kind)), "mixing-coded")
+    classes = fit_classes(coded)
+    width = classes.states + 1
     model = spark.sparkContext.broadcast(classes)
 
-    def code(docs: pa.Table) -> pa.Table:
-        return code_bucket(docs, model.value)
+    def pair(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from pair_rows(model.value, row, batch.schema.field("ids").type.value_type)
 
-    coded = stored(dealt.groupBy("bucket").applyInArrow(code, f"bucket int, id {kind}, held boolean, codes binary, n_bytes long, token binary, code int, n binary"))
-    words = coded.where("token is not null").select("token", "bucket", "code", "n")
-    chunks = stored(words.repartitionByRange("token").sortWithinPartitions("token").mapInArrow(pack_chunks, PACKED))
-    parts = chunks.select("data", "lengths", "count", "classes")
+    paired = stored(coded.drop("top").mapInArrow(pair, PAIRED.format(kind)), "mixing-paired")
+    words = paired.where("token is not null").select("token", "bucket", "code", "mask", "n")
+    chunks = stored(words.repartitionByRange("token").sortWithinPartitions("token").mapInArrow(pack_chunks, PACKED), "mixing-chunks")
+    chunks = stored(with_totals(chunks, width), "mixing-chunks")
+    parts = chunks.select("data", "lengths", "n", "mask", "totals")
 
     def gather(batches):
+        low, n, v = LowCounts(), 0, 0
         for batch in batches:
-            for r in range(batch.num_rows):
-                chunk = Chunk(*(batch.column(k)[r].as_py() for k in range(3)))
-                zeros, ones = low_counts(chunk)
-                at = np.flatnonzero(zeros + ones)
-                each = grow(batch.column(3)[r].as_py(), np.int64).reshape(-1, classes.k).sum(0)
-                facts = pickle.dumps((int(chunk.count.sum()), int((chunk.count > 0).sum()), chunk.edge_sums(), each))
-                yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*zeros[at], 0.0]), pa.array([*ones[at], 0.0]), pa.array([*[None] * len(at), facts], pa.binary())], names=["cell", "zeros", "ones", "facts"])
-
-    gathered = stored(parts.mapInArrow(gather, "cell int, zeros double, ones double, facts binary"))
-    n_train, n_distinct, totals, chunks_of, masses = 0, 0, {}, {}, np.zeros(classes.k)
-    for row in gathered.where("cell = -1").select("facts").toLocalIterator():  # one row a chunk
-        n, v, edges, each = pickle.loads(row["facts"])
-        n_train, n_distinct, masses = n_train + n, n_distinct + v, masses + each
-        for key, c in edges.items():
-            totals[key] = totals.get(key, 0) + c
-            chunks_of[key] = chunks_of.get(key, 0) + 1
-    totals = {key: c for key, c in totals.items() if chunks_of[key] > 1}
-    shares = (masses + 1) / (masses.sum() + classes.k)
-    cell = gathered.where("cell >= 0").groupBy("cell").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()  # CELLS rows at most
+            for row in batch.to_pylist():
+                low.add(chunk_of(row))
+                each = grow(row["n"], np.int64).reshape(-1, classes.states).sum(1)
+                n, v = n + int(each.sum()), v + int((each > 0).sum())
+        zeros, ones = low.counts()
+        at = np.flatnonzero(zeros + ones)
+        for k in range(0, len(at), SLICE):
+            some = at[k : k + SLICE]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(zeros[some]), pa.array(ones[some])], names=["cell", "zeros", "ones"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([float(n)]), pa.array([float(v)])], names=["cell", "zeros", "ones"])
+
+    cell = parts.select("data", "lengths", "n", "mask").mapInArrow(gather, "cell int, zeros double, ones double")
+    cell = cell.groupBy("cell").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()  # CELLS + 1 rows at most
+    at, zeros, ones = (cell[c].to_numpy() for c in ("cell", "zeros", "ones"))
+    n_train, n_distinct = (int(x[at < 0].sum()) for x in (zeros, ones))
     stretch = np.zeros(CELLS, np.float32)
-    stretch[cell["cell"].to_numpy()] = np.clip(np.log((cell["ones"].to_numpy() + 0.4) / (cell["zeros"].to_numpy() + 0.4)), -10, 10)
-    known = spark.sparkContext.broadcast((totals, stretch))
+    stretch[at[at >= 0]] = np.clip(np.log((ones[at >= 0] + 0.4) / (zeros[at >= 0] + 0.4)), -10, 10)
+    known = spark.sparkContext.broadcast(stretch)
 
     def train(batches):
+        mixer, mass, weighted = Mixer(), np.zeros((GATES, 1)), np.zeros((GATES, INPUTS))
         for batch in batches:
-            for r in range(batch.num_rows):
-                found = learn(Chunk(*(batch.column(k)[r].as_py() for k in range(3))), *known.value)
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], names=["found"])
-
-    mixer, mass = Mixer(), np.full((GATES, 1), 1e-9)
-    weighted = mixer.weights * mass
-    for row in stored(parts.mapInArrow(train, "found binary")).toLocalIterator():  # about 25 KB a chunk
-        w, m, ones, all_ = pickle.loads(row["found"])
-        weighted, mass = weighted + w * m[:, None], mass + m[:, None]
-        mixer.ones += ones
-        mixer.all += all_
-    final = spark.sparkContext.broadcast(((weighted / mass).astype(np.float32), mixer.map()))
+            for row in batch.to_pylist():
+                w, m, ones, all_ = learn(chunk_of(row), totals_of(row), known.value)
+                weighted, mass = weighted + w * m[:, None], mass + m[:, None]
+                mixer.ones, mixer.all = mixer.ones + ones, mixer.all + all_
+        value = np.concatenate([x.reshape(-1) for x in (weighted, mass, mixer.ones, mixer.all)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], names=["cell", "value"])
+
+    got = parts.mapInArrow(train, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    value = np.zeros(GATES * (INPUTS + 1 + 2 * STEPS))
+    value[got["cell"].to_numpy()] = got["value"].to_numpy()
+    weighted, mass, ones, all_ = np.split(np.round(value, 4), np.cumsum([GATES * INPUTS, GATES, GATES * STEPS]))
+    mixer = Mixer()
+    weights = (weighted.reshape(GATES, INPUTS) + 1e-9 * mixer.weights) / (mass[:, None] + 1e-9)
+    mixer.ones, mixer.all = ones, all_
+    final = spark.sparkContext.broadcast((weights.astype(np.float32), mixer.map()))
 
     def score(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                data, lengths, count, row, bucket, code, own = (batch.column(k)[r].as_py() for k in range(7))
-                own = grow(own, np.int64).reshape(-1, classes.k)
-                chunk = Chunk(data, lengths, count)
-                value = scores(chunk, *known.value, *final.value)
-                row, bucket, code = grow(row, np.int32), grow(bucket, np.int32), grow(code, np.int32)
+            for row in batch.to_pylist():
+                chunk = chunk_of(row)
+                value = scores(chunk, totals_of(row), known.value, *final.value)
+                total = grow(row["n"], np.int64).reshape(-1, classes.states).sum(1)
+                of, bucket, at, mask = (grow(row[c], t) for c, t in (("row", np.int32), ("bucket", np.int64), ("code", np.int32), ("states", np.int32)))
+                grid = np.zeros((len(total), classes.states), np.float32)
+                grid[chunk.word, chunk.state] = value
                 order = np.argsort(bucket, kind="stable")
                 starts = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
                 out = []
                 for part in np.split(order, starts[1:]):
-                    out.append((int(bucket[part[0]]), squeeze(code[part]), squeeze(own[row[part]]), squeeze(value[row[part]]), None))
-                extra = (10**value * np.where(chunk.count > 0, 1.0, 0.0)) @ (lifts(own, shares) - 1)
-                out.append((None, None, None, None, extra.tolist()))
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["at", "word", "seen", "value", "extra"])
-
-    scored = stored(chunks.mapInArrow(score, "at int, word binary, seen binary, value binary, extra array<double>"))
-    sums = scored.where("extra is not null").agg(*(F.sum(F.col("extra")[k]).alias(f"k{k}") for k in range(classes.k))).first()
-    norm = np.log(1 + np.array([x or 0.0 for x in sums]))  # a class's lifts over all words sum to one again
-    scored = scored.where("at is not null").select("at", "word", "seen", "value")
-    texts = coded.where("codes is not null").select("bucket", "id", "held", "codes", "n_bytes")
+                    entry, state = np.nonzero((mask[part][:, None] >> np.arange(classes.states)) & 1)
+                    out.append((int(bucket[part[0]]), squeeze(at[part][entry] * np.int32(classes.states) + state.astype(np.int32)), squeeze(total[of[part]][entry]), squeeze(grid[of[part][entry], state])))
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["at", "key", "seen", "value"])
+
+    scored = chunks.mapInArrow(score, "at long, key binary, seen binary, value binary")
+    texts = paired.where("token is null").select("bucket", "ids", "held", "codes", "lengths", "sizes", "present")
     n_all = n_train + n_distinct + 1
 
     def add_up(x: pa.Table, y: pa.Table) -> pa.Table:
-        codes, seen, value = (np.concatenate([grow(b, kind) for b in y.column(c).to_pylist()]) for c, kind in (("word", np.int32), ("seen", np.int64), ("value", np.float64)))
-        own, logs = np.zeros((len(codes), classes.k), np.int64), np.zeros(len(codes))
-        own[codes], logs[codes] = seen.reshape(-1, classes.k), value * math.log(10)
-        count, lift = own.sum(1), np.log(lifts(own, shares)) - norm
-        base = np.log10((count + 1) / n_all)
-        n, k, b, s = [], [], [], []
-        for blob in x.column("codes").to_pylist():
-            at = grow(blob, np.int32)
-            n.append(len(at))
-            k.append(int((count[at] > 0).sum()))
-            b.append(float(base[at].sum()))
-            s.append(adapted(at, in_classes(logs[at], lift[at], classes.share)))
-        bits = -np.array(s) * math.log2(10) / np.maximum(x.column("n_bytes").to_numpy(), 1)
-        return pa.table({"id": x.column("id"), "held_out": x.column("held"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(k, pa.int64()), "train_tokens": pa.array([n_train] * len(n), pa.int64()), "base_score": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64()), "bits_per_byte": pa.array(bits, pa.float64())})
+        out = []
+        for row in x.to_pylist():  # one
+            key, seen, value = (np.concatenate([grow(b, t) for b in y.column(c).to_pylist()]) for c, t in (("key", np.int32), ("seen", np.int64), ("value", np.float32)))
+            present, codes, lengths = grow(row["present"], np.int32), grow(row["codes"], np.int32), grow(row["lengths"], np.int64)
+            order = np.argsort(key)  # present lists the same keys in ascending order
+            count, logs = seen[order], value[order].astype(np.float64) * math.log(10)
+            word, base = present // classes.states, np.log10((count + 1) / n_all)
+            ends = np.cumsum(lengths)
+            known_, based, plain, whole = [], [], [], []
+            for a, b in zip((ends - lengths).tolist(), ends.tolist()):
+                at = codes[a:b]
+                known_.append(int((count[at] > 0).sum()))
+                based.append(float(base[at].sum()))
+                plain.append(float(logs[at].sum() / math.log(10)))
+                whole.append(adapted(word[at], logs[at]))
+            bits = -np.array(whole) * math.log2(10) / np.maximum(grow(row["sizes"], np.int64), 1)
+            out.append(pa.table({"id": pa.array(row["ids"], x.schema.field("ids").type.value_type), "held_out": pa.array(grow(row["held"], bool)), "n_tokens": pa.array(lengths), "n_known": pa.array(known_, pa.int64()), "train_tokens": pa.array([n_train] * len(lengths), pa.int64()), "base_score": pa.array(based), "score": pa.array(whole), "model_score": pa.array(plain), "bits_per_byte": pa.array(bits)}))
+        return pa.concat_tables(out)
 
     return texts.groupBy("bucket").cogroup(scored.groupBy("at")).applyInArrow(add_up, schema)
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -53,39 +54,109 @@ def test_base_score_and_counts_equal_brute_force(spark, monkeypatch):
     assert cm.score_texts(df.where("doc_id = 501")).count() == 1
 
 
+def chunk(pairs):
+    """A chunk of {(word, state): training count}."""
+    words, n_states = sorted({w for w, _ in pairs}), max(s for _, s in pairs) + 1
+    n, mask = np.zeros((len(words), n_states), np.int64), np.zeros(len(words), np.int32)
+    for (w, s), c in pairs.items():
+        n[words.index(w), s], mask[words.index(w)] = c, mask[words.index(w)] | 1 << s
+    return cm.Chunk(*map(cm.squeeze, (np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words)), np.int32), n, mask)))
+
+
+def some_pairs():
+    rng = random.Random(7)
+    words = sorted({b"a ", b"ab ", b"abc ", b"b ", b"ba ", "é ".encode(), b"\n", b"x" * 90 + b" ", b"x" * 60 + b" "})
+    return {(w, s): rng.randrange(6) for w in words for s in range(3) if rng.random() < 0.7 or s == 1}
+
+
+def bits(w, n):
+    return "".join(f"{b:08b}" for b in w)[:n]
+
+
+def counted(pairs, w, state, n):
+    """How often the first n bits of w start a word, in all states and in one."""
+    same = [(s, c) for (x, s), c in pairs.items() if len(x) * 8 >= n and bits(x, n) == bits(w, n)]
+    return sum(c for _, c in same), sum(c for s, c in same if s == state)
+
+
 def test_chunk_counts_are_prefix_counts():
-    words = sorted({b"a ", b"ab ", b"abc ", b"b ", b"ba ", "é ".encode(), b"\n", b"x" * 90 + b" "})
-    count = np.arange(1, len(words) + 1)
-    whole = cm.Chunk(cm.squeeze(np.frombuffer(b"".join(words), np.uint8)), cm.squeeze(np.array(list(map(len, words)), np.int32)), cm.squeeze(count))
-    bits = lambda w, n: "".join(f"{b:08b}" for b in w)[:n]
-    for rows, p, b, bit, node, before, after in whole.walk({}):
-        for row, y, m, n in zip(rows, bit, before, after):
-            at = 8 * p + b
-            assert y == int(bits(words[row], at + 1)[-1])
-            assert m == sum(c for w, c in zip(words, count) if bits(w, at) == bits(words[row], at) and len(w) * 8 >= at)
-            assert n == sum(c for w, c in zip(words, count) if bits(w, at + 1) == bits(words[row], at + 1))
+    pairs = some_pairs()
+    names, words = sorted(pairs), sorted({w for w, _ in pairs})
+
+    def check(part, totals, own):
+        for rows, p, b, bit, node, before, after in part.walk(totals):
+            for k, row in enumerate(rows):
+                (w, s), at = own[row], 8 * p + b
+                assert bit[k] == int(bits(w, at + 1)[-1])
+                assert (before[0][k], before[1][k]) == counted(pairs, w, s, at) and (after[0][k], after[1][k]) == counted(pairs, w, s, at + 1)
+
+    check(chunk(pairs), {}, names)
     for k in range(1, len(words)):  # two chunks with their edges' sums give the same
-        halves = [cm.Chunk(cm.squeeze(np.frombuffer(b"".join(w), np.uint8)), cm.squeeze(np.array(list(map(len, w)), np.int32)), cm.squeeze(c)) for w, c in ((words[:k], count[:k]), (words[k:], count[k:]))]
-        totals, shared = Counter(), Counter()
-        for h in halves:
-            totals.update(h.edge_sums())
-            shared.update(h.edge_sums().keys())
-        totals = {x: c for x, c in totals.items() if shared[x] > 1}
-        for first, h in zip((0, k), halves):
-            for rows, p, b, bit, node, before, after in h.walk(totals):
-                for row, m in zip(rows, before):
-                    at, w = 8 * p + b, words[first + row]
-                    assert m == sum(c for x, c in zip(words, count) if bits(x, at) == bits(w, at) and len(x) * 8 >= at)
-
-
-def test_a_words_probabilities_sum_to_at_most_one():
+        halves = [{x: c for x, c in pairs.items() if (x[0] < words[k]) == first} | {} for first in (True, False)]
+        wide = [chunk(h | {(sorted(h)[0][0], 2): h.get((sorted(h)[0][0], 2), 0)}) for h in halves]  # all states in both
+        totals, shared = {}, Counter()
+        for h in wide:
+            for x, n in h.edge_sums().items():
+                totals[x] = totals.get(x, 0) + n
+                shared[x] += 1
+        for h, own in zip(wide, halves):
+            check(h, {x: n for x, n in totals.items() if shared[x] > 1}, sorted(own | {(sorted(own)[0][0], 2): 0}))
+
+
+def test_scores_equal_brute_force():
+    pairs = some_pairs()
+    part = chunk(pairs)
+    low = cm.LowCounts()
+    low.add(part)
+    zeros, ones = low.counts()
+    stretch = np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
+    m = cm.Mixer()
+    m.weights, _, m.ones, m.all = cm.learn(part, {}, stretch)
+    refined = m.map()
+    counts = Counter()  # hashed cells, bit by bit
+    for (w, s), c in pairs.items():
+        for at in range(8 * len(w)):
+            p, b = divmod(at, 8)
+            for k, (order, _) in enumerate(cm.ORDERS):
+                context = cm.hashed([np.array([w[p - j - 1] if p > j else 0x100 + s], np.uint32) for j in range(order)], 1)
+                node = np.array([(1 << b) | (w[p] >> (8 - b))])
+                counts[k, int(cm.cells(context, node, k)[0]), (w[p] >> (7 - b)) & 1] += c
+    for k in range(len(cm.ORDERS)):
+        for cell in range(cm._FIRST[k], cm._FIRST[k + 1]):
+            if zeros[cell] or ones[cell]:
+                assert (zeros[cell], ones[cell]) == (counts[k, cell - cm._FIRST[k], 0], counts[k, cell - cm._FIRST[k], 1])
+    got = cm.scores(part, {}, stretch, m.weights, refined)
+    for row, (w, s) in enumerate(sorted(pairs)):
+        if len(w) > cm.DEEP:
+            continue
+        value = 0.0
+        for at in range(8 * len(w)):
+            p, b = divmod(at, 8)
+            here = [counted(pairs, w, s, at), counted(pairs, w, s, at + 1)]
+            y = int(bits(w, at + 1)[-1])
+            n, ns = [(here[0][k] - here[1][k], here[1][k])[:: 1 if y else -1] for k in (0, 1)]
+            gate = min(sum(ns).bit_length(), 7) * 4 + 2 * (0 in ns) + (sum(n) > 4 * sum(ns))
+            odds = m.weights[gate, -1] * 0.3 + sum(m.weights[gate, k] * math.log((c[1] + 0.1) / (c[0] + 0.1)) for k, c in ((-3, n), (-2, ns)))
+            for k, (order, _) in enumerate(cm.ORDERS):
+                context = cm.hashed([np.array([w[p - j - 1] if p > j else 0x100 + s], np.uint32) for j in range(order)], 1)
+                odds += m.weights[gate, k] * stretch[cm._FIRST[k] + int(cm.cells(context, np.array([(1 << b) | (w[p] >> (8 - b))]), k)[0])]
+            odds = max(-12.0, min(12.0, odds))
+            one = 0.5 / (1 + math.exp(-odds)) + 0.5 * refined[gate * cm.STEPS + min(cm.STEPS - 1, max(0, int((odds + 8) * 4)))]
+            value += math.log10(min(1, max(1e-6, one if y else 1 - one)))
+        assert abs(got[row] - value) < 1e-3 * abs(value) + 1e-4
+
+
+def test_a_words_probabilities_sum_to_at_most_one_in_each_state():
     words = sorted({bytes([a, b, 32]) for a in b"abc" for b in b"abc"})
-    chunk = cm.Chunk(cm.squeeze(np.frombuffer(b"".join(words), np.uint8)), cm.squeeze(np.array(list(map(len, words)), np.int32)), cm.squeeze(np.arange(9)))
-    zeros, ones = cm.low_counts(chunk)
+    part = chunk({(w, s): (k * (s + 1)) % 5 for k, w in enumerate(words) for s in range(2)})
+    low = cm.LowCounts()
+    low.add(part)
+    zeros, ones = low.counts()
     stretch = np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
     m = cm.Mixer()
-    m.weights, _, m.ones, m.all = cm.learn(chunk, {}, stretch)
-    assert 0.2 < (10 ** cm.scores(chunk, {}, stretch, m.weights, m.map())).sum() <= 1 + 1e-9
+    m.weights, _, m.ones, m.all = cm.learn(part, {}, stretch)
+    value = 10 ** cm.scores(part, {}, stretch, m.weights, m.map())
+    assert all(0.2 < value[part.state == s].sum() <= 1 + 1e-9 for s in range(2))
 
 
 def test_adaptive_part_is_a_distribution():
@@ -95,22 +166,37 @@ def test_adaptive_part_is_a_distribution():
     assert abs(sum(last) - 1) < 1e-9
 
 
-def test_classes_are_a_distribution_and_adapt():
-    own = np.array([[8, 0], [0, 8], [4, 4], [1, 0]])
-    shares = own.sum(0) / own.sum()
-    logs = np.log(own.sum(1) / own.sum())
-    lift = cm.lifts(own, shares)
-    lift = np.log(lift) - np.log((np.exp(logs)[:, None] * lift).sum(0))
-    mixed = lambda words: cm.in_classes(logs[words], lift[words], np.log(shares))
-    for before in ([], [0, 0, 2], [1, 1, 1]):
-        assert abs(sum(np.exp(mixed([*before, x])[-1]) for x in range(4)) - 1) < 1e-9
-    assert mixed([0, 0, 0])[-1] > logs[0] > mixed([1, 1, 0])[-1]
+def test_states_follow_the_words_before(monkeypatch):
     rng = np.random.default_rng(0)
     counts = np.vstack((rng.poisson([5, 5, 0, 0], (50, 4)), rng.poisson([0, 0, 5, 5], (50, 4))))
-    model = cm.Classes(counts, [b"a", b"b", b"c", b"d"], 2)
+    model = cm.start_classes(counts, [b"a ", b"b ", b"c ", b"d "], 2)
+    for _ in range(3):
+        doc, word = np.nonzero(counts)
+        model = cm.updated_classes([b"a ", b"b ", b"c ", b"d "], *cm.expected(model, doc, word, counts[doc, word]))
+    assert np.allclose(np.exp(model.words).sum(0), 1) and np.isclose(np.exp(model.share).sum(), 1)
     best = (counts @ model.words + model.share).argmax(1)
     assert len(set(best[:50])) == len(set(best[50:])) == 1 and best[0] != best[99]
-    assert cm.Classes(np.zeros((0, 0)), []).k == 1
+    word = np.array([-1, 0, 1, 0, -1, 2, 2, -1, 3, 2, 1, -1] + [0] * 9 + [-1, 3, 3])
+    lengths = np.array([5, 1, 6, 0, 10, 2])
+    want, at = [], 0
+    for n in lengths:
+        value, seen = model.share.copy(), False
+        for w in word[at : at + n]:
+            want.append(1 + int(value.argmax()) if seen else 0)
+            if w >= 0:
+                value, seen = value + model.words[w], True
+        at += n
+    for size in (1 << 16, 4, 1):
+        monkeypatch.setattr(cm, "SLICE", size)
+        assert cm.states(model, word, lengths).tolist() == want
+    assert cm.start_classes(np.zeros((0, 0)), [], 5).states == 2
+
+
+def test_the_mixer_beats_the_base_on_held_out_texts(spark):
+    df = spark.createDataFrame([(k, t) for k, t, _ in corpus(900)], "doc_id long, text string")
+    got = [r for r in cm.score_texts(df).collect() if r.held_out]
+    base = sum(r.base_score for r in got)
+    assert sum(r.model_score for r in got) / base < 0.95 and sum(r.score for r in got) / base < 0.97
 
 
 def test_language(spark):
