@@ -15,6 +15,8 @@ from .text import as_col, clean_scalar, collapse, match_normalize, trim
 MENTION = "struct<start:int,normalized_date:string,raw_text:string,role:string,context:string>"
 #: Characters of context on either side, and for a year.
 NEAR, YEAR_NEAR = 90, 500
+#: Fixed value: the source of a missing date.
+NO_DATE = "No explicit representative document date found."
 ISO_LIKE = "(?<!\\d)((?:20|19)\\d{2}[-/.]\\d{1,2}[-/.]\\d{1,2})(?!\\d)"
 
 
@@ -24,28 +26,44 @@ def iso_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.cast("int").between(1900, 2099), F.date_format(found, "yyyy-MM-dd"))
 
 
+#: Fixed values: (role, terms of the lowered context, a term of the document's type), in the order of their precedence.
+ROLES = (
+    ("discharge_date", ("퇴원일",), ""),
+    ("operation_date", ("수술일", "surg start", "operation date"), ""),
+    ("operation_date", ("일자:",), "operative"),
+    ("study_date", ("pft", "pulmonary function", "fvc", "fev1"), ""),
+    ("prior_measurement_date", ("wt:", "bmi:", "weight"), ""),
+    ("study_date", ("chest ct", "c.i.>", "[finding]"), ""),
+    ("note_date", ("상담기록", "통화"), ""),
+)
+COMPARED, PLAIN = "comparison_date", "date_mention"
+
+
 def role_of(context: Column, raw: Column, document_type: Column) -> Column:
-    """What a mention is the date of; the first rule that holds."""
-    low = F.lower(context)
+    """What a mention is the date of: of a comparison, else the first of ROLES that holds, else a plain mention."""
+    low, kind = F.lower(context), F.lower(document_type)
     quoted = F.concat(F.lit("\\Q"), F.regexp_extract(raw, "^\\S+", 0), F.lit("\\E"))
-    has = lambda *terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
-    compared = F.contains(low, F.lit("compar")) & (F.rlike(low, F.concat(F.lit("compared\\s+with\\s+"), quoted)) | F.rlike(low, F.concat(F.lit("comparison\\s+.*"), quoted)))
-    return (
-        F.when(compared, "comparison_date")
-        .when(has("퇴원일"), "discharge_date")
-        .when(has("수술일", "surg start", "operation date"), "operation_date")
-        .when(has("일자:") & F.contains(F.lower(document_type), F.lit("operative")), "operation_date")
-        .when(has("pft", "pulmonary function", "fvc", "fev1"), "study_date")
-        .when(has("wt:", "bmi:", "weight"), "prior_measurement_date")
-        .when(has("chest ct", "c.i.>", "[finding]"), "study_date")
-        .when(has("상담기록", "통화"), "note_date")
-        .otherwise("date_mention")
-    )
+    out = F.when(F.contains(low, F.lit("compar")) & (F.rlike(low, F.concat(F.lit("compared\\s+with\\s+"), quoted)) | F.rlike(low, F.concat(F.lit("comparison\\s+.*"), quoted))), COMPARED)
+    for role, terms, of_kind in ROLES:
+        out = out.when(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)) & F.contains(kind, F.lit(of_kind)), role)
+    return out.otherwise(PLAIN)
+
+
+def role_in(context: str, raw: str, document_type: str) -> str:
+    """The same of one mention."""
+    low, kind, quoted = context.lower(), document_type.lower(), re.escape(raw.split()[0])
+    if "compar" in low and re.search(rf"compared\s+with\s+{quoted}|comparison\s+.*{quoted}", low):
+        return COMPARED
+    return next((role for role, terms, of_kind in ROLES if of_kind in kind and any(t in low for t in terms)), PLAIN)
+
+
+def written_years_first(text: Column) -> Column:
+    """Distinct spellings year first, with - / or . between, in text order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(ISO_LIKE), F.lit(1)))
 
 
 def iso_mentions(text: Column, document_type: Column) -> Column:
-    """Mentions written year first with - / or . between, in text order: the part of all_mentions that needs no position
-    from the pattern. Stays in generated code."""
+    """Mentions of written_years_first in text order: what all_mentions gives where is_plain holds. Stays in generated code."""
 
     def one(raw: Column) -> Column:
         parts = F.split(raw, "[-/.]")
@@ -59,8 +77,17 @@ def iso_mentions(text: Column, document_type: Column) -> Column:
             context.alias("context"),
         )
 
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ISO_LIKE), F.lit(1)))
-    return F.filter(F.transform(found, one), lambda m: m["normalized_date"].isNotNull())
+    return F.filter(F.transform(written_years_first(text), one), lambda m: m["normalized_date"].isNotNull())
+
+
+#: What only the Arrow pass can tell: other spellings of dates, and digits that Java's patterns above don't know.
+OTHERWISE = "(?U)(?<!\\d)(?:(?:20|19)\\d{2}\\s+\\d{1,2}\\s+\\d{1,2}|\\d{6})(?!\\d)|\\(\\d{1,2}[.]\\d{1,2}\\)|[\\d&&[^0-9]]"
+
+
+def is_plain(text: Column) -> Column:
+    """Whether a text has only dates written year first, each spelling once, so that instr tells where it stands."""
+    once = lambda raw: F.length(text) - F.length(F.replace(text, raw, F.lit(""))) == F.length(raw)
+    return ~F.rlike(text, F.lit(OTHERWISE)) & F.forall(written_years_first(text), once)
 
 
 # ---------------------------------------------------------------- all spellings
@@ -108,24 +135,33 @@ def mentions_of(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(taken, key=lambda x: x[0])
 
 
+def distinct_mentions(text: str, document_type: str) -> list[dict]:
+    """Mentions in text order, the first of each (date, raw text, role)."""
+    out: dict[tuple[str, str, str], dict] = {}
+    for a, b, day, raw in mentions_of(text):
+        context = " ".join(text[max(0, a - NEAR) : b + NEAR].split())
+        role = role_in(context, raw, document_type)
+        out.setdefault((day, raw, role), {"start": a, "normalized_date": day, "raw_text": raw, "role": role, "context": context})
+    return list(out.values())
+
+
 def all_mentions(text: Column, document_type: Column) -> Column:
-    """array of mentions in text order, the first of each (date, raw text, role). Positions come from Arrow batches; roles
-    and repeats are expressions."""
+    """array of mentions in text order, the first of each (date, raw text, role). A null text has none, a null type counts as empty.
+
+    Texts whose dates are plain (see is_plain) are read in generated code; others, and only these, go to Python in Arrow
+    batches, which tell positions and overlaps.
+    """
+    text, kind = F.coalesce(text, F.lit("")), F.coalesce(document_type, F.lit(""))
+    plain = is_plain(text)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = []
-            for t in texts.to_pylist():
-                t = t or ""
-                out.append([{"start": a, "normalized_date": d, "raw_text": raw, "context": " ".join(t[max(0, a - NEAR) : b + NEAR].split())} for a, b, d, raw in mentions_of(t)])
-            kind = pa.struct([("start", pa.int32()), ("normalized_date", pa.string()), ("raw_text", pa.string()), ("context", pa.string())])
-            yield pa.array(out, pa.list_(kind))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        fields = [("start", pa.int32()), ("normalized_date", pa.string()), ("raw_text", pa.string()), ("role", pa.string()), ("context", pa.string())]
+        for texts, kinds in batches:
+            yield pa.array([distinct_mentions(t, k) if t else [] for t, k in zip(texts.to_pylist(), kinds.to_pylist())], pa.list_(pa.struct(fields)))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    found = F.arrow_udf(run, "array<struct<start:int,normalized_date:string,raw_text:string,context:string>>")(text)
-    with_role = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["normalized_date"].alias("normalized_date"), m["raw_text"].alias("raw_text"), role_of(m["context"], m["raw_text"], document_type).alias("role"), m["context"].alias("context")))
-    same = lambda a, b: (a["normalized_date"] == b["normalized_date"]) & (a["raw_text"] == b["raw_text"]) & (a["role"] == b["role"])
-    return F.aggregate(with_role, F.array().cast(f"array<{MENTION}>"), lambda kept, m: F.when(F.exists(kept, lambda k: same(k, m)), kept).otherwise(F.concat(kept, F.array(m))))
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    rest = F.arrow_udf(run, f"array<{MENTION}>")(F.when(~plain, text), kind)
+    return F.when(plain, iso_mentions(text, kind)).otherwise(rest)
 
 
 def document_date(mentions: Column, document_type: Column) -> Column:
@@ -141,7 +177,7 @@ def document_date(mentions: Column, document_type: Column) -> Column:
         return F.when(m.isNotNull(), F.struct(m["normalized_date"].alias("document_date"), why.alias("date_confidence"), m["context"].alias("date_source")))
 
     other = F.get(F.filter(mentions, lambda m: ~m["role"].isin("comparison_date", "prior_measurement_date")), F.lit(0))
-    missing = F.struct(F.lit(None).cast("string").alias("document_date"), F.lit("missing").alias("date_confidence"), F.lit("No date stands for this document.").alias("date_source"))
+    missing = F.struct(F.lit(None).cast("string").alias("document_date"), F.lit("missing").alias("date_confidence"), F.lit(NO_DATE).alias("date_source"))
     return F.coalesce(
         F.when(has("operative", "operation"), picked(first("operation_date"), F.lit("explicit_operation_date"))),
         F.when(has("discharge"), picked(first("discharge_date"), F.lit("explicit_discharge_date"))),

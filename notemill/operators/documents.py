@@ -47,11 +47,10 @@ def split_documents(records: DataFrame, key: str, text: str = "input", whole: bo
     return rows.select(key, (F.col("pos") + 1).alias("doc_no"), "doc.*").withColumn("body", body_of(F.col("raw_text")))
 
 
-def dated(documents: DataFrame, full: bool = False) -> DataFrame:
-    """documents with mentions, document_date, date_confidence, date_source, phase_rank, sort_group. ``full`` reads all
-    spellings of dates, else those written year first."""
+def dated(documents: DataFrame) -> DataFrame:
+    """documents with mentions, document_date, date_confidence, date_source, phase_rank, sort_group."""
     kind, raw = F.col("document_type"), F.col("raw_text")
-    out = documents.withColumn("mentions", dates.all_mentions(raw, kind) if full else dates.iso_mentions(raw, kind))
+    out = documents.withColumn("mentions", dates.all_mentions(raw, kind))
     out = out.withColumn("_date", dates.document_date(F.col("mentions"), kind))
     group = F.when(F.col("document_date").isNotNull(), "explicit_document_date").otherwise("undated_clinical_fallback")
     return out.select("*", "_date.*").drop("_date").withColumn("phase_rank", rules.phase_rank(kind)).withColumn("sort_group", group)
@@ -66,7 +65,6 @@ def sorted_timelines(documents: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.size("documents").alias("n_docs"), "documents", timeline.alias("timeline"))
 
 
-def record_timelines(records: DataFrame, key: str, text: str = "input", full: bool = False) -> DataFrame:
-    """The whole path without a shuffle of documents: split, date, rank and sort inside each row."""
-    rows = split_documents(records, key, text)
-    return sorted_timelines(dated(rows, full), key)
+def record_timelines(records: DataFrame, key: str, text: str = "input") -> DataFrame:
+    """The whole path: split, date, rank and sort."""
+    return sorted_timelines(dated(split_documents(records, key, text)), key)

@@ -21,8 +21,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) n
 _RAW = "'[' || CAST(doc_no AS VARCHAR) || '] ' || kind || ': {{ ' || word || day || ' }}'"
 
 
-def _orders(spark, sf, full=False):
-    return d.dated(d.split_documents(view(spark, sf, "order_rec"), "row_index"), full)
+def _orders(spark, sf):
+    return d.dated(d.split_documents(view(spark, sf, "order_rec"), "row_index"))
 
 
 @query(f"""
@@ -69,12 +69,12 @@ def date_mentions_iso(spark, sf):
 SELECT row_index, doc_no, normalized_date, raw_text, role FROM ({_ORDERS}) o, LATERAL (VALUES
   (day, day, 'comparison_date'),
   (CAST(CAST(day AS DATE) + 1 AS VARCHAR), replace(CAST(CAST(day AS DATE) + 1 AS VARCHAR), '-', ' '), 'study_date'),
-  (CAST(CAST(day AS DATE) + 2 AS VARCHAR), CAST(month(CAST(day AS DATE) + 2) AS VARCHAR) || '.' || CAST(day(CAST(day AS DATE) + 2) AS VARCHAR) || ' (year inferred)', 'date_mention')
-) v(normalized_date, raw_text, role) WHERE year(CAST(day AS DATE) + 2) = year(CAST(day AS DATE)) """)
+  (CAST(make_date(year(CAST(day AS DATE) + 1), month(CAST(day AS DATE) + 2), day(CAST(day AS DATE) + 2)) AS VARCHAR), CAST(month(CAST(day AS DATE) + 2) AS VARCHAR) || '.' || CAST(day(CAST(day AS DATE) + 2) AS VARCHAR) || ' (year inferred)', 'date_mention')
+) v(normalized_date, raw_text, role) """)
 def date_mentions_full(spark, sf):
-    """Texts with a dashed, a spaced and a bracketed date, far enough apart not to share contexts."""
+    """Texts with a dashed, a spaced and a bracketed date, far enough apart not to share contexts. The bracketed one has the
+    year of the date before it, also where it follows the year's end."""
     o = d.split_documents(view(spark, sf, "order_rec"), "row_index").withColumn("day", F.to_date(F.regexp_extract("raw_text", "\\d{4}-\\d{2}-\\d{2}", 0)))
-    o = o.where(F.year(F.date_add("day", 2)) == F.year("day"))
     gap = F.lit(" " + "word " * 40)
     later = F.date_add("day", 2)
     text = F.concat(F.lit("2024-13-40"), gap, F.lit("compared with "), F.date_format("day", "yyyy-MM-dd"), gap, F.lit("pft of "), F.date_format(F.date_add("day", 1), "yyyy MM dd"), gap, F.lit("again ("), F.month(later), F.lit("."), F.dayofmonth(later), F.lit(")"))
@@ -104,3 +104,24 @@ def date_variant_support(spark, sf):
     short = F.concat_ws(".", yy, F.month("o_orderdate").cast("string"), F.dayofmonth("o_orderdate").cast("string"))
     seen = lambda c, e: dates.date_supported(c, match_normalize(F.concat(F.lit("Visit ON "), e, F.lit(" noted"))))
     return o.select("o_orderkey", seen(claim, F.date_format("o_orderdate", "yyyy/MM/dd")).alias("slashed"), seen(claim, short).alias("short"), seen(F.date_format(F.date_add("o_orderdate", 1), "yyyy-MM-dd"), claim).alias("next_day"))
+
+
+@query(f"""
+SELECT row_index, doc_no, CASE s WHEN 'F' THEN day WHEN 'O' THEN CAST(make_date(year(CAST(day AS DATE)), month(CAST(day AS DATE) + 1), day(CAST(day AS DATE) + 1)) AS VARCHAR) ELSE '20' || substr(day, 3) END AS document_date,
+  CASE s WHEN 'F' THEN 'explicit_operation_date' WHEN 'O' THEN 'explicit_note_date' ELSE 'explicit_discharge_date' END AS date_confidence,
+  CAST(2 AS BIGINT) AS n_mentions,
+  CASE s WHEN 'F' THEN 'comparison_date,operation_date' WHEN 'O' THEN 'comparison_date,note_date' ELSE 'prior_measurement_date,discharge_date' END AS roles
+FROM ({_ORDERS})""")
+def document_date_spellings(spark, sf):
+    """The representative date where a day stands twice in two roles (operations), with six digits (discharges), or in brackets
+    with its year elsewhere (visits)."""
+    o = d.split_documents(view(spark, sf, "order_rec"), "row_index").withColumn("day", F.to_date(F.regexp_extract("raw_text", "\\d{4}-\\d{2}-\\d{2}", 0)))
+    day, gap, kind = F.date_format("day", "yyyy-MM-dd"), F.lit(" " + "word " * 40), F.col("document_type")
+    after = F.date_add("day", 1)
+    text = (
+        F.when(F.contains(kind, F.lit("Operative")), F.concat(F.lit("compared with "), day, gap, F.lit("수술일 "), day, gap, F.lit("compared with "), day))
+        .when(F.contains(kind, F.lit("Discharge")), F.concat(F.lit("weight on "), F.date_format("day", "yyyy MM dd"), gap, F.lit("퇴원일 "), F.date_format("day", "yyMMdd")))
+        .otherwise(F.concat(F.lit("compared with "), day, gap, F.lit("통화 ("), F.month(after), F.lit("."), F.dayofmonth(after), F.lit(")")))
+    )
+    out = d.dated(o.select("row_index", "doc_no", "document_type", text.alias("raw_text")))
+    return out.select("row_index", F.col("doc_no").cast("long").alias("doc_no"), "document_date", "date_confidence", F.size("mentions").cast("long").alias("n_mentions"), F.array_join("mentions.role", ",").alias("roles"))

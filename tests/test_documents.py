@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from notemill.functions import dates, rules
@@ -57,10 +59,33 @@ def test_roles_and_pick(spark):
         ("Discharge", "2024-01-02", "date_mention", "fallback_date_mention"),
     ]
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(texts)], "i int, document_type string, raw_text string")
-    for full in (False, True):
-        got = d.dated(df, full).orderBy("i").collect()
-        assert [r.mentions[0]["role"] for r in got] == [x[2] for x in texts]
-        assert [None if r.document_date is None else r.date_confidence for r in got] == [x[3] for x in texts]
+    got = d.dated(df).orderBy("i").collect()
+    assert [r.mentions[0]["role"] for r in got] == [x[2] for x in texts]
+    assert [None if r.document_date is None else r.date_confidence for r in got] == [x[3] for x in texts]
+
+
+def test_repeated_dates_and_other_spellings_date_a_document(spark):
+    far = " " + "word " * 40
+    texts = [
+        ("Operative Report", f"compared with 2020-01-02{far}수술일 2020-01-02", "2020-01-02", "explicit_operation_date"),
+        ("Discharge Summary", "퇴원일 200305", "2020-03-05", "explicit_discharge_date"),
+        ("Clinic", f"in 2021 seen{far}통화 (3.5)", "2021-03-05", "explicit_note_date"),
+        ("Note", None, None, "missing"),
+        (None, "2020-01-02", "2020-01-02", "fallback_date_mention"),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(texts)], "i int, document_type string, raw_text string")
+    assert [(r.document_date, r.date_confidence) for r in d.dated(df).orderBy("i").collect()] == [x[2:] for x in texts]
+
+
+def test_generated_code_and_arrow_pass_agree(spark):
+    rng = random.Random(4)
+    parts = ["2020-01-02", "2020/1/2", "2020-1-2", "2020-1-29", "2020.13.40", "2020 01 02", "200305", "(3.5)", "수술일 ", "퇴원일 ", "compared with ", "comparison  of ", "wt: 70 ", "PFT ", "통화 ", "일자: ", "word " * 30, "12020-01-02", "2020-01-023", " ", "\n", "２０２０-01-02"]
+    rows = [(i, rng.choice(("Operative Report", "Clinic")), "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, k string, t string")
+    got = df.select("i", dates.is_plain(F.col("t")).alias("plain"), dates.all_mentions(F.col("t"), F.col("k")).alias("m")).collect()
+    for r, (_, kind, text) in zip(sorted(got), rows):
+        assert [m.asDict() for m in r.m] == dates.distinct_mentions(text, kind), text
+    assert 50 < sum(r.plain for r in got) < 550
 
 
 def test_date_variants(spark):
