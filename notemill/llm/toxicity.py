@@ -3,9 +3,10 @@
 1. A character language model: counts of four-character sequences of words over all training documents, in a table of
    2**20 cells (32 classes of characters), smoothed by interpolation with shorter contexts.
 2. A decoder: a stretch of text that may be disguised (digits or signs among letters, letters repeated three times or
-   more, letters spaced out) is a lattice; a sign stands for itself, for a letter that it looks like, or for nothing; a
-   letter may repeat the one before. Viterbi search finds the likeliest word under the language model and the costs of
-   the channel. A stretch without a second reading decodes to itself, so clean words skip the search.
+   more, letters spaced out; of any length, anywhere in the text) is a lattice; a sign stands for a letter that it looks like, or for
+   nothing; a letter may repeat the one before; letters spaced out may have a word's end between them. Viterbi search finds the likeliest words under the language model and the costs of
+   the channel, exactly: every state (three classes before, last letter) keeps its best path, and time is linear in the stretch.
+   A stretch without a second reading decodes to itself, so clean words skip the search.
 3. A classifier: logistic regression on the presence of restored words and word beginnings, fitted on a bounded sample of
    labelled training rows (POSITIVES and NEGATIVES rows); the intercept is set for the label rate of all of them.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, table, text_of
+from .common import id_remainder, stored, table, text_of
 
 #: Parameters: labelled rows of each class that the classifier is fitted on, candidate features, features kept.
 POSITIVES, NEGATIVES, CANDIDATES, KEPT = 4000, 8000, 8192, 1200
@@ -33,18 +34,15 @@ LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "¢": "c", "¥": "y", "§": "s", "µ": "u", "%": "", "#": "h", "*": "",
 }
-#: Costs of the channel in nats: a look-alike, a sign that stands for nothing, a repeated letter dropped.
-SWAP, DROP, REPEAT = 0.7, 1.2, 2.0
+#: Costs of the channel in nats: a look-alike, a sign that stands for nothing, a repeated letter dropped, a word's end between
+#: letters spaced out.
+SWAP, DROP, REPEAT, BREAK = 0.7, 1.2, 2.0, 1.0
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Stretches that may be disguised: signs among letters, a letter three times in a row, single letters spaced out.
-SIGNS = r"0-9@$!|+€£(<¡¢¥§µ"
-DISGUISED = re.compile(
-    rf"(?<![^\s])(?=[^\s]{{3,40}}(?!\S))(?=\S*[^\W\d_])(?:[^\W\d_]|[{SIGNS}%#*._\-'])*[{SIGNS}%#*._\-'][^\W\d_](?:[^\W\d_]|[{SIGNS}%#*._\-'])*"
-    rf"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
-    rf"|(?<!\w)(?:[^\W\d_]|[{SIGNS}])(?:[ .\-_*]{{1,2}}(?:[^\W\d_]|[{SIGNS}])){{2,24}}(?!\w)"
-)
-SPACED = re.compile(r"[ .\-_*]+")
+#: Signs that join a token and stand for nothing at its ends.
+JOINERS = "#%&*._-'"
+#: In a stretch: a place between two letters at which a word may end.
+GAP = "\0"
 
 
 def char_class(code: np.ndarray) -> np.ndarray:
@@ -89,97 +87,128 @@ def class_of(ch: str) -> int:
     return int(_CLASSES[code]) if code < len(_CLASSES) else (27 + code % 5 if ch.isalpha() else 0)
 
 
-def restore(stretch: str, log: np.ndarray, beam: int = 24) -> str:
-    """The likeliest word behind a stretch. Viterbi search over (last three classes, last letter), best path each."""
-    paths = {(0, ""): (0.0, "")}  # (context, last letter): (log probability, word)
+def restore(stretch: str, log: np.ndarray) -> str:
+    """The likeliest text behind a stretch, by exact Viterbi search over (last three classes, last letter).
+
+    A path is kept as a chain of its letters, so time and memory are linear in the stretch. Of equals the first found stays.
+    """
+    paths: dict = {(0, ""): (0.0, None)}  # (context, last letter): (log probability, (letter, chain before))
     for ch in stretch:
-        readings = [(ch, 0.0)] if ch.isalpha() else [(x, -SWAP) for x in LOOKS_LIKE.get(ch, "")]
-        following: dict[tuple[int, str], tuple[float, str]] = {}
-        for (context, last), (score, word) in paths.items():
-            for letter, cost in readings:
-                k = class_of(letter)
-                after = ((context << 5) | k) & 0x7FFF, letter
-                value = score + cost + float(log[(context << 5) | k])
-                if after not in following or value > following[after][0]:
-                    following[after] = value, word + letter
+        following: dict = {}
+
+        def offer(state, value, chain):
+            if state not in following or value > following[state][0]:
+                following[state] = value, chain
+
+        if ch == GAP:
+            for (context, last), (score, chain) in paths.items():
+                offer((context, last), score, chain)
+                if context & 31:
+                    offer(((context << 5) & 0x7FFF, ""), score - BREAK + float(log[context << 5]), (" ", chain))
+            paths = following
+            continue
+        plain = ch.isalpha()
+        readings = [(ch, class_of(ch), 0.0)] if plain else [(x, class_of(x), SWAP) for x in LOOKS_LIKE.get(ch, "")]
+        for (context, last), (score, chain) in paths.items():
+            for letter, k, cost in readings:
+                cell = (context << 5) | k
+                offer((cell & 0x7FFF, letter), score - cost + float(log[cell]), (letter, chain))
                 if letter == last:
-                    value = score + cost - REPEAT
-                    if (context, last) not in following or value > following[context, last][0]:
-                        following[context, last] = value, word
-            if not ch.isalpha():
-                value = score - DROP
-                if (context, last) not in following or value > following[context, last][0]:
-                    following[context, last] = value, word
-        paths = following if len(following) <= beam else dict(sorted(following.items(), key=lambda x: -x[1][0])[:beam])
-    return max(((score + float(log[context << 5]), word) for (context, _), (score, word) in paths.items()), default=(0, ""))[1]
+                    offer((context, last), score - cost - REPEAT, chain)
+            if not plain:
+                offer((context, last), score - DROP, chain)
+        paths = following
+    best, chain = None, None
+    for (context, _), (score, path) in paths.items():
+        value = score + (float(log[context << 5]) if context & 31 else 0.0)
+        if best is None or value > best:
+            best, chain = value, path
+    out = []
+    while chain:
+        out.append(chain[0])
+        chain = chain[1]
+    return "".join(reversed(out))
+
+
+LETTER, SIGN, JOINER = 1, 2, 4
 
 
 def _kinds() -> np.ndarray:
-    """1 for letters, 2 for signs that may stand for one, 4 for white space, by code point."""
+    """By code point: letters, signs that look like a letter, joiners, 0 for others."""
     out = np.zeros(0x2100, np.uint8)
     for c in range(len(out)):
-        out[c] = 1 if chr(c).isalpha() else 4 if chr(c).isspace() else 2 if chr(c) in LOOKS_LIKE or chr(c) in "._-'" else 0
+        out[c] = LETTER if chr(c).isalpha() else JOINER if chr(c) in JOINERS else SIGN if LOOKS_LIKE.get(chr(c)) else 0
     return out
 
 
 _KINDS = _kinds()
 
 
-def suspects(text: str) -> np.ndarray:
-    """Positions at which a disguised stretch can be: a sign before a letter, the third of three equal letters, or the
-    third single letter or sign within seven characters. Every match of DISGUISED has one."""
-    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    kind = np.where(code < len(_KINDS), _KINDS[np.minimum(code, len(_KINDS) - 1)], np.uint8(1))
-    if len(code) < 3:
-        return np.zeros(0, np.int64)
-    letter = kind == 1
-    hit = np.zeros(len(code), bool)
-    hit[:-1] = (kind[:-1] == 2) & letter[1:]
-    hit[2:] |= letter[2:] & (code[2:] == code[1:-1]) & (code[2:] == code[:-2])
-    single = letter | (kind == 2)
-    single[1:] &= ~letter[:-1]
-    single[:-1] &= ~letter[1:]
-    at = np.flatnonzero(single)
-    hit[at[2:][at[2:] - at[:-2] <= 6]] = True
-    return np.flatnonzero(hit)
+def kinds_of(code: np.ndarray) -> np.ndarray:
+    """Kinds of the characters of a text; beyond the table those of letters of other scripts count as letters."""
+    return np.where(code < len(_KINDS), _KINDS[np.minimum(code, len(_KINDS) - 1)], np.uint8(LETTER))
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each run of True."""
+    edge = np.diff(np.concatenate(([False], mask, [False])).astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
 def stretches(text: str) -> Iterator[str]:
-    """What DISGUISED matches, looked for in windows around the suspects, from white space to white space."""
-    done = 0
-    for p in suspects(text).tolist():
-        if p + 40 < done:
-            continue
-        start, end = max(done - 80, p - 60, 0), min(len(text), p + 100)
-        while start > 0 and start > p - 120 and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and end < p + 160 and not text[end].isspace():
-            end += 1
-        done = end
-        for m in DISGUISED.finditer(text, start, end):
-            yield m[0]
+    """What may be disguised in a lower-cased text, whole.
+
+    Tokens: runs of letters, signs and joiners, without joiners at their ends, that hold a letter and a sign, an inner
+    joiner or three equal letters in a row. Spaced letters: three or more single letters or signs in a row, a letter among
+    them, with anything but letters and signs between them; GAP stands between them.
+    """
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    if len(code) < 3:
+        return
+    kind = kinds_of(code)
+    letter, core = kind == LETTER, (kind == LETTER) | (kind == SIGN)
+    triple = np.zeros(len(code), bool)
+    triple[2:] = letter[2:] & (code[2:] == code[1:-1]) & (code[2:] == code[:-2])
+    odd = (kind == SIGN) | triple
+    inner = (kind == JOINER) & np.concatenate(([False], core[:-1])) & np.append(kind[1:] > 0, False)
+    start, end = _runs(kind > 0)
+    if len(start):
+        sums = lambda x: np.add.reduceat(np.append(x, False).astype(np.int32), np.column_stack((start, end)).reshape(-1))[::2]
+        maybe = (sums(letter) > 0) & ((sums(odd) > 0) | (sums(inner) > 0))
+        for a, b in zip(start[maybe].tolist(), end[maybe].tolist()):
+            token = text[a:b].strip(JOINERS)
+            if len(token) > 2 and (odd[a:b].any() or not token.isalpha()):
+                yield token
+    start, end = _runs(core)
+    single = end - start == 1
+    first, last = _runs(single)
+    for a, b in zip(first.tolist(), last.tolist()):
+        if b - a >= 3 and letter[start[a:b]].any():
+            yield GAP.join([text[k] for k in start[a:b].tolist()])
 
 
 class Restorer:
-    """Words of a text with what is disguised restored; stretches are remembered, at most 200,000."""
+    """Words of a text with what is disguised restored; stretches are remembered, at most 200,000 of up to 256 characters."""
 
     def __init__(self, log: np.ndarray):
         self.log, self.known = log, {}
 
-    def restored(self, stretch: str) -> str:
-        compact = SPACED.sub("", stretch)
-        word = self.known.get(compact)
-        if word is None:
-            if len(self.known) >= 200_000:
-                self.known.clear()
-            word = self.known[compact] = restore(compact, self.log)
-        return word
+    def restored(self, stretch: str) -> list[str]:
+        words = self.known.get(stretch)
+        if words is None:
+            words = restore(stretch, self.log).split()
+            if len(stretch) <= 256:
+                if len(self.known) >= 200_000:
+                    self.known.clear()
+                self.known[stretch] = words
+        return words
 
     def words(self, text: str) -> set[str]:
         """Lower-cased distinct words: those that stand in the text, and those that disguised stretches restore to."""
         text = text.lower()
         found = set(WORD.findall(text))
-        found.update(map(self.restored, stretches(text)))
+        for stretch in set(stretches(text)):
+            found.update(self.restored(stretch))
         return found
 
 
@@ -214,23 +243,27 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 300) -> np.ndarray:
-    """Weights and, last, the intercept, by accelerated gradient steps."""
-    x = np.hstack((x, np.ones((len(x), 1), np.float32)))
-    lift = 4.0 * len(x) / max(1.0, float(np.linalg.norm(x, 2) ** 2) if x.shape[1] <= 64 else _top(x))
-    w, before, shrink = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.full(x.shape[1], ridge / len(x))
+    """Weights and, last, the intercept, by accelerated gradient steps in single precision, until they stand still."""
+    x = np.ascontiguousarray(np.hstack((x, np.ones((len(x), 1)))), np.float32)
+    across, y, n = np.ascontiguousarray(x.T), y.astype(np.float32), np.float32(len(x))
+    lift = np.float32(4.0 * len(x) / max(1.0, _top(x, across)))
+    w = before = np.zeros(x.shape[1], np.float32)
+    shrink = np.full(x.shape[1], ridge / len(x), np.float32)
     shrink[-1] = 0
     for k in range(rounds):
-        ahead = w + k / (k + 3) * (w - before)
+        ahead = w + np.float32(k / (k + 3)) * (w - before)
         p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        before, w = w, ahead - lift * (x.T @ (p - y) / len(x) + shrink * ahead)
-    return w
+        before, w = w, ahead - lift * (across @ (p - y) / n + shrink * ahead)
+        if np.abs(w - before).max() < 1e-5:
+            break
+    return w.astype(np.float64)
 
 
-def _top(x: np.ndarray) -> float:
+def _top(x: np.ndarray, across: np.ndarray) -> float:
     """The largest eigenvalue of x'x, by power iteration."""
     v = np.ones(x.shape[1], np.float32)
     for _ in range(20):
-        v = x.T @ (x @ v)
+        v = across @ (x @ v)
         n = float(np.linalg.norm(v))
         v /= max(n, 1e-9)
     return 1.05 * n
@@ -257,8 +290,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
     """A classifier from the rows whose id's crc32 modulo ``folds`` is not 0.
 
     The language model covers all training documents. The classifier is fitted on at most POSITIVES and NEGATIVES
-    labelled rows, those of the smallest hashes of their ids. Without rows of both classes it scores every text by the
-    label rate alone (0.5 without labels).
+    labelled rows, those of the smallest hashes of their ids (of equal hashes the smaller ids), with one text of each id:
+    where rows repeat an id, the least text and, of labels, the greater. Null ids and labels other than 0 and 1 are not
+    learned from, null texts are empty. Other columns of docs and labels are not read. Without rows of both classes, or
+    without documents, it scores every text by the label rate alone (0.5 without labels).
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = char_model(docs.where(id_remainder("id", folds) != 0))
@@ -271,7 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
         return Classifier(model.log, [], np.zeros(0), np.zeros(0), math.log(rate / (1 - rate)))
     order = [F.xxhash64("id"), F.col("id")]
     sample = named.where("y = 1").orderBy(*order).limit(POSITIVES).unionByName(named.where("y = 0").orderBy(*order).limit(NEGATIVES))
-    rows = docs.join(F.broadcast(sample.groupBy("id").agg(F.max("y").alias("y"))), "id").select("y", text_of("text").alias("text"))
+    rows = docs.join(F.broadcast(sample.groupBy("id").agg(F.max("y").alias("y"))), "id").select("id", "y", text_of("text").alias("text"))
+    rows = stored(rows.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "text"), "toxicity-sample")  # one text an id
     log = docs.sparkSession.sparkContext.broadcast(model.log)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +334,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
 
     got = rows.mapInArrow(presence, "y int, bits binary").toArrow()
     y = got["y"].to_numpy().astype(np.float32)
+    if not 0 < y.sum() < len(y):  # labelled documents of one class only, or none
+        return Classifier(model.log, [], np.zeros(0), np.zeros(0), math.log(pos / neg))
     x = np.unpackbits(np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8).reshape(len(y), -1), axis=1)[:, : len(names)] if names else np.zeros((len(y), 0), np.uint8)
     n1, n0 = y.sum(), len(y) - y.sum()
     a, b = x[y == 1].sum(0, dtype=np.float64), x[y == 0].sum(0, dtype=np.float64)
@@ -312,7 +350,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
 
 
 def with_scores(docs: DataFrame, classifier: Classifier, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1. Null and empty texts have no words and get the score of the intercept."""
+    """docs with a score from 0 to 1, in place of a column of that name. Null and empty texts have no words and get the score of
+    the intercept; repeated rows and equal texts score alike; a text of any length is read whole; no rows give no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -250,11 +250,62 @@ def test_toxicity(spark):
     assert tx.with_scores(df.where("false"), model).count() == 0
 
 
-def test_restore_prefers_known_words():
+def word_model(words):
     counts = np.zeros(1 << 20)
-    for w in ("idiot moron scum stupid trash " * 50).split():
+    for w in words:
         np.add.at(counts, tx.sequence_counts(w), 1)
-    r = tx.Restorer(tx.CharModel(counts).log)
-    for disguised, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("$cum", "scum"), ("st-up-id", "stupid"), ("tr@sh", "trash"), ("i d i o t", "idiot"), ("idioooot", "idiot")):
-        assert word in r.words(f"and {disguised} then")
-    assert r.words("clean words, only 12 of them") == {"clean", "words", "only", "of", "them"}
+    return tx.CharModel(counts).log
+
+
+def test_restore_prefers_known_words():
+    r = tx.Restorer(word_model("idiot moron scum stupid trash shit cunt ass worthless you are so".split() * 50))
+    for disguised, word in (
+        ("1d10t", "idiot"), ("m0r0n", "moron"), ("$cum", "scum"), ("st-up-id", "stupid"), ("tr@sh", "trash"), ("i d i o t", "idiot"), ("idioooot", "idiot"),
+        ("shi7", "shit"), ("cun7", "cunt"), ("a$$", "ass"), ("idi0+", "idiot"), ('"1d10t"', "idiot"), ("(m0r0n)", "moron"), ("and/1d10t/or", "idiot"),
+        ("1d10t" + "!" * 40, "idiot"), ("w . o . r . t . h . l . e . s . s", "worthless"), ("m   o   r   o   n", "moron"), ("m\n0\nr\n0\nn", "moron"),
+        (" ".join("youaresostupid" * 4), "stupid"), ("1di0" + "o" * 300 + "t", "idiot"),
+    ):
+        assert word in r.words(f"and {disguised} then"), (disguised, r.words(f"and {disguised} then"))
+    assert r.words("clean words, only 12 of them. (so) 3.5") == {"clean", "words", "only", "of", "them", "so"}
+    nine = "m0r0n" * 9
+    assert "moron" * 9 in r.words(f"x {nine} y")
+
+
+def test_restore_equals_an_exhaustive_search():
+    log = word_model("idiot moron scum stupid trash sit tot it is no".split() * 20)
+
+    def every(stretch, at=0, context=0, last="", score=0.0, out=""):
+        if at == len(stretch):
+            yield score + (float(log[context << 5]) if context & 31 else 0.0), out
+            return
+        ch = stretch[at]
+        if ch == tx.GAP:
+            yield from every(stretch, at + 1, context, last, score, out)
+            if context & 31:
+                yield from every(stretch, at + 1, (context << 5) & 0x7FFF, "", score - tx.BREAK + float(log[context << 5]), out + " ")
+            return
+        for letter, cost in [(ch, 0.0)] if ch.isalpha() else [(x, tx.SWAP) for x in tx.LOOKS_LIKE.get(ch, "")]:
+            cell = (context << 5) | tx.class_of(letter)
+            yield from every(stretch, at + 1, cell & 0x7FFF, letter, score - cost + float(log[cell]), out + letter)
+            if letter == last:
+                yield from every(stretch, at + 1, context, last, score - cost - tx.REPEAT, out)
+        if not ch.isalpha():
+            yield from every(stretch, at + 1, context, last, score - tx.DROP, out)
+
+    rng = random.Random(6)
+    for _ in range(150):
+        stretch = "".join(rng.choice("idotmrnsu1!0$7@*-iott" + tx.GAP) for _ in range(rng.randrange(1, 9)))
+        best = max(v for v, _ in every(stretch))
+        assert any(abs(v - best) < 1e-4 for v, out in every(stretch) if out == tx.restore(stretch, log)), stretch
+
+
+def test_toxicity_without_documents_and_with_repeated_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    ys = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int")
+    flat = tx.fit(none, ys)
+    assert tx.with_scores(none, flat).count() == 0
+    rows, labels = toxic_rows()
+    df = spark.createDataFrame([*rows, *rows[:50], *[(0, "idiot")] * 500, (None, "idiot")], "doc_id long, text string")
+    model = tx.fit(df, spark.createDataFrame([*labels, *labels], "doc_id long, toxic int"))
+    got = tx.with_scores(df.withColumn("score", F.lit("own")), model).collect()
+    assert len({(r.text, r.score) for r in got}) == len({r.text for r in got}) and len(got) == len(rows) + 551
