@@ -9,8 +9,8 @@ Scoring multiplies batches of presence rows by one matrix of cells x languages-i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +20,20 @@ from pyspark.sql import functions as F
 from .common import id_remainder, table, text_of
 
 #: Parameters.
-MAX_N, CELLS, LANDMARKS, SAMPLE, RIDGE, SALTS = 4, 4096, 96, 640, 0.05, 16
+MAX_N, CELLS, LANDMARKS, SAMPLE, RIDGE, SALTS = 4, 4096, 96, 640, 0.05, 128
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
-def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x3000)])
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter (one of Unicode's L categories: numerals and marks are none)."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, set(text)))
 
 
-_IS_LETTER = _letters()
 _MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 
 
@@ -37,7 +41,7 @@ def grams(text: str) -> np.ndarray:
     """Presence of the text's grams: MAX_N * CELLS booleans."""
     out = np.zeros((MAX_N, CELLS), bool)
     code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    letter = (code >= len(_IS_LETTER)) | _IS_LETTER[np.minimum(code, len(_IS_LETTER) - 1)]
+    letter = letters()[code]
     x = np.where(letter, code, np.uint32(32))
     x = x[letter | np.concatenate(([True], letter[:-1]))]  # one blank for each run of others
     mixed = np.zeros(len(x), np.uint32)
@@ -72,29 +76,32 @@ class Classifier:
             share = np.exp(8 * (value - value.max(1, keepdims=True)))
             share /= share.sum(1, keepdims=True)
             for t, k, s in zip(part, value.argmax(1).tolist(), share.max(1).tolist()):
-                out.append((self.languages[k], min(1.0, s)) if LETTER.search(t) else (UNKNOWN, 0.0))
+                out.append((self.languages[k], min(1.0, s)) if has_letter(t) else (UNKNOWN, 0.0))
         return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1) -> Classifier | None:
     """From rows with a language whose id's crc32 modulo ``folds`` is not ``held``; None if there is none.
 
-    The sample of a language is its SAMPLE rows of the smallest salted hashes, an even share from each of SALTS groups, so
-    no task gathers a language. Whole texts are read where they lie; only their presence bits (2 KB a row) are collected.
+    The sample of a language is its rows of the smallest salted hashes of id and text, an even share of SAMPLE from each of
+    SALTS groups, so no task gathers a language; equal rows are one row of it, so a row that a third of all rows repeat, or a
+    null id that they share, adds no more to the sample than any other. Null texts, texts without letters and rows without a
+    language are not learned from; an empty table, or one without such rows, gives None. Whole texts are read where they lie;
+    presence bits (2 KB a row, at most SAMPLE rows a language) are collected.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (id_remainder("id", folds) != held))
-    rows = rows.withColumn("h", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("sample"))).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    rows = rows.select("lang", "text", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text", F.lit("sample")).alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
 
     def bits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([np.packbits(grams(t)).tobytes() for t in texts.to_pylist()], pa.binary())
 
     bits.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    first = W.partitionBy("lang", "salt").orderBy("h", "id")
-    chosen = rows.select("lang", "salt", "h", "id").withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE // SALTS)
+    first = W.partitionBy("lang", "salt").orderBy("h")
+    chosen = rows.select("lang", "salt", "h").withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE // SALTS)
     top = chosen.groupBy("lang", "salt").agg(F.max("h").alias("last"))
-    sample = rows.join(F.broadcast(top), ["lang", "salt"]).where("h <= last")  # one row a language and salt
+    sample = rows.join(F.broadcast(top), ["lang", "salt"]).where("h <= last").groupBy("lang", "h").agg(F.any_value("text").alias("text"))  # one row a language and salt is broadcast
     got = sample.select("lang", "h", F.arrow_udf(bits, "binary")("text").alias("bits")).toPandas()
     if not len(got):
         return None
@@ -120,7 +127,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def with_language(docs: DataFrame, classifier: Classifier | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1): a learned language, or ``und`` with 0 where the text is null or has no letter."""
+    """docs with lang_pred and score (0 to 1), in place of columns of these names: a learned language, or ``und`` with 0
+    where the text is null or has no letter, or nothing was learned. A tie goes to the language first by code point; equal
+    texts get equal results; a text of any length is read whole; no rows give no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -131,7 +140,9 @@ def with_language(docs: DataFrame, classifier: Classifier | None, text_col: str
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang_pred", "score"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn("_found", F.arrow_udf(run, "lang_pred string, score double")(F.col(text_col))).select("*", "_found.*").drop("_found")
+    found = F.arrow_udf(run, "lang_pred string, score double")(F.col(text_col))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, found["lang_pred"].alias("lang_pred"), found["score"].alias("score"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

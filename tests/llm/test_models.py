@@ -213,6 +213,47 @@ def test_language(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"} and li.with_language(df.where("false").select("text"), model).count() == 0
 
 
+def test_numerals_are_no_letters_and_clashing_names_are_replaced(spark):
+    model = li.fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([("½ ² Ⅷ 12", 1.0, "x"), ("😀 !", 2.0, "y"), ("", 3.0, "z"), (None, 4.0, "z"), ("der hund", 5.0, "z")], "text string, score double, lang_pred string").withColumn("_found", F.lit(7))
+    got = li.with_language(df, model)
+    assert sorted(got.columns) == sorted(df.columns)
+    assert [r.lang_pred for r in got.collect()] == ["und"] * 4 + ["de"] and {r._found for r in got.collect()} == {7}
+
+
+def test_samples_of_tied_rows_are_bounded(spark, monkeypatch):
+    rows = [(None, f"the fox {k}", "en") for k in range(4000)] + [(None, "der hund", "de")] * 6000 + [(k, "le renard %d" % k, "fr") for k in range(30)]
+    seen = []
+    monkeypatch.setattr(li, "Classifier", lambda languages, landmarks, weights, offset: seen.append(languages))
+    count = li.kernel
+    monkeypatch.setattr(li, "kernel", lambda x, y: seen.append(len(x)) or count(x, y))
+    li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen[-1] == ["de", "en", "fr"] and sum(x for x in seen[1:-1]) <= 2 * li.SAMPLE + 30
+
+
+def test_with_all_rows_as_landmarks_the_regression_is_kernel_ridge(spark, monkeypatch):
+    rows = corpus(90, 3)
+    train = [(t, lang) for k, t, lang in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    monkeypatch.setattr(li, "LANDMARKS", 3 * len(train))
+    model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    x = np.stack([li.grams(t) for t, _ in train]).astype(np.float64)
+    k = (x @ x.T) / np.sqrt(np.outer(x.sum(1), x.sum(1)))
+    names = sorted({lang for _, lang in train})
+    place = np.array([names.index(lang) for _, lang in train])
+    y = np.where(place[:, None] == np.arange(3), 1.0, -1.0)
+    share = 1 / np.bincount(place)[place]
+    share *= len(share) / share.sum()
+    s = share / share.sum()
+    centred = k - (s @ k)[None] - (k @ s)[:, None] + s @ k @ s
+    alpha = np.linalg.solve(share[:, None] * centred + li.RIDGE * np.eye(len(k)), share[:, None] * (y - s @ y))
+    for text in ["the dog and der hund", "le chien", "fox", *[t for _, t, _ in rows[:20]]]:
+        g = li.grams(text).astype(np.float64)
+        kx = (x @ g) / np.sqrt(x.sum(1) * g.sum())
+        want = s @ y + (kx - s @ kx - k @ s + s @ k @ s) @ alpha
+        got = g.astype(np.float32) @ model.matrix / np.sqrt(g.sum()) + model.offset
+        assert np.allclose(got, want, atol=0.02), (got, want)
+
+
 def test_kernel_counts_common_grams():
     a, b = li.grams("ab"), li.grams("abc")
     k = li.kernel(np.stack([a]).astype(np.float32), np.stack([b]).astype(np.float32))[0, 0]
