@@ -4,16 +4,24 @@ Merges are applied by rank. If two texts share a prefix, their tokens can differ
 region of difference starts at the end and moves left by |u| when a rule (u, v) fires over its edge; a later rule can
 move it on only if its v starts with what now stands at the edge, u or uv. The longest such chain of rules, summed over
 |u|, is the merge list's sufficient lookahead: tokens that end at least so many symbols before the end of what has been
-read are final, whatever follows. The encoder therefore holds a window of a few lookaheads and emits tokens as soon as
-they are final; what follows a final boundary is encoded as if it stood alone.
+read are final, whatever follows. That holds for any text. For the text that has been read, the same chains are followed
+through the tokens that really ended at each place while it was merged, in the order of ranks (stable_end), which mostly finds an end far closer:
+the encoder looks at every STEP symbols, emits the tokens that are final by then, and encodes what follows as if it stood alone.
+Its window never holds more than a few lookaheads, and a few STEPs on ordinary words.
+
+The decoder is a machine that takes one id at a time: either to the text of the bytes that are complete by then, or, as the
+library does for a file that names no decoder, to the tokens' strings with a space between.
 """
 
 from __future__ import annotations
 
+import bisect
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -26,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import table, text_of
 
-#: Parameter: words a worker remembers, in two generations.
-MEMO = 300_000
+#: Parameters: words a worker remembers, in two generations, and their most bytes; symbols after which the encoder looks for
+#: final tokens; bytes of text whose pieces are handled at a time.
+MEMO, REMEMBERED, STEP, SLICE = 300_000, 1024, 16, 1 << 16
 
 
 def byte_symbols() -> list[str]:
@@ -57,6 +66,12 @@ class Model:
         self.final = [self.ids[c + self.suffix] for c in shown]
         self.bytes = {c: b for b, c in enumerate(shown)}
         self.lookahead = sufficient_lookahead(pairs, self.suffix)
+        self.spaced = spec.get("decoder") is None
+        rights: dict[int, list[tuple[str, int]]] = {}
+        for rank, (u, v) in enumerate(pairs):
+            rights.setdefault(self.ids[u], []).append((v, rank))
+        self.ranks = {u: [rank for _, rank in x] for u, x in rights.items()}  # ascending
+        self.rights = {u: sorted(x) for u, x in rights.items()}
 
     def symbols(self, piece: str) -> list[int]:
         """The start symbols of one pre-token: its bytes, the last with the word-end mark."""
@@ -67,10 +82,10 @@ class Model:
         """Pre-tokens of a text, normalised, and the ids of special tokens."""
         at = 0
         for m in self.splits.finditer(text) if self.splits else ():
-            yield from self.pieces.findall(normalised(text[at : m.start()]))
+            yield from (x[0] for x in self.pieces.finditer(normalised(text[at : m.start()])))
             yield self.special[m[0]]
             at = m.end()
-        yield from self.pieces.findall(normalised(text[at:]))
+        yield from (x[0] for x in self.pieces.finditer(normalised(text[at:])))
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a short sequence: the pair of least rank first, from the left."""
@@ -110,31 +125,109 @@ class Model:
                 heapq.heappush(heap, (f[0], k, f[1], ids[k], new))
         return [x for x in ids if x >= 0]
 
-    def stream(self, symbols: Iterable[int], width: dict[int, int]) -> Iterator[int]:
-        """Tokens of one pre-token, each as soon as it is final; memory is a window of four lookaheads."""
+    def history(self, ids: list[int]) -> tuple[list[int], list[list[list[float]]], list[float]]:
+        """The merged sequence; for each place the tokens that ended there, each as [token, rank at which it came, rank at which
+        it went]; for each place the rank at which it went: when a merge took in both sides."""
+        get, ids, n = self.pairs.get, list(ids), len(ids)
+        right, left = [*range(1, n), n], [-1, *range(n - 1)]
+        ended: list = [[], *([[x, -1, math.inf]] for x in ids)]
+        gone = [math.inf] * (n + 1)
+        heap = [(f[0], i, f[1], ids[i], ids[i + 1]) for i in range(n - 1) if (f := get((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, new, a, b = heapq.heappop(heap)
+            j = right[i]
+            if j == n or ids[i] != a or ids[j] != b:
+                continue
+            ids[i], ids[j] = new, -1
+            right[i] = end = right[j]
+            ended[j][-1][2] = ended[end][-1][2] = gone[j] = rank
+            ended[end].append([new, rank, math.inf])
+            if end < n:
+                left[end] = i
+                if f := get((new, ids[end])):
+                    heapq.heappush(heap, (f[0], i, f[1], new, ids[end]))
+            if (k := left[i]) >= 0 and (f := get((ids[k], new))):
+                heapq.heappush(heap, (f[0], k, f[1], ids[k], new))
+        return [x for x in ids if x >= 0], ended, gone
+
+    def fires(self, u: int, edge: str, known: str, after: float, until: float) -> float | None:
+        """The least rank in (after, until] of a rule (u, v) whose v starts with edge and agrees with the known text, if any."""
+        if not known:
+            ranks = self.ranks.get(u, [])
+            at = bisect.bisect_right(ranks, after)
+            return ranks[at] if at < len(ranks) and ranks[at] <= until else None
+        rights, best = self.rights.get(u, []), None
+        at = bisect.bisect_left(rights, (known, -1))
+        while at < len(rights) and rights[at][0].startswith(known):
+            rank = rights[at][1]
+            if after < rank <= until and (best is None or rank < best):
+                best = rank
+            at += 1
+        for k in range(len(edge), len(known)):
+            rule = self.pairs.get((u, self.ids.get(known[:k], -1)))
+            if rule and after < rule[0] <= until and (best is None or rule[0] < best):
+                best = rule[0]
+        return best
+
+    def stable_end(self, window: list[int], ended: list, gone: list[float]) -> int:
+        """The place before which nothing that follows the window can change its tokens.
+
+        A difference stands at a place from some rank on, with a token that starts there (edge) on one side of the two
+        courses of merges. It moves left over a token u that ends there at that time if a rule (u, v) of a later rank can
+        fire whose v starts with the edge, or if the window's own course takes u over the place later.
+        """
+        text = "".join(self.text[s] for s in window)
+        least = n = len(window)
+        best: dict[tuple[int, str], float] = {}
+        todo: list[tuple[int, str, float]] = [(n, "", -2)]
+        while todo:
+            place, edge, rank = todo.pop()
+            least = min(least, place)
+            for u, came, went in ended[place]:
+                if went < rank:
+                    continue
+                moved = self.fires(u, edge, text[place:], max(rank, came), went)
+                if went == gone[place] and went > rank:
+                    moved = went if moved is None else min(moved, went)
+                if moved is not None:
+                    after = place - self.width[u], self.text[u]
+                    if moved < best.get(after, math.inf):
+                        best[after] = moved
+                        todo.append((*after, moved))
+        return least
+
+    def stream(self, symbols: Iterable[int], step: int = STEP) -> Iterator[int]:
+        """Tokens of one pre-token, each as soon as it is final; the window has four lookaheads at most."""
         window: list[int] = []
-        limit = max(64, 4 * self.lookahead)
+        due, width, limit = step, self.width, max(64, 4 * self.lookahead)
         for s in symbols:
-            window.append(s)
-            if len(window) == limit:
+            if len(window) >= due:  # more follows
+                tokens, *course = self.history(window)
+                final = self.stable_end(window, *course)
+                if len(window) >= limit:
+                    final = max(final, len(window) - self.lookahead - 1)
                 done = 0
-                for token in self.merge(window):
-                    if done + width[token] > limit - self.lookahead - 1:
+                for token in tokens:
+                    if done + width[token] > final:
                         break
                     done += width[token]
                     yield token
                 window = window[done:]
+                due = len(window) + max(step, len(window) // 2)
+            window.append(s)
         yield from self.merge(window)
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def tokens(self, text: str) -> Iterator[int]:
+        """The ids of a text, one by one."""
         for word in self.words(text):
             if isinstance(word, int):
-                out.append(word)
+                yield word
             else:
-                symbols = self.symbols(word)
-                out += self.merge(symbols) if len(symbols) <= 64 else self.stream(symbols, self.width)
-        return out
+                yield from self.stream(self.symbols(word))
+
+    def encode(self, text: str) -> list[int]:
+        return list(self.tokens(text))
 
     @property
     def width(self) -> dict[int, int]:
@@ -145,15 +238,23 @@ class Model:
 
 
 class Decoder:
-    """An incremental byte-to-text machine: feed() takes one id and returns the characters that are complete by then."""
+    """An incremental machine: feed() takes one id and returns the text that is certain by then, close() the rest.
 
-    def __init__(self, model: Model):
-        self.model, self.utf8 = model, codecs.getincrementaldecoder("utf-8")(errors="replace")
+    ``spaced``: the strings of tokens with a space between, as the library decodes for a file without a decoder. Else a
+    byte-to-text machine: the tokens' bytes as UTF-8, a space after each word end. Ids without a token give nothing.
+    """
+
+    def __init__(self, model: Model, spaced: bool = False):
+        self.model, self.spaced, self.started = model, spaced, False
+        self.utf8 = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
     def feed(self, token: int) -> str:
         text = self.model.text.get(token)
         if text is None:
             return ""
+        if self.spaced:
+            before, self.started = " " if self.started else "", True
+            return before + text
         if text in self.model.special:
             return self.close() + text
         end = bool(self.model.suffix) and text.endswith(self.model.suffix)
@@ -161,6 +262,8 @@ class Decoder:
         return self.utf8.decode(raw) + (self.close() + " " if end else "")
 
     def close(self) -> str:
+        if self.spaced:
+            return ""
         out = self.utf8.decode(b"", True)
         self.utf8.reset()
         return out
@@ -256,22 +359,92 @@ class Memo(dict):
         return value
 
 
+def slices_of(text: str, size: int = SLICE) -> Iterator[str]:
+    """The text in parts of about ``size`` characters that end at ASCII white space, or after a whole word."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            found = _BLANK.search(text, end)
+            end = found.end() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+_BLANK = re.compile("[ \\t\\n\\x0b\\f\\r]")
+
+
+def written(ids: Iterable[int]) -> bytes:
+    return b" ".join([b"%d" % i for i in ids])
+
+
 @lru_cache(maxsize=4)
-def _digest_memo(path: str) -> Memo:
+def _written_memo(path: str) -> Memo:
+    """Of a piece: its ids as decimal numbers with spaces between."""
     model = load(path)
 
-    def make(piece: bytes) -> tuple[bytes, bytes]:
+    def make(piece: bytes) -> bytes:
         word, ending = word_and_ending(piece)
         if ending or word != piece:
-            a, b = memo[word], memo[ending] if ending else None
-            return (a[0] + b" " + b[0], a[1] + b" " + b[1]) if b else a
-        ids = model.encode(piece.decode("utf-8", "replace"))
-        return b" ".join(b"%d" % i for i in ids), " ".join(model.text[i] for i in ids).encode("utf-8")
+            return b" ".join([memo[word], memo[ending]]) if ending else memo[word]
+        return written(model.encode(piece.decode("utf-8", "replace")))
 
     memo = Memo(make)
     return memo
 
 
+@lru_cache(maxsize=4)
+def _spelled_memo(path: str) -> Memo:
+    """Of some ids, written as by _written_memo: what a decoder that starts with them returns."""
+    model = load(path)
+
+    def make(ids: bytes) -> bytes:
+        machine = Decoder(model, True)
+        return "".join([machine.feed(int(i)) for i in ids.split()]).encode("utf-8")
+
+    return Memo(make)
+
+
+class Digest:
+    """Number of ids, SHA-256 of the ids and of the decoded text, fed with runs of ids as they are final."""
+
+    def __init__(self, path: str):
+        self.model, self.encoded, self.decoded = load(path), _written_memo(path), _spelled_memo(path)
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, runs: list[bytes], spelled: list[bytes]) -> None:
+        if runs:
+            before = b" " if self.n else b""
+            ids = before + b" ".join(runs)
+            self.ids.update(ids)
+            self.text.update(before + b" ".join(spelled))
+            self.n += ids.count(b" ") + (not before)
+
+    def read(self, text: str) -> Digest:
+        encoded, decoded = self.encoded, self.decoded
+        for part in slices_of(text):
+            pieces = pieces_of(part)
+            if len(part) > SLICE and max(map(len, pieces), default=0) > REMEMBERED:
+                for piece in pieces:
+                    self._long(piece) if len(piece) > REMEMBERED else self._runs([encoded[piece]])
+                continue
+            self._runs([encoded[w] for w in pieces])
+        return self
+
+    def _runs(self, runs: list[bytes]) -> None:
+        decoded = self.decoded
+        if b"" in runs:  # white space beyond ASCII only
+            runs = [x for x in runs if x]
+        self.add(runs, [decoded[x] for x in runs])
+
+    def _long(self, piece: bytes) -> None:
+        """A piece that is not remembered: ids go to the digests in runs, through one decoder each."""
+        ids = self.model.tokens(piece.decode("utf-8", "replace"))
+        while run := list(itertools.islice(ids, 4096)):
+            machine = Decoder(self.model, True)
+            self.add([written(run)], ["".join(map(machine.feed, run)).encode("utf-8")])
+
+
 @lru_cache(maxsize=4)
 def _ids_memo(path: str) -> Memo:
     model = load(path)
@@ -281,26 +454,22 @@ def _ids_memo(path: str) -> Memo:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row's whole text.
 
-    A text is cut at ASCII white space, over which neither the normaliser nor the pre-tokeniser looks; a worker remembers
-    the tokens of such pieces (at most MEMO of them). The decoded text joins the tokens' strings by a space, as the
-    library does for a file without a decoder. Null texts count as empty; nulls in the id, repeated rows and texts of any
-    length are kept row by row.
+    A text goes through encoder, decoder and both digests slice by slice, so its ids and its decoded text are never held whole.
+    It is cut at ASCII white space, over which neither the normaliser nor the pre-tokeniser looks; a worker remembers
+    the ids of such pieces and the text of such ids (at most MEMO each). The decoder is the library's for a file that names none:
+    the tokens' strings with a space between; a file that names one is refused. Null texts count as empty; nulls in the id, repeated rows and texts of any
+    length are kept row by row; other columns are not read; an empty table gives an empty result.
     """
     path = path or word_file()
+    if not load(path).spaced:
+        raise ValueError("digests decodes as the library does for files that name no decoder")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _digest_memo(path)
         for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = [memo[w] for w in pieces_of(text)]
-                if any(not x[0] for x in found):  # white space beyond ASCII only
-                    found = [x for x in found if x[0]]
-                ids = b" ".join([x[0] for x in found])
-                n.append(ids.count(b" ") + 1 if ids else 0)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(b" ".join([x[1] for x in found])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = [Digest(path).read(text) for text in batch.column(1).to_pylist()]
+            kinds = (pa.int64(), pa.string(), pa.string())
+            values = [(d.n, d.ids.hexdigest(), d.text.hexdigest()) for d in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([v[k] for v in values], t) for k, t in enumerate(kinds))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -308,7 +477,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
 
 def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """docs with the column ``ids`` (array of int) in place of the text; null texts give an empty array."""
+    """docs with the column ``ids`` (array of int) in place of the text, and of a column of that name; null and empty texts
+    give an empty array, repeated rows are encoded each, other columns stay, an empty table gives an empty result."""
     path = path or word_file()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -321,7 +491,8 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """encoded with the column ``text`` in place of the ids: the tokens' bytes as text, a space after each word end."""
+    """encoded with the column ``text`` in place of the ids, and of a column of that name: the tokens' bytes as text, a space
+    after each word end; null ids give an empty text."""
     path = path or word_file()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

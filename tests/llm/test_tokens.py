@@ -39,7 +39,58 @@ def test_long_words_stream_in_bounded_memory(library):
     rng = np.random.default_rng(0)
     for word in ("a" * 9000, "".join(rng.choice(list("thenigaro"), 9000)), "haha" * 2000, "😀" * 3000, "!" * 9000):
         symbols = model.symbols(word)
-        assert list(model.stream(iter(symbols), model.width)) == library.encode(word, add_special_tokens=False).ids == model.encode(word)
+        assert list(model.stream(iter(symbols))) == library.encode(word, add_special_tokens=False).ids == model.encode(word)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aeinrstlhoguc", min_size=1, max_size=120), st.integers(1, 7))
+def test_stream_equals_the_merges_of_the_whole_word(word, step):
+    model = bpe.load(bpe.word_file())
+    assert list(model.stream(iter(model.symbols(word)), step)) == model.merge(model.symbols(word))
+
+
+def test_tokens_of_ordinary_long_words_are_emitted_early():
+    model = bpe.load(bpe.word_file())
+    word = "donaudampfschifffahrtsgesellschaftskapitaensmuetzenhersteller" * 20
+    read, ahead = 0, []
+
+    def symbols():
+        nonlocal read
+        for s in model.symbols(word):
+            read += 1
+            yield s
+
+    done = 0
+    for t in model.stream(symbols()):
+        done += model.width[t]
+        ahead.append(read - done)
+    assert max(ahead) <= 128 < model.lookahead  # far less than the merge list's own lookahead
+
+
+def test_digest_of_a_long_text_takes_constant_memory():
+    import tracemalloc
+
+    words = ["the", "Cat's", "m0r0n,", "größe", "中文", "x" * 30]
+    rng = np.random.default_rng(3)
+    peak = []
+    for n in (200_000, 1_600_000):
+        text = " ".join(rng.choice(words, n))
+        bpe.Digest(bpe.word_file()).read(text[:1000])
+        tracemalloc.start()
+        bpe.Digest(bpe.word_file()).read(text)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < 1.5 * peak[0] + 100_000 and peak[1] < 8 << 20
+
+
+def test_digest_of_texts_over_slices_and_long_pieces(library, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 50)
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    for text in ("the cat " * 100, "a" * 300 + " b", " " * 200, "x " + "hello,world" * 40 + "\u3000" + " \u3000 y", "", "İΣ" * 60 + "\n" + "é" * 80):
+        ids = library.encode(text, add_special_tokens=False).ids
+        d = bpe.Digest(bpe.word_file()).read(text)
+        assert (d.n, d.ids.hexdigest()) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert d.text.hexdigest() == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_what_follows_never_changes_final_tokens(library):
