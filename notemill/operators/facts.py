@@ -25,10 +25,11 @@ COVERAGE, EVIDENCE = 0.85, 0.95
 
 
 def json_object(c: Column | str, trusted: bool = False) -> Column:
-    """VARIANT of the object in a model's reply: the whole text, else from the first { to the last }."""
+    """VARIANT of the object in a model's reply, stray strings joined where that makes it JSON: the whole text, else from the
+    first { to the last }."""
     t = trim(F.regexp_replace(as_col(c), "<unused\\d+>", ""))
     inner = F.regexp_extract(t, "(?s)\\{.*\\}", 0)
-    read = (lambda x: x) if trusted else strict_json
+    read = (lambda x: x) if trusted else repaired_json
     whole, part = F.try_parse_json(read(t)), F.try_parse_json(read(F.when(inner != "", inner)))
     is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
     return F.coalesce(F.when(is_object(whole), whole), F.when(is_object(part), part))
@@ -95,6 +96,27 @@ def is_fact(item: Column) -> Column:
     return F.schema_of_variant(item).startswith("OBJECT")
 
 
+def uncertain_items(v: Column) -> Column:
+    """array of text: what a reply lists as uncertain_or_conflicting; a single value that is not empty is a list of one."""
+    listed = F.try_variant_get(v, "$.uncertain_or_conflicting", "array<variant>")
+    text = lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))
+    alone = F.try_variant_get(v, "$.uncertain_or_conflicting", "variant")
+    one = F.when(alone.isNull() | is_falsy(alone), F.array().cast("array<string>")).otherwise(F.array(text(alone)))
+    return F.coalesce(F.transform(listed, text), one)
+
+
+def is_falsy(v: Column) -> Column:
+    return F.schema_of_variant(v).isin("VOID") | F.coalesce(F.try_variant_get(v, "$", "string").isin("", "0", "false", "0.0"), F.lit(False)) | F.to_json(v).isin("{}", "[]")
+
+
+def payload(v: Column, document_type: Column) -> Column:
+    """struct<source_document, facts, uncertain_or_conflicting> of an extractor's reply, whatever its shape: facts that are no list
+    are none, categories are allowed ones that fit, the document's type stands in for a missing source."""
+    facts = F.coalesce(F.try_variant_get(v, "$.facts", "array<variant>"), F.array().cast("array<variant>"))
+    source = F.nullif(F.try_variant_get(v, "$.source_document", "string"), F.lit(""))
+    return F.struct(F.coalesce(source, document_type).alias("source_document"), with_categories(typed_facts(facts), document_type).alias("facts"), uncertain_items(v).alias("uncertain_or_conflicting"))
+
+
 def typed_facts(items: Column) -> Column:
     """array of fact structs; items that are no objects go (a list may mix them)."""
     get = lambda x, k: F.try_variant_get(x, f"$.{k}", "string").alias(k)
@@ -120,21 +142,36 @@ def with_categories(facts: Column, document_type: Column) -> Column:
 
 # ---------------------------------------------------------------- guardrails
 
-#: Fixed values: (source phrase, needs a second phrase, only operative reports, category, fact, evidence, terms), in order.
-#: The first phrase must stand in the lower-cased source; the fact is added unless all terms stand in the facts.
+#: Completions in order, as (source phrase, a second phrase that must stand there too, only in operative reports,
+#: category, fact, evidence, terms). The phrases must stand in the lower-cased source; the fact is added unless all terms stand in the facts.
 COMPLETIONS = (
-    ("lul ggos", (), False, "Key Imaging/Test", "Ground-glass opacities in the left upper lobe on chest CT.", "LUL GGOs", ("lul", "ggo")),
-    ("vats enucleation", ("로봇", "robot"), False, "Procedure Change", "Planned robot enucleation became VATS enucleation for its cost.", "VATS enucleation", ("vats", "enucleation")),
-    ("mass completely is enucleated", (), True, "Intraoperative Findings", "The mass was enucleated: complete enucleation.", "Mass completely is enucleated", ("complete", "enucleat")),
-    ("without entering mucosal layer", (), True, "Intraoperative Findings", "The mucosal layer was not entered.", "without entering mucosal layer", ("mucosal",)),
-    ("mucosal injury: none", (), True, "Intraoperative Findings", "Mucosal injury: none.", "Mucosal injury: none", ("mucosal", "none")),
-    ("lacerated lung surface is", (), True, "Intraoperative Findings", "Primary repair of the lacerated lung surface.", "Lacerated lung surface is repaired", ("lung surface", "repair")),
-    ("azygos vein: divided", (), True, "Intraoperative Findings", "The azygos vein was divided.", "Azygos vein: divided", ("azygos", "divided")),
-    ("chest tube (20 fr", (), True, "Intraoperative Findings", "A chest tube (20 Fr) was placed.", "Chest tube (20 Fr.)", ("chest tube",)),
+    ("lul ggos", (), False, "Key Imaging/Test", "Chest CT noted left upper lobe ground-glass opacities.", "LUL GGOs", ("lul", "ggo")),
+    ("vats enucleation", ("로봇", "robot"), False, "Procedure Change", "Surgical plan changed from robot enucleation to VATS enucleation due to cost concerns.", "로봇수술아닌 다른 방법으로 수술받기 원한다고 하심. -> VATS enucleation", ("vats", "enucleation")),
+    ("mass completely is enucleated", (), True, "Intraoperative Findings", "Complete enucleation of the esophageal mass/tumor was achieved.", "Mass completely is enucleated", ("complete", "enucleat")),
+    ("without entering mucosal layer", (), True, "Intraoperative Findings", "Complete enucleation was achieved without entering the mucosal layer.", "without entering mucosal layer", ("mucosal",)),
+    ("mucosal injury: none", (), True, "Intraoperative Findings", "No mucosal injury occurred.", "Mucosal injury: none", ("mucosal", "none")),
+    ("lacerated lung surface is", (), True, "Intraoperative Findings", "Lacerated lung surface was repaired primarily.", "Lacerated lung surface is reparied primarily", ("lung surface", "repair")),
+    ("azygos vein: divided", (), True, "Intraoperative Findings", "Azygos vein was divided intraoperatively.", "Azygos vein: divided", ("azygos", "divided")),
+    ("chest tube (20 fr", (), True, "Intraoperative Findings", "A 20 Fr chest tube was placed.", "Chest tube (20 Fr. straight, x1) is placed", ("chest tube",)),
 )
 
-#: Source words and a pattern of facts that must not stand beside them: swapped lung function values.
-FORBIDDEN = ((("pft", "pulmonary function", "fev1", "fvc"), "fvc[^0-9]{0,12}1[.]99|fev1[^0-9]{0,12}2[.]50", "Lung function values are swapped."),)
+#: What a verification of an operative report finds missing, as (source phrase, fact, evidence, terms).
+REQUIREMENTS = (
+    ("mass completely is enucleated", "Complete enucleation of the esophageal mass/tumor", "Mass completely is enucleated", ("complete", "enucleat")),
+    ("without entering mucosal layer", "Complete enucleation without entering the mucosal layer", "without entering mucosal layer", ("mucosal",)),
+    ("mucosal injury: none", "No mucosal injury", "Mucosal injury: none", ("mucosal", "none")),
+    ("lacerated lung surface is", "Lacerated lung surface repair", "Lacerated lung surface is repaired", ("lung surface", "repair")),
+    ("azygos vein: divided", "Azygos vein divided", "Azygos vein: divided", ("azygos", "divided")),
+    ("chest tube (20 fr", "Chest tube placement", "Chest tube (20 Fr.) placed", ("chest tube",)),
+)
+
+#: Issues of clinical accuracy, source words and a pattern of facts that must not stand beside them, and what is told the extractor.
+TAXONOMY = "VATS-to-thoracotomy conversion must not be categorized as a complication when source says Complication: No."
+SWAPPED = "PFT values are swapped. Correct mapping is FVC 2.50 L (101%), FEV1 1.99 L (116%), FEV1/FVC 80%."
+FORBIDDEN = ((("pft", "pulmonary function", "fev1", "fvc"), "fvc[^0-9]{0,12}1[.]99|fev1[^0-9]{0,12}2[.]50", SWAPPED),)
+APPROVED = "Approved."
+SAY_BLOCKED = "Address deterministic clinical guardrail issues: preserve operative core details (complete enucleation, mucosal status, lung repair, azygos vein division, chest tube) and correct PFT mapping."
+SAY_PASSED = "Approved. Minor low-priority omissions, if any, are non-blocking."
 
 
 def searchable(facts: Column) -> Column:
@@ -142,21 +179,23 @@ def searchable(facts: Column) -> Column:
     return F.lower(F.array_join(F.transform(facts, lambda f: fact_text(f, "category", "fact", "evidence")), " "))
 
 
-def add_if_missing(facts: Column, due: Column, category: str, fact: str, evidence: str, terms: tuple[str, ...]) -> Column:
-    new = F.struct(*(F.lit(x).cast("string").alias(k) for k, x in zip(FIELDS, (category, "Unknown date", fact, evidence, "high", None))))
-    return F.when(due & ~rules.has_all(searchable(facts), F.array(*map(F.lit, terms))), F.concat(facts, F.array(new))).otherwise(facts)
+def add_if_missing(kept: Column, due: Column, category: Column, fact: Column, evidence: Column, terms: Column) -> Column:
+    """Facts with one more where it is due and not all of its terms stand in them."""
+    cells = {"category": category, "date": F.lit("Unknown date"), "fact": fact, "evidence": evidence, "confidence": F.lit("high"), "source_document": F.lit(None).cast("string")}
+    new = F.struct(*(cells[k].alias(k) for k in FIELDS))
+    return F.when(due & ~rules.has_all(searchable(kept), terms), F.concat(kept, F.array(new))).otherwise(kept)
 
 
 def completed(facts: Column, document_type: Column, source: Column) -> Column:
     """Facts with those that literal phrases of the source demand, rule by rule, each seeing what was added before."""
     low, operative = F.lower(source), F.contains(F.lower(document_type), F.lit("operative report"))
-    step = F.array(*(F.struct(F.lit(p).alias("phrase"), F.array(*map(F.lit, also)).cast("array<string>").alias("also"), F.lit(only).alias("only"), F.lit(c).alias("category"), F.lit(f).alias("fact"), F.lit(e).alias("evidence"), F.array(*map(F.lit, t)).alias("terms")) for p, also, only, c, f, e, t in COMPLETIONS))
+    texts = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    step = F.array(*(F.struct(F.lit(p).alias("phrase"), texts(also).alias("also"), F.lit(only).alias("only"), F.lit(c).alias("category"), F.lit(f).alias("fact"), F.lit(e).alias("evidence"), texts(t).alias("terms")) for p, also, only, c, f, e, t in COMPLETIONS))
 
     def apply(kept: Column, r: Column) -> Column:
         second = (F.size(r["also"]) == 0) | F.exists(r["also"], lambda x: F.contains(low, x))
         due = F.contains(low, r["phrase"]) & second & (~r["only"] | operative)
-        new = F.struct(r["category"].alias("category"), F.lit("Unknown date").alias("date"), r["fact"].alias("fact"), r["evidence"].alias("evidence"), F.lit("high").alias("confidence"), F.lit(None).cast("string").alias("source_document"))
-        return F.when(due & ~rules.has_all(searchable(kept), r["terms"]), F.concat(kept, F.array(new))).otherwise(kept)
+        return add_if_missing(kept, due, r["category"], r["fact"], r["evidence"], r["terms"])
 
     return F.aggregate(step, facts, apply)
 
@@ -215,12 +254,11 @@ def guarded(v: Column, facts: Column, document_type: Column, source: Column) ->
     low, said = F.lower(source), searchable(facts)
     operative = F.contains(F.lower(document_type), F.lit("operative report"))
     v = bound(v, lambda x: sanitized(x, source))
-    for phrase, _, only, _, fact, evidence, terms in COMPLETIONS:
-        if only:
-            due = operative & F.contains(low, F.lit(phrase)) & ~rules.has_all(said, F.array(*map(F.lit, terms)))
-            v = bound(v, partial(add_missing, due=due, fact=fact, evidence=evidence))
+    for phrase, fact, evidence, terms in REQUIREMENTS:
+        due = operative & F.contains(low, F.lit(phrase)) & ~rules.has_all(said, F.array(*map(F.lit, terms)))
+        v = bound(v, partial(add_missing, due=due, fact=fact, evidence=evidence))
     no_complication = operative & F.contains(low, F.lit("complication: no")) & F.contains(said, F.lit("complication")) & F.contains(said, F.lit("conversion"))
-    v = bound(v, lambda x: add_accuracy(x, no_complication, "A conversion is no complication where the source has none."))
+    v = bound(v, lambda x: add_accuracy(x, no_complication, TAXONOMY))
     for words, pattern, issue in FORBIDDEN:
         due = rules.has_any(low, words) & F.rlike(said, F.lit(pattern))
         v = bound(v, partial(add_accuracy, due=due, issue=issue))
@@ -229,8 +267,12 @@ def guarded(v: Column, facts: Column, document_type: Column, source: Column) ->
         blocked = is_blocked(x)
         capped = lambda k, most: F.when(blocked, F.least(x[k], F.lit(most))).otherwise(x[k])
         coverage, evidence = capped("coverage_score", 0.84), capped("evidence_support_score", 0.94)
-        said = F.when(blocked, "NEEDS_REVISION").when(is_passed(x), "PASS").otherwise(x["verdict"])
-        return x.withField("verdict", said).withField("coverage_score", coverage).withField("evidence_support_score", evidence)
+        passed = is_passed(x)
+        said = F.when(blocked, "NEEDS_REVISION").when(passed, "PASS").otherwise(x["verdict"])
+        own = trim(F.coalesce(x["feedback"], F.lit("")))
+        told = F.when(own.isin("", APPROVED), SAY_BLOCKED).otherwise(F.concat(own, F.lit(" " + SAY_BLOCKED)))
+        told = F.when(blocked, told).when(passed & (own != APPROVED), SAY_PASSED).otherwise(x["feedback"])
+        return x.withField("verdict", said).withField("coverage_score", coverage).withField("evidence_support_score", evidence).withField("feedback", told)
 
     return bound(v, verdict)
 
@@ -278,3 +320,21 @@ def category_counts(facts: Column) -> Column:
 def final_summary(facts: Column, approved: Column, coverage: Column, evidence: Column, n_unresolved: Column) -> Column:
     rows = (("Extracted fact count", F.size(facts)), ("Category counts", category_counts(facts)), ("Approved", F.initcap(approved.cast("string"))), ("Coverage score", coverage), ("Evidence support score", evidence), ("Unresolved issue groups", n_unresolved))
     return F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), x.cast("string")) for k, x in rows))
+
+
+def verification_summary(approved: Column, coverage: Column, evidence: Column, iterations: Column, chunks: Column) -> Column:
+    """A record's verification as text: scores, a verdict for each document, what is unresolved in those not approved.
+
+    chunks: array<struct<document_type, v (verification), iterations_used, approved>> in order.
+    """
+    head = (("Approved", F.initcap(approved.cast("string"))), ("Coverage score", coverage), ("Evidence support score", evidence), ("Total iterations", iterations))
+    verdict = lambda c: F.concat(F.lit("- "), c["document_type"], F.lit(": "), F.coalesce(c["v"]["verdict"], F.lit("UNKNOWN")), F.lit(" (coverage="), c["v"]["coverage_score"].cast("string"), F.lit(", evidence="), c["v"]["evidence_support_score"].cast("string"), F.lit(", iterations="), c["iterations_used"].cast("string"), F.lit(")"))
+
+    def issues(c: Column) -> Column:
+        text = lambda kind: F.transform(c["v"][kind], (lambda x: x["fact"]) if kind == "missing_facts" else lambda x: x)
+        said = lambda kind: F.transform(text(kind), lambda x: F.concat(F.lit("- "), c["document_type"], F.lit(f" / {kind}: "), x))
+        return F.flatten(F.array(*map(said, ISSUES)))
+
+    open_issues = F.flatten(F.transform(F.filter(chunks, lambda c: ~c["approved"]), issues))
+    lines = F.when(F.size(open_issues) > 0, open_issues).otherwise(F.array(F.lit("- None.")))
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), x.cast("string")) for k, x in head), F.lit(""), F.lit("## Chunk Verdicts"), F.transform(chunks, verdict), F.lit(""), F.lit("## Unresolved Issues"), lines)

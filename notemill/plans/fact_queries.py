@@ -77,8 +77,8 @@ def prune_facts(spark, sf):
 
 @query("""
 SELECT row_index, CASE row_index % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 1 END AS n_added,
-  CASE row_index % 4 WHEN 0 THEN 'Mucosal injury: none.|A chest tube (20 Fr) was placed.' WHEN 1 THEN 'Ground-glass opacities in the left upper lobe on chest CT.'
-    WHEN 2 THEN '' ELSE 'The azygos vein was divided.' END AS added FROM (SELECT DISTINCT l_orderkey AS row_index FROM lineitem)""")
+  CASE row_index % 4 WHEN 0 THEN 'No mucosal injury occurred.|A 20 Fr chest tube was placed.' WHEN 1 THEN 'Chest CT noted left upper lobe ground-glass opacities.'
+    WHEN 2 THEN '' ELSE 'Azygos vein was divided intraoperatively.' END AS added FROM (SELECT DISTINCT l_orderkey AS row_index FROM lineitem)""")
 def complete_facts(spark, sf):
     row = F.col("row_index") % 4
     source = F.when(row == 0, "Mucosal injury: none. Chest tube (20 Fr. straight) is placed").when(row == 1, "LUL GGOs seen").when(row == 2, "chest tube (20 fr").otherwise("Azygos vein: divided")
