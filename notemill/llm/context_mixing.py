@@ -23,6 +23,7 @@ table of the chunks' edges that is joined to the chunks. A chunk sends a word's
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ END = b"\n"
 CLASSES, FREQUENT, REPORTED, ROUNDS, SEEDS = 8, 1024, 4096, 8, 512
 #: Parameters: tokens and word rows that are handled at a time.
 SLICE = 1 << 16
+#: Parameter: parts of the rows at one bit, after each of which weights move.
+PARTS = 2
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -61,42 +64,45 @@ class Bucket:
     """Distinct words of some documents, and these documents as codes into them."""
 
     def __init__(self):
-        self.codes: dict[bytes, int] = {END: 0}
+        self.codes: defaultdict[bytes, int] = defaultdict()
+        self.codes.default_factory = self.codes.__len__
+        self.end = self.codes[END]
         self.docs: list[np.ndarray] = []
         self.ids: list = []
         self.held: list[bool] = []
-        self.sizes: list[int] = []
         self.bytes = 0
 
-    def add(self, name, held: bool, text: str) -> None:
-        put, codes = self.codes.setdefault, self.codes
-        words = text.encode("utf-8", "replace").lower().split()
-        found = [put(w, len(codes)) for w in words]
-        found.append(0)
+    def add(self, name, held: bool, text: bytes) -> None:
+        found = list(map(self.codes.__getitem__, text.lower().split()))  # of bytes: A-Z and the six white-space characters only
+        found.append(self.end)
         self.docs.append(np.array(found, np.int32))
         self.ids.append(name)
         self.held.append(held)
-        self.sizes.append(sum(map(len, words)) + len(words) + 1)
         self.bytes += len(text) + 64
 
     def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
         codes, lengths, held = np.concatenate(self.docs), np.array(list(map(len, self.docs))), np.array(self.held, bool)
-        tokens = [END, *(w + b" " for w in list(self.codes)[1:])]
-        counts = np.bincount(codes[np.repeat(~held, lengths)], minlength=len(tokens))
+        words = list(self.codes)
+        words[0] = b""  # the end is one byte, as is the space after a word
+        sizes = np.fromiter(map(len, words), np.int32, len(words)) + np.int32(1)
+        data = np.frombuffer(b"\n" + b" ".join(words[1:]) + b" " if len(words) > 1 else b"\n", np.uint8)
+        counts = np.bincount(codes[np.repeat(~held, lengths)], minlength=len(words))
         counts[0] = 0  # the end says nothing
         top = np.argsort(-counts, kind="stable")[:REPORTED]
         top = top[counts[top] > 0]
-        words = pa.StructArray.from_arrays([pa.array([tokens[k] for k in top], pa.binary()), pa.array(counts[top], pa.int64())], names=["token", "n"])
+        reported = pa.StructArray.from_arrays([pa.array([words[k] + b" " for k in top.tolist()], pa.binary()), pa.array(counts[top], pa.int64())], names=["token", "n"])
+        ends = np.cumsum(lengths)
+        n_bytes = np.add.reduceat(sizes[codes], ends - lengths, dtype=np.int64)
         columns = {
             "bucket": pa.array([number], pa.int64()),
             "ids": pa.ListArray.from_arrays(pa.array([0, len(self.ids)], pa.int32()), pa.array(self.ids, kind)),
             "held": pa.array([squeeze(held)], pa.binary()),
             "codes": pa.array([squeeze(codes)], pa.binary()),
             "lengths": pa.array([squeeze(lengths.astype(np.int64))], pa.binary()),
-            "sizes": pa.array([squeeze(np.array(self.sizes, np.int64))], pa.binary()),
-            "data": pa.array([squeeze(np.frombuffer(b"".join(tokens), np.uint8))], pa.binary()),
-            "token_lengths": pa.array([squeeze(np.array(list(map(len, tokens)), np.int32))], pa.binary()),
-            "top": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+            "sizes": pa.array([squeeze(n_bytes)], pa.binary()),
+            "data": pa.array([squeeze(data)], pa.binary()),
+            "token_lengths": pa.array([squeeze(sizes)], pa.binary()),
+            "top": pa.ListArray.from_arrays(pa.array([0, len(reported)], pa.int32()), reported),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -109,7 +115,7 @@ def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, bucket, kind = TaskContext.get().partitionId() << 24, Bucket(), None
     for batch in batches:
         kind = batch.schema.field(0).type
-        for name, held, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for name, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
             bucket.add(name, held, text)
             if bucket.bytes >= BUCKET:
                 yield bucket.row(number, kind)
@@ -118,9 +124,14 @@ def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bucket.row(number, kind)
 
 
-def tokens_of(data: bytes, lengths: bytes) -> list[bytes]:
-    data, ends = grow(data, np.uint8).tobytes(), np.cumsum(grow(lengths, np.int32))
-    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """An array of binary values that lie one after the other in data."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def tokens_of(data: bytes, lengths: bytes) -> pa.Array:
+    return binaries(grow(data, np.uint8), np.cumsum(grow(lengths, np.int32), dtype=np.int64))
 
 
 # ---------------------------------------------------------------- classes of documents
@@ -130,16 +141,15 @@ class Classes:
     """A mixture of unigrams: log probability of each frequent word (row) in each class (column), log share of each class."""
 
     def __init__(self, names: list[bytes], words: np.ndarray, share: np.ndarray):
-        self.place, self.words, self.share = {w: i for i, w in enumerate(names)}, words, share
+        self.names, self.words, self.share = pa.array(names, pa.binary()), words, share
 
     @property
     def states(self) -> int:
         return len(self.share) + 1
 
-    def frequent(self, tokens: list[bytes]) -> np.ndarray:
+    def frequent(self, tokens: pa.Array) -> np.ndarray:
         """The place of each token among the frequent words, or -1."""
-        get = self.place.get
-        return np.array([get(t, -1) for t in tokens], np.int32)
+        return pc.fill_null(pc.index_in(tokens, self.names), -1).to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 def start_classes(counts: np.ndarray, names: list[bytes], k: int) -> Classes:
@@ -168,13 +178,14 @@ def sparse_counts(classes: Classes, row: dict) -> tuple[np.ndarray, np.ndarray,
     doc = np.repeat(np.arange(len(lengths)), lengths)
     word = classes.frequent(tokens_of(row["data"], row["token_lengths"]))[codes]
     use = (word >= 0) & ~held[doc]
-    key, n = np.unique(doc[use] * len(classes.place) + word[use], return_counts=True)
-    return key // max(1, len(classes.place)), key % max(1, len(classes.place)), n
+    f = max(1, len(classes.names))
+    key, n = np.unique(doc[use] * f + word[use], return_counts=True)
+    return key // f, key % f, n
 
 
 def expected(classes: Classes, doc: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(mass of each word in each class, documents of each class) of one bucket's documents."""
-    k, f = len(classes.share), len(classes.place)
+    k, f = len(classes.share), len(classes.names)
     mass, docs = np.zeros((f, k)), np.zeros(k)
     if len(doc):
         starts = np.flatnonzero(np.concatenate(([True], np.diff(doc) != 0)))
@@ -278,12 +289,11 @@ def pair_rows(classes: Classes, row: dict, kind: pa.DataType) -> Iterator[pa.Rec
     ids = pa.ListArray.from_arrays(pa.array([0, len(row["ids"])], pa.int32()), pa.array(row["ids"], kind))
     blobs = [row["held"], squeeze(named[key].astype(np.int32)), row["lengths"], row["sizes"], squeeze(np.flatnonzero(there).astype(np.int32)), None]
     yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int64()), ids, *(pa.array([b], pa.binary()) for b in blobs), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names=names)
-    size = 4 * s
+    counts = binaries(np.frombuffer(counts, np.uint8), np.arange(1, len(tokens) + 1) * (4 * s))
     for at in range(0, len(tokens), SLICE):
-        part = tokens[at : at + SLICE]
+        part, each = tokens.slice(at, SLICE), counts.slice(at, SLICE)
         m = len(part)
-        each = [counts[size * i : size * (i + 1)] for i in range(at, at + m)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, row["bucket"])), pa.nulls(m, pa.list_(kind)), *[pa.nulls(m, pa.binary())] * 5, pa.array(part, pa.binary()), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(mask[at : at + m].astype(np.int32)), pa.array(each, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, row["bucket"])), pa.nulls(m, pa.list_(kind)), *[pa.nulls(m, pa.binary())] * 5, part, pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(mask[at : at + m].astype(np.int32)), each], names=names)
 
 
 class Chunk:
@@ -343,19 +353,26 @@ class Chunk:
         rows, common, weights = np.arange(len(self.count)), self.common, self.weights()
         first = {bits: totals[key, bits] for key, bits in self.edge(0) if (key, bits) in totals}
         last = {bits: totals[key, bits] for key, bits in self.edge(len(rows) - 1) if (key, bits) in totals}
-        sums = np.vstack((np.zeros(self.states + 1, np.int64), np.cumsum(weights, axis=0)))
         has_first = has_last = True
+        wide = self.states + 1
+
+        def summed():
+            out = np.zeros((len(rows) + 1, wide), np.int64)
+            np.cumsum(weights if len(rows) == len(weights) else weights[rows], axis=0, out=out[1:])
+            return out.reshape(-1), np.ascontiguousarray(out[:, -1]), self.state[rows]
+
+        flat, whole, state = summed()
 
         def level(bits):
             starts = np.concatenate(([0], np.flatnonzero(common < bits) + 1)) if len(rows) > 1 else np.zeros(1, np.int64)
             ends = np.append(starts[1:], len(rows))
-            n = sums[ends] - sums[starts]
-            if has_first and bits in first:
-                n[0] = first[bits]
-            if has_last and bits in last:
-                n[-1] = last[bits]
-            group = np.repeat(np.arange(len(starts)), ends - starts)
-            return n[group, self.states], n[group, self.state[rows]]
+            size = ends - starts
+            every = np.repeat(whole[ends] - whole[starts], size)
+            own = flat[np.repeat(ends * wide, size) + state] - flat[np.repeat(starts * wide, size) + state]
+            for there, known, at in ((has_first, first, slice(0, size[0])), (has_last, last, slice(len(rows) - size[-1], None))):
+                if there and bits in known:
+                    every[at], own[at] = known[bits][-1], known[bits][state[at]]
+            return every, own
 
         for p in range(self.deep):
             if p:
@@ -371,7 +388,7 @@ class Chunk:
                         common = common.copy()
                         common[-1] = least[kept[-2] : kept[-1]].min()
                     rows = rows[kept]
-                    sums = np.vstack((np.zeros(self.states + 1, np.int64), np.cumsum(weights[rows], axis=0)))
+                    flat, whole, state = summed()
             byte = self.bytes[rows, p].astype(np.int32)
             before = level(8 * p)
             for b in range(8):
@@ -476,8 +493,8 @@ def cells(context: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
 
 
 _NODES = np.arange(256, dtype=np.uint32) * np.uint32(0x85EBCA6B)
-_FIRST = np.cumsum([0, *(1 << b for _, b in ORDERS)])
-CELLS = int(_FIRST[-1])
+CELLS = sum(1 << b for _, b in ORDERS)
+_FIRST = np.cumsum([0, *(1 << b for _, b in ORDERS)]).astype(np.uint32)
 
 
 class LowCounts:
@@ -553,29 +570,39 @@ def learn(chunk: Chunk, totals: dict, stretch: np.ndarray) -> tuple[np.ndarray,
     mixer, power, mass = Mixer(), np.full((GATES, INPUTS), 1e-3), np.zeros(GATES)
     for rows, p, b, bit, node, before, after in chunk.walk(totals):
         if b == 0:
-            contexts = chunk.contexts(p, rows)
-        use = np.flatnonzero(chunk.count[rows] > 0)
+            use = np.flatnonzero(chunk.count[rows] > 0)
+            contexts, c = chunk.contexts(p, rows[use]), chunk.count[rows[use]].astype(np.float64)
         if not len(use):
             continue
-        y = bit[use]
-        (n0, n1), (s0, s1) = ((np.where(y == 1, f - a, a - 1), np.where(y == 1, a - 1, f - a)) for f, a in ((before[k][use], after[k][use]) for k in (0, 1)))  # without this occurrence
+        y, node = bit[use], node[use]
+        one = y == 1
+        pairs = []
+        for k in (0, 1):  # without this occurrence
+            own = after[k][use]
+            other = before[k][use] - own
+            own = own - 1
+            pairs.append((np.where(one, other, own), np.where(one, own, other)))
+        (n0, n1), (s0, s1) = pairs
         gate = gate_of(n0 + n1, s0, s1)
         x = np.empty((INPUTS, len(use)), np.float32)
         for k, context in enumerate(contexts):
-            x[k] = stretch[cells(context[use], node[use], k) + _FIRST[k]]
+            x[k] = stretch[cells(context, node, k) + _FIRST[k]]
         x[-3], x[-2], x[-1] = odds_of(n0, n1), odds_of(s0, s1), 0.3
-        c = chunk.count[rows[use]].astype(np.float64)
-        for part in range(4):
-            s = slice(part, None, 4)
-            g, xs = gate[s], x[:, s]
+        for part in range(PARTS):
+            s = slice(part, None, PARTS)
+            g, xs, n, t = gate[s], x[:, s], c[s], y[s]
             if not len(g):
                 continue
-            odds = np.clip(np.einsum("kn,nk->n", xs, mixer.weights[g]), -12, 12)
+            w = mixer.weights[g]
+            odds = xs[0] * w[:, 0]
+            for k in range(1, INPUTS):
+                odds += xs[k] * w[:, k]
+            np.clip(odds, -12, 12, out=odds)
             at = step_of(odds, g)
-            mixer.all += np.bincount(at, c[s], GATES * STEPS)
-            mixer.ones += np.bincount(at, c[s] * y[s], GATES * STEPS)
-            error = (1 / (1 + np.exp(-odds)) - y[s]) * c[s]
-            here = np.bincount(g, c[s], GATES)
+            mixer.all += np.bincount(at, n, GATES * STEPS)
+            mixer.ones += np.bincount(at, n * t, GATES * STEPS)
+            error = (1 / (1 + np.exp(-odds)) - t) * n
+            here = np.bincount(g, n, GATES)
             mass += here
             slope = np.stack([np.bincount(g, error * xs[k], GATES) for k in range(INPUTS)], 1) / np.maximum(here, 1)[:, None]
             power += slope**2
@@ -748,13 +775,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             count, logs = seen[order], value[order].astype(np.float64) * math.log(10)
             word, base = present // classes.states, np.log10((count + 1) / n_all)
             ends = np.cumsum(lengths)
-            known_, based, plain, whole = [], [], [], []
-            for a, b in zip((ends - lengths).tolist(), ends.tolist()):
-                at = codes[a:b]
-                known_.append(int((count[at] > 0).sum()))
-                based.append(float(base[at].sum()))
-                plain.append(float(logs[at].sum() / math.log(10)))
-                whole.append(adapted(word[at], logs[at]))
+            starts = ends - lengths
+            known_ = np.add.reduceat((count > 0)[codes], starts, dtype=np.int64)
+            based, plain = np.add.reduceat(base[codes], starts), np.add.reduceat(logs[codes], starts) / math.log(10)
+            words, value = word[codes], logs[codes]
+            whole = [adapted(words[a:b], value[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
             bits = -np.array(whole) * math.log2(10) / np.maximum(grow(row["sizes"], np.int64), 1)
             out.append(pa.table({"id": pa.array(row["ids"], x.schema.field("ids").type.value_type), "held_out": pa.array(grow(row["held"], bool)), "n_tokens": pa.array(lengths), "n_known": pa.array(known_, pa.int64()), "train_tokens": pa.array([n_train] * len(lengths), pa.int64()), "base_score": pa.array(based), "score": pa.array(whole), "model_score": pa.array(plain), "bits_per_byte": pa.array(bits)}))
         return pa.concat_tables(out)
