@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import note_status
 from ..functions.text import clean_scalar, match_normalize, unwrap_note
-from ..sources.sinks import scratch
+from ..sources.sinks import stored
 from . import documents, facts, notes, references
 from .backends import Config, ask
 
@@ -23,13 +23,6 @@ NO_TEXTS = "array<string>"
 VERIFICATION = "struct<verdict:string,coverage_score:double,evidence_support_score:double,unsupported_facts:array<string>,missing_facts:array<struct<severity:string,fact:string,evidence:string>>,contradictions:array<string>,date_errors:array<string>,clinical_accuracy_issues:array<string>,feedback:string>"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: a later read repeats no model call, and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def blank(verdict: str, coverage: float, evidence: float, said: str) -> Column:
     none = F.array().cast(NO_TEXTS)
     missing = F.array().cast("array<struct<severity:string,fact:string,evidence:string>>")
@@ -57,7 +50,7 @@ def extract_chunks(chunks: DataFrame, config: Config, iterations: int = 2, cover
     Each round asks for the facts of what is not approved yet, with the last feedback, completes and prunes them, asks for
     a check and applies the deterministic ones. A round is a table; the last round of a document counts.
     """
-    keys = chunks.columns
+    keys, config = chunks.columns, replace(config, json=True)
     todo = chunks.withColumn("feedback", F.lit(""))
     done: DataFrame | None = None
     for k in range(1, iterations + 1):
@@ -118,7 +111,7 @@ def style_profiles(pool: DataFrame, config: Config, k: int = 3, limit: int = 900
     rows = stats.join(references.opening_line(chosen, at="pick"), "professor", "left").withColumnRenamed("line", "opening")
     examples = chosen.groupBy("professor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pick", "output"))), lambda x: x["output"]), "\n---\n").alias("examples"))
     calls = rows.join(examples, "professor").withColumn("system", F.lit(STYLE)).withColumn("user", F.concat(F.lit("Professor: "), "professor", F.lit("\nNOTES:\n"), "examples"))
-    got = stored(ask(calls, config), "style")
+    got = stored(ask(calls, replace(config, json=True)), "style")
     own = F.try_variant_get(facts.json_object("response"), "$.style_prompt", "string")
     if fallback is not None:
         got = got.join(F.broadcast(fallback.select(F.col("key").alias("professor"), F.col("text").alias("_other"))), "professor", "left")

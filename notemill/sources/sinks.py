@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="notemill-")
-    return f"{base}/{name}"
+    """A folder that driver and executors share: under spark.checkpoint.dir; only on a local master, as in tests, one is made."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='notemill-')}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: a later read repeats no model call, and a lost executor loses nothing."""
+    path = scratch(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -69,13 +69,15 @@ def test_loop_with_a_failing_and_a_malformed_model(spark):
         def chat(self, system, user):
             if "boom" in user:
                 raise RuntimeError("no answer")
+            if system == backends.REPAIR:
+                return "still not json"
             return '{"facts": []}' if "FACTS AS JSON" in system else "not json"
 
     chunks = spark.createDataFrame([(1, "Note", "fine"), (2, "Note", "boom")], "k int, document_type string, raw_text string")
     real = pipeline.ask
     pipeline.ask = lambda calls, config: real(calls, config, Broken)
     try:
-        got = {r.k: r for r in pipeline.extract_chunks(chunks, backends.Config()).collect()}
+        got = {r.k: r for r in pipeline.extract_chunks(chunks, backends.Config(pause=0)).collect()}
     finally:
         pipeline.ask = real
     assert got[1].approved and got[1].verifier_parse_error and got[1].iterations_used == 1
@@ -87,3 +89,19 @@ def test_cached_calls_are_made_once(spark):
     cache = spark.createDataFrame([("b", "known")], "key string, response string")
     answers, fresh = backends.ask_cached(calls, cache, backends.Config())
     assert fresh.count() == 1 and {r.key: r.response for r in answers.collect()}["b"] == "known" and answers.count() == 3
+
+
+def test_replies_are_repaired_by_rule_then_by_the_model(spark):
+    class Sloppy:
+        def __init__(self, config):
+            self.n = 0
+
+        def chat(self, system, user):
+            if system == backends.REPAIR:
+                return '{"mended": true}'
+            return {"stray": '{"a": "x", "y", "b": "z"}', "inner": 'so: {"a": 1} <unused3>', "bad": "{a: 1", "none": ""}[user]
+
+    df = spark.createDataFrame([("s", u) for u in ("stray", "inner", "bad", "none")], "system string, user string")
+    got = {r.user: (r.response, r.error) for r in backends.ask(df, backends.Config(json=True, pause=0), Sloppy).collect()}
+    assert json.loads(got["stray"][0]) == {"a": "x y", "b": "z"} and json.loads(got["inner"][0]) == {"a": 1} and json.loads(got["bad"][0]) == {"mended": True}
+    assert got["none"][0] is None and "no JSON object" in got["none"][1]
