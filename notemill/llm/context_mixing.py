@@ -42,7 +42,7 @@ ORDERS = ((1, 16), (2, 18), (4, 19))
 GATES, STEPS, INPUTS = 32, 64, len(ORDERS) + 3
 END = b"\n"
 #: Parameters: most classes of documents and frequent words, words that a bucket reports, rounds of the fit, documents that it starts from.
-CLASSES, FREQUENT, REPORTED, ROUNDS, SEEDS = 8, 1024, 4096, 8, 512
+CLASSES, FREQUENT, REPORTED, ROUNDS, SEEDS = 8, 1024, 4096, 6, 512
 #: Parameters: tokens and word rows that are handled at a time.
 SLICE = 1 << 16
 #: Parameter: parts of the rows at one bit, after each of which weights move.
@@ -297,13 +297,14 @@ def pair_rows(classes: Classes, row: dict, kind: pa.DataType) -> Iterator[pa.Rec
 
 
 class Chunk:
-    """Sorted distinct words with their training counts in each state; its rows are pairs (word, state). Walks down their bits."""
+    """Sorted distinct words with their training counts in each state; its rows are pairs (word, state), with ``trained`` only
+    those that were counted. Walks down their bits."""
 
-    def __init__(self, data: bytes, lengths: bytes, n: bytes, mask: bytes):
+    def __init__(self, data: bytes, lengths: bytes, n: bytes, mask: bytes, trained: bool = False):
         self.data, size, mask = grow(data, np.uint8), grow(lengths, np.int32).astype(np.int64), grow(mask, np.int32)
         n = grow(n, np.int64).reshape(len(size), -1)
         self.states = n.shape[1]
-        self.word, self.state = np.nonzero((mask[:, None] >> np.arange(self.states)) & 1)
+        self.word, self.state = np.nonzero(n > 0 if trained else (mask[:, None] >> np.arange(self.states)) & 1)
         self.count = n[self.word, self.state]
         starts = np.cumsum(size) - size
         self.deep = deep = int(min(DEEP, size.max()))
@@ -319,8 +320,10 @@ class Chunk:
         xor = words[1:][at, np.minimum(byte, deep - 1)] ^ words[:-1][at, np.minimum(byte, deep - 1)]
         shared = np.where(some, 8 * byte + 8 - np.ceil(np.log2(xor.astype(np.float64) + 1)).astype(np.int64), 8 * deep)  # bits that neighbours share
         self.bytes, self.lengths, self.starts = words[self.word], size[self.word], starts[self.word]
-        same = self.word[1:] == self.word[:-1]
-        self.common = np.where(same, 8 * deep, np.append(shared, 0)[self.word[:-1]])
+        self.common = np.full(max(0, len(self.word) - 1), 8 * deep)
+        new = np.flatnonzero(self.word[1:] != self.word[:-1])
+        if len(new):  # the least of what neighbours share from a row's word to the next row's
+            self.common[new] = np.minimum.reduceat(shared[: self.word[-1]], self.word[new])
 
     def weights(self) -> np.ndarray:
         """Counts of the rows by state; the last column is of all states."""
@@ -473,8 +476,8 @@ def totals_of(row: dict) -> dict[tuple[bytes, int], np.ndarray]:
     return {(e["key"], e["bits"]): np.array(e["n"], np.int64) for e in row["totals"] or ()}
 
 
-def chunk_of(row: dict) -> Chunk:
-    return Chunk(row["data"], row["lengths"], row["n"], row["mask"])
+def chunk_of(row: dict, trained: bool = False) -> Chunk:
+    return Chunk(row["data"], row["lengths"], row["n"], row["mask"], trained)
 
 
 # ---------------------------------------------------------------- hashed contexts
@@ -566,25 +569,20 @@ def step_of(odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
 
 
 def learn(chunk: Chunk, totals: dict, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One online pass over the chunk's training words: (weights, mass of each gate, the map's counts)."""
+    """One online pass over a chunk of counted rows: (weights, mass of each gate, the map's counts)."""
     mixer, power, mass = Mixer(), np.full((GATES, INPUTS), 1e-3), np.zeros(GATES)
-    for rows, p, b, bit, node, before, after in chunk.walk(totals):
+    for rows, p, b, y, node, before, after in chunk.walk(totals) if len(chunk.count) else ():
         if b == 0:
-            use = np.flatnonzero(chunk.count[rows] > 0)
-            contexts, c = chunk.contexts(p, rows[use]), chunk.count[rows[use]].astype(np.float64)
-        if not len(use):
-            continue
-        y, node = bit[use], node[use]
+            contexts, c = chunk.contexts(p, rows), chunk.count[rows].astype(np.float64)
         one = y == 1
         pairs = []
         for k in (0, 1):  # without this occurrence
-            own = after[k][use]
-            other = before[k][use] - own
-            own = own - 1
+            other = before[k] - after[k]
+            own = after[k] - 1
             pairs.append((np.where(one, other, own), np.where(one, own, other)))
         (n0, n1), (s0, s1) = pairs
         gate = gate_of(n0 + n1, s0, s1)
-        x = np.empty((INPUTS, len(use)), np.float32)
+        x = np.empty((INPUTS, len(rows)), np.float32)
         for k, context in enumerate(contexts):
             x[k] = stretch[cells(context, node, k) + _FIRST[k]]
         x[-3], x[-2], x[-1] = odds_of(n0, n1), odds_of(s0, s1), 0.3
@@ -671,6 +669,56 @@ def adapted(codes: np.ndarray, logs: np.ndarray) -> float:
         return float(np.logaddexp(np.log(1 - follow - again) + logs, np.log(own)).sum() / math.log(10))
 
 
+#: Bits of a place among tokens that are handled together, and of a word's code; a longer run is handled document by document.
+PLACE, WORD = 18, 24
+
+
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each value stood before, a number of each value) of an array of less than 2^PLACE values below 2^(62 - PLACE)."""
+    order = np.sort((key << PLACE) | np.arange(len(key)))
+    at, key = order & ((1 << PLACE) - 1), order >> PLACE
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    place = np.arange(len(key))
+    seen, name = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    seen[at] = place - np.maximum.accumulate(np.where(new, place, 0))
+    name[at] = np.cumsum(new)
+    return seen, name
+
+
+def adapted_texts(codes: np.ndarray, logs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """adapted() of each of the documents that lie one after the other in codes and logs."""
+    ends = np.cumsum(lengths)
+    out, at = np.zeros(len(lengths)), 0
+    while at < len(lengths):
+        first = int(ends[at] - lengths[at])
+        last = max(at + 1, int(np.searchsorted(ends, first + (1 << PLACE) - 1, "right")))
+        c, v, n = codes[first : ends[last - 1]].astype(np.int64), logs[first : ends[last - 1]], lengths[at:last]
+        out[at:last] = _adapted_run(c, v, n) if len(c) < 1 << PLACE and c.max() < 1 << WORD else [adapted(codes[a:b], logs[a:b]) for a, b in zip((ends[at:last] - n).tolist(), ends[at:last].tolist())]
+        at = last
+    return out
+
+
+def _adapted_run(codes: np.ndarray, logs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(codes)) - starts[doc]
+    seen, name = ranked((doc << WORD) | codes)
+    inside = place > 0
+    before = np.where(inside, np.concatenate(([0], name[:-1])), 0)  # the word before, of this document
+    pair = np.where(inside, ranked((before << WORD) | codes)[0], 0)
+    context = np.where(inside, np.concatenate(([0], seen[:-1])), 0)
+
+    def share(hit: np.ndarray) -> np.ndarray:
+        sums = np.cumsum(hit) - hit
+        return (sums - sums[starts][doc] + 0.05) / (place + 3)
+
+    follow = np.where(context > 0, 0.95 * share(pair > 0), 0.0)
+    again = np.where(inside, 0.45 * (1 - follow) * share(seen > 0), 0.0)
+    own = again * seen / np.maximum(place, 1) + follow * pair / np.maximum(context, 1)
+    with np.errstate(divide="ignore"):
+        return np.add.reduceat(np.logaddexp(np.log(1 - follow - again) + logs, np.log(own)), starts) / math.log(10)
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -707,7 +755,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         low, n, v = LowCounts(), 0, 0
         for batch in batches:
             for row in batch.to_pylist():
-                low.add(chunk_of(row))
+                low.add(chunk_of(row, True))
                 each = grow(row["n"], np.int64).reshape(-1, classes.states).sum(1)
                 n, v = n + int(each.sum()), v + int((each > 0).sum())
         zeros, ones = low.counts()
@@ -729,7 +777,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mixer, mass, weighted = Mixer(), np.zeros((GATES, 1)), np.zeros((GATES, INPUTS))
         for batch in batches:
             for row in batch.to_pylist():
-                w, m, ones, all_ = learn(chunk_of(row), totals_of(row), known.value)
+                w, m, ones, all_ = learn(chunk_of(row, True), totals_of(row), known.value)
                 weighted, mass = weighted + w * m[:, None], mass + m[:, None]
                 mixer.ones, mixer.all = mixer.ones + ones, mixer.all + all_
         value = np.concatenate([x.reshape(-1) for x in (weighted, mass, mixer.ones, mixer.all)])
@@ -778,8 +826,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             starts = ends - lengths
             known_ = np.add.reduceat((count > 0)[codes], starts, dtype=np.int64)
             based, plain = np.add.reduceat(base[codes], starts), np.add.reduceat(logs[codes], starts) / math.log(10)
-            words, value = word[codes], logs[codes]
-            whole = [adapted(words[a:b], value[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+            whole = adapted_texts(word[codes], logs[codes], lengths)
             bits = -np.array(whole) * math.log2(10) / np.maximum(grow(row["sizes"], np.int64), 1)
             out.append(pa.table({"id": pa.array(row["ids"], x.schema.field("ids").type.value_type), "held_out": pa.array(grow(row["held"], bool)), "n_tokens": pa.array(lengths), "n_known": pa.array(known_, pa.int64()), "train_tokens": pa.array([n_train] * len(lengths), pa.int64()), "base_score": pa.array(based), "score": pa.array(whole), "model_score": pa.array(plain), "bits_per_byte": pa.array(bits)}))
         return pa.concat_tables(out)

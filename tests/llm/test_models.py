@@ -54,13 +54,21 @@ def test_base_score_and_counts_equal_brute_force(spark, monkeypatch):
     assert cm.score_texts(df.where("doc_id = 501")).count() == 1
 
 
-def chunk(pairs):
+def chunk(pairs, trained=False):
     """A chunk of {(word, state): training count}."""
     words, n_states = sorted({w for w, _ in pairs}), max(s for _, s in pairs) + 1
     n, mask = np.zeros((len(words), n_states), np.int64), np.zeros(len(words), np.int32)
     for (w, s), c in pairs.items():
         n[words.index(w), s], mask[words.index(w)] = c, mask[words.index(w)] | 1 << s
-    return cm.Chunk(*map(cm.squeeze, (np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words)), np.int32), n, mask)))
+    out = cm.Chunk(*map(cm.squeeze, (np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words)), np.int32), n, mask)), trained)
+    out.pairs = pairs
+    return out
+
+
+def counted_only(part):
+    part = chunk({(w, s): c for (w, s), c in part.pairs.items()}, True)
+    assert (part.count > 0).all()
+    return part
 
 
 def some_pairs():
@@ -91,6 +99,7 @@ def test_chunk_counts_are_prefix_counts():
                 assert (before[0][k], before[1][k]) == counted(pairs, w, s, at) and (after[0][k], after[1][k]) == counted(pairs, w, s, at + 1)
 
     check(chunk(pairs), {}, names)
+    check(chunk(pairs, True), {}, [x for x in names if pairs[x]])
     for k in range(1, len(words)):  # two chunks with their edges' sums give the same
         halves = [{x: c for x, c in pairs.items() if (x[0] < words[k]) == first} | {} for first in (True, False)]
         wide = [chunk(h | {(sorted(h)[0][0], 2): h.get((sorted(h)[0][0], 2), 0)}) for h in halves]  # all states in both
@@ -111,7 +120,7 @@ def test_scores_equal_brute_force():
     zeros, ones = low.counts()
     stretch = np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
     m = cm.Mixer()
-    m.weights, _, m.ones, m.all = cm.learn(part, {}, stretch)
+    m.weights, _, m.ones, m.all = cm.learn(counted_only(part), {}, stretch)
     refined = m.map()
     counts = Counter()  # hashed cells, bit by bit
     for (w, s), c in pairs.items():
@@ -154,7 +163,7 @@ def test_a_words_probabilities_sum_to_at_most_one_in_each_state():
     zeros, ones = low.counts()
     stretch = np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
     m = cm.Mixer()
-    m.weights, _, m.ones, m.all = cm.learn(part, {}, stretch)
+    m.weights, _, m.ones, m.all = cm.learn(counted_only(part), {}, stretch)
     value = 10 ** cm.scores(part, {}, stretch, m.weights, m.map())
     assert all(0.2 < value[part.state == s].sum() <= 1 + 1e-9 for s in range(2))
 
@@ -166,6 +175,17 @@ def test_adaptive_part_is_a_distribution():
     assert abs(sum(last) - 1) < 1e-9
 
 
+def test_adaptive_part_of_many_texts(monkeypatch):
+    rng = np.random.default_rng(8)
+    lengths = np.array([1, 30, 2, 1, 400, 7, 90])
+    codes, logs = rng.integers(0, 9, lengths.sum()), -rng.random(lengths.sum()) * 9 - 1
+    ends = np.cumsum(lengths)
+    want = [cm.adapted(codes[b - n : b], logs[b - n : b]) for n, b in zip(lengths, ends)]
+    for bits in (18, 6, 2):
+        monkeypatch.setattr(cm, "PLACE", bits)
+        assert np.allclose(cm.adapted_texts(codes, logs, lengths), want)
+
+
 def test_states_follow_the_words_before(monkeypatch):
     rng = np.random.default_rng(0)
     counts = np.vstack((rng.poisson([5, 5, 0, 0], (50, 4)), rng.poisson([0, 0, 5, 5], (50, 4))))
