@@ -36,6 +36,7 @@ INFERENCES = (
     ("Complication", ("complication", "mucosal injury", "no complications")),
     ("Hospital Course", ("hospital course", "diet", "improved", "home")),
 )
+#: Terms of a plan, where nothing else gives a category.
 PLAN_TERMS = ("discharged", "follow-up", "follow up", "plan", "home")
 
 #: Measurements that are no core facts, omissions that do not matter, and what prompts may leak.

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of Python's str.strip, as a Java class, and the line ends of str.splitlines.
+#: White space of Python's str.strip, as a Java class and as characters, and the line ends of str.splitlines.
 SPACE = "[\\s\\x1C-\\x1F]"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
 #: Words that stand for a missing cell.
 MISSING = ("nan", "none", "nat")
@@ -23,15 +24,15 @@ def as_col(c: Column | str) -> Column:
 
 
 def trim(c: Column | str) -> Column:
-    return F.regexp_replace(as_col(c), f"(?U)^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(as_col(c), F.lit(BLANKS))
 
 
 def ltrim(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{SPACE}+", "")
+    return F.ltrim(c, F.lit(BLANKS))
 
 
 def rtrim(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U){SPACE}+\\z", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column | str) -> Column:
@@ -218,14 +219,16 @@ def professor_of(file_name: Column | str) -> Column:
 DATE = "(?U)\\b(?:\\d{4}[-./]\\d{1,2}(?:[-./]\\d{1,2})?|\\d{1,2}[-./]\\d{1,2}[-./]\\d{2,4}|'\\d{2}[.-]\\d{1,2}[.-]\\d{1,2})\\b"
 NUMBER = "(?iU)(?<![A-Za-z])\\b\\d+(?:\\.\\d+)?\\s*(?:cm|mm|mg|g|ml|l|%|회|일|주|개월|년)?\\b"
 TERMS = (
-    "cancer carcinoma adenocarcinoma sarcoma tumou?r mass lesion nodule metastasis metastatic recurrence recurrent stage staging tnm "
-    "benign malignant pathology biopsy margin lymph node hypertension diabetes hbv hcv tbc tuberculosis vats thoracotomy lobectomy "
-    "segmentectomy wedge resection enucleation operation surgery postop preop chemotherapy radiotherapy radiation ct mri pet egd pft usg "
-    "x-ray xray [A-Za-z]+(?:mab|cillin|cycline|azole|pril|sartan|statin|platin)"
-).split()
+    "cancer", "carcinoma", "adenocarcinoma", "sarcoma", "tumou?r", "mass", "lesion", "nodule", "metastasis", "metastatic", "recurrence", "recurrent",
+    "stage", "staging", "tnm", "benign", "malignant", "pathology", "biopsy", "margin", "lymph", "node", "hypertension", "diabetes", "hbv", "hcv", "tbc",
+    "tuberculosis", "vats", "thoracotomy", "lobectomy", "segmentectomy", "wedge", "resection", "enucleation", "operation", "surgery", "postop", "preop",
+    "chemotherapy", "radiotherapy", "radiation", "ct", "mri", "pet", "egd", "pft", "usg", "x-ray", "xray",
+    "[A-Za-z]+(?:mab|cillin|cycline|azole|pril|sartan|statin|platin)",
+)
 MEDICAL_TERM = f"(?iU)\\b({'|'.join(TERMS)})\\b"
 SHORT_FORMS = (
-    "s/p d/t R/O r/o postop post-op POD f/u F/U BCS SLNB ALND MRM TM TE ADM NAC RTx CTx HTx LAR AR APR RHC LHC TC IRA TME ISR stoma "
-    "AVF AVG VATS RUL RML RLL LUL LLL LN Bx OP op rec fu"
-).split()
+    "s/p", "d/t", "R/O", "r/o", "postop", "post-op", "POD", "f/u", "F/U", "BCS", "SLNB", "ALND", "MRM", "TM", "TE", "ADM", "NAC", "RTx", "CTx", "HTx",
+    "LAR", "AR", "APR", "RHC", "LHC", "TC", "IRA", "TME", "ISR", "stoma", "AVF", "AVG", "VATS", "RUL", "RML", "RLL", "LUL", "LLL", "LN", "Bx", "OP", "op",
+    "rec", "fu",
+)
 ABBREVIATION = f"(?iU)\\b({'|'.join(SHORT_FORMS)})\\b"

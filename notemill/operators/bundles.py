@@ -23,18 +23,16 @@ def json_cell(c: Column | str) -> Column:
     return F.try_parse_json(strict_json(F.when(F.left(t, F.lit(1)).isin("[", "{"), t)))
 
 
-def is_fact_column(name: str, v: Column) -> Column:
-    """Whether a column of that name with the parsed cell v holds facts: by its name, by the key all_facts, by what the first items
-    of a list have, or by a name with fact in it."""
-    if name.lower() in {x.lower() for x in FACT_COLUMNS}:
-        return v.isNotNull()
-    kind = F.schema_of_variant(v)
-    first = F.slice(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>")), 1, 3)
-    has = lambda x, k: F.try_variant_get(x, f"$.{k}", "variant").isNotNull()
-    listed = (F.size(first) > 0) & F.forall(first, f.is_fact) & F.exists(first, lambda x: has(x, "fact") | has(x, "evidence") | has(x, "category"))
-    named = F.lit("fact" in name.lower()) & (kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-    all_facts = kind.startswith("OBJECT") & F.try_variant_get(v, "$.all_facts", "variant").isNotNull()
-    return F.coalesce(all_facts | listed | named, F.lit(False))
+def is_fact_cell(x: Column) -> Column:
+    """Whether a parsed cell (struct of v, known: a preferred name, named: fact in its name) holds facts: by its name, by the key
+    all_facts, by what the first items of a list have, or by fact in its name."""
+    kind = F.schema_of_variant(x["v"])
+    first = F.slice(F.coalesce(F.try_variant_get(x["v"], "$", "array<variant>"), F.array().cast("array<variant>")), 1, 3)
+    has = lambda item, k: F.try_variant_get(item, f"$.{k}", "variant").isNotNull()
+    listed = (F.size(first) > 0) & F.forall(first, f.is_fact) & F.exists(first, lambda y: has(y, "fact") | has(y, "evidence") | has(y, "category"))
+    named = x["named"] & (kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+    all_facts = kind.startswith("OBJECT") & F.try_variant_get(x["v"], "$.all_facts", "variant").isNotNull()
+    return x["v"].isNotNull() & (x["known"] | F.coalesce(all_facts | listed | named, F.lit(False)))
 
 
 def compact_item(item: Column, evidence_chars: int) -> Column:
@@ -48,10 +46,6 @@ def _sorted_map(entries: Column) -> Column:
     return F.map_from_entries(F.array_sort(entries))
 
 
-def _cells(df: DataFrame, columns: list[str]) -> Column:
-    return F.array(*(F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").alias("value")) for c in columns))
-
-
 def selected(df: DataFrame, professor: str | None, most: int | None, column: str = "Professor_ID", index: str = "row_index") -> DataFrame:
     """Rows of one professor, and of these the first ``most``; an error if none is left."""
     out = df
@@ -75,31 +69,32 @@ def fact_bundles(df: DataFrame, index: str = "row_index", professor: str = "Prof
     """
     columns = [c for c in df.columns if c != index]
     clean = df.select(index, *(clean_scalar(F.col(f"`{c}`")).alias(c) for c in columns))
-    ids = record_id(clean.drop(index))
-    parsed = clean.withColumn("_json", F.struct(*(json_cell(F.col(f"`{c}`")).alias(f"v{k}") for k, c in enumerate(columns))))
-    v = [F.col(f"_json.v{k}") for k in range(len(columns))]
-    is_facts = [is_fact_column(c, x) for c, x in zip(columns, v)]
-    order = sorted(range(len(columns)), key=lambda k: (FACT_COLUMNS.index(columns[k]) if columns[k] in FACT_COLUMNS else len(FACT_COLUMNS), k))
-    rows = parsed.withColumn("_primary", F.coalesce(*(F.when(is_facts[k], F.lit(columns[k])) for k in order), F.lit("")) if columns else F.lit(""))
-    chosen = F.coalesce(*(F.when(F.col("_primary") == c, x) for c, x in zip(columns, v)), F.lit(None).cast("variant"))
-    rows = rows.withColumn("_items", F.when(F.col("_primary") != "", f.fact_list(chosen)).otherwise(F.array().cast("array<variant>")))
-    rows = rows.withColumn("_sent", F.slice("_items", 1, most_facts) if most_facts > 0 else F.col("_items"))
+    known = {x.lower() for x in FACT_COLUMNS}
     hidden = [c for c in columns if any(h in c.lower() for h in SOURCE_HINTS)]
-    plain = F.array(*(F.struct(F.lit(c).alias("key"), F.when(x.isNull(), F.col(f"`{c}`")).otherwise("").alias("value")) for c, x in zip(columns, v) if c not in hidden))
-    fields = F.filter(plain, lambda c: c["value"] != "")
-    readable = [c for c in READABLE_COLUMNS if c in columns]
-    texts = F.array(*(F.struct(F.lit(c).alias("key"), truncate_middle(F.col(f"`{c}`"), READABLE_CHARS).alias("value")) for c in readable)) if readable else F.array().cast("array<struct<key:string,value:string>>")
-    seen = F.transform(F.filter(_cells(clean, columns), lambda c: c["value"] != ""), lambda c: c["key"])
-    facts = F.concat(F.lit("["), F.array_join(F.transform("_sent", lambda x: compact_item(x, evidence_chars)), ","), F.lit("]"))
-    quoted = lambda x: F.substring(F.to_json(F.array(x)), 2, 1 << 30)
-    text = lambda x: F.left(quoted(x), F.length(quoted(x)) - 1)
-    rows = rows.select(F.col(index).alias("row_index"), ids.alias("record_id"), (F.col(f"`{professor}`") if professor in columns else F.lit("")).alias("professor"), F.col("_primary").alias("primary_fact_column"), F.size("_items").alias("n_facts"), F.size("_sent").alias("n_sent"), facts.alias("_facts"), _sorted_map(fields).alias("_fields"), _sorted_map(F.filter(texts, lambda c: c["value"] != "")).alias("_texts"), seen.alias("_seen"))
+    cells = F.array(*(F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").alias("value"), json_cell(F.col(f"`{c}`")).alias("v"), F.lit(c.lower() in known).alias("known"), F.lit("fact" in c.lower()).alias("named"), F.lit(c in hidden).alias("hidden"), F.lit(FACT_COLUMNS.index(c) if c in FACT_COLUMNS else len(FACT_COLUMNS)).alias("rank")) for c in columns))
+    rows = clean.select(F.col(index).alias("row_index"), record_id(clean.drop(index)).alias("record_id"), (F.col(f"`{professor}`") if professor in columns else F.lit("")).alias("professor"), cells.alias("cells"))
+    rows = rows.withColumn("cells", F.filter("cells", lambda x: x["value"] != ""))
+    found = F.filter("cells", is_fact_cell)
+    best = F.array_min(F.transform(found, lambda x: x["rank"]))
+    rows = rows.withColumn("primary", F.get(F.transform(F.array(F.struct(found.alias("found"), best.alias("best"))), lambda y: F.get(F.filter(y["found"], lambda x: x["rank"] == y["best"]), F.lit(0))), F.lit(0)))
+    rows = rows.withColumn("items", F.when(F.col("primary").isNotNull(), f.fact_list(F.col("primary.v"))).otherwise(F.array().cast("array<variant>")))
+    entry = lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))
+    short = lambda x: F.struct(x["key"].alias("key"), truncate_middle(x["value"], READABLE_CHARS).alias("value"))
+    sent = F.slice("items", 1, most_facts) if most_facts > 0 else F.col("items")
+    rows = rows.select(
+        "row_index", "record_id", "professor", F.coalesce("primary.key", F.lit("")).alias("primary_fact_column"), F.size("items").alias("n_facts"), F.size(sent).alias("n_sent"),
+        F.concat(F.lit("["), F.array_join(F.transform(sent, lambda x: compact_item(x, evidence_chars)), ","), F.lit("]")).alias("facts"),
+        F.to_json(_sorted_map(F.transform(F.filter("cells", lambda x: x["v"].isNull() & ~x["hidden"]), entry))).alias("fields"),
+        F.to_json(_sorted_map(F.transform(F.filter("cells", lambda x: x["key"].isin(*READABLE_COLUMNS)), short))).alias("texts"),
+        F.to_json(F.transform("cells", lambda x: x["key"])).alias("seen"),
+    )
+    text = lambda x: F.regexp_extract(F.to_json(F.array(x)), "(?s)^.(.*).\\z", 1)
     parts = {
-        "extracted_fact_count_sent": F.col("n_sent").cast("string"), "extracted_fact_count_total": F.col("n_facts").cast("string"), "extracted_facts": F.col("_facts"), "primary_fact_column": text(F.col("primary_fact_column")),
-        "readable_fact_summaries": F.to_json("_texts"), "row_fields": F.to_json("_fields"), "schema_observed_columns": F.to_json("_seen"),
+        "extracted_fact_count_sent": F.col("n_sent").cast("string"), "extracted_fact_count_total": F.col("n_facts").cast("string"), "extracted_facts": F.col("facts"), "primary_fact_column": text(F.col("primary_fact_column")),
+        "readable_fact_summaries": F.col("texts"), "row_fields": F.col("fields"), "schema_observed_columns": F.col("seen"),
     }
-    known = lambda c: text(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")))
-    told = parts | {"record_id": known("record_id"), "row_index": F.col("row_index").cast("string")} | ({"professor": known("professor")} if with_professor else {})
+    named = lambda c: text(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")))
+    told = parts | {"record_id": named("record_id"), "row_index": F.col("row_index").cast("string")} | ({"professor": named("professor")} if with_professor else {})
     material = {"facts": _object(parts), "professor": text(F.col("professor")), "record_id": text(F.col("record_id")), "row_index": F.col("row_index").cast("string")}
     if not with_professor:
         del material["professor"]

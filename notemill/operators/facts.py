@@ -66,11 +66,6 @@ def repaired_json(c: Column | str) -> Column:
     return F.arrow_udf(run, "string")(as_col(c))
 
 
-def is_json_cell(c: Column | str) -> Column:
-    t = clean_scalar(c)
-    return F.left(t, F.lit(1)).isin("[", "{") & F.try_parse_json(strict_json(t)).isNotNull()
-
-
 def fact_list(v: Column) -> Column:
     """array<variant>: under all_facts, else facts, else the value itself if a list, else none."""
     items = lambda path: F.try_variant_get(v, path, "array<variant>")
@@ -80,16 +75,20 @@ def fact_list(v: Column) -> Column:
 def parse_facts(c: Column | str, trusted: bool = False) -> Column:
     """struct<items array<variant>, error string> of a cell; the error is null where a list was found."""
     t = clean_scalar(c)
-    v = F.try_parse_json(t if trusted else strict_json(t))
-    kind = F.schema_of_variant(v)
-    named = F.coalesce(F.try_variant_get(v, "$.all_facts", "array<variant>"), F.try_variant_get(v, "$.facts", "array<variant>"))
-    error = (
-        F.when(t == "", "the cell is empty")
-        .when(v.isNull(), "the cell is not JSON")
-        .when(kind.startswith("OBJECT") & named.isNull(), "the object has no list of facts")
-        .when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), "the value is no list")
-    )
-    return F.struct(F.when(error.isNull(), fact_list(v)).otherwise(F.array().cast("array<variant>")).alias("items"), error.alias("error"))
+
+    def read(x: Column) -> Column:
+        t, v = x["t"], x["v"]
+        kind = F.schema_of_variant(v)
+        named = F.coalesce(F.try_variant_get(v, "$.all_facts", "array<variant>"), F.try_variant_get(v, "$.facts", "array<variant>"))
+        error = (
+            F.when(t == "", "the cell is empty")
+            .when(v.isNull(), "the cell is not JSON")
+            .when(kind.startswith("OBJECT") & named.isNull(), "the object has no list of facts")
+            .when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), "the value is no list")
+        )
+        return F.struct(F.when(error.isNull(), fact_list(v)).otherwise(F.array().cast("array<variant>")).alias("items"), error.alias("error"))
+
+    return bound(F.struct(t.alias("t"), F.try_parse_json(t if trusted else strict_json(t)).alias("v")), read)  # parsed once
 
 
 def is_fact(item: Column) -> Column:

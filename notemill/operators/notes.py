@@ -62,28 +62,62 @@ def note_warnings(note: Column, evidence: Column, opening: Column | None = None,
     )
 
 
+#: Characters of a word by which lines of few words and notes meet: a line of COPIED characters and four words has one of seven.
+GRAM = 7
+
+
+def _hash(*parts: Column) -> Column:
+    return F.xxhash64(*parts)
+
+
+def _line_keys(line: DataFrame) -> DataFrame:
+    """line (professor, line) with a key that every text has which holds the line: three words in a row that stand inside a line of five
+    words or more, the longest such; else the start, the end or a gram of the longest word, whose other side may be cut off."""
+    words = F.split("line", " ")
+    inner = F.transform(F.sequence(F.lit(2), F.greatest(F.size("_w") - 3, F.lit(2))), lambda i: F.array_join(F.slice("_w", i, F.lit(3)), " "))
+    longest = lambda xs: F.array_max(F.transform(xs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    place = F.array_max(F.transform("_w", lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"))))["i"]
+    word = F.get("_w", F.col("_at"))
+    short = (
+        F.when(F.size("_w") == 1, _hash(F.lit("gram"), F.left(word, F.lit(GRAM))))
+        .when(F.col("_at") == 0, _hash(F.lit("end"), F.right(word, F.lit(GRAM))))
+        .otherwise(_hash(F.lit("start"), F.left(word, F.lit(GRAM))))
+    )
+    out = line.withColumn("_w", words).withColumn("_at", place)
+    return out.withColumn("key", F.when(F.size("_w") >= 5, _hash(F.lit("words"), longest(inner))).otherwise(short)).drop("_w", "_at")
+
+
+def _text_keys(note: Column) -> Column:
+    """array of the keys of a normalised text: each three words in a row, starts and ends of its words, grams of very long words."""
+
+    def keys(w: Column) -> Column:
+        three = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: _hash(F.lit("words"), F.array_join(F.slice(w, i, F.lit(3)), " ")))
+        long = F.filter(F.array_distinct(w), lambda x: F.length(x) >= GRAM)
+        ends = F.flatten(F.transform(long, lambda x: F.array(_hash(F.lit("start"), F.left(x, F.lit(GRAM))), _hash(F.lit("end"), F.right(x, F.lit(GRAM))))))
+        whole = F.filter(long, lambda x: F.length(x) >= COPIED)
+        grams = F.flatten(F.transform(whole, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - GRAM + 1), lambda i: _hash(F.lit("gram"), F.substring(x, i, F.lit(GRAM))))))
+        return F.array_distinct(F.concat(three, ends, grams))
+
+    return F.get(F.transform(F.array(F.split(note, " ")), keys), F.lit(0))  # the text is split once
+
+
 def reference_leaks(notes: DataFrame, references: DataFrame) -> DataFrame:
     """(note_id, ref_id) where a line of a reference of the same professor stands in the note but not in its evidence.
 
-    notes: note_id, professor, note, evidence; references: ref_id, professor, output. A line that stands in a text shares
-    its first word sequence with it, so lines and notes meet on their professor and three words in a row, not all with
-    all; containment is tested on what meets. Generic and short lines don't count.
+    notes: note_id, professor, note, evidence; references: ref_id, professor, output. Lines and notes meet on 64-bit keys that no
+    text can lack which holds the line, so neither are all compared with all nor are texts sent along with keys: texts are joined
+    to the pairs that meet, each distinct line once, and containment is tested. Generic and short lines don't count.
     """
-    words = lambda c: F.split(c, " ")
     line = references.select("ref_id", "professor", F.explode(F.transform(lines("output"), match_normalize)).alias("line"))
     line = line.where((F.length("line") >= COPIED) & ~is_generic(F.col("line"))).distinct()
-    # the line's first and last word may be cut off from longer ones in the note: the inner words are whole
-    line = line.withColumn("_w", words(F.col("line"))).withColumn("key", F.when(F.size("_w") >= 5, F.array_join(F.slice("_w", 2, 3), " ")))
+    keyed = _line_keys(line.select("professor", "line").distinct()).withColumn("line_id", F.xxhash64("professor", "line"))
     text = notes.select("note_id", "professor", match_normalize("note").alias("_note"), F.col("evidence").alias("_evidence"))
-    places = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1)))
-    three = lambda w: F.transform(places(w), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))
-    spans = F.get(F.transform(F.array(words(F.col("_note"))), three), F.lit(0))  # the note is split once, not for each place
-    keyed = text.select("note_id", "professor", "_note", "_evidence", F.explode(F.array_distinct(spans)).alias("key"))
-    met = keyed.join(line.where("key is not null"), ["professor", "key"])
-    few = text.join(line.where("key is null"), "professor")  # lines of fewer than five words: every note of the professor
-    columns = ["note_id", "ref_id", "line", "_note", "_evidence"]
-    both = met.select(*columns).unionByName(few.select(*columns))
-    return both.where(F.contains("_note", F.col("line")) & ~F.contains("_evidence", F.col("line"))).select("note_id", "ref_id").distinct()
+    owner = F.col("professor")
+    spans = text.select("note_id", F.explode(_text_keys(F.col("_note"))).alias("key"), owner)
+    met = spans.join(keyed.select(owner, "key", "line_id"), ["professor", "key"]).select("note_id", "professor", "line_id").distinct()
+    both = met.join(text, ["note_id", "professor"]).join(keyed.select("line_id", owner, "line"), ["line_id", "professor"])
+    held = both.where(F.contains("_note", F.col("line")) & ~F.contains("_evidence", F.col("line"))).select("note_id", "professor", "line").distinct()
+    return held.join(line, ["professor", "line"]).select("note_id", "ref_id").distinct()
 
 
 def style_warnings(keys: Column, prompt: Column, abbreviation_rate: Column, stated: Column, professor: Column) -> Column:

@@ -53,11 +53,13 @@ def merge_metrics(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("n_rows"), F.count_distinct("professor").alias("n_professors"), pairs.alias("n_pairs"), (F.count("*") - pairs).alias("n_repeated"), F.coalesce(F.sum(nulls), F.lit(0)).alias("null_cells"))
 
 
-def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key. Aggregates before its shuffle, so a key of very many rows is no burden."""
+def keep_first(df: DataFrame, key: str, order: str, count: str | None = None) -> DataFrame:
+    """The first row of each key, with ``count`` also how many rows have it. Groups by 128 bits of the key, so that long keys
+    are not compared; aggregates before its shuffle, so a key of very many rows is no burden."""
     rest = [c for c in df.columns if c not in (key, order)]
-    first = df.groupBy(key).agg(F.min_by(F.struct(F.col(order), *rest), F.col(order)).alias("_r"))
-    return first.select(key, *(F.col(f"_r.{c}").alias(c) for c in (order, *rest)))
+    bits = [F.xxhash64(key).alias("_a"), F.xxhash64(F.lit("second"), F.col(key)).alias("_b")]
+    found = df.select(*bits, F.struct(key, order, *rest).alias("_r")).groupBy("_a", "_b").agg(F.min_by("_r", F.col(f"_r.{order}")).alias("_r"), F.count("*").alias("_n"))
+    return found.select(*(F.col(f"_r.{c}").alias(c) for c in (key, order, *rest)), *([F.col("_n").alias(count)] if count else []))
 
 
 def row_range(df: DataFrame, start: int = 0, most: int = 0, index: str = "row_index") -> DataFrame:

@@ -49,12 +49,16 @@ def selected(pool: DataFrame, k: int = 3, mode: str = "deterministic", seed: int
 
 
 def style_references(pool: DataFrame, most: int = 12) -> DataFrame:
-    """Up to ``most`` references of each professor at even ranks of (length, id): professor, record_id, output, pick."""
+    """Up to ``most`` references of each professor at even ranks of (length, id): professor, record_id, output, pick. Ids and lengths
+    are ranked; the notes of the chosen are joined to them."""
     own = W.partitionBy("professor")
-    ranked = pool.withColumn("_r", F.row_number().over(own.orderBy(F.length("output"), "record_id")) - 1).withColumn("_n", F.count("*").over(own))
+    slim = pool.select("professor", "record_id", F.length("output").alias("_l"), F.xxhash64("output").alias("_h"))
+    ranked = slim.withColumn("_r", F.row_number().over(own.orderBy("_l", "record_id", "_h")) - 1).withColumn("_n", F.count("*").over(own))
     steps = F.array(*(F.bround(F.lit(i / max(1, most - 1)) * (F.col("_n") - 1)).cast("int") for i in range(most)))
     kept = ranked.where((F.col("_n") <= most) | F.array_contains(steps, F.col("_r")))
-    return kept.withColumn("pick", F.row_number().over(own.orderBy("_r"))).drop("_r", "_n")
+    kept = kept.withColumn("pick", F.row_number().over(own.orderBy("_r"))).select("professor", "record_id", "_h", "pick")
+    texts = pool.withColumn("_h", F.xxhash64("output")).dropDuplicates(["professor", "record_id", "_h"])
+    return texts.join(kept, ["professor", "record_id", "_h"]).select(*pool.columns, "pick")
 
 
 def reference_blocks(records: DataFrame, references: DataFrame, count: int = 3, limit: int = 8000) -> DataFrame:

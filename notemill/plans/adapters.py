@@ -14,11 +14,11 @@ AT = "'@NL@'"
 VIEWS = {
     "rec": """
 SELECT d.doc_id AS row_index, d.source AS professor, CAST(d.doc_id AS STRING) AS record_id, d.text AS input,
-       CASE WHEN l.doc_id IS NULL THEN '' ELSE substr(d.text, 1, 400) END AS output
+       CASE WHEN l.doc_id IS NULL THEN '' ELSE d.text END AS output
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "ref": """
 SELECT * FROM (SELECT d.doc_id AS row_index, d.source AS professor, CAST(d.doc_id AS STRING) AS record_id, d.text AS input,
-       substr(d.text, 1, 400) AS output FROM documents d JOIN labels l ON l.doc_id = d.doc_id) q WHERE length(output) >= 10""",
+       d.text AS output FROM documents d JOIN labels l ON l.doc_id = d.doc_id) q WHERE length(output) >= 10""",
     "conv_rec": """
 SELECT conv_id AS row_index, replace({agg:'[' || CAST(turn + 1 AS STRING) || '] ' ||
   CASE role WHEN 'system' THEN 'Discharge Summary' WHEN 'assistant' THEN 'Operative Report'

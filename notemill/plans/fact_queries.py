@@ -95,26 +95,36 @@ def _verified(spark, sf):
     missing = F.transform(texts("n_absent", "finding"), lambda x: F.struct(F.when(F.col("n_partial") == 1, "critical").otherwise("minor").alias("severity"), x.alias("fact"), F.lit("x").alias("evidence")))
     none = F.array().cast("array<string>")
     v = F.struct(F.lit("DRAFT").alias("verdict"), (F.col("likert") / 5.0).alias("coverage_score"), ((F.col("likert") + 1) / 6.0).alias("evidence_support_score"), texts("n_unsupported", "on arb").alias("unsupported_facts"), missing.alias("missing_facts"), none.alias("contradictions"), none.alias("date_errors"), none.alias("clinical_accuracy_issues"), F.lit("").alias("feedback"))
-    return view(spark, sf, "judge_note").select("method", "record_id", "professor", "likert", "n_unsupported", "n_absent", "n_partial", "n_mixing", v.alias("v"))
+    return view(spark, sf, "judge_note").select("method", "record_id", "professor", "likert", "n_unsupported", "n_absent", "n_partial", "n_mixing", "k", v.alias("v"))
 
 
-#: n_mixing = 1 marks notes whose source mentions what the unsupported facts are about.
-_BLOCKED = "((n_mixing = 1 AND n_unsupported > 0) OR (n_absent > 0 AND n_partial = 1))"
+#: n_mixing = 1 marks notes whose source mentions what the unsupported facts are about; k % 9 says which rule of operative
+#: reports, or of lung function, the source calls for, n_partial = 1 that the facts have what it asks for.
+_RULE = "CASE WHEN k % 9 BETWEEN 1 AND 6 AND n_partial = 0 THEN 1 ELSE 0 END"
+_ACCURACY = "CASE WHEN k % 9 IN (7, 8) THEN 1 ELSE 0 END"
+_BLOCKED = f"((n_mixing = 1 AND n_unsupported > 0) OR (n_absent > 0 AND n_partial = 1) OR {_RULE} = 1 OR {_ACCURACY} = 1)"
 _LIFTED = "CASE WHEN n_mixing = 0 AND n_unsupported > 0 THEN greatest((likert + 1) / 6.0, 0.95) ELSE (likert + 1) / 6.0 END"
+_PHRASES = ("Mass completely is enucleated", "WITHOUT entering mucosal layer", "Mucosal injury: none", "Lacerated lung surface is closed", "Azygos vein: divided", "a chest tube (20 Fr.)", "Complication: No", "PFT done")
+_FOUND = ("complete enucleation", "mucosal layer kept", "mucosal injury none", "lung surface repair", "azygos divided", "chest tube placed", "Complication: conversion", "FVC was 1.99")
 
 
 @query(f"""
-SELECT method, record_id, CASE WHEN n_mixing = 1 THEN n_unsupported ELSE 0 END AS n_unsupported, CASE WHEN n_partial = 1 THEN n_absent ELSE 0 END AS n_critical,
+SELECT method, record_id, CASE WHEN n_mixing = 1 THEN n_unsupported ELSE 0 END AS n_unsupported, CASE WHEN n_partial = 1 THEN n_absent ELSE 0 END + {_RULE} AS n_critical, {_ACCURACY} AS n_accuracy,
   {_BLOCKED} AS blocked, NOT {_BLOCKED} AND likert / 5.0 >= 0.85 AND ({_LIFTED}) >= 0.95 AS passed,
   CASE WHEN {_BLOCKED} THEN 'NEEDS_REVISION' WHEN likert / 5.0 >= 0.85 AND ({_LIFTED}) >= 0.95 THEN 'PASS' ELSE 'DRAFT' END AS verdict,
   round(CAST(CASE WHEN {_BLOCKED} THEN least(likert / 5.0, 0.84) ELSE likert / 5.0 END AS DOUBLE), 6) AS coverage,
   round(CAST(CASE WHEN {_BLOCKED} THEN least({_LIFTED}, 0.94) ELSE {_LIFTED} END AS DOUBLE), 6) AS evidence
 FROM @judge_note""")
 def verify_guardrails(spark, sf):
-    source = F.when(F.col("n_mixing") == 1, "takes an ARB").otherwise("no drugs")
-    rows = _verified(spark, sf).withColumn("g", f.guarded(F.col("v"), F.array().cast(f.NO_FACTS), F.lit("Clinic Note"), source))
+    rule = F.col("k") % 9
+    at = lambda xs: F.coalesce(F.get(F.array(*map(F.lit, xs)), (rule - 1).cast("int")), F.lit(""))
+    source = F.concat(F.when(F.col("n_mixing") == 1, "takes an ARB. ").otherwise("no drugs. "), at(_PHRASES))
+    cells = {"category": F.lit("Note"), "fact": at(_FOUND)}
+    fact = F.struct(*(cells.get(k, F.lit(None).cast("string")).alias(k) for k in f.FIELDS))
+    facts = F.when((rule > 0) & ((F.col("n_partial") == 1) | (rule > 6)), F.array(fact)).otherwise(F.array().cast(f.NO_FACTS))
+    rows = _verified(spark, sf).withColumn("g", f.guarded(F.col("v"), facts, F.lit("Operative Report"), source))
     g = F.col("g")
-    return rows.select("method", "record_id", F.size("g.unsupported_facts").alias("n_unsupported"), f.n_critical(g).alias("n_critical"), f.is_blocked(g).alias("blocked"), f.is_passed(g).alias("passed"), "g.verdict", F.round("g.coverage_score", 6).alias("coverage"), F.round("g.evidence_support_score", 6).alias("evidence"))
+    return rows.select("method", "record_id", F.size("g.unsupported_facts").alias("n_unsupported"), f.n_critical(g).alias("n_critical"), F.size("g.clinical_accuracy_issues").alias("n_accuracy"), f.is_blocked(g).alias("blocked"), f.is_passed(g).alias("passed"), "g.verdict", F.round("g.coverage_score", 6).alias("coverage"), F.round("g.evidence_support_score", 6).alias("evidence"))
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import judge as j
+from ..operators import facts, judge as j
 from .adapters import load, view
 from .catalogue import query
 
@@ -127,3 +127,19 @@ def config_consistency(spark, sf):
     lacks = sorted({"method", "record_id", "response"} - set(notes.columns))
     missing = spark.createDataFrame([("missing", c) for c in lacks], "kind string, value string")
     return missing.unionByName(notes.where("method <> ''").select(F.lit("method").alias("kind"), F.col("method").alias("value")).distinct())
+
+
+@query("""
+SELECT method, record_id, likert, 1 + n_unsupported AS n_claims, n_unsupported, n_mixing * n_unsupported AS n_mixing, 1 + n_absent + n_partial AS n_critical, n_absent, n_partial, n_absent + n_partial = 0 AS complete_strict, n_absent = 0 AS complete_lenient
+FROM @judge_note""")
+def judge_replies(spark, sf):
+    """Counts of judges' replies in JSON, with words before the object."""
+    notes = view(spark, sf, "judge_note")
+    some = lambda n, x: F.array_repeat(x, F.col(n) if isinstance(n, str) else F.lit(n))
+    listed = lambda *parts: F.concat(F.lit("["), F.array_join(F.concat(*parts), ","), F.lit("]"))
+    wrong = F.concat(F.lit('{"verdict":"unsupported","error_type":"'), F.when(F.col("n_mixing") == 1, "Patient_Mixing ").otherwise("fabricated"), F.lit('"}'))
+    claims = F.concat(F.lit('Here: {"claims":'), listed(some(1, F.lit('{"verdict":"supported"}')), some("n_unsupported", wrong)), F.lit(',"faithfulness_likert":'), F.col("likert").cast("string"), F.lit("}"))
+    status = lambda x: F.lit(f'{{"status":"{x}"}}')
+    facts_of = F.concat(F.lit('{"critical_facts":'), listed(some(1, status("present")), some("n_absent", status("absent")), some("n_partial", status("partial"))), F.lit("}"))
+    rows = notes.select("method", "record_id", j.faithfulness(facts.json_object(claims)).alias("f"), j.completeness(facts.json_object(facts_of)).alias("c"))
+    return rows.select("method", "record_id", "f.likert", "f.n_claims", "f.n_unsupported", "f.n_mixing", "c.n_critical", "c.n_absent", "c.n_partial", "c.complete_strict", "c.complete_lenient")

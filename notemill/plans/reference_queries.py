@@ -74,11 +74,11 @@ def style_join(spark, sf):
 
 
 @query("""
-WITH b AS (SELECT item_id, trim(regexp_replace(lower(u.line), '\\s+', ' ', 'g')) AS line FROM benchmark, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line) u)
-SELECT DISTINCT d.doc_id AS note_id, b.item_id AS ref_id FROM documents d JOIN b ON length(b.line) >= 28 AND contains(regexp_replace(lower(d.text), '\\s+', ' ', 'g'), b.line)
-WHERE NOT contains(b.line, 'description') AND NOT contains(b.line, '소견') AND NOT contains(b.line, 'postop 1st visit') AND d.lang <> 'de'""".replace("\\\\", "\\"))
+WITH b AS (SELECT item_id, trim(regexp_replace(replace(lower(u.line), 'ß', 'ss'), '\\s+', ' ', 'g')) AS line FROM benchmark, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line) u)
+SELECT DISTINCT d.doc_id AS note_id, b.item_id AS ref_id FROM documents d JOIN b ON length(b.line) >= 28 AND contains(regexp_replace(replace(lower(d.text), 'ß', 'ss'), '\\s+', ' ', 'g'), b.line)
+WHERE NOT contains(b.line, 'description') AND NOT contains(b.line, '소견') AND NOT contains(b.line, 'postop 1st visit')""".replace("\\\\", "\\"))
 def reference_leakage(spark, sf):
-    notes = load(spark, sf, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("note_id"), F.lit("all").alias("professor"), F.col("text").alias("note"), F.lit("").alias("evidence"))
+    notes = load(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), F.lit("all").alias("professor"), F.col("text").alias("note"), F.lit("").alias("evidence"))
     refs = load(spark, sf, "benchmark").select(F.col("item_id").alias("ref_id"), F.lit("all").alias("professor"), F.col("text").alias("output"))
     return n.reference_leaks(notes, refs)
 
@@ -132,6 +132,8 @@ def ground_truth_join(spark, sf):
 def generate_notes_offline(spark, sf):
     config = backends.Config("placeholder")
     profiles = pipeline.style_profiles(r.usable(view(spark, sf, "ref")), config)
-    bundles = view(spark, sf, "rec").select("record_id", "professor", F.when(F.col("row_index") % 10 == 0, "").otherwise(F.left("input", F.lit(300))).alias("evidence"))
+    bundles = view(spark, sf, "rec").select("record_id", "professor", F.col("input").alias("evidence"))
+    blank = bundles.groupBy("professor").agg(F.lit("").alias("evidence"), F.concat(F.lit("blank "), F.max("record_id")).alias("record_id"))  # one more record each, without evidence
+    bundles = bundles.unionByName(blank)
     return pipeline.write_notes(bundles, profiles, config, skip_unmatched=True)
 

@@ -43,9 +43,9 @@ def clean_scalar(spark, sf):
     return rows.select("event_id", t.clean_scalar("messy").alias("cleaned"), t.clean_scalar("messy", unescaped=False).alias("kept"))
 
 
-@query(f"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\\s\\v]+', ' ', 'g'), {_WS})) AS normalized_sha256 FROM documents WHERE lang <> 'de'")
+@query(f"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\\s\\v]+', ' ', 'g'), {_WS})) AS normalized_sha256 FROM documents")
 def match_normalize(spark, sf):
-    return load(spark, sf, "documents").where("lang <> 'de'").select("doc_id", F.sha2(t.match_normalize("text"), 256).alias("normalized_sha256"))
+    return load(spark, sf, "documents").select("doc_id", F.sha2(t.match_normalize("text"), 256).alias("normalized_sha256"))
 
 
 def _cut(limit: int) -> str:
@@ -108,9 +108,9 @@ def redact_preview(spark, sf):
 
 @query(f"""
 SELECT doc_id, left(CASE WHEN s = '' THEN 'run' ELSE s END, 64) AS slug, left(sha256('﻿' || text), 10) AS short_hash
-FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(trim(substr(text, 1, 100), {_WS}), '[\\s\\v]+', '_', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS s FROM documents)""")
+FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(trim(text, {_WS}), '[\\s\\v]+', '_', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS s FROM documents)""")
 def slug_ids(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", t.slug(F.substring("text", 1, 100)).alias("slug"), t.short_hash("text").alias("short_hash"))
+    return load(spark, sf, "documents").select("doc_id", t.slug("text").alias("slug"), t.short_hash("text").alias("short_hash"))
 
 
 @query("""
@@ -134,8 +134,7 @@ def table_to_text(spark, sf):
 SELECT min(doc_id) AS row_index, text, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY text""")
 def keep_first_dedup(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("row_index"), "text")
-    n = docs.groupBy("text").agg(F.count("*").alias("n"))
-    return r.keep_first(docs, "text", "row_index").join(n, "text").select("row_index", "text", "n")
+    return r.keep_first(docs, "text", "row_index", "n").select("row_index", "text", "n")
 
 
 @query("""

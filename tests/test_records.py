@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -78,6 +79,25 @@ def test_reference_leaks(spark):
     assert rows(n.reference_leaks(notes, refs), "note_id") == [(1, 9), (4, 9)]
 
 
+def test_reference_leaks_equal_brute_force(spark):
+    rng = random.Random(2)
+    words = ["ab", "c", "pneumonoultra", "thoracotomy", "enucleation", "x" * 30, "segmentectomy", "straße", "Σίσυφος", "in", "of"]
+    rows_of = lambda n, lo, hi: [" ".join(rng.choice(words) for _ in range(rng.randrange(lo, hi))) for _ in range(n)]
+    refs = [(k, rng.choice("pq"), "\n".join(rows_of(3, 1, 7))) for k in range(40)]
+    notes = [(k, rng.choice("pq"), t, "" if k % 5 else t) for k, t in enumerate(rows_of(60, 5, 60))]
+    for k, (_, p, out) in enumerate(refs[:20]):  # whole lines inside longer words
+        notes.append((100 + k, p, f"zz{rng.choice(out.split(chr(10)))}yy tail", ""))
+    fold = lambda t: " ".join(t.casefold().split())
+    want = set()
+    for i, p, note, evidence in notes:
+        for k, q, out in refs:
+            if p == q and any(len(x) >= n.COPIED and x in fold(note) and x not in evidence for x in map(fold, out.split("\n"))):
+                want.add((i, k))
+    got = n.reference_leaks(spark.createDataFrame([(i, p, t, fold(e)) for i, p, t, e in notes], "note_id int, professor string, note string, evidence string"), spark.createDataFrame(refs, "ref_id int, professor string, output string"))
+    found = sorted(map(tuple, got.collect()))
+    assert len(want) > 40 and found == sorted(want)
+
+
 def test_style_prompts(spark):
     row = spark.range(1).select(n.repaired_style(F.lit(""), F.lit("Kim"), F.lit("Head"), F.lit(0.9)).alias("a"), n.repaired_style(F.lit("x"), F.lit("Kim"), F.lit(None), F.lit(0.0)).alias("b")).first()
     assert "Kim" in row.a and "Head" in row.a and row.b.startswith("x\n\nRules") and row.b.count("\n- ") == 3
