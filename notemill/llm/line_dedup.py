@@ -49,8 +49,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linear time; a very common line meets a one-row table in a join that adaptive execution splits.
     """
     lines, keys = repeated_keys(docs, id_col, text_col, min_chars, min_docs)
+    # under another name the counted keys are dealt out anew, so adaptive execution can split the lines of a very common key
+    again = F.col("h2").bitwiseXOR(F.lit(1)).alias("g")
     drops = (
-        lines.join(keys, ["h1", "h2"])
+        lines.select("id", "t", "pos", "h1", again)
+        .join(keys.select("h1", again, "keeper"), ["h1", "g"])
         .where("id <> keeper")
         .groupBy("id", "t")
         .agg(F.collect_set("pos").alias("drops"))
