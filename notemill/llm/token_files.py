@@ -187,8 +187,9 @@ FRAMES = "shard int, chunk int, before long, first_id {0}, last_id {0}, n_docs l
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 1, mode: str = "byte") -> None:
     """The ids of all texts, each with end_id after it, in ascending order of their documents' id (nulls first).
 
-    Null texts are empty and hold the end id only. Repeated ids lie in the order of their texts. Texts are range-sorted by
-    id before they are encoded; shards follow the ranges.
+    Null texts are empty and hold the end id only. Repeated ids lie in the order of their texts, equal rows beside each other. Texts are range-sorted by
+    id before they are encoded; shards follow the ranges. A text of any length is one document of one frame. Other columns are not
+    read; an empty table gives an empty folder that reads as no documents.
     """
     path = path or word_file()
     end = np.array([end_id], "<u4").tobytes()
@@ -210,19 +211,21 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             return out
 
         gc.disable()  # what is kept here holds no cycles, and looking for them takes a twentieth of the time
-        for batch in batches:
-            names = batch.column(0).type
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                pieces = [pieces_of(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                known = words.learn(set().union(*pieces))
-                for i, p in zip(part.column(0).to_pylist(), pieces):
-                    ids.append(i)
-                    blobs.append(b"".join(map(known.__getitem__, p)) + end)
-                    n += len(blobs[-1]) // 4
-                    if n >= CHUNK:
-                        yield row(names)
-        gc.enable()
+        try:
+            for batch in batches:
+                names = batch.column(0).type
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    pieces = [pieces_of(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                    known = words.learn(set().union(*pieces))
+                    for i, p in zip(part.column(0).to_pylist(), pieces):
+                        ids.append(i)
+                        blobs.append(b"".join(map(known.__getitem__, p)) + end)
+                        n += len(blobs[-1]) // 4
+                        if n >= CHUNK:
+                            yield row(names)
+        finally:
+            gc.enable()
         if ids:
             yield row(names)
 

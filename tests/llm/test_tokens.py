@@ -148,6 +148,20 @@ def test_files(spark, tmp_path, library, mode, monkeypatch):
     assert tf.read_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_documents_longer_than_a_frame(spark, tmp_path, library, monkeypatch):
+    monkeypatch.setattr(tf, "CHUNK", 50)
+    rows = [(k, "the cat " * (k * 7 % 90), None) for k in range(40)] + [(5, "repeated", 1), (5, "repeated", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, chunk int").repartition(3)
+    tf.write_token_files(df, str(tmp_path / "f"))
+    start, want = 0, []
+    for i, t, _ in sorted(rows, key=lambda r: (r[0], r[1])):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, tf.read_token_files(spark, str(tmp_path / "f")).collect()), key=lambda r: r[1]) == want
+    assert spark.read.parquet(str(tmp_path / "f")).where("n_docs = 1 and n_ids > 50").count() > 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=300), st.sampled_from(["byte", "bit"]), st.integers(1, 64))
 def test_planes_round_trip(ids, mode, block):
