@@ -160,23 +160,23 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     threshold (above 0). Vectors that are null, empty, zero, of another than the most common length, or hold null or
     non-finite components link with nothing, as do rows with a null id (their component is null, kept false). Copies are
     one node with a number of rows, so a vector that a third of the rows share is joined once. Rows that repeat an id with
-    the same vector count as one vector.
+    the same vector count as one vector; rows of one id with different vectors each have their own links and component, and
+    more than one of them may be kept. Other columns are not read; an empty table gives an empty result.
     """
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     good = base.where(usable("vector") & F.col("label").isNotNull() & F.col("id").isNotNull())
     size = common_size(good, "vector")
     hashed = good.where(F.size("vector") == size).select("id", "label", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("second"), "vector").alias("h2"))
-    nodes = cut(hashed.groupBy("label", "h1", "h2").agg(F.min("id").alias("node"), F.count_distinct("id").alias("copies"), F.any_value("vector").alias("vector")))
+    nodes = hashed.groupBy("label", "h1", "h2").agg(F.min("id").alias("least"), F.count_distinct("id").alias("copies"), F.any_value("vector").alias("vector"))
+    nodes = cut(nodes.withColumn("node", F.xxhash64("label", "h1", "h2")))  # not an id: an id may have several vectors
     if not size:
         return base.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     counts, links = cosine_links(nodes, size, threshold)
-    groups = connected_components(links)
-    result = (
-        nodes.select("label", "h1", "h2", "node", "copies")
-        .join(counts, "node", "left")
-        .join(groups.withColumnRenamed("id", "node"), "node", "left")
-        .select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    )
+    groups = connected_components(links).withColumnRenamed("id", "node")
+    placed = nodes.select("label", "h1", "h2", "node", "least", "copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    result = placed.join(least, "component").join(counts, "node", "left")
+    result = result.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     keyed = base.select("id", "label", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("second"), "vector").alias("h2"), (usable("vector") & F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("vector") == size)).alias("in"))
     result = result.withColumn("in", F.lit(True))
     out = keyed.join(result, ["label", "h1", "h2", "in"], "left")

@@ -7,9 +7,10 @@ far is d, a point nearer than d lies within d * sqrt(quantile(SURE)) of the quer
 
 The projected space is cut by a kd-tree whose upper part, fitted on a bounded sample, deals the rows out to cells, and
 whose lower part is built in each cell (or block of a cell that has many rows). A query first searches its own cell, then
-every other cell whose box comes within that radius. In a cell, leaves are visited by rising distance of their boxes from
+other cells whose boxes come within that radius. In a cell, leaves are visited by rising distance of their boxes from
 the projected query; their points are verified on the original vectors; the search stops as soon as the next leaf lies
-beyond the radius for the k-th best found so far.
+beyond the radius for the k-th best found so far: the chi-square test is made after every leaf. Other cells are asked in
+rounds (ROUNDS), the nearest boxes first, each under the radius that the rounds before have left.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from .common import cut, table
 from .vectors import common_size, lists, matrix, usable
 
 #: Parameters: projections, chance not to miss a neighbour, rows of a cell and of a block, most cells, sample, leaf.
-DIMS, SURE, CELL, BLOCK, MAX_CELLS, SAMPLE, LEAF, SEED = 8, 0.97, 4096, 8192, 4096, 8192, 64, 11
-#: Leaves of a cell that are searched before the radius is looked at again.
-STEPS = (2, 16)
+DIMS, SURE, CELL, BLOCK, MAX_CELLS, SAMPLE, LEAF, SEED = 8, 0.97, 4096, 8192, 4096, 8192, 128, 11
+#: Parameter: so many cells of a query, by rising distance of their boxes, are searched by the end of each round; None: all.
+ROUNDS = (1, 4, None)
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -83,38 +84,43 @@ def leaves_of(points: np.ndarray, size: int) -> np.ndarray:
 def search(points: np.ndarray, ids: np.ndarray, proj: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, query_proj: np.ndarray, bound: np.ndarray, k: int, limit: float, top: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, inner product) of the k best of each query among points, by the incremental search.
 
-    bound: the k-th best inner product known of each query, or -inf. limit: the chi-square quantile. top: M. Leaves are
-    taken by rising distance, in steps of STEPS leaves; after each step the k-th best moves the radius in.
+    bound: the k-th best inner product known of each query, or -inf. limit: the chi-square quantile. top: M. Each query takes
+    its leaves by rising distance, one at a time; after each, the k-th best moves its radius in, and it stops at the first
+    leaf beyond. Queries that are at the same leaf are verified together.
     """
     order = leaves_of(proj, LEAF)
     points, ids, proj = points[order], ids[order], proj[order]
     starts = np.arange(0, len(order), LEAF)
     low, high = np.minimum.reduceat(proj, starts), np.maximum.reduceat(proj, starts)
-    leaf_of = np.arange(len(order)) // LEAF
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), 256):
         q, qp, qid = queries[at : at + 256], query_proj[at : at + 256], query_ids[at : at + 256]
         norm, known = np.linalg.norm(q, axis=1), bound[at : at + 256].copy()
         gap = (np.maximum(0, np.maximum(low[None] - qp[:, None], qp[:, None] - high[None])) ** 2).sum(2)
-        place = np.argsort(np.argsort(gap, axis=1, kind="stable"), axis=1)
+        turn = np.argsort(gap, axis=1, kind="stable")
+        gap = np.take_along_axis(gap, turn, 1)
         score = np.full((len(q), len(points)), -np.inf)
-        done = np.zeros(gap.shape, bool)
-        for step in (*STEPS, len(starts)):
-            far = np.maximum(0, 2 * top * top - 2 * (top / norm) * known)  # squared distance of the k-th best so far
-            wanted = ~done & (place < step) & (~np.isfinite(known)[:, None] | (gap <= limit * far[:, None]))
-            if not wanted.any() and step >= len(starts):
+        best = np.full((len(q), k), -np.inf)
+        active = np.arange(len(q))
+        for step in range(len(starts)):
+            far = np.maximum(0, 2 * top * top - 2 * (top / norm[active]) * known[active])  # squared distance of the k-th best so far
+            active = active[~np.isfinite(known[active]) | (gap[active, step] <= limit * far)]
+            if not len(active):
                 break
-            for leaf in np.flatnonzero(wanted.any(0)):
-                rows, here = np.flatnonzero(wanted[:, leaf]), slice(starts[leaf], starts[leaf] + LEAF)
-                score[rows, here] = q[rows] @ points[here].T
-            done |= wanted
-            score[qid[:, None] == ids[None]] = -np.inf
-            if len(points) > k:
-                known = np.maximum(known, np.partition(score, len(points) - k, axis=1)[:, len(points) - k])
+            leaf = turn[active, step]
+            by_leaf = np.argsort(leaf, kind="stable")
+            for rows in np.split(active[by_leaf], np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
+                here = slice(starts[turn[rows[0], step]], starts[turn[rows[0], step]] + LEAF)
+                value = q[rows] @ points[here].T
+                value[qid[rows][:, None] == ids[here]] = -np.inf
+                score[rows, here] = value
+                both = np.concatenate((best[rows], value), axis=1)
+                best[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+            known[active] = np.maximum(known[active], best[active].min(1))
         row, col = np.nonzero((score >= known[:, None] - 1e-9 * top * norm[:, None]) & np.isfinite(score))
         exact = (q[row] * points[col]).sum(1)  # summed alike for copies, so that equal vectors tie
-        best = np.lexsort((ids[col], -exact, row))
-        row, col, exact = row[best], col[best], exact[best]
+        rank = np.lexsort((ids[col], -exact, row))
+        row, col, exact = row[rank], col[rank], exact[rank]
         first = np.searchsorted(row, row)
         keep = np.arange(len(row)) - first < k
         found.append((row[keep] + at, ids[col[keep]], exact[keep]))
@@ -127,7 +133,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 
     Vectors that are null, empty, zero, of another than the most common length, or hold null or non-finite components, and
     rows with a null id, take no part. A row that repeats an id is a candidate as often as it stands there but never its
-    own id's. With fewer candidates than k all are returned; an empty table gives an empty result.
+    own id's; a query id with several vectors asks with the one of the least hash. Other columns are not read. With fewer candidates than k all are returned; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull())
@@ -165,27 +171,23 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     blocked = points.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     queries = points.where(is_query).select("id", "vector")
 
-    def route(first: bool):
+    def route(begin: int, end: int | None):
         def run(batches):
             cells, low, high, n_blocks = shared.value
             for batch in batches:
-                v = matrix(batch.column(1), size)
-                own = splits.cells(projected(v))
-                scaled = v * (top / np.linalg.norm(v, axis=1, keepdims=True))
-                p = scaled @ frame[:-1]
-                if first:
-                    going = own[:, None] == cells
-                else:
-                    bound = batch.column(2).to_numpy(zero_copy_only=False)
-                    far = np.maximum(0, 2 * top * top - 2 * (top / np.linalg.norm(v, axis=1)) * bound)
-                    gap = (np.maximum(0, np.maximum(low[None] - p[:, None], p[:, None] - high[None])) ** 2).sum(2)
-                    going = (own[:, None] != cells) & (~np.isfinite(bound)[:, None] | (gap <= limit * far[:, None]))
+                v, bound = matrix(batch.column(1), size), batch.column(2).to_numpy(zero_copy_only=False)
+                own, norm = splits.cells(projected(v)), np.linalg.norm(v, axis=1)
+                p = (v * (top / norm)[:, None]) @ frame[:-1]
+                gap = (np.maximum(0, np.maximum(low[None] - p[:, None], p[:, None] - high[None])) ** 2).sum(2)
+                gap[own[:, None] == cells] = -1  # its own cell is first
+                turn = np.argsort(np.argsort(gap, axis=1, kind="stable"), axis=1)
+                far = np.maximum(0, 2 * top * top - 2 * (top / norm) * bound)
+                going = (turn >= begin) & (turn < (len(cells) if end is None else end)) & (~np.isfinite(bound)[:, None] | (gap <= limit * far[:, None]))
                 row, col = np.nonzero(going)
                 row, col = np.repeat(row, n_blocks[col]), np.repeat(col, n_blocks[col])
                 block = np.arange(len(row)) - np.maximum.accumulate(np.where(np.concatenate(([True], (row[1:] != row[:-1]) | (col[1:] != col[:-1]))), np.arange(len(row)), 0)) if len(row) else np.zeros(0)
-                bounds = np.full(len(row), -np.inf) if first else bound[row]
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists(p[row], pa.float64()), pa.array(bounds, pa.float64()), pa.array(cells[col].astype(np.int32)), pa.array(block.astype(np.int32))], names=["id", "vector", "proj", "bound", "cell", "block"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists(p[row], pa.float64()), pa.array(bound[row], pa.float64()), pa.array(cells[col].astype(np.int32)), pa.array(block.astype(np.int32))], names=["id", "vector", "proj", "bound", "cell", "block"])
 
         return run
 
@@ -196,18 +198,27 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         row, i, s = search(matrix(x.column("vector"), size), x.column("id").to_numpy(), matrix(x.column("proj"), DIMS), matrix(y.column("vector"), size), qid, matrix(y.column("proj"), DIMS), y.column("bound").to_numpy(), k, limit, top)
         return pa.table({"query_id": pa.array(qid[row.astype(np.int64)], pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    def round_of(asked: DataFrame, first: bool) -> DataFrame:
-        sent = asked.mapInArrow(route(first), "id long, vector array<double>, proj array<double>, bound double, cell int, block int")
+    def round_of(asked: DataFrame, begin: int, end: int | None) -> DataFrame:
+        sent = asked.mapInArrow(route(begin, end), "id long, vector array<double>, proj array<double>, bound double, cell int, block int")
         left = blocked.select("cell", "block", "id", "vector", "proj").groupBy("cell", "block")
         return left.cogroup(sent.groupBy("cell", "block")).applyInArrow(verify, "query_id long, id long, score double")
 
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    once = queries.groupBy("id").agg(F.any_value("vector").alias("vector"))
-    home = cut(round_of(once, True).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
-    bound = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
-    asked = once.join(bound.withColumnRenamed("query_id", "id"), "id", "left").select("id", "vector", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    found = home.unionByName(round_of(asked, False)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "id", "score")
+    once = queries.groupBy("id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
+    found: DataFrame | None = None
+    begin = 0
+    for end in ROUNDS:
+        if begin >= len(cells):
+            break
+        asked = once.withColumn("bound", F.lit(float("-inf")))
+        if found is not None:
+            bound = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
+            asked = once.join(bound.withColumnRenamed("query_id", "id"), "id", "left").select("id", "vector", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+        more = round_of(asked, begin, end)
+        more = more if found is None else found.unionByName(more)
+        found = cut(more.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+        begin = len(cells) if end is None else end
+    return found.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "id", "score")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,3 +217,27 @@ def test_similar_documents_of_empty_tables_repeats_and_clashing_names(spark):
     assert got == sorted([(3, 1), (3, 1), (3, 1), (1, 1), (None, None), (7, 7)], key=repr)
     assert sh.similar_documents(df.where("false")).count() == 0
     assert sh.similar_documents(df.where("id is null") if "id" in df.columns else df.where("doc_id is null")).collect() == [(None, None)]
+
+
+def test_ids_with_several_vectors(spark):
+    v = vectors()
+    rows = [(1, v[0].tolist(), 0), (1, v[200].tolist(), 0), (2, v[1].tolist(), 0), (3, v[200].tolist(), 0), (4, (-v[200]).tolist(), 0)]
+    got = sorted((r.id, r.n_links, r.component_id) for r in mj.near_vectors(spark.createDataFrame(rows, KIND)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+    asked = [(r.query_id, r.id) for r in ne.nearest(spark.createDataFrame(rows, KIND), F.col("id") == 1).collect()]
+    assert sorted(i for _, i in asked) == [2, 3, 4] and all(q == 1 for q, _ in asked)
+
+
+def test_the_search_stops_at_the_first_leaf_beyond_the_radius(monkeypatch):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([c + 0.01 * rng.standard_normal((300, 8)) for c in 3 * rng.standard_normal((20, 8))])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    proj, ids = points @ rng.standard_normal((8, 8)), np.arange(len(points))
+    at, seen = np.arange(0, 6000, 300), []
+    split = np.split
+    monkeypatch.setattr(ne.np, "split", lambda x, *a: seen.append(len(x)) or split(x, *a))
+    row, i, s = ne.search(points, ids, proj, points[at], ids[at], proj[at], np.full(len(at), -np.inf), 20, ne.chi_square_quantile(ne.SURE, 8), 1.0)
+    assert len(row) == 20 * len(at) and sum(seen) < 0.4 * len(at) * (len(points) / ne.LEAF)  # far from all leaves are verified
+    truth = points[at] @ points.T
+    truth[np.arange(len(at)), at] = -np.inf
+    assert np.mean([len(set(np.argsort(-truth[k])[:20]) & set(i[row == k])) for k in range(len(at))]) >= 18
