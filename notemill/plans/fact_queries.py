@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import clean_scalar, text_hash, truncate_middle
-from ..operators import backends, facts as f, pipeline
+from ..functions.text import text_hash
+from ..operators import backends, bundles, facts as f, pipeline
 from .adapters import load, view
 from .catalogue import query
 
@@ -167,30 +167,37 @@ def feedback_fallback(spark, sf):
     return rows.select("method", "record_id", F.when(F.startswith(text, F.lit("{")), "verdict as JSON").otherwise(text).alias("feedback"), "v.verdict")
 
 
+_FACT = """'{"category":"' || category || '","evidence":"' || evidence || '","fact":"' || fact || '"}'"""
+_BUNDLE = f"""'{{"extracted_fact_count_sent":' || CAST(least(count(*), 2) AS VARCHAR) || ',"extracted_fact_count_total":' || CAST(count(*) AS VARCHAR)
+  || ',"extracted_facts":[' || string_agg({_FACT}, ',' ORDER BY k) FILTER (WHERE k <= 2) || '],"primary_fact_column":"extracted_facts","readable_fact_summaries":{{}},"row_fields":{{"note":"n' || CAST(row_index AS VARCHAR)
+  || '"}},"schema_observed_columns":["extracted_facts","note"]}}'"""
+
+
 @query(f"""
-SELECT row_index, count(*) AS total, count(*) FILTER (WHERE k <= 2) AS sent, 'unknown' AS record_id,
-  sha256('﻿' || '{{"facts":[' || string_agg('{{"category":"' || category || '","evidence":"' || evidence || '","fact":"' || fact || '"}}', ',' ORDER BY k) FILTER (WHERE k <= 2)
-    || '],"record_id":"","row_index":' || CAST(row_index AS VARCHAR) || '}}') AS bundle_hash FROM ({_LINES}) GROUP BY row_index""")
+SELECT row_index, total, least(total, 2) AS sent, '' AS record_id, sha256('﻿' || '{{"facts":' || bundle || ',"record_id":"","row_index":' || CAST(row_index AS VARCHAR) || '}}') AS bundle_hash,
+  sha256(left(bundle, length(bundle) - 1) ) AS evidence_head FROM (SELECT row_index, count(*) AS total, {_BUNDLE} AS bundle FROM ({_LINES}) GROUP BY row_index)""")
 def fact_bundle(spark, sf):
     """What a generator sees of a record's facts: the first two, with a hash over sorted keys; no professor."""
-    rows = _facts(spark, sf).withColumn("record_id", F.lit(""))
-    sent = f.compact_facts(F.col("facts"), 260, 2)
-    plain = F.transform(sent, lambda x: F.struct(*(x[k].alias(k) for k in sorted(f.FIELDS))))
-    bundle = F.to_json(F.struct(plain.alias("facts"), "record_id", "row_index"))
-    return rows.select("row_index", F.size("facts").cast("long").alias("total"), F.size(sent).cast("long").alias("sent"), F.coalesce(F.nullif("record_id", F.lit("")), F.lit("unknown")).alias("record_id"), text_hash(bundle).alias("bundle_hash"))
+    rows = view(spark, sf, "fact").withColumn("note", F.concat(F.lit("n"), F.col("row_index").cast("string")))
+    out = bundles.fact_bundles(rows, most_facts=2, with_professor=False)
+    # the evidence without the record's keys is the bundle that the hash covers
+    head = F.regexp_extract("evidence", '(?s)^(.*?),"record_id":"unknown"', 1)
+    fields = F.regexp_extract("evidence", '(?s)(,"row_fields":\\{.*?\\})', 1)
+    whole = F.concat(head, fields, F.regexp_extract("evidence", '(?s)(,"schema_observed_columns":.*)\\}\\z', 1))
+    return out.select("row_index", F.col("n_facts").cast("long").alias("total"), F.col("n_sent").cast("long").alias("sent"), "record_id", "bundle_hash", F.sha2(whole, 256).alias("evidence_head"))
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 @query(f"""
-SELECT row_index, record_id, length(t) > 500 AS truncated,
+SELECT row_index, record_id, professor, CAST(length(t) AS BIGINT) AS chars, length(t) > 500 AS truncated,
   sha256(CASE WHEN length(t) <= 500 THEN t ELSE rtrim(left(t, 250), {_WS}) || chr(10) || '...[TRUNCATED]...' || chr(10) || ltrim(right(t, 218), {_WS}) END) AS raw_sha256
-FROM (SELECT row_index, record_id, trim(input, {_WS}) AS t FROM @rec)""")
+FROM (SELECT row_index, record_id, professor, replace(replace(replace(trim(input, {_WS}), '\\r\\n', chr(10)), '\\n', chr(10)), '\\t', chr(9)) AS t FROM @rec)""")
 def raw_bundle(spark, sf):
-    rec = view(spark, sf, "rec")
-    whole = clean_scalar("input", unescaped=False)
-    return rec.select("row_index", "record_id", (F.length(whole) > 500).alias("truncated"), F.sha2(truncate_middle("input", 500, unescaped=False), 256).alias("raw_sha256"))
+    rec = view(spark, sf, "rec").select("row_index", F.col("professor").alias("Professor_ID"), F.col("record_id").alias("수술ID"), F.col("input").alias("Input"))
+    out = bundles.raw_bundles(rec, "raw_to_note", most_chars=500)
+    return out.select("row_index", "record_id", "professor", F.col("chars").cast("long").alias("chars"), "truncated", F.sha2("evidence", 256).alias("raw_sha256"))
 
 
 @query("""

@@ -16,8 +16,9 @@ from ..runtime import reach
 from ..sources.sinks import append_partial
 
 
-def run_new_files(spark: SparkSession, landing: str, out: str, checkpoint: str, schema: StructType, work: Callable[[DataFrame], DataFrame], keys: tuple[str, ...], files_a_batch: int = 100) -> None:
-    """work() on the rows of all new JSON files in landing; what it returns lies under out, a folder for each batch."""
+def run_new_files(spark: SparkSession, landing: str, out: str, checkpoint: str, schema: StructType, work: Callable[[DataFrame], DataFrame], keys: tuple[str, ...], files_a_batch: int = 100, audit: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """work() on the rows of all new JSON files in landing; what it returns lies under out, a folder for each batch, and the lines
+    that audit() makes of it (one column, value) under out's sibling <out>_audit, batch by batch too."""
 
     def batch(df: DataFrame, number: int) -> None:
         session = df.sparkSession
@@ -28,6 +29,8 @@ def run_new_files(spark: SparkSession, landing: str, out: str, checkpoint: str,
             done = session.read.parquet(out).where(f"batch <> {number}")
             rows = pending(rows, done, *keys)
         append_partial(work(rows), out, number)
+        if audit:
+            audit(session.read.parquet(f"{out}/batch={number}")).write.mode("overwrite").text(f"{out}_audit/batch={number}")
 
     stream = reach(spark).readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(landing)
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

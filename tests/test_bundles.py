@@ -52,6 +52,18 @@ def test_raw_bundles_and_selection(spark):
             bad()
 
 
+def test_tables_have_their_record_types(spark):
+    from notemill import schema
+    from notemill.operators import documents
+
+    df = spark.createDataFrame(ROWS, COLUMNS)
+    dated = documents.dated(documents.split_documents(df.selectExpr("row_index", "'2020-01-02' AS input"), "row_index"))
+    payload = df.select(f.payload(F.try_parse_json("Extracted_Facts"), F.lit("x")).alias("p")).select("p.facts").schema["facts"].dataType.elementType
+    kinds = lambda t: [(x.name, x.dataType.simpleString()) for x in t.fields]
+    assert set(kinds(schema.DOCUMENT)) <= set(kinds(dated.schema)) and kinds(dated.schema["mentions"].dataType.elementType) == kinds(schema.MENTION)
+    assert kinds(payload) == kinds(schema.FACT) and {x.name for x in schema.BUNDLE} <= set(b.fact_bundles(df).columns)
+
+
 def test_payload_of_any_shape(spark):
     replies = ['{"facts": "no", "uncertain_or_conflicting": "maybe"}', '{"facts": [{"fact": "chest CT", "category": "Operation"}, 3], "uncertain_or_conflicting": ["a", {"b": 1}], "source_document": "S"}', "{}", '{"uncertain_or_conflicting": 0}']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string")

@@ -183,5 +183,6 @@ def test_stream_resumes(spark, tmp_path):
     run_new_files(spark, land, out, check, schema, work, ("k",))
     (tmp_path / "land/b.json").write_text('{"k":"a","v":5}\n{"k":"b","v":2}\n')
     for _ in range(2):  # the second run has nothing new
-        run_new_files(spark, land, out, check, schema, work, ("k",))
+        run_new_files(spark, land, out, check, schema, work, ("k",), audit=sinks.stable_json)
+    assert [x.value for x in spark.read.text(f"{out}_audit").collect()] == ['{"k":"b","v":2,"w":4}']
     assert rows(spark.read.parquet(out).select("k", "w"), "k") == [("a", 2), ("b", 4)]
