@@ -36,7 +36,11 @@ from .common import table, text_of
 
 #: Parameters: words a worker remembers, in two generations, and their most bytes; symbols after which the encoder looks for
 #: final tokens; bytes of text whose pieces are handled at a time.
-MEMO, REMEMBERED, STEP, SLICE = 300_000, 1024, 16, 1 << 16
+MEMO, REMEMBERED, STEP, SLICE = 600_000, 1024, 16, 1 << 16
+
+
+#: A rank beyond all.
+NEVER = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -60,7 +64,8 @@ class Model:
         self.splits = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        self.pairs = {(self.ids[u], self.ids[v]): (rank, self.ids[u + v]) for rank, (u, v) in enumerate(pairs)}
+        self.pairs = {(self.ids[u], self.ids[v]): rank for rank, (u, v) in enumerate(pairs)}
+        self.made = [self.ids[u + v] for u, v in pairs]
         shown = byte_symbols()
         self.inner = [self.ids[c] for c in shown]
         self.final = [self.ids[c + self.suffix] for c in shown]
@@ -88,67 +93,48 @@ class Model:
         yield from (x[0] for x in self.pieces.finditer(normalised(text[at:])))
 
     def merge(self, ids: list[int]) -> list[int]:
-        """All merges of a short sequence: the pair of least rank first, from the left."""
-        if len(ids) > 40:
-            return self._merge_long(ids)
-        get = self.pairs.get
-        ids = list(ids)
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                found = get((ids[i], ids[i + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
+        """All merges of a sequence: the pair of least rank first, from the left."""
+        if len(ids) > 64:
+            return self.history(ids)[0]
+        get, made, ids = self.pairs.get, self.made, list(ids)
+        ranks = [get(pair, NEVER) for pair in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
                 break
-            ids[at : at + 2] = [best[1]]
+            i = ranks.index(best)
+            ids[i : i + 2] = [new] = [made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], new), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((new, ids[i + 1]), NEVER)
         return ids
 
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap and links."""
-        get, ids, n = self.pairs.get, list(ids), len(ids)
-        right, left = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(f[0], i, f[1], ids[i], ids[i + 1]) for i in range(n - 1) if (f := get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, new, a, b = heapq.heappop(heap)
-            j = right[i]
-            if j < 0 or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], ids[j], right[i] = new, -1, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-                if f := get((new, ids[right[i]])):
-                    heapq.heappush(heap, (f[0], i, f[1], new, ids[right[i]]))
-            right[j] = -1
-            if (k := left[i]) >= 0 and (f := get((ids[k], new))):
-                heapq.heappush(heap, (f[0], k, f[1], ids[k], new))
-        return [x for x in ids if x >= 0]
-
     def history(self, ids: list[int]) -> tuple[list[int], list[list[list[float]]], list[float]]:
         """The merged sequence; for each place the tokens that ended there, each as [token, rank at which it came, rank at which
         it went]; for each place the rank at which it went: when a merge took in both sides."""
-        get, ids, n = self.pairs.get, list(ids), len(ids)
+        get, made, ids, n = self.pairs.get, self.made, list(ids), len(ids)
         right, left = [*range(1, n), n], [-1, *range(n - 1)]
         ended: list = [[], *([[x, -1, math.inf]] for x in ids)]
         gone = [math.inf] * (n + 1)
-        heap = [(f[0], i, f[1], ids[i], ids[i + 1]) for i in range(n - 1) if (f := get((ids[i], ids[i + 1])))]
+        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, new, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = right[i]
             if j == n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = new, _ = made[rank], -1
             right[i] = end = right[j]
             ended[j][-1][2] = ended[end][-1][2] = gone[j] = rank
             ended[end].append([new, rank, math.inf])
             if end < n:
                 left[end] = i
-                if f := get((new, ids[end])):
-                    heapq.heappush(heap, (f[0], i, f[1], new, ids[end]))
-            if (k := left[i]) >= 0 and (f := get((ids[k], new))):
-                heapq.heappush(heap, (f[0], k, f[1], ids[k], new))
+                if (f := get((new, ids[end]))) is not None:
+                    heapq.heappush(heap, (f, i, new, ids[end]))
+            if (k := left[i]) >= 0 and (f := get((ids[k], new))) is not None:
+                heapq.heappush(heap, (f, k, ids[k], new))
         return [x for x in ids if x >= 0], ended, gone
 
     def fires(self, u: int, edge: str, known: str, after: float, until: float) -> float | None:
@@ -165,9 +151,9 @@ class Model:
                 best = rank
             at += 1
         for k in range(len(edge), len(known)):
-            rule = self.pairs.get((u, self.ids.get(known[:k], -1)))
-            if rule and after < rule[0] <= until and (best is None or rule[0] < best):
-                best = rule[0]
+            rank = self.pairs.get((u, self.ids.get(known[:k], -1)))
+            if rank is not None and after < rank <= until and (best is None or rank < best):
+                best = rank
         return best
 
     def stable_end(self, window: list[int], ended: list, gone: list[float]) -> int:
@@ -199,23 +185,21 @@ class Model:
 
     def stream(self, symbols: Iterable[int], step: int = STEP) -> Iterator[int]:
         """Tokens of one pre-token, each as soon as it is final; the window has four lookaheads at most."""
-        window: list[int] = []
-        due, width, limit = step, self.width, max(64, 4 * self.lookahead)
-        for s in symbols:
-            if len(window) >= due:  # more follows
-                tokens, *course = self.history(window)
-                final = self.stable_end(window, *course)
-                if len(window) >= limit:
-                    final = max(final, len(window) - self.lookahead - 1)
-                done = 0
-                for token in tokens:
-                    if done + width[token] > final:
-                        break
-                    done += width[token]
-                    yield token
-                window = window[done:]
-                due = len(window) + max(step, len(window) // 2)
-            window.append(s)
+        symbols, width, limit = iter(symbols), self.width, max(64, 4 * self.lookahead)
+        window = list(itertools.islice(symbols, step))
+        while (following := next(symbols, None)) is not None:
+            tokens, *course = self.history(window)
+            final = self.stable_end(window, *course)
+            if len(window) >= limit:
+                final = max(final, len(window) - self.lookahead - 1)
+            done = 0
+            for token in tokens:
+                if done + width[token] > final:
+                    break
+                done += width[token]
+                yield token
+            window = [*window[done:], following]
+            window += itertools.islice(symbols, max(step, len(window) // 2) - 1)
         yield from self.merge(window)
 
     def tokens(self, text: str) -> Iterator[int]:
