@@ -54,7 +54,7 @@ def style_references(pool: DataFrame, most: int = 12) -> DataFrame:
     own = W.partitionBy("professor")
     slim = pool.select("professor", "record_id", F.length("output").alias("_l"), F.xxhash64("output").alias("_h"))
     ranked = slim.withColumn("_r", F.row_number().over(own.orderBy("_l", "record_id", "_h")) - 1).withColumn("_n", F.count("*").over(own))
-    steps = F.array(*(F.bround(F.lit(i / max(1, most - 1)) * (F.col("_n") - 1)).cast("int") for i in range(most)))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i / F.lit(float(max(1, most - 1))) * (F.col("_n") - 1)).cast("int"))
     kept = ranked.where((F.col("_n") <= most) | F.array_contains(steps, F.col("_r")))
     kept = kept.withColumn("pick", F.row_number().over(own.orderBy("_r"))).select("professor", "record_id", "_h", "pick")
     texts = pool.withColumn("_h", F.xxhash64("output")).dropDuplicates(["professor", "record_id", "_h"])

@@ -164,12 +164,17 @@ def merged_workbooks(spark: SparkSession, folder: str, keep_empty_output: bool =
     keep_empty_output. in_order sorts by professor and id. summary: source_file, professor_id, input_rows, output_rows,
     skipped_rows. Workbooks that cannot be read or lack a column are a warning; no workbook, or no valid one, is an error.
     """
-    parts = file_parts(files(spark, folder, "*.xlsx"), first_sheet=True)
+    return merged_files(files(spark, folder, "*.xlsx"), keep_empty_output, in_order)
+
+
+def merged_files(found: DataFrame, keep_empty_output: bool = True, in_order: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """merged_workbooks of workbooks (name, suffix, content) wherever they come from."""
+    parts = file_parts(found, first_sheet=True)
     complete = F.forall(F.array(*map(F.lit, REQUIRED)), lambda c: F.array_contains("header", c))
     lost = F.filter(F.array(*map(F.lit, REQUIRED)), lambda c: ~F.array_contains(F.col("header"), c))
     parts = parts.withColumn("complete", F.coalesce(complete, F.lit(False)))
     if parts.where("row_index = -1 and complete").isEmpty():
-        raise RuntimeError(f"no valid workbook in {folder}")
+        raise RuntimeError("none of the workbooks is valid")
     valid = parts.where("complete").withColumn("professor_id", trim(professor_of(nfc(F.col("name")))))
     text = lambda c: trim(nfc(cell(c)))
     rows = valid.where("row_index >= 0").select("name", "row_index", F.col("professor_id").alias(PROFESSOR), *(text(c).alias(c) for c in REQUIRED))

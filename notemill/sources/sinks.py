@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import re
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterable, Sequence
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +79,24 @@ def markdown(rows: DataFrame, title: str, head: dict[str, str], sections: dict[s
         parts += [F.lit(""), F.lit(f"### {name}"), field(c)]
     body = rows.select(F.col(order).alias("o"), F.concat_ws("\n", *parts).alias("value"))
     return body.orderBy("o").select(F.concat(F.col("value"), F.lit("\n")).alias("value"))
+
+
+def workbook_bytes(sheets: dict[str, Sequence[Sequence[str]]]) -> bytes:
+    """An XLSX file of text cells: rows of each sheet."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", "<workbook xmlns:r='r'><sheets>" + "".join(f"<sheet name='{escape(n)}' r:id='r{k}'/>" for k, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<x>" + "".join(f"<Relationship Id='r{k}' Target='worksheets/s{k}.xml'/>" for k in range(len(sheets))) + "</x>")
+        for k, rows in enumerate(sheets.values()):
+            body = "".join("<row>" + "".join(f"<c t='inlineStr'><is><t>{escape(c)}</t></is></c>" for c in row) + "</row>" for row in rows)
+            z.writestr(f"xl/worksheets/s{k}.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def document_bytes(paragraphs: Iterable[str]) -> bytes:
+    """A DOCX file of paragraphs."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        body = "".join(f"<w:p><w:t>{escape(p)}</w:t></w:p>" for p in paragraphs)
+        z.writestr("word/document.xml", f"<w:document xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'>{body}</w:document>")
+    return out.getvalue()

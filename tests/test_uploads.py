@@ -1,32 +1,18 @@
-import io
 import json
 import unicodedata
-import zipfile
-from xml.sax.saxutils import escape
 
 import pytest
 
 from notemill.operators import uploads as u
-from notemill.sources import readers
+from notemill.sources import readers, sinks
 
 
 def xlsx(**sheets):
-    """A workbook with inline strings: {sheet: rows}."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", "<workbook xmlns:r='r'><sheets>" + "".join(f"<sheet name='{n}' r:id='r{k}'/>" for k, n in enumerate(sheets)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", "<x>" + "".join(f"<Relationship Id='r{k}' Target='worksheets/s{k}.xml'/>" for k in range(len(sheets))) + "</x>")
-        for k, rows in enumerate(sheets.values()):
-            body = "".join("<row>" + "".join(f"<c t='inlineStr'><is><t>{escape(c)}</t></is></c>" for c in row) + "</row>" for row in rows)
-            z.writestr(f"xl/worksheets/s{k}.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>")
-    return out.getvalue()
+    return sinks.workbook_bytes(sheets)
 
 
 def docx(*paragraphs):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", "<w:document xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'>" + "".join(f"<w:p><w:t>{p}</w:t></w:p>" for p in paragraphs) + "</w:document>")
-    return out.getvalue()
+    return sinks.document_bytes(paragraphs)
 
 
 def put(folder, **content):
@@ -49,7 +35,7 @@ def test_merged_workbooks(spark, tmp_path):
     found = {r.name: r.warning for r in warnings.collect()}
     assert found["lacks.xlsx"] == "lacks.xlsx: missing columns Output" and "cannot be read" in found["broken.xlsx"]
     assert u.merged_workbooks(spark, folder, keep_empty_output=False)[0].count() == 2
-    with pytest.raises(RuntimeError, match="no valid"):
+    with pytest.raises(RuntimeError, match="none of the workbooks"):
         u.merged_workbooks(spark, put(tmp_path / "bad", **{"a.xlsx": b"x"}))
     with pytest.raises(FileNotFoundError):
         u.merged_workbooks(spark, put(tmp_path / "none", **{"a.csv": "x"}))
