@@ -30,6 +30,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.exec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. BATCH holds for the session from now on, as plans run after their functions have returned."""
     for key, value in BATCH.items():
         spark.conf.set(key, value)
     return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ from .vectors import common_size, matrix, usable
 #: Parameters: rows of the sample that pivots come from, rows for which a label gets a pivot and most pivots of a label, rows
 #: of a block of a cell. SLACK covers rounding in the bounds; links are checked exactly. A label that the sample lacks, or
 #: of few rows, is one cell. Where no bound prunes (directions at random), the cells are a join in blocks, no more.
-SAMPLE, CELL, PIVOTS, BLOCK, SLACK = 8192, 8192, 512, 4096, 1e-6
+SAMPLE, CELL, PIVOTS, BLOCK, SLACK = 65_536, 8192, 4096, 4096, 1e-6
 
 
 def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -51,7 +51,8 @@ def cosine_links(nodes: DataFrame, size: int, threshold: float) -> tuple[DataFra
     spark = nodes.sparkSession
     r = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     total = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("label", "vector").toPandas()
+    some = min(SAMPLE, 16 * math.ceil(total / CELL) + 1024)
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(some).select("label", "vector").toPandas()
     pivots: dict = {}
     for label, group in sample.groupby("label"):
         want = math.ceil(len(group) / len(sample) * total / CELL)
