@@ -96,14 +96,17 @@ def document_date_pick(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, true AS slashed, true AS short, false AS next_day FROM orders""")
+SELECT o_orderkey, o_orderkey % 2 = 0 AS slashed, o_orderkey % 2 = 0 AS short, o_orderkey % 2 = 1 AS next_day, o_orderkey % 2 = 0 AS month_only FROM orders""")
 def date_variant_support(spark, sf):
+    """Dates in evidence of the day itself (even keys) or of the day after, in other spellings; the month alone in the same or the next year."""
     o = load(spark, sf, "orders")
-    claim = F.date_format("o_orderdate", "yyyy-MM-dd")
-    yy = F.substring(F.year("o_orderdate").cast("string"), 3, 2)
-    short = F.concat_ws(".", yy, F.month("o_orderdate").cast("string"), F.dayofmonth("o_orderdate").cast("string"))
+    odd = (F.col("o_orderkey") % 2).cast("int")
+    claim, day = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_add("o_orderdate", odd)
+    yy = F.substring(F.year(day).cast("string"), 3, 2)
+    short = F.concat_ws(".", yy, F.month(day).cast("string"), F.dayofmonth(day).cast("string"))
     seen = lambda c, e: dates.date_supported(c, match_normalize(F.concat(F.lit("Visit ON "), e, F.lit(" noted"))))
-    return o.select("o_orderkey", seen(claim, F.date_format("o_orderdate", "yyyy/MM/dd")).alias("slashed"), seen(claim, short).alias("short"), seen(F.date_format(F.date_add("o_orderdate", 1), "yyyy-MM-dd"), claim).alias("next_day"))
+    month = F.concat((F.year("o_orderdate") + odd).cast("string"), F.lit("."), F.date_format("o_orderdate", "MM"))
+    return o.select("o_orderkey", seen(claim, F.date_format(day, "yyyy/MM/dd")).alias("slashed"), seen(claim, short).alias("short"), seen(F.date_format(F.date_add("o_orderdate", 1), "yyyy-MM-dd"), F.date_format(day, "yyyy.MM.dd")).alias("next_day"), seen(F.date_format("o_orderdate", "yyyy-MM"), month).alias("month_only"))
 
 
 @query(f"""

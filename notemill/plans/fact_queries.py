@@ -128,22 +128,27 @@ def verify_guardrails(spark, sf):
 
 
 @query("""
-SELECT record_id, round(avg(likert / 5.0), 4) AS coverage, CAST(sum(likert) AS BIGINT) AS iterations, count(*) FILTER (WHERE n_mixing = 1) AS n_errors,
-  bool_and(n_unsupported = 0) AS approved, count(*) FILTER (WHERE n_unsupported > 0) + count(*) FILTER (WHERE n_unsupported > 0 AND n_absent > 0) AS n_unresolved,
-  'Extracted fact count: 0' || chr(10) || 'Category counts: None' || chr(10) || 'Approved: ' || CASE WHEN bool_and(n_unsupported = 0) THEN 'True' ELSE 'False' END AS summary
-FROM @judge_note GROUP BY record_id""")
+WITH r AS (SELECT record_id, round(avg(likert / 5.0), 4) AS coverage, CAST(sum(likert) AS BIGINT) AS iterations, count(*) FILTER (WHERE n_mixing = 1) AS n_errors, bool_and(n_unsupported = 0) AS approved,
+  count(*) FILTER (WHERE n_unsupported > 0) + count(*) FILTER (WHERE n_unsupported > 0 AND n_absent > 0) AS n_unresolved, count(*) FILTER (WHERE k % 3 > 0) AS n_facts FROM @judge_note GROUP BY record_id),
+c AS (SELECT record_id, string_agg(category || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY category) AS counts
+  FROM (SELECT record_id, CASE WHEN k % 3 = 1 THEN 'Other' ELSE method END AS category, count(*) AS n FROM @judge_note WHERE k % 3 > 0 GROUP BY 1, 2) GROUP BY record_id)
+SELECT r.* EXCLUDE (n_facts), 'Extracted fact count: ' || CAST(n_facts AS VARCHAR) || chr(10) || 'Category counts: ' || coalesce(counts, 'None') || chr(10) || 'Approved: ' || CASE WHEN approved THEN 'True' ELSE 'False' END || chr(10)
+  || 'Coverage score: ' || CAST(CAST(coverage AS DOUBLE) AS VARCHAR) || chr(10) || 'Evidence support score: ' || CAST(CAST(coverage AS DOUBLE) AS VARCHAR) || chr(10) || 'Unresolved issue groups: ' || CAST(n_unresolved AS VARCHAR) AS summary
+FROM r LEFT JOIN c USING (record_id)""")
 def stage3_rollup(spark, sf):
     rows = _verified(spark, sf).withColumn("approved", F.col("n_unsupported") == 0)
     groups = sum((F.size(F.col(f"v.{k}")) > 0).cast("int") for k in f.ISSUES)
+    cells = {"category": F.when(F.col("k") % 3 == 1, "").otherwise(F.col("method"))}  # an empty category counts as Other
+    fact = F.when(F.col("k") % 3 > 0, F.struct(*(cells.get(k, F.lit("x")).alias(k) for k in f.FIELDS)))
     out = rows.groupBy("record_id").agg(
+        F.collect_list(fact).alias("facts"),
         f.score_mean(F.col("v.coverage_score").cast("string")).alias("coverage"),
         F.sum("likert").alias("iterations"),
         F.count_if(F.col("n_mixing") == 1).alias("n_errors"),
         F.bool_and("approved").alias("approved"),
         F.sum(F.when(~F.col("approved"), groups).otherwise(0)).alias("n_unresolved"),
     )
-    text = f.final_summary(F.array().cast(f.NO_FACTS), F.col("approved"), F.col("coverage"), F.col("coverage"), F.col("n_unresolved"))
-    return out.withColumn("summary", F.substring_index(text, "\n", 3))
+    return out.withColumn("summary", f.final_summary(F.col("facts"), F.col("approved"), F.col("coverage"), F.col("coverage"), F.col("n_unresolved"))).drop("facts")
 
 
 @query("""
