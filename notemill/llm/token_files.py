@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .bpe import pieces_of, word_and_ending, word_file
 from .common import shared_folder, table, text_of
 
-#: Parameters: ids of a block, ids after which a frame is closed, words that a worker remembers.
-BLOCK, CHUNK, MEMO = 1 << 16, 1 << 20, 600_000
+#: Parameters: ids of a block, ids after which a frame is closed, words that a worker remembers, new words encoded together.
+BLOCK, CHUNK, MEMO, TOGETHER = 1 << 16, 1 << 20, 600_000, 1024
 HEAD = struct.Struct("<4sBBIIQI")
 MAGIC = b"NMT1"
 
@@ -92,6 +92,22 @@ def unpack(frame: bytes, blocks: range | None = None) -> tuple[np.ndarray, np.nd
     return (np.concatenate(out) if out else np.zeros(0, "<u4")), lengths
 
 
+class Remembered(dict):
+    """Ids of pieces; what it lacks comes from the generation before, or else gives None and is noted in ``missed``."""
+
+    def __init__(self, old: dict):
+        super().__init__()
+        self.old, self.missed = old, []
+
+    def __missing__(self, piece: bytes) -> bytes | None:
+        known = self.old.get(piece)
+        if known is None:
+            self.missed.append(piece)
+        else:
+            self[piece] = known
+        return known
+
+
 class LibraryWords:
     """Ids (little-endian u32) that the tokenizers library gives for pieces between ASCII white space, remembered.
 
@@ -115,13 +131,12 @@ class LibraryWords:
         for t, i in vocab.items():
             self.ends[i] = t.endswith("</w>")
         self.pretokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.new = Remembered({})
 
     def _ids(self, texts: list[str], counts: np.ndarray | None) -> list[bytes] | None:
         """Ids of pieces of so many pre-tokens each (None: one), encoded in a row; None if their number is another."""
         tokenizer = self.plain if counts is None else self.library
-        ids = np.array(tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != (len(texts) if counts is None else counts.sum()):
             return None
@@ -139,14 +154,12 @@ class LibraryWords:
         return found or [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """A dict that has all the pieces."""
-        if len(self.new) > MEMO // 2:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
+        """Encodes the pieces; the dict that has them."""
+        new = self.new
         words, others, joined = set(), set(), []
-        for p in pieces - new.keys():
-            if (known := old.get(p)) is not None:
-                new[p] = known
+        for p in pieces:
+            if p.isalpha() and p.islower():  # of bytes: ASCII letters only
+                words.add(p)
                 continue
             word, ending = word_and_ending(p)
             if ending or word != p:
@@ -157,16 +170,26 @@ class LibraryWords:
             else:
                 (words if is_plain(p) else others).add(p)
         for group, letters in ((words, True), (others, False)):
-            group -= new.keys()
-            for p in group & old.keys():
-                new[p] = old[p]
-            todo = list(group - new.keys())
-            for at in range(0, len(todo), 256):
-                new.update(zip(todo[at : at + 256], self._encode(todo[at : at + 256], letters)))
+            todo = [p for p in group if p in pieces or new[p] is None]
+            for at in range(0, len(todo), TOGETHER):
+                new.update(zip(todo[at : at + TOGETHER], self._encode(todo[at : at + TOGETHER], letters)))
         for p, word, ending in joined:
             new[p] = new[word] + new[ending] if ending else new[word]
+        new.missed = []
         return new
 
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Each piece is looked up once; what is not known yet is encoded together, then filled in."""
+        if len(self.new) > MEMO // 2:
+            self.new.old = {}
+            self.new = Remembered(self.new)
+        new = self.new
+        rows = [list(map(new.__getitem__, pieces_of(t))) for t in texts]
+        missed, new.missed = new.missed, []  # in the order in which None stands in rows
+        self.learn(set(missed))
+        late = map(new.__getitem__, missed)
+        return [b"".join([next(late) if ids is None else ids for ids in row]) for row in rows]
+
 
 def is_plain(piece: bytes) -> bool:
     """Whether a piece is letters only, in normal form C and lower case."""
@@ -216,11 +239,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                 names = batch.column(0).type
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
-                    pieces = [pieces_of(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                    known = words.learn(set().union(*pieces))
-                    for i, p in zip(part.column(0).to_pylist(), pieces):
+                    for i, blob in zip(part.column(0).to_pylist(), words.ids_of(part.column(1).cast(pa.binary()).to_pylist())):
                         ids.append(i)
-                        blobs.append(b"".join(map(known.__getitem__, p)) + end)
+                        blobs.append(blob + end)
                         n += len(blobs[-1]) // 4
                         if n >= CHUNK:
                             yield row(names)
