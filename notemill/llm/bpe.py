@@ -302,7 +302,7 @@ def word_and_ending(piece: bytes) -> tuple[bytes, bytes]:
     return piece, b""
 
 
-_PARTED = re.compile(rb"(?<=[A-Za-z])[,.](?=[ \n])")
+_PARTED = re.compile(rb"[,.](?=[ \n])(?<=[A-Za-z][,.])")  # a sign first, so that the search skips to signs
 
 
 def pieces_of(text: str | bytes) -> list[bytes]:
