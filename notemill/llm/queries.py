@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, context_mixing, language_id, line_dedup, metric_join, mixing, nearest, simhash, token_files, toxicity
+from . import bpe, collocations, context_mixing, language_id, line_dedup, metric_join, mixing, nearest, resampling, sharding, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,18 @@ def queries() -> dict[str, Query]:
         "op8_simhash": simhash.op8_simhash,
         "op9_metric_join": metric_join.op9_metric_join,
         "op10_bpe": bpe.op10_bpe,
+        "op11_resampling": resampling.op11_resampling,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_sharding": sharding.op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.OP3_SQL, "op6_mixing": mixing.OP6_SQL, "op9_metric_join": metric_join.OP9_SQL}
+    return {
+        "op3_line_dedup": line_dedup.OP3_SQL,
+        "op6_mixing": mixing.OP6_SQL,
+        "op9_metric_join": metric_join.OP9_SQL,
+        "op11_resampling": resampling.OP11_SQL,
+        "op12_collocations": collocations.OP12_SQL,
+        "op13_sharding": sharding.OP13_SQL,
+    }

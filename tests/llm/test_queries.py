@@ -57,7 +57,7 @@ def rows(spark, tables, name, columns):
 
 
 def test_every_query_has_an_operator():
-    assert sorted(q.queries(), key=lambda n: int(n[2:].split("_")[0])) == list(q.queries()) and len(q.queries()) == 10
+    assert sorted(q.queries(), key=lambda n: int(n[2:].split("_")[0])) == list(q.queries()) and len(q.queries()) == 13
     assert set(q.oracle_sql()) <= set(q.queries())
 
 
