@@ -19,7 +19,7 @@ LONGEST, LEAST, COVER, TOP = 3, 10, 50, 2000
 #: Parameters: log2 of the buckets (the bitmaps that are sent have an eighth as many bytes), and buckets of a segment.
 BITS, SEGMENT = 26, 1 << 16
 #: Parameters: bytes of text that are tokenized together, buckets that a task holds before it sends their counts, salts of a language.
-TOGETHER, HELD, SALTS = 8 << 20, 1 << 22, 64
+TOGETHER, HELD, SALTS = 6 << 20, 1 << 21, 64
 
 UNKNOWN = "und"
 #: Bytes that part pieces, bytes that part words.
@@ -65,11 +65,11 @@ class Words:
         firsts = edges[:-1][edges[:-1] < len(data)]
         begins[firsts] = inside[firsts]
         starts = np.flatnonzero(begins)
-        place = np.cumsum(inside)
+        place = np.cumsum(inside, dtype=np.int32)
         offsets = np.append(place[starts] - 1, place[-1] if len(place) else 0).astype(np.int32)
         words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(LOW[data[inside]])).dictionary_encode()
         text = np.searchsorted(edges, starts, "right") - 1
-        piece = np.cumsum(kind == 2)[starts]
+        piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
         self.goes_on = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
         names = langs.dictionary_encode()
         lang = np.asarray(names.indices)[text].astype(np.int64)
