@@ -84,11 +84,12 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> dict:
         found = readers.prompts(readers.workbooks(readers.files(spark, a.prompts, "*.xlsx"), first_sheet=False))
         common, fallback = pipeline.common_prompts(found), found.where("kind = 'style'")
     profiles = sinks.stored(pipeline.style_profiles(pool, config, a.sample_count, fallback=fallback, mode=a.selection, seed=a.seed), "profiles")
+    shown = sinks.stored(pipeline.style_excerpts(pool, a.sample_count, mode=a.selection, seed=a.seed), "excerpts")
     tag = {"reference_k": a.sample_count, "reference_selection": a.selection, "reference_seed": a.seed}
     columns = ["record_id", "professor", "generated_note", "validation_status", "validation_warnings", "unsupported_terms_or_claims", "generation_prompt_hash", "style_prompt_hash", "backend", "error", *(["dynamic_style_prompt", "generation_prompt_json"] if a.save_prompts else []), *tag]
     if a.resume and _exists(spark, a.output):
         made = pending(made, runs.done_keys(spark.read.parquet(a.output), columns, tag), "professor", "record_id")
-    written = pipeline.write_notes(made, profiles, config, a.skip_unmatched, a.dry_run, pipeline.system_prompt(common), a.save_prompts)
+    written = pipeline.write_notes(made, profiles, config, a.skip_unmatched, a.dry_run, pipeline.system_prompt(common), a.save_prompts, shown, a.strict_validation)
     written = sinks.stored(written.withColumns({k: F.lit(str(v)) for k, v in tag.items()}), "written")  # notes and audit are of one pass
     written.write.mode("append" if a.resume else "overwrite").parquet(a.output)
     pipeline.audit_rows(written).write.mode("append" if a.resume else "overwrite").text(a.audit)
@@ -177,7 +178,7 @@ def parser() -> argparse.ArgumentParser:
     model = {"backend": {"default": "http", "choices": ("placeholder", "http", "completions")}, "url": {"default": Config.url}, "model": {"default": "none"}, "key": {"default": ""}, "seed": {"type": int, "default": 1225}, "retries": {"type": int, "default": 2}, "dry_run": {"action": "store_true"}, "check_model": {"action": "store_true"}}
     part = {"start_index": {"type": int, "default": 0}, "max_patients": {"type": int, "default": 1}}
     loop = {"max_iterations": {"type": int, "default": 2}, "coverage": {"type": float, "default": 0.85}, "evidence": {"type": float, "default": 0.95}, "extract_only": {"action": "store_true"}, "raw_input_whole": {"action": "store_true"}}
-    write = {"sample_count": {"type": int, "default": 5}, "selection": {"default": "deterministic"}, "max_rows": {"type": int}, "professor": {}, "max_fact_items": {"type": int, "default": 0}, "max_input_chars": {"type": int, "default": 0}, "raw": {"action": "store_true"}, "skip_unmatched": {"action": "store_true"}, "save_prompts": {"action": "store_true"}, "resume": {"action": "store_true"}}
+    write = {"sample_count": {"type": int, "default": 5}, "selection": {"default": "deterministic"}, "max_rows": {"type": int}, "professor": {}, "max_fact_items": {"type": int, "default": 0}, "max_input_chars": {"type": int, "default": 0}, "raw": {"action": "store_true"}, "skip_unmatched": {"action": "store_true"}, "save_prompts": {"action": "store_true"}, "strict_validation": {"action": "store_true"}, "resume": {"action": "store_true"}}
     each = {"methods": {"default": ",".join(k for k, _ in judge.METHODS)}}
     command("merge", merge, {"keep_empty_output": {"action": switch, "default": True}, "sort": {"action": switch, "default": True}}, input=True, output=True)
     command("sort", sort, part, input=True, output=True, json=False)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_supported
-from ..functions.text import DATE, MEDICAL_TERM, NUMBER, clean_scalar, is_generic, lines, match_normalize, sanitize_style
+from ..functions.text import DATE, MEDICAL_TERM, NUMBER, clean_scalar, is_generic, lines, match_normalize, sanitize_style, truncate_middle
 
 #: Shortest reference line that counts as copied, keys of a style profile, length limits of its prompt.
 COPIED = 28
@@ -64,6 +64,10 @@ def note_warnings(note: Column, evidence: Column, opening: Column | None = None,
 
 #: Characters of a word by which lines of few words and notes meet: a line of COPIED characters and four words has one of seven.
 GRAM = 7
+#: Parameter: the most keys of reference lines that are sent to every task; with more, notes and lines are shuffled by key.
+SENT_KEYS = 200_000
+#: What is said of a note that copies a reference, and of one whose evidence lacks some of its facts; our own wording.
+COPY, LEFT_OUT = "copied from the reference record_id=", "strict: some extracted facts were not sent"
 
 
 def _hash(*parts: Column) -> Column:
@@ -114,12 +118,46 @@ def reference_leaks(notes: DataFrame, references: DataFrame) -> DataFrame:
     text = notes.select("note_id", "professor", match_normalize("note").alias("_note"), F.col("evidence").alias("_evidence"))
     owner = F.col("professor")
     spans = text.select("note_id", F.explode(_text_keys(F.col("_note"))).alias("key"), owner)
-    met = spans.join(keyed.select(owner, "key", "line_id"), ["professor", "key"]).select("note_id", "professor", "line_id").distinct()
+    keys = keyed.select(owner, "key", "line_id")
+    if keys.limit(SENT_KEYS + 1).count() <= SENT_KEYS:  # then no key of a note is shuffled
+        keys = F.broadcast(keys)
+    met = spans.join(keys, ["professor", "key"]).select("note_id", "professor", "line_id").distinct()
     both = met.join(text, ["note_id", "professor"]).join(keyed.select("line_id", owner, "line"), ["line_id", "professor"])
     held = both.where(F.contains("_note", F.col("line")) & ~F.contains("_evidence", F.col("line"))).select("note_id", "professor", "line").distinct()
     return held.join(line, ["professor", "line"]).select("note_id", "ref_id").distinct()
 
 
+def excerpts(chosen: DataFrame, limit: int = 0) -> DataFrame:
+    """professor, record_id, pick, output: the chosen references as a profile shows them, cut in their middle beyond limit > 0."""
+    output = truncate_middle("output", limit, unescaped=False) if limit > 0 else F.col("output")
+    return chosen.select("professor", "record_id", "pick", output.alias("output"))
+
+
+def validated(rows: DataFrame, shown: DataFrame | None = None, strict: bool = False, opening: Column | None = None, style: Column | None = None, note: str = "generated_note") -> DataFrame:
+    """rows (professor, evidence and a note) with w: struct<warnings, unsupported>, the whole validation of a note.
+
+    After the warnings of note_warnings come, in the order of picks, the references among ``shown`` (excerpts) of the
+    same professor of which the note has a line that its evidence lacks; then, if strict, that the evidence has fewer facts (n_sent)
+    than were extracted (n_facts; rows without these columns are whole). An empty note has no other warning. Only
+    hashes, notes and evidence go through the join; equal notes on equal evidence are tested once.
+    """
+    out = rows.withColumn("w", note_warnings(F.col(note), match_normalize("evidence"), opening, style))
+    more = []
+    if shown is not None:
+        out = out.withColumn("_id", F.xxhash64(F.coalesce("professor", F.lit("")), F.coalesce(note, F.lit("")), F.coalesce("evidence", F.lit(""))))
+        texts = out.select(F.col("_id").alias("note_id"), "professor", F.col(note).alias("note"), match_normalize("evidence").alias("evidence")).dropDuplicates(["note_id", "professor"])
+        found = reference_leaks(texts, shown.select(F.struct("pick", "record_id").alias("ref_id"), "professor", "output"))
+        found = found.groupBy(F.col("note_id").alias("_id")).agg(F.array_sort(F.collect_set("ref_id")).alias("_refs"))
+        out = out.join(found, "_id", "left").drop("_id")
+        more.append(F.transform("_refs", lambda x: F.concat(F.lit(COPY), x["record_id"])))
+    if strict and {"n_sent", "n_facts"} <= set(rows.columns):
+        more.append(F.when(F.col("n_sent") < F.col("n_facts"), F.array(F.lit(LEFT_OUT))))
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat("w.warnings", *(F.coalesce(x, none) for x in more)))
+    every = F.when(clean_scalar(note) == "", F.col("w.warnings")).otherwise(every)
+    return out.withColumn("w", F.col("w").withField("warnings", every)).drop("_refs")
+
+
 def style_warnings(keys: Column, prompt: Column, abbreviation_rate: Column, stated: Column, professor: Column) -> Column:
     """What is wrong with a style profile: keys (array of those it has), its prompt and its professor."""
     text = clean_scalar(prompt)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import mode_name, note_status
-from ..functions.text import clean_scalar, match_normalize, text_hash, unwrap_note
+from ..functions.text import clean_scalar, text_hash, unwrap_note
 from ..sources.sinks import stable_json, stored
 from . import documents, facts, notes, references
 from .backends import Config, ask
@@ -118,10 +118,15 @@ def extract_and_verify(records: DataFrame, key: str, config: Config, text: str =
     )
 
 
+def style_excerpts(pool: DataFrame, k: int = 3, limit: int = 900, mode: str = "deterministic", seed: int = 1225) -> DataFrame:
+    """professor, record_id, pick, output: what a professor's profile shows of their chosen references."""
+    return notes.excerpts(pool.join(references.selected(pool, k, mode, seed), ["professor", "record_id"]), limit)
+
+
 def style_profiles(pool: DataFrame, config: Config, k: int = 3, limit: int = 900, fallback: DataFrame | None = None, mode: str = "deterministic", seed: int = 1225) -> DataFrame:
     """professor, opening, abbreviation_rate, style_prompt, warnings: one call a professor; a prompt that is missing or
     fails is replaced by the workbook's (fallback: key, text) or by one that needs no model, then repaired."""
-    chosen = pool.join(references.selected(pool, k, mode, seed), ["professor", "record_id"]).withColumn("output", F.left("output", F.lit(limit)))
+    chosen = style_excerpts(pool, k, limit, mode, seed)
     stats = references.note_stats(chosen).select("professor", "abbreviation_rate")
     rows = stats.join(references.opening_line(chosen, at="pick"), "professor", "left").withColumnRenamed("line", "opening")
     examples = chosen.groupBy("professor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pick", "output"))), lambda x: x["output"]), "\n---\n").alias("examples"))
@@ -155,15 +160,17 @@ def common_prompts(prompts: DataFrame) -> dict[str, str]:
     return {r["key"]: r["text"] for r in prompts.where("kind = 'common'").where(F.col("key").isin(*COMMON_KEYS)).collect()}
 
 
-def write_notes(bundles: DataFrame, profiles: DataFrame, config: Config, skip_unmatched: bool = False, dry_run: bool = False, system: str | None = None, save_prompts: bool = False) -> DataFrame:
+def write_notes(bundles: DataFrame, profiles: DataFrame, config: Config, skip_unmatched: bool = False, dry_run: bool = False, system: str | None = None, save_prompts: bool = False, shown: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """bundles (record_id, professor, evidence) with generated_note, validation_status, warnings, unsupported, prompt hashes.
 
     Rows without evidence are not sent to the model: their note is empty and fails. A professor without a profile is an
-    error unless skip_unmatched. save_prompts appends the style prompt and the call's messages as JSON.
+    error unless skip_unmatched. save_prompts appends the style prompt and the call's messages as JSON. Notes that copy a line of the
+    references shown to the model (style_excerpts) are warned of; with strict also those whose bundle was cut (n_sent < n_facts).
     """
     if not skip_unmatched and (lost := bundles.join(profiles.select("professor"), "professor", "left_anti").select("professor").distinct().head(3)):
         raise ValueError(f"professors without a style profile: {[r['professor'] for r in lost]}")
-    rows = bundles.select("record_id", "professor", "evidence").join(profiles.select("professor", "opening", "style_prompt"), "professor")
+    cut = [c for c in ("n_sent", "n_facts") if c in bundles.columns]
+    rows = bundles.select("record_id", "professor", "evidence", *cut).join(profiles.select("professor", "opening", "style_prompt"), "professor")
     user = F.concat(F.lit("STYLE:\n"), "style_prompt", F.lit("\nCURRENT_ROW_FACTS:\n"), "evidence")
     rows = rows.withColumn("system", F.lit(system or system_prompt())).withColumn("user", user)
     full, empty = rows.where(clean_scalar("evidence") != ""), rows.where(clean_scalar("evidence") == "")
@@ -172,7 +179,7 @@ def write_notes(bundles: DataFrame, profiles: DataFrame, config: Config, skip_un
     none = F.lit(None).cast("string")
     skipped = empty.withColumn("system", none).withColumn("user", none).withColumn("error", none).withColumn("generated_note", F.lit("")).withColumn("why", none).withColumn("backend", F.lit("skipped_no_evidence"))
     out = noted.unionByName(skipped)
-    out = out.withColumn("w", notes.note_warnings(F.col("generated_note"), match_normalize("evidence"), F.col("opening"), F.col("style_prompt")))
+    out = notes.validated(out, shown, strict, F.col("opening"), F.col("style_prompt"))
     warnings = F.array_distinct(F.concat("w.warnings", F.when(F.col("why").isNotNull(), F.array("why")).otherwise(F.array().cast("array<string>"))))
     status = note_status(F.col("generated_note"), F.size(warnings), F.lit(dry_run))
     message = lambda role, c: F.struct(F.col(c).alias("content"), F.lit(role).alias("role"))

@@ -97,6 +97,32 @@ def note_validation(spark, sf):
     return rows.select("doc_id", status.alias("status"), F.array_join("w.warnings", "|").alias("warnings"), F.array_join("w.unsupported", "|").alias("unsupported"))
 
 
+_PLAIN = "regexp_replace(replace(lower({}), 'ß', 'ss'), '\\s+', ' ', 'g')"
+
+
+@query(f"""
+WITH x AS (SELECT professor, record_id, output, row_number() OVER (PARTITION BY professor ORDER BY {_LEN}, record_id) - 1 AS k, count(*) OVER (PARTITION BY professor) AS n FROM @ref),
+p AS (SELECT DISTINCT professor, CAST(round_even(i / 2.0 * (n - 1), 0) AS BIGINT) AS k FROM x, range(3) s(i)),
+e AS (SELECT x.professor, x.record_id, x.output, row_number() OVER (PARTITION BY x.professor ORDER BY x.k) AS pick FROM x LEFT JOIN p ON p.professor = x.professor AND p.k = x.k WHERE n <= 3 OR p.k IS NOT NULL),
+n AS (SELECT r.row_index, r.professor, {_PLAIN.format("r.input")} AS note, {_PLAIN.format("CASE r.row_index % 3 WHEN 0 THEN r.input WHEN 1 THEN '' ELSE coalesce(e.output, '') END")} AS evidence
+      FROM @rec r LEFT JOIN e ON e.professor = r.professor AND e.pick = 1),
+l AS (SELECT professor, record_id, pick, trim({_PLAIN.format("u.line")}) AS line FROM e, LATERAL (SELECT unnest(string_split(output, chr(10))) AS line) u),
+h AS (SELECT DISTINCT n.row_index, l.record_id, l.pick FROM n JOIN l ON l.professor = n.professor AND length(l.line) >= 28 AND contains(n.note, l.line) AND NOT contains(n.evidence, l.line)
+      WHERE NOT contains(l.line, 'description') AND NOT contains(l.line, '소견') AND NOT contains(l.line, 'postop 1st visit')),
+g AS (SELECT row_index, string_agg('copied from the reference record_id=' || record_id, '|' ORDER BY pick) AS copied FROM h GROUP BY row_index)
+SELECT row_index, concat_ws('|', copied, CASE WHEN row_index % 4 = 3 THEN 'strict: some extracted facts were not sent' END) AS warnings FROM n LEFT JOIN g USING (row_index)""")
+def note_copies(spark, sf):
+    """Every document as a note of its professor, on evidence that holds all of it, none of it, or the first reference."""
+    shown = n.excerpts(r.style_references(view(spark, sf, "ref"), 3))
+    first = shown.where("pick = 1").select("professor", F.col("output").alias("_first"))
+    k = F.col("row_index")
+    evidence = F.when(k % 3 == 0, F.col("input")).when(k % 3 == 1, "").otherwise(F.coalesce("_first", F.lit("")))
+    rows = view(spark, sf, "rec").join(first, "professor", "left").select("row_index", "professor", F.col("input").alias("generated_note"), evidence.alias("evidence"), F.least(k % 4, F.lit(2)).alias("n_sent"), (k % 4).alias("n_facts"))
+    found = n.validated(rows, shown, strict=True)
+    told = F.filter("w.warnings", lambda x: F.startswith(x, F.lit(n.COPY)) | (x == n.LEFT_OUT))
+    return found.select("row_index", F.array_join(told, "|").alias("warnings"))
+
+
 @query("""
 SELECT DISTINCT professor, 'missing key: style_summary|style_prompt is short: ' || CAST(length(professor) + 17 AS VARCHAR) || '|style_prompt lacks: do not summarize the operative report|style_prompt lacks: omit factual but low-priority|style_prompt says nothing on abbreviations' AS warnings,
   5 AS n_rules FROM @ref""")
