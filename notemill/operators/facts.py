@@ -167,7 +167,8 @@ REQUIREMENTS = (
 #: Issues of clinical accuracy, source words and a pattern of facts that must not stand beside them, and what is told the extractor.
 TAXONOMY = "VATS-to-thoracotomy conversion must not be categorized as a complication when source says Complication: No."
 SWAPPED = "PFT values are swapped. Correct mapping is FVC 2.50 L (101%), FEV1 1.99 L (116%), FEV1/FVC 80%."
-FORBIDDEN = ((("pft", "pulmonary function", "fev1", "fvc"), "fvc[^0-9]{0,12}1[.]99|fev1[^0-9]{0,12}2[.]50", SWAPPED),)
+TAXONOMY_EVIDENCE, SWAPPED_EVIDENCE = "Complication: No", "PFT: 2.50(101)/1.99(116)=80%; Pulmonary Function Lab Report"
+FORBIDDEN = ((("pft", "pulmonary function", "fev1", "fvc"), "fvc[^0-9]{0,12}1[.]99|fev1[^0-9]{0,12}2[.]50", SWAPPED, SWAPPED_EVIDENCE),)
 APPROVED = "Approved."
 SAY_BLOCKED = "Address deterministic clinical guardrail issues: preserve operative core details (complete enucleation, mucosal status, lung repair, azygos vein division, chest tube) and correct PFT mapping."
 SAY_PASSED = "Approved. Minor low-priority omissions, if any, are non-blocking."
@@ -205,37 +206,65 @@ def pruned(facts: Column, source: Column) -> Column:
     return F.filter(facts, lambda f: ~(rules.is_low_priority(text(f)) | rules.is_leaked(text(f), source)))
 
 
-#: A verification: unsupported_facts, contradictions, date_errors and clinical_accuracy_issues as arrays of text;
-#: missing_facts as array<struct<severity,fact,evidence>>; coverage_score, evidence_support_score, feedback.
+#: A verification: verdict, scores, feedback and lists of issues. missing_facts has a null severity where the verifier gave plain
+#: text; plain_unsupported repeats those of unsupported_facts that it gave as plain text, which no rule drops.
+VERIFICATION = {
+    "verdict": "string", "coverage_score": "double", "evidence_support_score": "double", "unsupported_facts": "array<string>", "plain_unsupported": "array<string>",
+    "missing_facts": "array<struct<severity:string,fact:string,evidence:string>>", "contradictions": "array<string>", "date_errors": "array<string>",
+    "clinical_accuracy_issues": "array<struct<issue:string,evidence:string>>", "feedback": "string",
+}
+
+
+def without_nulls(v: Column) -> Column:
+    """A verification whose lists that are null are empty."""
+    for k in (*ISSUES, "plain_unsupported"):
+        v = v.withField(k, F.coalesce(v[k], F.array().cast(VERIFICATION[k])))
+    return v
+
+
+def issue_texts(v: Column, kind: str) -> Column:
+    field = {"missing_facts": "fact", "clinical_accuracy_issues": "issue"}.get(kind)
+    return F.transform(v[kind], lambda x: x[field]) if field else v[kind]
+
+
+def issue_records(v: Column, kind: str) -> Column:
+    """array<struct<fact,issue,severity,evidence>>: what is known of each issue, the rest null."""
+    known = {"missing_facts": ("fact", "severity", "evidence"), "clinical_accuracy_issues": ("issue", "evidence")}.get(kind)
+    none = F.lit(None).cast("string")
+    pick = lambda x, k: (x[k] if known and k in known else x if not known and k == "fact" else none).alias(k)
+    return F.transform(v[kind], lambda x: F.struct(*(pick(x, k) for k in ("fact", "issue", "severity", "evidence"))))
 
 
 def sanitized(v: Column, source: Column) -> Column:
-    """Without leaked unsupported facts (evidence at least 0.95 if that was all); low-priority omissions are minor."""
-    kept = F.filter(v["unsupported_facts"], lambda x: ~rules.is_leaked(x, source))
+    """Without leaked unsupported facts (evidence at least 0.95 if that was all); low-priority omissions are minor. Issues
+    given as plain text stay as they are."""
+    kept = F.filter(v["unsupported_facts"], lambda x: ~rules.is_leaked(x, source) | F.array_contains(v["plain_unsupported"], x))
     emptied = (F.size(kept) == 0) & (F.size(v["unsupported_facts"]) > 0)
     minor = lambda m: rules.is_low_priority_missing(F.concat_ws(" ", m["fact"], m["evidence"]))
-    missing = F.transform(v["missing_facts"], lambda m: m.withField("severity", F.when(minor(m), "minor").otherwise(m["severity"])))
+    missing = F.transform(v["missing_facts"], lambda m: m.withField("severity", F.when(m["severity"].isNotNull() & minor(m), "minor").otherwise(m["severity"])))
     evidence = F.when(emptied, F.greatest(v["evidence_support_score"], F.lit(EVIDENCE))).otherwise(v["evidence_support_score"])
     return v.withField("unsupported_facts", kept).withField("missing_facts", missing).withField("evidence_support_score", evidence)
 
 
 def add_missing(v: Column, due: Column, fact: str, evidence: str) -> Column:
-    there = F.exists(v["missing_facts"], lambda m: F.lower(m["fact"]) == fact.lower())
+    there = F.exists(v["missing_facts"], lambda m: F.coalesce(m["severity"].isNotNull() & (F.lower(m["fact"]) == fact.lower()), F.lit(False)))
     new = F.struct(F.lit("critical").alias("severity"), F.lit(fact).alias("fact"), F.lit(evidence).alias("evidence"))
     return v.withField("missing_facts", F.when(due & ~there, F.concat(v["missing_facts"], F.array(new))).otherwise(v["missing_facts"]))
 
 
-def add_accuracy(v: Column, due: Column, issue: str) -> Column:
-    there = F.exists(v["clinical_accuracy_issues"], lambda x: F.lower(x) == issue.lower())
-    return v.withField("clinical_accuracy_issues", F.when(due & ~there, F.concat(v["clinical_accuracy_issues"], F.array(F.lit(issue)))).otherwise(v["clinical_accuracy_issues"]))
+def add_accuracy(v: Column, due: Column, issue: str, evidence: str) -> Column:
+    there = F.exists(v["clinical_accuracy_issues"], lambda x: F.coalesce(F.lower(x["issue"]) == issue.lower(), F.lit(False)))
+    new = F.struct(F.lit(issue).alias("issue"), F.lit(evidence).alias("evidence"))
+    return v.withField("clinical_accuracy_issues", F.when(due & ~there, F.concat(v["clinical_accuracy_issues"], F.array(new))).otherwise(v["clinical_accuracy_issues"]))
 
 
 def n_critical(v: Column) -> Column:
-    return F.size(F.filter(v["missing_facts"], lambda m: F.lower(m["severity"]) == "critical"))
+    return F.coalesce(F.size(F.filter(v["missing_facts"], lambda m: F.lower(m["severity"]) == "critical")), F.lit(0))
 
 
 def is_blocked(v: Column) -> Column:
-    return (F.size(v["unsupported_facts"]) + F.size(v["contradictions"]) + F.size(v["date_errors"]) + F.size(v["clinical_accuracy_issues"]) + n_critical(v)) > 0
+    n = lambda k: F.coalesce(F.size(v[k]), F.lit(0))
+    return (n("unsupported_facts") + n("contradictions") + n("date_errors") + n("clinical_accuracy_issues") + n_critical(v)) > 0
 
 
 def is_passed(v: Column, coverage: float = COVERAGE, evidence: float = EVIDENCE) -> Column:
@@ -249,22 +278,23 @@ def bound(v: Column, step) -> Column:
 
 def guarded(v: Column, facts: Column, document_type: Column, source: Column) -> Column:
     """A verification after the deterministic checks: what literal phrases demand is missing, complications that are none,
-    swapped values; blocked ones get capped scores and NEEDS_REVISION, passed ones PASS, others keep their verdict."""
+    swapped values; blocked ones get capped scores (null: 0) and NEEDS_REVISION, passed ones PASS, others keep their verdict.
+    Null lists are empty ones."""
     low, said = F.lower(source), searchable(facts)
     operative = F.contains(F.lower(document_type), F.lit("operative report"))
-    v = bound(v, lambda x: sanitized(x, source))
+    v = bound(bound(v, without_nulls), lambda x: sanitized(x, source))
     for phrase, fact, evidence, terms in REQUIREMENTS:
         due = operative & F.contains(low, F.lit(phrase)) & ~rules.has_all(said, F.array(*map(F.lit, terms)))
         v = bound(v, partial(add_missing, due=due, fact=fact, evidence=evidence))
     no_complication = operative & F.contains(low, F.lit("complication: no")) & F.contains(said, F.lit("complication")) & F.contains(said, F.lit("conversion"))
-    v = bound(v, lambda x: add_accuracy(x, no_complication, TAXONOMY))
-    for words, pattern, issue in FORBIDDEN:
+    v = bound(v, lambda x: add_accuracy(x, no_complication, TAXONOMY, TAXONOMY_EVIDENCE))
+    for words, pattern, issue, evidence in FORBIDDEN:
         due = rules.has_any(low, words) & F.rlike(said, F.lit(pattern))
-        v = bound(v, partial(add_accuracy, due=due, issue=issue))
+        v = bound(v, partial(add_accuracy, due=due, issue=issue, evidence=evidence))
 
     def verdict(x: Column) -> Column:
         blocked = is_blocked(x)
-        capped = lambda k, most: F.when(blocked, F.least(x[k], F.lit(most))).otherwise(x[k])
+        capped = lambda k, most: F.when(blocked, F.least(F.coalesce(x[k], F.lit(0.0)), F.lit(most))).otherwise(x[k])
         coverage, evidence = capped("coverage_score", 0.84), capped("evidence_support_score", 0.94)
         passed = is_passed(x)
         said = F.when(blocked, "NEEDS_REVISION").when(passed, "PASS").otherwise(x["verdict"])
@@ -278,7 +308,7 @@ def guarded(v: Column, facts: Column, document_type: Column, source: Column) ->
 
 def feedback(v: Column) -> Column:
     """What the extractor is told: the verifier's words, else the whole verification as JSON."""
-    return F.coalesce(F.nullif(trim(v["feedback"]), F.lit("")), F.to_json(v))
+    return F.coalesce(F.nullif(trim(v["feedback"]), F.lit("")), F.to_json(v.dropFields("plain_unsupported")))
 
 
 # ---------------------------------------------------------------- roll-up and rendering
@@ -330,8 +360,7 @@ def verification_summary(approved: Column, coverage: Column, evidence: Column, i
     verdict = lambda c: F.concat(F.lit("- "), c["document_type"], F.lit(": "), F.coalesce(c["v"]["verdict"], F.lit("UNKNOWN")), F.lit(" (coverage="), c["v"]["coverage_score"].cast("string"), F.lit(", evidence="), c["v"]["evidence_support_score"].cast("string"), F.lit(", iterations="), c["iterations_used"].cast("string"), F.lit(")"))
 
     def issues(c: Column) -> Column:
-        text = lambda kind: F.transform(c["v"][kind], (lambda x: x["fact"]) if kind == "missing_facts" else lambda x: x)
-        said = lambda kind: F.transform(text(kind), lambda x: F.concat(F.lit("- "), c["document_type"], F.lit(f" / {kind}: "), x))
+        said = lambda kind: F.transform(issue_texts(c["v"], kind), lambda x: F.concat(F.lit("- "), c["document_type"], F.lit(f" / {kind}: "), x))
         return F.flatten(F.array(*map(said, ISSUES)))
 
     open_issues = F.flatten(F.transform(F.filter(chunks, lambda c: ~c["approved"]), issues))

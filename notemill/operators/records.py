@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from functools import reduce
 
 import pandas as pd
@@ -26,9 +27,10 @@ def with_default(df: DataFrame, column: str, value: str = "") -> DataFrame:
 
 
 def resolve(columns: list[str], candidates: tuple[str, ...]) -> str | None:
-    """The first candidate among the columns, as written, else without case, spaces and underscores."""
-    plain = lambda c: c.replace(" ", "").replace("_", "").lower()
-    known = {plain(c): c for c in reversed(columns)}
+    """The first candidate among the columns, as written, else without case, white space and underscores; of columns that are
+    equal then, the last."""
+    plain = lambda c: re.sub(r"[\s_]+", "", c).lower()
+    known = {plain(c): c for c in columns}
     return next((c for c in candidates if c in columns), None) or next((known[plain(c)] for c in candidates if plain(c) in known), None)
 
 

@@ -29,7 +29,7 @@ def _as_text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else str(value)
 
 
-def parts_of(name: str, suffix: str, content: bytes, first_sheet: bool = False) -> Iterator[tuple[str, list[str] | None, list[list[str]], str | None]]:
+def parts_of(name: str, suffix: str, content: bytes, first_sheet: bool = False, json_as_text: bool = False) -> Iterator[tuple[str, list[str] | None, list[list[str]], str | None]]:
     """(source, header, rows, text) of each table of a file (no text), or its text (no header)."""
     if suffix == "csv":
         rows = list(csv.reader(io.StringIO(decoded(content), newline="")))
@@ -46,10 +46,10 @@ def parts_of(name: str, suffix: str, content: bytes, first_sheet: bool = False)
         except ValueError:
             yield name, None, [], text
             return
-        if isinstance(value, dict):
+        if isinstance(value, dict) and not json_as_text:
             listed = value.get("rows") or value.get("records") or value.get("patients")
             value = listed if isinstance(listed, list) else value
-        if isinstance(value, list) and all(isinstance(x, dict) for x in value):
+        if not json_as_text and isinstance(value, list) and all(isinstance(x, dict) for x in value):
             header = list(dict.fromkeys(k for x in value for k in x))
             yield name, header, [[_as_text(x.get(k)) for k in header] for x in value], None
         else:
@@ -62,7 +62,7 @@ def parts_of(name: str, suffix: str, content: bytes, first_sheet: bool = False)
         raise ValueError(f"text extraction is not supported for .{suffix}")
 
 
-def file_parts(found: DataFrame, first_sheet: bool = False) -> DataFrame:
+def file_parts(found: DataFrame, first_sheet: bool = False, json_as_text: bool = False) -> DataFrame:
     """PARTS of files (name, suffix, content): for each table one row of row_index -1 with its header, one a record with its
     cells; one row for a text; one with a warning for a file that cannot be read. Files are read in parallel, each in one task."""
 
@@ -71,7 +71,7 @@ def file_parts(found: DataFrame, first_sheet: bool = False) -> DataFrame:
             for name, suffix, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 out = []
                 try:
-                    for part, (source, header, rows, text) in enumerate(parts_of(name, suffix, content, first_sheet)):
+                    for part, (source, header, rows, text) in enumerate(parts_of(name, suffix, content, first_sheet, json_as_text)):
                         out.append((name, source, part, header, -1, None, text, None))
                         for k, row in enumerate(rows):
                             out.append((name, source, part, header, k, [(h, row[j] if j < len(row) else "") for j, h in enumerate(header) if h], None, None))
@@ -144,9 +144,10 @@ def input_rows(found: DataFrame, professor: str, output_type: str) -> tuple[Data
 
 def style_samples(found: DataFrame, most: int = STYLE_SAMPLES) -> tuple[DataFrame, DataFrame]:
     """(samples, warnings) of uploaded style files: Input, Output, reference_id, source_file, source_row; the first ``most`` by
-    file and row, from the first ``most`` files. A table without a column that can hold a note is a warning; a text is one note."""
+    file and row, from the first ``most`` files. A table without a column that can hold a note is a warning; a text is one note, and
+    so is a JSON file of any shape, as indented text."""
     names = found.select("name").distinct().withColumn("file_no", F.row_number().over(W.orderBy("name")))  # names of one upload
-    parts = file_parts(found).join(F.broadcast(names), "name").withColumn("note_column", resolved(F.col("header"), OUTPUT_COLUMNS)).withColumn("source_column", resolved(F.col("header"), INPUT_COLUMNS))
+    parts = file_parts(found, json_as_text=True).join(F.broadcast(names), "name").withColumn("note_column", resolved(F.col("header"), OUTPUT_COLUMNS)).withColumn("source_column", resolved(F.col("header"), INPUT_COLUMNS))
     parts = parts.where(F.col("file_no") <= most)
     place = [F.col("source").alias("source_file"), (F.col("row_index") + 1).cast("string").alias("source_row"), "file_no", "part", "row_index"]
     rows = parts.where("row_index >= 0 and note_column is not null").select(clean_scalar(cell(F.coalesce("source_column", F.lit("")))).alias(INPUT), clean_scalar(cell(F.col("note_column"))).alias(OUTPUT), chosen_id(numbered("source")).alias("reference_id"), *place)

@@ -94,7 +94,7 @@ def _verified(spark, sf):
     texts = lambda c, text: F.array_compact(items(c, text)).cast("array<string>")
     missing = F.transform(texts("n_absent", "finding"), lambda x: F.struct(F.when(F.col("n_partial") == 1, "critical").otherwise("minor").alias("severity"), x.alias("fact"), F.lit("x").alias("evidence")))
     none = F.array().cast("array<string>")
-    v = F.struct(F.lit("DRAFT").alias("verdict"), (F.col("likert") / 5.0).alias("coverage_score"), ((F.col("likert") + 1) / 6.0).alias("evidence_support_score"), texts("n_unsupported", "on arb").alias("unsupported_facts"), missing.alias("missing_facts"), none.alias("contradictions"), none.alias("date_errors"), none.alias("clinical_accuracy_issues"), F.lit("").alias("feedback"))
+    v = F.struct(F.lit("DRAFT").alias("verdict"), (F.col("likert") / 5.0).alias("coverage_score"), ((F.col("likert") + 1) / 6.0).alias("evidence_support_score"), texts("n_unsupported", "on arb").alias("unsupported_facts"), none.alias("plain_unsupported"), missing.alias("missing_facts"), none.alias("contradictions"), none.alias("date_errors"), F.array().cast(f.VERIFICATION["clinical_accuracy_issues"]).alias("clinical_accuracy_issues"), F.lit("").alias("feedback"))
     return view(spark, sf, "judge_note").select("method", "record_id", "professor", "likert", "n_unsupported", "n_absent", "n_partial", "n_mixing", "k", v.alias("v"))
 
 
@@ -102,29 +102,37 @@ def _verified(spark, sf):
 #: reports, or of lung function, the source calls for, n_partial = 1 that the facts have what it asks for.
 _RULE = "CASE WHEN k % 9 BETWEEN 1 AND 6 AND n_partial = 0 THEN 1 ELSE 0 END"
 _ACCURACY = "CASE WHEN k % 9 IN (7, 8) THEN 1 ELSE 0 END"
-_BLOCKED = f"((n_mixing = 1 AND n_unsupported > 0) OR (n_absent > 0 AND n_partial = 1) OR {_RULE} = 1 OR {_ACCURACY} = 1)"
-_LIFTED = "CASE WHEN n_mixing = 0 AND n_unsupported > 0 THEN greatest((likert + 1) / 6.0, 0.95) ELSE (likert + 1) / 6.0 END"
+_KEPT = "(n_mixing = 1 OR k % 4 = 0)"
+_BLOCKED = f"(({_KEPT} AND n_unsupported > 0) OR (n_absent > 0 AND n_partial = 1) OR {_RULE} = 1 OR {_ACCURACY} = 1)"
+_COVERAGE, _EVIDENCE = "CASE WHEN k % 7 > 0 THEN likert / 5.0 END", "CASE WHEN k % 7 > 0 THEN (likert + 1) / 6.0 END"
+_LIFTED = f"CASE WHEN NOT {_KEPT} AND n_unsupported > 0 THEN greatest(coalesce({_EVIDENCE}, 0), 0.95) ELSE {_EVIDENCE} END"
+_PASSED = f"NOT {_BLOCKED} AND coalesce({_COVERAGE}, 0) >= 0.85 AND coalesce({_LIFTED}, 0) >= 0.95"
 _PHRASES = ("Mass completely is enucleated", "WITHOUT entering mucosal layer", "Mucosal injury: none", "Lacerated lung surface is closed", "Azygos vein: divided", "a chest tube (20 Fr.)", "Complication: No", "PFT done")
 _FOUND = ("complete enucleation", "mucosal layer kept", "mucosal injury none", "lung surface repair", "azygos divided", "chest tube placed", "Complication: conversion", "FVC was 1.99")
 
 
 @query(f"""
-SELECT method, record_id, CASE WHEN n_mixing = 1 THEN n_unsupported ELSE 0 END AS n_unsupported, CASE WHEN n_partial = 1 THEN n_absent ELSE 0 END + {_RULE} AS n_critical, {_ACCURACY} AS n_accuracy,
-  {_BLOCKED} AS blocked, NOT {_BLOCKED} AND likert / 5.0 >= 0.85 AND ({_LIFTED}) >= 0.95 AS passed,
-  CASE WHEN {_BLOCKED} THEN 'NEEDS_REVISION' WHEN likert / 5.0 >= 0.85 AND ({_LIFTED}) >= 0.95 THEN 'PASS' ELSE 'DRAFT' END AS verdict,
-  round(CAST(CASE WHEN {_BLOCKED} THEN least(likert / 5.0, 0.84) ELSE likert / 5.0 END AS DOUBLE), 6) AS coverage,
-  round(CAST(CASE WHEN {_BLOCKED} THEN least({_LIFTED}, 0.94) ELSE {_LIFTED} END AS DOUBLE), 6) AS evidence
+SELECT method, record_id, CASE WHEN {_KEPT} THEN n_unsupported ELSE 0 END AS n_unsupported, CASE WHEN n_partial = 1 THEN n_absent ELSE 0 END + {_RULE} AS n_critical, {_ACCURACY} AS n_accuracy,
+  CASE k % 9 WHEN 7 THEN 'Complication: No' WHEN 8 THEN 'PFT: 2.50(101)/1.99(116)=80%; Pulmonary Function Lab Report' ELSE '' END AS accuracy_evidence,
+  {_BLOCKED} AS blocked, {_PASSED} AS passed, CASE WHEN {_BLOCKED} THEN 'NEEDS_REVISION' WHEN {_PASSED} THEN 'PASS' ELSE 'DRAFT' END AS verdict,
+  round(CAST(CASE WHEN {_BLOCKED} THEN least(coalesce({_COVERAGE}, 0), 0.84) ELSE {_COVERAGE} END AS DOUBLE), 6) AS coverage,
+  round(CAST(CASE WHEN {_BLOCKED} THEN least(coalesce({_LIFTED}, 0), 0.94) ELSE {_LIFTED} END AS DOUBLE), 6) AS evidence
 FROM @judge_note""")
 def verify_guardrails(spark, sf):
+    """Verifications with lists and scores that are null (k % 5 = 0, k % 7 = 0) and unsupported facts given as plain text (k % 4 = 0)."""
     rule = F.col("k") % 9
     at = lambda xs: F.coalesce(F.get(F.array(*map(F.lit, xs)), (rule - 1).cast("int")), F.lit(""))
     source = F.concat(F.when(F.col("n_mixing") == 1, "takes an ARB. ").otherwise("no drugs. "), at(_PHRASES))
     cells = {"category": F.lit("Note"), "fact": at(_FOUND)}
     fact = F.struct(*(cells.get(k, F.lit(None).cast("string")).alias(k) for k in f.FIELDS))
     facts = F.when((rule > 0) & ((F.col("n_partial") == 1) | (rule > 6)), F.array(fact)).otherwise(F.array().cast(f.NO_FACTS))
-    rows = _verified(spark, sf).withColumn("g", f.guarded(F.col("v"), facts, F.lit("Operative Report"), source))
+    only = lambda k, x: F.when(F.col("k") % k > 0, x)
+    v = F.col("v").withField("plain_unsupported", F.when(F.col("k") % 4 == 0, F.col("v.unsupported_facts")))
+    v = v.withField("contradictions", only(5, F.col("v.contradictions"))).withField("clinical_accuracy_issues", only(5, F.col("v.clinical_accuracy_issues")))
+    v = v.withField("coverage_score", only(7, F.col("v.coverage_score"))).withField("evidence_support_score", only(7, F.col("v.evidence_support_score")))
+    rows = _verified(spark, sf).withColumn("g", f.guarded(v, facts, F.lit("Operative Report"), source))
     g = F.col("g")
-    return rows.select("method", "record_id", F.size("g.unsupported_facts").alias("n_unsupported"), f.n_critical(g).alias("n_critical"), F.size("g.clinical_accuracy_issues").alias("n_accuracy"), f.is_blocked(g).alias("blocked"), f.is_passed(g).alias("passed"), "g.verdict", F.round("g.coverage_score", 6).alias("coverage"), F.round("g.evidence_support_score", 6).alias("evidence"))
+    return rows.select("method", "record_id", F.size("g.unsupported_facts").alias("n_unsupported"), f.n_critical(g).alias("n_critical"), F.size("g.clinical_accuracy_issues").alias("n_accuracy"), F.array_join(F.transform("g.clinical_accuracy_issues", lambda x: x["evidence"]), "|").alias("accuracy_evidence"), f.is_blocked(g).alias("blocked"), f.is_passed(g).alias("passed"), "g.verdict", F.round("g.coverage_score", 6).alias("coverage"), F.round("g.evidence_support_score", 6).alias("evidence"))
 
 
 @query("""
@@ -214,6 +222,22 @@ def content_hash(spark, sf):
     return rec.select("record_id", text_hash(bundle).alias("bundle_hash"), text_hash("raw_text").alias("prompt_hash"))
 
 
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN event_type || '|' || CAST(user_id AS VARCHAR) WHEN 2 THEN event_type WHEN 3 THEN '' ELSE CAST(user_id + 1 AS VARCHAR) END AS uncertain,
+  CASE WHEN event_id % 5 = 3 THEN 'Note' ELSE 'Report ' || event_type END AS source_document, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS n_facts FROM events""")
+def uncertain_lists(spark, sf):
+    """Replies of extractors whose list of what is uncertain is missing, a list, a text, empty or a number, as one shape."""
+    e, k = load(spark, sf, "events"), F.col("event_id") % 5
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    listed = F.concat(F.lit("["), quoted(F.col("event_type")), F.lit(","), F.col("user_id").cast("string"), F.lit("]"))
+    value = F.when(k == 1, listed).when(k == 2, quoted(F.col("event_type"))).when(k == 3, F.lit('""')).otherwise((F.col("user_id") + 1).cast("string"))
+    own = F.when(k > 0, F.concat(F.lit(',"uncertain_or_conflicting":'), value)).otherwise("")
+    source = F.when(k == 3, "").otherwise(F.concat(F.lit('"source_document":'), quoted(F.concat(F.lit("Report "), "event_type")), F.lit(",")))
+    listed_facts = F.when(F.col("event_id") % 2 == 0, F.lit('[{"fact":"x"},"y"]')).otherwise(F.lit('"none"'))
+    p = f.payload(f.json_object(F.concat(F.lit("{"), source, F.lit('"facts":'), listed_facts, own, F.lit("}"))), F.lit("Note"))
+    return e.withColumn("p", p).select("event_id", F.array_join("p.uncertain_or_conflicting", "|").alias("uncertain"), "p.source_document", F.size("p.facts").alias("n_facts"))
+
+
 @query()
 def extract_verify_loop(spark, sf):
     return pipeline.extract_and_verify(view(spark, sf, "conv_rec"), "row_index", backends.Config("placeholder"))

@@ -103,10 +103,13 @@ def upload_rows(spark, sf):
 @query(f"""
 SELECT CASE WHEN id <> '' THEN id ELSE 'up_' || CAST(f AS VARCHAR) || '_' || CAST(i AS VARCHAR) END AS reference_id, input, note AS output, {_SOURCE} AS source_file, CAST(i AS VARCHAR) AS source_row
 FROM {_CELLS} WHERE kind IN (0, 2) AND note <> ''
-UNION ALL SELECT 'up_' || CAST(f AS VARCHAR) || '_1', '', string_agg(input, chr(10) ORDER BY i), {_SOURCE}, '1' FROM {_CELLS} WHERE kind >= 3 GROUP BY f, kind""")
+UNION ALL SELECT 'up_' || CAST(f AS VARCHAR) || '_1', '', string_agg(input, chr(10) ORDER BY i), {_SOURCE}, '1' FROM {_CELLS} WHERE kind >= 3 GROUP BY f, kind
+UNION ALL SELECT 'up_' || CAST(f AS VARCHAR) || '_1', '', '{{' || chr(10) || '  "records": [' || chr(10) || string_agg(
+  '    {{' || chr(10) || '      "input": "' || input || '",' || chr(10) || '      "record_id": "' || id || '",' || chr(10) || '      "GT": "' || CASE WHEN note = '' THEN ' nan' ELSE note END || '"' || chr(10) || '    }}',
+  ',' || chr(10) ORDER BY i) || chr(10) || '  ]' || chr(10) || '}}', {_SOURCE}, '1' FROM {_CELLS} WHERE kind = 1 GROUP BY f, kind""")
 def style_sample_rows(spark, sf):
-    """All samples of all files but the JSON ones."""
-    samples, _ = uploads.style_samples(_files(spark, sf).where("suffix <> 'json'"), most=1 << 30)
+    """All samples of all files."""
+    samples, _ = uploads.style_samples(_files(spark, sf), most=1 << 30)
     return samples.select("reference_id", F.col("Input").alias("input"), F.col("Output").alias("output"), "source_file", "source_row")
 
 

@@ -75,7 +75,7 @@ def test_payload_of_any_shape(spark):
 def test_verification_summary(spark):
     none = F.array().cast("array<string>")
     missing = F.array(F.struct(F.lit("critical").alias("severity"), F.lit("m").alias("fact"), F.lit("").alias("evidence")))
-    v = F.struct(F.lit("NEEDS_REVISION").alias("verdict"), F.lit(0.5).alias("coverage_score"), F.lit(0.9).alias("evidence_support_score"), F.array(F.lit("u")).alias("unsupported_facts"), missing.alias("missing_facts"), none.alias("contradictions"), none.alias("date_errors"), none.alias("clinical_accuracy_issues"))
+    v = F.struct(F.lit("NEEDS_REVISION").alias("verdict"), F.lit(0.5).alias("coverage_score"), F.lit(0.9).alias("evidence_support_score"), F.array(F.lit("u")).alias("unsupported_facts"), missing.alias("missing_facts"), none.alias("contradictions"), none.alias("date_errors"), F.array().cast("array<struct<issue:string,evidence:string>>").alias("clinical_accuracy_issues"))
     chunk = lambda kind, ok: F.struct(F.lit(kind).alias("document_type"), v.alias("v"), F.lit(2).alias("iterations_used"), F.lit(ok).alias("approved"))
     text = lambda *c: spark.range(1).select(f.verification_summary(F.lit(False), F.lit(0.5), F.lit(0.9), F.lit(4), F.array(*c))).first()[0]
     assert text(chunk("A", True), chunk("B", False)).split("\n") == ["Approved: False", "Coverage score: 0.5", "Evidence support score: 0.9", "Total iterations: 4", "", "## Chunk Verdicts", "- A: NEEDS_REVISION (coverage=0.5, evidence=0.9, iterations=2)", "- B: NEEDS_REVISION (coverage=0.5, evidence=0.9, iterations=2)", "", "## Unresolved Issues", "- B / unsupported_facts: u", "- B / missing_facts: m"]

@@ -105,3 +105,64 @@ def test_replies_are_repaired_by_rule_then_by_the_model(spark):
     got = {r.user: (r.response, r.error) for r in backends.ask(df, backends.Config(json=True, pause=0), Sloppy).collect()}
     assert json.loads(got["stray"][0]) == {"a": "x y", "b": "z"} and json.loads(got["inner"][0]) == {"a": 1} and json.loads(got["bad"][0]) == {"mended": True}
     assert got["none"][0] is None and "no JSON object" in got["none"][1]
+
+
+def test_guardrails_on_nulls(spark):
+    none = F.array().cast(f.NO_FACTS)
+    v = pipeline.blank("DRAFT", 0.9, 0.96, "")
+    for k in f.ISSUES:
+        v = v.withField(k, F.lit(None).cast(f.VERIFICATION[k]))
+    clear = one(spark, f.guarded(v, none, F.lit("Note"), F.lit("x")))
+    assert clear["verdict"] == "PASS" and all(clear[k] == [] for k in f.ISSUES)
+    assert one(spark, f.is_blocked(v)) is False and one(spark, f.is_passed(v)) is True
+    low = v.withField("coverage_score", F.lit(None).cast("double")).withField("evidence_support_score", F.lit(None).cast("double"))
+    blocked = one(spark, f.guarded(low, none, F.lit("Operative Report"), F.lit("Azygos vein: divided")))
+    assert (blocked["verdict"], blocked["coverage_score"], blocked["evidence_support_score"]) == ("NEEDS_REVISION", 0.0, 0.0)
+    assert one(spark, f.guarded(low, none, F.lit("Note"), F.lit("x")))["verdict"] == "DRAFT"
+
+
+def test_issues_given_as_text_or_objects(spark):
+    reply = json.dumps({
+        "verdict": "X", "coverage_score": 0.9, "evidence_support_score": 0.5,
+        "unsupported_facts": ["on ARB", {"fact": "htn"}, {"claim": 1}], "missing_facts": ["baseline LFT", {"severity": "critical", "fact": "weight"}],
+        "clinical_accuracy_issues": [{"issue": "a", "evidence": "b"}, "c"], "contradictions": "no list",
+    })
+    v = one(spark, pipeline.verification(F.try_parse_json("c")), c=reply)
+    assert v["unsupported_facts"] == ["on ARB", "htn", '{"claim":1}'] and v["plain_unsupported"] == ["on ARB", '{"claim":1}']
+    assert [tuple(m) for m in v["missing_facts"]] == [(None, "baseline LFT", None), ("critical", "weight", "")]
+    assert [tuple(x) for x in v["clinical_accuracy_issues"]] == [("a", "b"), ("c", None)] and v["contradictions"] == []
+    kept = one(spark, f.sanitized(pipeline.verification(F.try_parse_json("c")), F.lit("no such word")), c=reply)
+    assert kept["unsupported_facts"] == ["on ARB", '{"claim":1}'] and kept["evidence_support_score"] == 0.5  # text is no object, so no leak
+    assert [m["severity"] for m in kept["missing_facts"]] == [None, "minor"]
+    facts = F.array(F.struct(*(F.lit(x).cast("string").alias(k) for k, x in zip(f.FIELDS, ("", "", "complication: conversion", "", "", "")))))
+    found = one(spark, f.guarded(pipeline.blank("D", 0.9, 0.96, ""), facts, F.lit("Operative Report"), F.lit("Complication: No")))
+    assert [tuple(x) for x in found["clinical_accuracy_issues"]] == [(f.TAXONOMY, "Complication: No")]
+
+
+def test_uncertain_items_go_through_the_loop_into_the_report(spark):
+    class Doubtful:
+        def __init__(self, config):
+            pass
+
+        def chat(self, system, user):
+            if "FACTS AS JSON" in system:
+                doubt = {"first": ["dose?", {"b": 1}], "second": "side?"}
+                source = user.partition("SOURCE:\n")[2]
+                said = next((x for k, x in doubt.items() if k in source), [])
+                return json.dumps({"facts": [{"fact": "x"}], "uncertain_or_conflicting": said} if "third" not in source else {"all_facts": [{"fact": "lost"}]})
+            ok = "dose?" not in user  # the verifier sees the list
+            return json.dumps({"verdict": "PASS", "coverage_score": 0.9, "evidence_support_score": 0.96 if ok else 0.1, "missing_facts": [] if ok else [{"severity": "critical", "fact": "m", "evidence": "e"}]})
+
+    text = "[1] Note: {{ first }}\n[2] Note: {{ second }}\n[3] Visit: {{ third }}"
+    records = spark.createDataFrame([(1, text)], "row_index int, input string")
+    real = pipeline.ask
+    pipeline.ask = lambda calls, config: real(calls, config, Doubtful)
+    try:
+        got = pipeline.extract_and_verify(records, "row_index", backends.Config(pause=0)).first()
+    finally:
+        pipeline.ask = real
+    report, whole = json.loads(got.Verification_Report), json.loads(got.Extracted_Facts)
+    assert report["uncertain_or_conflicting"] == [{"document_type": "Note", "items": ["dose?", '{"b":1}']}, {"document_type": "Note", "items": ["side?"]}]
+    assert report["unresolved_issues"] == [{"document_type": "Note", "issue_type": "missing_facts", "issues": [{"fact": "m", "severity": "critical", "evidence": "e"}]}]
+    assert [c["final_facts"]["uncertain_or_conflicting"] for c in whole["chunks"]] == [["dose?", '{"b":1}'], ["side?"], []]
+    assert len(whole["all_facts"]) == 2 and [c["iterations_used"] for c in whole["chunks"]] == [2, 1, 1]

@@ -25,6 +25,7 @@ def test_merge_and_metrics(spark):
 def test_ids_and_columns(spark):
     df = spark.createDataFrame([(" ", "v", "z"), ("r", "v", "z"), (None, "", "z")], "record_id string, visit_id string, my_id string")
     assert [x[0] for x in df.select(r.record_id(df)).collect()] == ["v", "r", "z"]
+    assert r.resolve(["in_put", "In put", "in\tPUT", "x"], ("Input",)) == "in\tPUT"
     assert r.resolve(["Patient ID", "x"], ("patient_id",)) == "Patient ID" and r.resolve(["a"], ("b",)) is None
     with pytest.raises(ValueError, match="missing"):
         r.require(df, "nope")

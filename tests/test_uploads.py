@@ -83,3 +83,11 @@ def test_style_samples(spark, tmp_path):
     assert "plain.csv: no output/reference-note column detected" in said and not any("Only the first" in x for x in said)
     samples, warnings = u.style_samples(readers.files(spark, folder), most=2)
     assert samples.count() <= 2 and any(r.warning == "Only the first 2 style sample uploads were used." for r in warnings.collect())
+
+
+def test_a_json_style_sample_is_one_indented_text(spark):
+    found = spark.createDataFrame([("a.json", "json", b'[{"note": "a"}, {"note": "b"}]'), ("b.json", "json", b"{broken"), ("c.json", "json", b'{"rows": [{"note": "x"}]}')], "name string, suffix string, content binary")
+    samples, warnings = u.style_samples(found)
+    got = {r.source_file: r.Output for r in samples.collect()}
+    assert got == {"a.json": json.dumps([{"note": "a"}, {"note": "b"}], indent=2), "b.json": "{broken", "c.json": json.dumps({"rows": [{"note": "x"}]}, indent=2)}
+    assert warnings.count() == 0
