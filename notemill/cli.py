@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -40,7 +41,7 @@ def numbered(df: DataFrame) -> DataFrame:
 
 def config_of(a: argparse.Namespace) -> Config:
     kind = "placeholder" if getattr(a, "dry_run", False) else a.backend
-    return Config(kind, a.url, a.model, seed=a.seed, retries=a.retries, key=a.key)
+    return Config(kind, a.url, a.model, seed=a.seed, retries=a.retries, key=a.key, workers=a.workers, at_once=a.at_once)
 
 
 def merge(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -77,6 +78,7 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> dict:
     config = config_of(a)
     rows = bundles.selected(numbered(spark.read.parquet(a.input)), a.professor, a.max_rows)
     made = bundles.raw_bundles(rows, "raw_to_note", most_chars=a.max_input_chars) if a.raw else bundles.fact_bundles(rows, most_facts=a.max_fact_items)
+    made = sinks.stored(made, "bundles")  # read several times
     pool = numbered(spark.read.parquet(a.reference)).select("row_index", F.col(PROFESSOR).alias("professor"), F.col(RECORD).alias("record_id"), F.col(OUTPUT).alias("output"))
     pool = references.usable(pool, made)
     common, fallback = None, None
@@ -113,7 +115,7 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> dict:
     anchor = notes.where(F.col("method") == methods[0])
     sample = seeded_sample(anchor, "professor", "record_id", a.sample_per_professor, a.seed)
     cache = spark.read.parquet(a.cache) if _exists(spark, a.cache) else spark.createDataFrame([], "key string, response string, model string")
-    config = Config("placeholder" if a.dry_run else a.backend, a.url, a.model, seed=a.seed, retries=a.retries, key=a.key, json=True)
+    config = replace(config_of(a), json=True)
     verdicts, _, fresh = judging.evaluate(notes, sample, methods, a.opponent, config, cache.select("key", "response"))
     verdicts.write.mode("overwrite").parquet(a.output)
     fresh.write.mode("append").parquet(a.cache)
@@ -132,15 +134,15 @@ def tables(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def experiments(spark: SparkSession, a: argparse.Namespace) -> dict:
-    """generate for each k and mode of selection, one after the other; a configuration that fails doesn't stop the rest. Calls of one
-    configuration run in parallel on the executors, as many as there are partitions."""
-    out, run = {}, runs.create_run(a.output, "experiments")
+    """generate for each k and mode of selection, --jobs configurations at a time; one that fails doesn't stop the rest. Each has
+    --workers times --at-once calls in flight at most."""
+    stages, run = [], runs.create_run(a.output, "experiments")
     for k in map(int, a.ks.split(",")):
         for mode in a.modes.split(","):
             name = f"k{k}_{mode}" + (f"_seed{a.seed}" if mode == "random" else "")
             own = argparse.Namespace(**{**vars(a), "sample_count": k, "selection": mode, "output": f"{run.root}/{name}", "audit": f"{run.root}/{name}_audit"})
-            out[name] = "ok" if runs.run_stage(run, name, lambda own=own: generate(spark, own), k=k, mode=mode).ok else "failed"
-    return out
+            stages.append((name, lambda own=own: generate(spark, own)))
+    return {r.stage: "ok" if r.ok else "failed" for r in runs.side_by_side(spark, run, stages, a.jobs)}
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -175,7 +177,7 @@ def parser() -> argparse.ArgumentParser:
         sub.set_defaults(work=work)
 
     #: The surveyed defaults of options.
-    model = {"backend": {"default": "http", "choices": ("placeholder", "http", "completions")}, "url": {"default": Config.url}, "model": {"default": "none"}, "key": {"default": ""}, "seed": {"type": int, "default": 1225}, "retries": {"type": int, "default": 2}, "dry_run": {"action": "store_true"}, "check_model": {"action": "store_true"}}
+    model = {"backend": {"default": "http", "choices": ("placeholder", "http", "completions")}, "url": {"default": Config.url}, "model": {"default": "none"}, "key": {"default": ""}, "seed": {"type": int, "default": 1225}, "retries": {"type": int, "default": 2}, "workers": {"type": int, "default": 0}, "at_once": {"type": int, "default": 1}, "dry_run": {"action": "store_true"}, "check_model": {"action": "store_true"}}
     part = {"start_index": {"type": int, "default": 0}, "max_patients": {"type": int, "default": 1}}
     loop = {"max_iterations": {"type": int, "default": 2}, "coverage": {"type": float, "default": 0.85}, "evidence": {"type": float, "default": 0.95}, "extract_only": {"action": "store_true"}, "raw_input_whole": {"action": "store_true"}}
     write = {"sample_count": {"type": int, "default": 5}, "selection": {"default": "deterministic"}, "max_rows": {"type": int}, "professor": {}, "max_fact_items": {"type": int, "default": 0}, "max_input_chars": {"type": int, "default": 0}, "raw": {"action": "store_true"}, "skip_unmatched": {"action": "store_true"}, "save_prompts": {"action": "store_true"}, "strict_validation": {"action": "store_true"}, "resume": {"action": "store_true"}}
@@ -186,7 +188,7 @@ def parser() -> argparse.ArgumentParser:
     command("generate", generate, model, write, input=True, reference=True, output=True, audit=True, prompts=False)
     command("evaluate", evaluate, model, each, {"opponent": {"default": "iterative_fact_to_note"}, "sample_per_professor": {"type": int, "default": 10}}, input=True, output=True, cache=True)
     command("tables", tables, each, input=True, output=True)
-    command("experiments", experiments, model, write, {"ks": {"default": "3,5"}, "modes": {"default": "deterministic,random"}}, input=True, reference=True, output=True, prompts=False)
+    command("experiments", experiments, model, write, {"jobs": {"type": int, "default": 3}, "ks": {"default": "3,5"}, "modes": {"default": "deterministic,random"}}, input=True, reference=True, output=True, prompts=False)
     command("run", run, model, part, loop, write, {"label": {"default": "run"}}, input=True, style=True, output=True, prompts=False, json=False, report=False)
     return out
 

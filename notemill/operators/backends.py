@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import threading
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -22,7 +24,10 @@ from .facts import join_stray_strings
 @dataclass(frozen=True)
 class Config:
     """kind: placeholder (offline, deterministic), http (a server that speaks the chat protocol of local model servers) or
-    completions (one that speaks the chat-completions protocol; ``key`` is its bearer token). ``json`` asks for an object."""
+    completions (one that speaks the chat-completions protocol; ``key`` is its bearer token). ``json`` asks for an object.
+
+    Calls in flight never exceed workers times at_once: workers is the number of tasks that call (0: one a partition of the
+    calls), at_once the number of threads of each."""
 
     kind: str = "placeholder"
     url: str = "http://127.0.0.1:11434/api/chat"
@@ -34,11 +39,15 @@ class Config:
     context: int = 16_384
     tokens: int = 4_096
     json: bool = False
+    workers: int = 0
+    at_once: int = 1
     key: str = field(default="", repr=False)
 
     def __post_init__(self):
         if self.kind not in ("placeholder", "http", "completions"):
             raise ValueError(f"no such backend: {self.kind}")
+        if self.workers < 0 or self.at_once < 1:
+            raise ValueError("workers must not be negative, at_once must be positive")
 
 
 class Placeholder:
@@ -194,22 +203,29 @@ def available(config: Config) -> bool:
 
 def ask(calls: DataFrame, config: Config, make: Callable[[Config], object] = client) -> DataFrame:
     """calls (any columns, with system and user) with response and error. A call that fails is a row with its error; it
-    never fails the job. With config.json the response is a JSON object. Repartition the calls to set how many run at once."""
+    never fails the job. With config.json the response is a JSON object. A task makes config.at_once calls at a time, each thread with
+    a client of its own; rows keep their order."""
     names, schema = calls.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = JsonClient(make(config), config) if config.json else make(config)
-        for batch in batches:
-            replies, errors = [], []
-            for system, user in zip(batch.column(names.index("system")).to_pylist(), batch.column(names.index("user")).to_pylist()):
-                try:
-                    replies.append(model.chat(system or "", user or ""))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001
-                    replies.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*names, "response", "error"])
+        own = threading.local()
 
+        def one(system: str | None, user: str | None) -> tuple[str | None, str | None]:
+            try:
+                if not hasattr(own, "model"):
+                    own.model = JsonClient(make(config), config) if config.json else make(config)
+                return own.model.chat(system or "", user or ""), None
+            except Exception as e:  # noqa: BLE001
+                return None, f"{type(e).__name__}: {e}"[:500]
+
+        with ThreadPoolExecutor(config.at_once) as threads:
+            for batch in batches:
+                found = list(threads.map(one, *(batch.column(names.index(c)).to_pylist() for c in ("system", "user"))))
+                replies, errors = ([x[k] for x in found] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*names, "response", "error"])
+
+    if config.workers:
+        calls = calls.repartition(config.workers)
     return calls.mapInArrow(run, f"{schema}, response string, error string")
 
 

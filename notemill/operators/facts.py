@@ -217,9 +217,10 @@ VERIFICATION = {
 
 def without_nulls(v: Column) -> Column:
     """A verification whose lists that are null are empty."""
+    out = v
     for k in (*ISSUES, "plain_unsupported"):
-        v = v.withField(k, F.coalesce(v[k], F.array().cast(VERIFICATION[k])))
-    return v
+        out = out.withField(k, F.coalesce(v[k], F.array().cast(VERIFICATION[k])))
+    return out
 
 
 def issue_texts(v: Column, kind: str) -> Column:

@@ -12,12 +12,14 @@ import unicodedata
 import re
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from .functions.text import clean_scalar
 
@@ -144,6 +146,23 @@ def run_stage(run: Run, name: str, work: Callable[[], object], **settings) -> St
     return result
 
 
+def side_by_side(spark: SparkSession, run: Run, stages: Sequence[tuple[str, Callable[[], object]]], jobs: int) -> list[StageResult]:
+    """Stages that do not need each other, from one queue, ``jobs`` at a time; one that fails leaves the others. Each runs in a
+    scheduler pool of its own name, so that in a session of the FAIR mode small ones are not held up by large ones."""
+
+    def one(name: str, work: Callable[[], object]) -> StageResult:
+        context = spark.sparkContext
+        context.setLocalProperty("spark.scheduler.pool", safe_name(name, "stage", 64))
+        try:
+            return run_stage(run, name, work)
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, jobs)) as threads:
+        started = [threads.submit(inheritable_thread_target(spark)(one), *stage) for stage in stages]
+        return [s.result() for s in started]
+
+
 def chain(run: Run, stages: Sequence[tuple[str, Callable[[], object]]]) -> list[StageResult]:
     """Stages one after the other, up to the first that fails."""
     out: list[StageResult] = []

@@ -1,11 +1,13 @@
 import hashlib
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
+from notemill import runs
 from notemill.operators import backends, judge, judging as g
 
 METHODS = ["ours", "raw_to_note", "chunk_fact_to_note"]
@@ -159,3 +161,68 @@ def test_servers(server):
     assert not backends.available(backends.Config("http", "http://127.0.0.1:9/none", retries=0))
     with pytest.raises(ValueError):
         backends.Config("other")
+
+
+@pytest.fixture
+def slow_server():
+    """A chat server that counts how many calls are in it at once, in all and by model."""
+    from collections import Counter
+    from http.server import ThreadingHTTPServer
+
+    lock, now, most = threading.Lock(), Counter(), Counter()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            model = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["model"]
+            with lock:
+                now.update([model, "all"])
+                for k in (model, "all"):
+                    most[k] = max(most[k], now[k])
+            time.sleep(0.15)
+            with lock:
+                now.subtract([model, "all"])
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"message": {"content": '{"k": 1}'}}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    http = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}/chat", most
+    http.shutdown()
+
+
+def test_calls_in_flight_are_bounded_and_keep_their_order(spark, slow_server):
+    url, most = slow_server
+    calls = spark.createDataFrame([(k, "s", f"u{k}") for k in range(24)], "k int, system string, user string").repartition(4)
+    config = backends.Config("http", url, "m", pause=0, workers=2, at_once=3)
+    got = backends.ask(calls, config).collect()
+    assert sorted((r.k, r.user, r.response, r.error) for r in got) == [(k, f"u{k}", '{"k": 1}', None) for k in range(24)]
+    assert 3 <= most["all"] <= 6
+    with pytest.raises(ValueError):
+        backends.Config(at_once=0)
+
+
+def test_configurations_run_side_by_side(spark, slow_server, tmp_path):
+    url, most = slow_server
+    calls = spark.createDataFrame([(k, "s", f"u{k}") for k in range(8)], "k int, system string, user string").coalesce(1)
+    pools = {}
+
+    def work(name):
+        def go():
+            pools[name] = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+            if name == "broken":
+                raise RuntimeError("no model")
+            assert backends.ask(calls, backends.Config("http", url, name, pause=0, workers=1, at_once=2)).where("error is null").count() == 8
+
+        return go
+
+    run = runs.create_run(tmp_path, "x")
+    names = ["a", "broken", "b", "c"]
+    done = runs.side_by_side(spark, run, [(n, work(n)) for n in names], 3)
+    assert [(r.stage, r.ok) for r in done] == [(n, n != "broken") for n in names] and "no model" in done[1].error
+    assert pools == {n: n for n in names} and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    assert all(1 <= most[n] <= 2 for n in "abc") and most["all"] > 2, most  # they overlap, and none exceeds its own bound
+    assert len(list((run.root / "logs").glob("*.json"))) == 4
