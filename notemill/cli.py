@@ -1,7 +1,7 @@
 """Command line: ``python -m notemill.cli COMMAND ...``; each command is a job over tables or folders.
 
 merge, sort, extract, generate, evaluate work on Parquet tables or, for merge, a folder of workbooks; run does uploads to notes in one
-workspace; experiments generates several configurations, tables aggregates verdicts into the three tables.
+workspace; experiments generates several configurations, tables aggregates verdicts, all-tables judges and aggregates all three tables over one cache.
 """
 
 from __future__ import annotations
@@ -109,17 +109,24 @@ def method_notes(spark: SparkSession, folder: str, methods: Sequence[str]) -> Da
     return reduce(DataFrame.unionByName, frames)
 
 
-def evaluate(spark: SparkSession, a: argparse.Namespace) -> dict:
-    methods = a.methods.split(",")
+def judged_notes(spark: SparkSession, a: argparse.Namespace, methods: list[str], output: str, ask_of_empty: bool = True) -> int:
+    """Verdicts on the notes of methods, written to output; how many calls were made that the cache (a table of rows appended by
+    every evaluation, of equal keys the first response counts) did not know."""
     notes = sinks.stored(method_notes(spark, a.input, judging.methods_of(methods, a.opponent)), "method-notes")
     anchor = notes.where(F.col("method") == methods[0])
     sample = seeded_sample(anchor, "professor", "record_id", a.sample_per_professor, a.seed)
     cache = spark.read.parquet(a.cache) if _exists(spark, a.cache) else spark.createDataFrame([], "key string, response string, model string")
-    config = replace(config_of(a), json=True)
-    verdicts, _, fresh = judging.evaluate(notes, sample, methods, a.opponent, config, cache.select("key", "response"))
-    verdicts.write.mode("overwrite").parquet(a.output)
+    verdicts, _, fresh = judging.evaluate(notes, sample, methods, a.opponent, replace(config_of(a), json=True), cache.select("key", "response"), ask_of_empty=ask_of_empty)
+    verdicts.write.mode("overwrite").parquet(output)
+    fresh = sinks.stored(fresh, "answers")
     fresh.write.mode("append").parquet(a.cache)
-    return {"notes": spark.read.parquet(a.output).count(), "errors": spark.read.parquet(a.output).where("error is not null").count()}
+    return fresh.count()
+
+
+def evaluate(spark: SparkSession, a: argparse.Namespace) -> dict:
+    judged_notes(spark, a, a.methods.split(","), a.output)
+    found = spark.read.parquet(a.output)
+    return {"notes": found.count(), "errors": found.where("error is not null").count()}
 
 
 def tables(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -133,6 +140,20 @@ def tables(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"methods": [r["method"] for r in quality.collect()]}
 
 
+def all_tables(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """The three tables in turn over one cache: the comparison of methods, the ablation over --ablation (of an empty note nothing is
+    asked there, so it has no critical facts), and the errors, from the comparison's verdicts without further calls."""
+    first, second = a.methods.split(","), a.ablation.split(",")
+    calls = {"comparison": judged_notes(spark, a, first, f"{a.output}/comparison_verdicts")}
+    calls["ablation"] = judged_notes(spark, a, second, f"{a.output}/ablation_verdicts", ask_of_empty=False)
+    good = lambda name: spark.read.parquet(f"{a.output}/{name}_verdicts").where("error is null")
+    compared, ablated = good("comparison"), good("ablation")
+    out = {"comparison": judge.in_order(judge.quality_table(compared), first), "ablation": judge.in_order(judge.quality_table(ablated), second), "errors": judge.in_order(judge.error_table(compared), first), "worst": judge.worst_examples(compared)}
+    for name, table in out.items():
+        table.write.mode("overwrite").parquet(f"{a.output}/{name}")
+    return {"calls": calls | {"errors": 0}, "notes": {name: spark.read.parquet(f"{a.output}/{name}_verdicts").count() for name in ("comparison", "ablation")}}
+
+
 def experiments(spark: SparkSession, a: argparse.Namespace) -> dict:
     """generate for each k and mode of selection, --jobs configurations at a time; one that fails doesn't stop the rest. Each has
     --workers times --at-once calls in flight at most."""
@@ -187,6 +208,7 @@ def parser() -> argparse.ArgumentParser:
     command("extract", extract, model, part, loop, input=True, output=True, report=False)
     command("generate", generate, model, write, input=True, reference=True, output=True, audit=True, prompts=False)
     command("evaluate", evaluate, model, each, {"opponent": {"default": "iterative_fact_to_note"}, "sample_per_professor": {"type": int, "default": 10}}, input=True, output=True, cache=True)
+    command("all-tables", all_tables, model, each, {"ablation": {"default": "iterative_fact_to_note,ours"}, "opponent": {"default": "iterative_fact_to_note"}, "sample_per_professor": {"type": int, "default": 10}}, input=True, output=True, cache=True)
     command("tables", tables, each, input=True, output=True)
     command("experiments", experiments, model, write, {"jobs": {"type": int, "default": 3}, "ks": {"default": "3,5"}, "modes": {"default": "deterministic,random"}}, input=True, reference=True, output=True, prompts=False)
     command("run", run, model, part, loop, write, {"label": {"default": "run"}}, input=True, style=True, output=True, prompts=False, json=False, report=False)

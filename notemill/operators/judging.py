@@ -57,10 +57,10 @@ def style_blocks(pool: DataFrame, jobs: DataFrame, count: int = 3, chars: int =
     return rows.groupBy("professor", "record_id").agg(first.alias("refs")).select("professor", "record_id", block.alias("block"))
 
 
-def calls_of(jobs: DataFrame, opponents: DataFrame, blocks: DataFrame, opponent: str, tasks: tuple[str, ...] = ("faithfulness", "completeness", "style")) -> DataFrame:
+def calls_of(jobs: DataFrame, opponents: DataFrame, blocks: DataFrame, opponent: str, tasks: tuple[str, ...] = ("faithfulness", "completeness", "style"), ask_of_empty: bool = True) -> DataFrame:
     """method, record_id, task, system, user: what a judge is asked on each job.
 
-    An empty note is only asked for completeness, of which it has nothing; style is asked twice, with places swapped, for
+    An empty note is only asked for completeness, of which it has nothing, and without ask_of_empty for nothing at all; style is asked twice, with places swapped, for
     methods other than the opponent where both notes have words. tasks may be error_analysis and gt_facts instead.
     """
     rows = jobs.join(opponents.select("record_id", F.col("note").alias("other")), "record_id", "left").join(blocks, ["professor", "record_id"], "left")
@@ -68,7 +68,7 @@ def calls_of(jobs: DataFrame, opponents: DataFrame, blocks: DataFrame, opponent:
     full, both = F.col("note") != "", (F.col("note") != "") & (F.coalesce("other", F.lit("")) != "") & (F.col("method") != opponent)
     texts = {
         "faithfulness": [("faithfulness", full, F.concat(part("source", "source", SOURCE_CHARS), part("note", "note")))],
-        "completeness": [("completeness", F.lit(True), F.concat(part("reference", "gt"), part("note", "note")))],
+        "completeness": [("completeness", F.lit(True) if ask_of_empty else full, F.concat(part("reference", "gt"), part("note", "note")))],
         "style": [("style_first", both, F.concat(F.col("block"), F.lit("\n"), part("note_a", "note"), part("note_b", "other"))), ("style_second", both, F.concat(F.col("block"), F.lit("\n"), part("note_a", "other"), part("note_b", "note")))],
         "error_analysis": [("error_analysis", full, F.concat(part("source", "source", SOURCE_CHARS), part("reference", "gt"), part("note", "note")))],
         "gt_facts": [("gt_facts", ~full, part("reference", "gt"))],
@@ -92,9 +92,11 @@ def reply(task: str) -> Column:
 
 def judged(jobs: DataFrame, answers: DataFrame, opponent: str) -> DataFrame:
     """One row a job with counts, flags and style_score (null for the opponent); a job with a failed call has its error and no
-    verdicts. An empty note is unfaithful and incomplete, and loses the style comparison with any note of the opponent."""
+    verdicts. An empty note is unfaithful and incomplete, and loses the style comparison with any note of the opponent; if nothing
+    was asked of it, it has no critical facts. Other jobs of which nothing was asked are left out."""
     others = jobs.where(F.col("method") == opponent).select("record_id", F.col("note").alias("other"))
-    rows = jobs.select(*JOB, "professor", "note").join(answers, list(JOB)).join(others, "record_id", "left")
+    rows = jobs.select(*JOB, "professor", "note").join(answers, list(JOB), "left").where(F.col("replies").isNotNull() | (F.col("note") == ""))
+    rows = rows.join(others, "record_id", "left")
     rows = rows.withColumns({"f": judge.faithfulness(reply("faithfulness")), "c": judge.completeness(reply("completeness")), "empty_note": F.col("note") == ""})
     winner = lambda k: F.coalesce(F.trim(F.try_variant_get(reply(k), "$.winner", "string")), F.lit(""))
     other = F.coalesce("other", F.lit(""))
@@ -134,7 +136,7 @@ def errors_judged(jobs: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.select(*JOB, "professor", "error", F.size(bad).alias("n_unsupported"), missing.alias("n_missing"), mixed.alias("n_mixing"), (said | (mixed > 0)).alias("mixing_suspected"))
 
 
-def evaluate(notes: DataFrame, sample: DataFrame, methods: list[str], opponent: str, config: Config, cache: DataFrame, count: int = 3, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evaluate(notes: DataFrame, sample: DataFrame, methods: list[str], opponent: str, config: Config, cache: DataFrame, count: int = 3, ask_of_empty: bool = True, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(verdicts, answers, new cache rows) of a run over notes (method, record_id, professor, note, source, gt).
 
     Style references come from the first method's reference notes. Calls are made once for equal prompts, in this run and,
@@ -142,7 +144,7 @@ def evaluate(notes: DataFrame, sample: DataFrame, methods: list[str], opponent:
     """
     jobs = stored(jobs_of(notes, sample, methods_of(methods, opponent)), "jobs")
     pool = notes.where(F.col("method") == methods[0]).select("professor", "record_id", F.col("gt").alias("output")).where(F.col("output") != "")
-    calls = calls_of(jobs.where(F.col("method").isin(methods)), jobs.where(F.col("method") == opponent), style_blocks(pool, jobs, count), opponent)
+    calls = calls_of(jobs.where(F.col("method").isin(methods)), jobs.where(F.col("method") == opponent), style_blocks(pool, jobs, count), opponent, ask_of_empty=ask_of_empty)
     answers, fresh = answers_of(calls, cache, config, **how)
     answers = stored(answers, "answers")
-    return judged(jobs.where(F.col("method").isin(methods) | (F.col("method") == opponent)), answers, opponent), answers, fresh
+    return judged(jobs, answers, opponent).where(F.col("method").isin(methods)), answers, fresh

@@ -107,3 +107,19 @@ def test_run_command(spark, tmp_path):
     assert got["ok"] and got["stages"] == ["sort", "extract", "generate"] and all(got["state"].values())
     manifest = json.loads((tmp_path / "w" / got["run_id"] / "manifest.json").read_text(encoding="utf-8"))
     assert manifest["input_rows"] == 1 and manifest["style_sample_rows"] == 4 and "b.pdf" in manifest["warnings"][0]
+
+
+def test_three_tables_over_one_cache(spark, tmp_path):
+    for m in ("ours", "raw_to_note", "chunk"):
+        rows = [(k, f"r{k}", f"p{k % 2}", f"{m} {k}" if k or m == "chunk" else "", "source", f"truth {k}") for k in range(6)]
+        spark.createDataFrame(rows, "row_index long, record_id string, professor string, generated_note string, Input string, Output string").coalesce(1).write.parquet(str(tmp_path / "m" / m))
+    at = lambda x: str(tmp_path / x)
+    job = ["all-tables", "--backend", "placeholder", "--methods", "chunk,ours", "--ablation", "ours,chunk", "--opponent", "chunk", "--input", at("m"), "--cache", at("cache"), "--sample-per-professor", "0", "--output", at("t")]
+    got = cli.main(job, spark)
+    assert got["notes"] == {"comparison": 12, "ablation": 12} and got["calls"]["comparison"] > 0 and got["calls"]["ablation"] == got["calls"]["errors"] == 0
+    assert spark.read.parquet(at("cache")).count() == got["calls"]["comparison"]
+    for name, facts in (("comparison", 2), ("ablation", 0)):
+        assert {r["method"]: (r["n"], r["style_n"]) for r in spark.read.parquet(at(f"t/{name}")).collect()} == {"chunk": (6, 0), "ours": (6, 6)}
+        empty = spark.read.parquet(at(f"t/{name}_verdicts")).where("empty_note").collect()
+        assert [(r.method, r.record_id, r.n_critical, r.style_score, r.complete_lenient) for r in empty] == [("ours", "r0", facts, 0.0, False)]
+    assert spark.read.parquet(at("t/errors")).where("n = 6").count() == 2
