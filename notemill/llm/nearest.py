@@ -11,6 +11,9 @@ other cells whose boxes come within that radius. In a cell, leaves are visited b
 the projected query; their points are verified on the original vectors; the search stops as soon as the next leaf lies
 beyond the radius for the k-th best found so far: the chi-square test is made after every leaf. Other cells are asked in
 rounds (ROUNDS), the nearest boxes first, each under the radius that the rounds before have left.
+
+Neither side of a cell is ever gathered whole: its rows lie in blocks, and queries that ask it are dealt out to parts;
+every block meets every part in a group of its own. Blocks of cells that no query asks are not sent in that round.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ from .vectors import common_size, lists, matrix, usable
 
 #: Parameters: projections, chance not to miss a neighbour, rows of a cell and of a block, most cells, sample, leaf.
 DIMS, SURE, CELL, BLOCK, MAX_CELLS, SAMPLE, LEAF, SEED = 8, 0.97, 4096, 8192, 4096, 8192, 128, 11
+#: Parameters: about so many queries meet a block in one group; so many are routed at a time in a worker.
+ASKED, ROUTED = 8192, 128
+FOUND = "query_id long, id long, score double"
 #: Parameter: so many cells of a query, by rising distance of their boxes, are searched by the end of each round; None: all.
 ROUNDS = (1, 4, None)
 
@@ -127,6 +133,35 @@ def search(points: np.ndarray, ids: np.ndarray, proj: np.ndarray, queries: np.nd
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def asked_cells(p: np.ndarray, own: np.ndarray, reach: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how many cells each query asks, these cells): of the places begin to end by rising distance of their boxes, its own
+    cell first, those whose squared distance is at most ``reach``."""
+    gap = np.zeros((len(p), len(cells)))
+    for axis in range(p.shape[1]):
+        side = p[:, axis, None]
+        gap += np.maximum(0, np.maximum(low[:, axis] - side, side - high[:, axis])) ** 2
+    gap[own[:, None] == cells] = -1
+    order = np.argsort(gap, axis=1, kind="stable")[:, begin:end]
+    going = np.take_along_axis(gap, order, 1) <= reach[:, None]
+    return going.sum(1), cells[order[going]]
+
+
+def dealt(points: DataFrame, routed: DataFrame, rows_of: dict[int, int]) -> tuple[DataFrame, DataFrame] | None:
+    """Points and queries by (cell, block, part), so that every point of a cell meets every query that asks it once, about BLOCK
+    points and ASKED queries at a time; None if nothing is asked. rows_of: points of each cell. Points carry a number ``row`` by
+    which equal ids, too, are dealt out."""
+    load = {r["cell"]: r["n"] for r in routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most MAX_CELLS rows
+    if not load:
+        return None
+    plan = [(cell, -(-n // BLOCK), -(-load[cell] // ASKED)) for cell, n in rows_of.items() if cell in load]
+    plan = F.broadcast(points.sparkSession.createDataFrame(plan, "cell int, n_blocks int, n_parts int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    sent = routed.withColumn("cell", F.explode("cells")).join(plan, "cell").withColumn("part", deal("n_parts", "id"))
+    here = points.join(plan, "cell").withColumn("block", deal("n_blocks", "id", "row"))
+    return here.select("cell", "block", every("n_parts").alias("part"), "id", "vector", "proj"), sent.select("cell", every("n_blocks").alias("block"), "part", "id", "vector", "proj", "bound")
+
+
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each row for which is_query (over the column ``id``) holds, its k best other rows
     found by inner product, in double precision on the original vectors; ties go to the smaller id.
@@ -162,32 +197,29 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 
     points = cut(base.mapInArrow(index, "id long, vector array<double>, proj array<double>, cell int"))
     boxes = points.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.col("proj")[k]).alias(f"{f.__name__}{k}") for k in range(DIMS) for f in (F.min, F.max)]).collect()
+    rows_of = {b["cell"]: b["n"] for b in boxes}
     cells = np.array([b["cell"] for b in boxes])  # at most MAX_CELLS rows
     low = np.array([[b[f"min{k}"] for k in range(DIMS)] for b in boxes])
     high = np.array([[b[f"max{k}"] for k in range(DIMS)] for b in boxes])
-    n_blocks = np.array([-(-b["n"] // BLOCK) for b in boxes])
-    shared = spark.sparkContext.broadcast((cells, low, high, n_blocks))
-    sizes = spark.createDataFrame([(int(c), int(n)) for c, n in zip(cells, n_blocks)], "cell int, nb int")
-    blocked = points.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    shared = spark.sparkContext.broadcast((cells, low, high))
+    # equal ids, too, are dealt out to the blocks: points are a checkpoint, so a row keeps its number
+    numbered = points.withColumn("row", F.monotonically_increasing_id())
     queries = points.where(is_query).select("id", "vector")
 
     def route(begin: int, end: int | None):
         def run(batches):
-            cells, low, high, n_blocks = shared.value
+            cells, low, high = shared.value
+            last = len(cells) if end is None else end
             for batch in batches:
-                v, bound = matrix(batch.column(1), size), batch.column(2).to_numpy(zero_copy_only=False)
-                own, norm = splits.cells(projected(v)), np.linalg.norm(v, axis=1)
-                p = (v * (top / norm)[:, None]) @ frame[:-1]
-                gap = (np.maximum(0, np.maximum(low[None] - p[:, None], p[:, None] - high[None])) ** 2).sum(2)
-                gap[own[:, None] == cells] = -1  # its own cell is first
-                turn = np.argsort(np.argsort(gap, axis=1, kind="stable"), axis=1)
-                far = np.maximum(0, 2 * top * top - 2 * (top / norm) * bound)
-                going = (turn >= begin) & (turn < (len(cells) if end is None else end)) & (~np.isfinite(bound)[:, None] | (gap <= limit * far[:, None]))
-                row, col = np.nonzero(going)
-                row, col = np.repeat(row, n_blocks[col]), np.repeat(col, n_blocks[col])
-                block = np.arange(len(row)) - np.maximum.accumulate(np.where(np.concatenate(([True], (row[1:] != row[:-1]) | (col[1:] != col[:-1]))), np.arange(len(row)), 0)) if len(row) else np.zeros(0)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists(p[row], pa.float64()), pa.array(bound[row], pa.float64()), pa.array(cells[col].astype(np.int32)), pa.array(block.astype(np.int32))], names=["id", "vector", "proj", "bound", "cell", "block"])
+                for at in range(0, batch.num_rows, ROUTED):
+                    part = batch.slice(at, ROUTED)
+                    v, bound = matrix(part.column(1), size), part.column(2).to_numpy(zero_copy_only=False)
+                    norm = np.linalg.norm(v, axis=1)
+                    p = (v * (top / norm)[:, None]) @ frame[:-1]
+                    far = np.where(np.isfinite(bound), limit * np.maximum(0, 2 * top * top - 2 * (top / norm) * bound), np.inf)
+                    n, to = asked_cells(p, splits.cells(projected(v)), far, cells, low, high, begin, last)
+                    to = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(to, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(p, pa.float64()), part.column(2), to], names=["id", "vector", "proj", "bound", "cells"])
 
         return run
 
@@ -198,10 +230,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         row, i, s = search(matrix(x.column("vector"), size), x.column("id").to_numpy(), matrix(x.column("proj"), DIMS), matrix(y.column("vector"), size), qid, matrix(y.column("proj"), DIMS), y.column("bound").to_numpy(), k, limit, top)
         return pa.table({"query_id": pa.array(qid[row.astype(np.int64)], pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    def round_of(asked: DataFrame, begin: int, end: int | None) -> DataFrame:
-        sent = asked.mapInArrow(route(begin, end), "id long, vector array<double>, proj array<double>, bound double, cell int, block int")
-        left = blocked.select("cell", "block", "id", "vector", "proj").groupBy("cell", "block")
-        return left.cogroup(sent.groupBy("cell", "block")).applyInArrow(verify, "query_id long, id long, score double")
+    def round_of(asked: DataFrame, begin: int, end: int | None) -> DataFrame | None:
+        """Each block of a cell that is asked meets the queries that ask it, in parts of about ASKED queries; None if none is asked."""
+        routed = cut(asked.mapInArrow(route(begin, end), "id long, vector array<double>, proj array<double>, bound double, cells array<int>"))
+        if not (sides := dealt(numbered, routed, rows_of)):
+            return None
+        here, sent = (side.groupBy("cell", "block", "part") for side in sides)
+        return here.cogroup(sent).applyInArrow(verify, FOUND)
 
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     once = queries.groupBy("id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
@@ -215,9 +250,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             bound = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
             asked = once.join(bound.withColumnRenamed("query_id", "id"), "id", "left").select("id", "vector", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
         more = round_of(asked, begin, end)
+        if more is None:  # boxes farther off are beyond every radius, too
+            break
         more = more if found is None else found.unionByName(more)
         found = cut(more.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
         begin = len(cells) if end is None else end
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     return found.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "id", "score")
 
 

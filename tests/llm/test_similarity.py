@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -205,6 +206,46 @@ def test_nearest(spark, monkeypatch):
     assert ne.nearest(spark.createDataFrame([], KIND), F.col("id") == 0).count() == 0
 
 
+def test_cells_that_all_queries_ask_are_met_in_parts(spark, monkeypatch):
+    for name, value in (("CELL", 200), ("BLOCK", 256), ("ASKED", 128)):
+        monkeypatch.setattr(ne, name, value)
+    one = spark.range(6000).select((F.col("id") % 4000).alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0), F.lit(-1.0)).alias("embedding"))
+    got = ne.nearest(one, F.col("id") % 10 == 0).collect()  # one vector, 2,000 ids twice, so all lie in one cell and every query asks it
+    by_query = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by_query.setdefault(r.query_id, []).append(r.id)
+    twice = [k for k in range(30) for _ in range(2)]
+    assert len(by_query) == 400 and all(abs(r.score - 6) < 1e-9 for r in got)
+    assert all(ids == [k for k in twice if k != q][:20] for q, ids in by_query.items())
+
+    points = spark.range(6000).select(F.lit(3).alias("cell"), F.lit(5).cast("long").alias("id"), F.col("id").alias("row"), F.lit(None).alias("vector"), F.lit(None).alias("proj"))
+    routed = spark.range(2000).select("id", F.lit(None).alias("vector"), F.lit(None).alias("proj"), F.lit(0.0).alias("bound"), F.array(F.lit(3)).alias("cells"))
+    here, sent = ne.dealt(points.unionByName(points.withColumn("cell", F.lit(4))), routed, {3: 6000, 4: 6000})
+    blocks = {tuple(r)[:3]: r[3] for r in here.groupBy("cell", "block", "part").count().collect()}
+    parts = {tuple(r)[:3]: r[3] for r in sent.groupBy("cell", "block", "part").count().collect()}
+    assert blocks.keys() == parts.keys() and {k[0] for k in blocks} == {3} and len(blocks) == 24 * 16
+    assert max(blocks.values()) < 2 * 256 and max(parts.values()) < 2 * 128
+    assert sum(n * parts[k] for k, n in blocks.items()) == 6000 * 2000  # each point meets each query once
+    assert ne.dealt(points, routed.withColumn("cells", F.array().cast("array<int>")), {3: 6000}) is None
+
+
+def test_routing_through_all_cells_takes_little_memory():
+    rng = np.random.default_rng(1)
+    low = rng.standard_normal((ne.MAX_CELLS, ne.DIMS))
+    high, cells = low + rng.random(low.shape), rng.permutation(ne.MAX_CELLS)
+    p, own, far = rng.standard_normal((ne.ROUTED, ne.DIMS)), rng.integers(0, ne.MAX_CELLS, ne.ROUTED), np.full(ne.ROUTED, 4.0)
+    far[0] = np.inf
+    tracemalloc.start()
+    n, to = ne.asked_cells(p, own, far, cells, low, high, 0, ne.MAX_CELLS)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    assert n[0] == ne.MAX_CELLS and sorted(to[: n[0]]) == list(range(ne.MAX_CELLS))
+    for k, mine in enumerate(np.split(to, np.cumsum(n)[:-1])):
+        gap = (np.clip(p[k], low, high) - p[k]) ** 2
+        near = {int(c) for c, g in zip(cells, gap.sum(1)) if g <= far[k]} | {int(own[k])}
+        assert mine[0] == own[k] and set(mine.tolist()) == near
+
+
 def test_chi_square():
     assert abs(ne.chi_square_quantile(0.95, 8) - 15.507) < 1e-3 and abs(ne.chi_square_quantile(0.5, 2) - 1.386) < 1e-3
 
