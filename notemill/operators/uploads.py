@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col, clean_scalar, nfc, professor_of, short_hash, slug, trim
-from ..sources.readers import TEXT_SUFFIXES, decoded, docx_text, files, workbook
+from ..sources.formats import KINDS, PARTS, workbook_parts
+from ..sources.readers import TEXT_SUFFIXES, decoded, docx_text, workbook
 from .records import INPUT_COLUMNS, OUTPUT_COLUMNS, UPLOAD_IDS
 
 #: Columns that make a table a table of records, and those of a professor's workbook.
@@ -21,9 +22,6 @@ REQUIRED = (RECORD, INPUT, OUTPUT)
 #: Fixed value: style samples of one run.
 STYLE_SAMPLES = 5
 
-PARTS = "name string, source string, part int, header array<string>, row_index long, cells map<string,string>, text string, warning string"
-_KINDS = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
-
 
 def _as_text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else str(value)
@@ -77,7 +75,7 @@ def file_parts(found: DataFrame, first_sheet: bool = False, json_as_text: bool =
                             out.append((name, source, part, header, k, [(h, row[j] if j < len(row) else "") for j, h in enumerate(header) if h], None, None))
                 except Exception as e:  # noqa: BLE001  any damage to an uploaded file is a warning
                     out = [(name, name, 0, None, -1, None, None, f"{name}: cannot be read ({e})")]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(_KINDS)], names=[x.split()[0] for x in PARTS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(KINDS)], names=[x.split()[0] for x in PARTS.split(", ")])
 
     return found.select("name", "suffix", "content").mapInArrow(run, PARTS)
 
@@ -164,13 +162,20 @@ def merged_workbooks(spark: SparkSession, folder: str, keep_empty_output: bool =
     Cells are trimmed and in normal form C; rows without an id or an input are left out, and those without an output unless
     keep_empty_output. in_order sorts by professor and id. summary: source_file, professor_id, input_rows, output_rows,
     skipped_rows. Workbooks that cannot be read or lack a column are a warning; no workbook, or no valid one, is an error.
+    Large workbooks are read in several tasks (sources.formats).
     """
-    return merged_files(files(spark, folder, "*.xlsx"), keep_empty_output, in_order)
+    parts = workbook_parts(spark, folder, firstSheet="true")
+    lost = parts.where("warning is not null")
+    whole = parts.join(lost.select("name").distinct(), "name", "left_anti").unionByName(lost)
+    return _merged(whole, keep_empty_output, in_order)
 
 
 def merged_files(found: DataFrame, keep_empty_output: bool = True, in_order: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """merged_workbooks of workbooks (name, suffix, content) wherever they come from."""
-    parts = file_parts(found, first_sheet=True)
+    return _merged(file_parts(found, first_sheet=True), keep_empty_output, in_order)
+
+
+def _merged(parts: DataFrame, keep_empty_output: bool, in_order: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     complete = F.forall(F.array(*map(F.lit, REQUIRED)), lambda c: F.array_contains("header", c))
     lost = F.filter(F.array(*map(F.lit, REQUIRED)), lambda c: ~F.array_contains(F.col("header"), c))
     parts = parts.withColumn("complete", F.coalesce(complete, F.lit(False)))

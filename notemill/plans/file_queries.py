@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import backends, facts, judging, notes as n, records as r, references, uploads
-from ..sources import readers, sinks
+from ..sources import formats, readers, sinks
 from .adapters import load, view
 from .catalogue import query
 
@@ -240,6 +240,26 @@ def required_csv(spark, sf):
     return back.select(F.col("k").cast("long").alias("k"), "text")
 
 
+@query("""
+SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents""")
+def workbook_source(spark, sf):
+    """Documents written as a folder of workbooks and read again, large ones by runs of rows."""
+    folder = sinks.scratch(spark, f"books-{uuid.uuid4().hex}")
+    formats.save(load(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "workbook", folder)
+    rows = formats.workbook_parts(spark, folder, decodeEscapes="true").where("row_index >= 0")
+    return rows.select(F.col("cells")["doc_id"].cast("long").alias("doc_id"), *(F.col("cells")[c].alias(c) for c in ("text", "lang", "source")))
+
+
+@query("""
+SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents""")
+def spreadsheet_csv(spark, sf):
+    """Documents written as CSV for spreadsheet programs, a byte order mark in each part, and read again."""
+    folder = sinks.scratch(spark, f"marked-{uuid.uuid4().hex}")
+    formats.save(load(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "spreadsheet_csv", folder)
+    back = readers.csv(spark, folder, ["doc_id", "text", "lang", "source"])
+    return back.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 @query("""
 SELECT DISTINCT 'style' AS kind, source AS key, 'prompt of ' || source AS text FROM documents UNION ALL SELECT 'common', 'global_medical_safety_prompt', 'be safe'""")
 def workbook_prompts(spark, sf):

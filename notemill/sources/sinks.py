@@ -37,7 +37,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def export_csv(df: DataFrame, path: str, most: int = 1_000_000) -> int:
     """One CSV file with a byte order mark for spreadsheet programs, row by row through the driver, by which its size is
-    limited: more than ``most`` rows are an error."""
+    limited: more than ``most`` rows are an error. formats.save(df, "spreadsheet_csv", folder) writes any size, a file for each task."""
     import csv
 
     n = 0
@@ -47,7 +47,7 @@ def export_csv(df: DataFrame, path: str, most: int = 1_000_000) -> int:
         for row in df.toLocalIterator():
             n += 1
             if n > most:
-                raise ValueError(f"more than {most} rows; use write_csv")
+                raise ValueError(f"more than {most} rows; use formats.save")
             out.writerow(["" if x is None else x for x in row])
     return n
 
