@@ -24,6 +24,8 @@ from .vectors import common_size, matrix, usable
 #: of a block of a cell. SLACK covers rounding in the bounds; links are checked exactly. A label that the sample lacks, or
 #: of few rows, is one cell. Where no bound prunes (directions at random), the cells are a join in blocks, no more.
 SAMPLE, CELL, PIVOTS, BLOCK, SLACK = 65_536, 8192, 4096, 4096, 1e-6
+#: Parameter: bytes of the sample's vectors on the driver, so that long vectors make a smaller sample.
+SAMPLE_BYTES = 256 << 20
 
 
 def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -51,13 +53,14 @@ def cosine_links(nodes: DataFrame, size: int, threshold: float) -> tuple[DataFra
     spark = nodes.sparkSession
     r = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     total = nodes.count()
-    some = min(SAMPLE, 16 * math.ceil(total / CELL) + 1024)
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(some).select("label", "vector").toPandas()
+    some = min(SAMPLE, SAMPLE_BYTES // (8 * max(1, size)), 16 * math.ceil(total / CELL) + 1024)
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(some).select("label", "vector").toArrow()
+    labels = sample.column("label").to_pandas()
     pivots: dict = {}
-    for label, group in sample.groupby("label"):
-        want = math.ceil(len(group) / len(sample) * total / CELL)
+    for label, at in labels.groupby(labels).indices.items():
+        want = math.ceil(len(at) / len(labels) * total / CELL)
         if min(want, PIVOTS) > 1:
-            v = np.array([np.asarray(x, np.float64) for x in group["vector"].iloc[:PIVOTS]])[:want]
+            v = matrix(sample.column("vector").take(pa.array(at[: min(want, PIVOTS)])), size)
             pivots[label] = np.unique(v / np.linalg.norm(v, axis=1, keepdims=True), axis=0)
     shared = spark.sparkContext.broadcast(pivots)
 
@@ -100,9 +103,10 @@ def cosine_links(nodes: DataFrame, size: int, threshold: float) -> tuple[DataFra
                     home_.append(np.ones(len(rows), bool))
                     continue
                 d, at = distances(v[rows], p), np.arange(len(rows))
-                home, gap = d.argmin(1), np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+                home = d.argmin(1)
+                met, back = np.unique(home, return_inverse=True)
                 own = d[at, home][:, None]
-                visit = (d <= bounds.value[label] + r) & (d - own <= 2 * r) & (d**2 - own**2 <= 2 * r * gap[home] + SLACK)
+                visit = (d <= bounds.value[label] + r) & (d - own <= 2 * r) & (d**2 - own**2 <= 2 * r * distances(p[met], p)[back] + SLACK)
                 visit[at, home] = True
                 row, cell = np.nonzero(visit)
                 rows_.append(rows[row])
