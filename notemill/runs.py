@@ -1,6 +1,7 @@
 """Runs on the driver: a workspace with its manifest, guarded outputs, stages with a log, a chain that stops at a failure.
 
-A workspace lies in a folder that driver and executors see; tables in it are written by Spark, manifest and logs by the driver.
+A workspace lies in a folder that driver and executors see: an absolute path, or a URI of a file system that Spark and Arrow know. Tables
+in it are written by Spark, manifest and logs by the driver through Arrow's file systems.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from .functions.text import clean_scalar
+from .sources.formats import place
 
 #: Tables and files of a workspace, by stage.
 FILES = {
@@ -37,20 +40,71 @@ def safe_name(label: str, default: str, longest: int) -> str:
     return (re.sub(r"[^\w가-힣.-]+", "_", t).strip("._-") or default)[:longest]
 
 
+@dataclass(frozen=True)
+class Shared:
+    """A file or folder on the cluster's file system; as text, what Spark takes as a path."""
+
+    uri: str
+
+    def __str__(self) -> str:
+        return self.uri
+
+    def __truediv__(self, name: str) -> Shared:
+        return Shared(f"{self.uri.rstrip('/')}/{name}")
+
+    @property
+    def name(self) -> str:
+        return self.uri.rstrip("/").rpartition("/")[2]
+
+    def _kind(self) -> fs.FileType:
+        system, path = place(self.uri)
+        return system.get_file_info(path).type
+
+    def exists(self) -> bool:
+        return self._kind() != fs.FileType.NotFound
+
+    def is_dir(self) -> bool:
+        return self._kind() == fs.FileType.Directory
+
+    def mkdir(self) -> None:
+        system, path = place(self.uri)
+        system.create_dir(path)
+
+    def children(self) -> list[Shared]:
+        system, path = place(self.uri)
+        return [self / x.base_name for x in sorted(system.get_file_info(fs.FileSelector(path, allow_not_found=True)), key=lambda x: x.base_name)]
+
+    def read_text(self) -> str:
+        system, path = place(self.uri)
+        with system.open_input_stream(path, compression=None) as f:
+            return f.read().decode()
+
+    def write_text(self, text: str) -> None:
+        system, path = place(self.uri)
+        with system.open_output_stream(path, compression=None) as f:
+            f.write(text.encode())
+
+
+def shared(path: str | Path | Shared) -> Shared:
+    """Of a path; one without a scheme is made absolute."""
+    text = str(path)
+    return Shared(text if re.match(r"[\w+.-]{2,}:/", text) else str(Path(text).expanduser().resolve()))
+
+
 @dataclass(frozen=True)
 class Run:
     """A run's name and folder; path(name) of what FILES lists."""
 
     run_id: str
-    root: Path
+    root: Shared
 
-    def path(self, name: str) -> Path:
+    def path(self, name: str) -> Shared:
         return self.root / FILES[name]
 
     def paths(self) -> dict[str, str]:
         return {k: str(self.root / v) for k, v in FILES.items()}
 
-    def artifacts(self) -> list[Path]:
+    def artifacts(self) -> list[Shared]:
         """What of FILES is there; a table counts once it is complete."""
         return [p for k in FILES if _there(p := self.path(k))]
 
@@ -58,22 +112,19 @@ class Run:
         return {k: _there(self.path(k)) for k in ("input", "stage1", "stage2", "notes")}
 
 
-def _there(path: Path) -> bool:
+def _there(path: Shared) -> bool:
     return (path / "_SUCCESS").exists() if path.is_dir() else path.exists()
 
 
 def create_run(base: str | Path, label: str, tries: int = 8) -> Run:
     """A new workspace named by the time in UTC, the label and eight random digits."""
-    Path(base).mkdir(parents=True, exist_ok=True)
     for _ in range(tries):
         name = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%fZ}_{safe_name(label, 'run', 36)}_{uuid.uuid4().hex[:8]}"
-        root = Path(base) / name
-        try:
-            root.mkdir()
-        except FileExistsError:
+        root = shared(base) / name
+        if root.exists():
             continue
         for folder in FOLDERS:
-            (root / folder).mkdir(parents=True)
+            (root / folder).mkdir()
         return Run(name, root)
     raise RuntimeError(f"no unique workspace in {base}")
 
@@ -81,19 +132,19 @@ def create_run(base: str | Path, label: str, tries: int = 8) -> Run:
 def write_manifest(run: Run, input_rows: int, style_rows: int, warnings: Sequence[str], saved_files: Sequence[dict]) -> dict:
     """run_id, created_at, paths, counts of rows, warnings and saved files; also written to the workspace."""
     out = {"run_id": run.run_id, "created_at": datetime.now(timezone.utc).isoformat(), "paths": run.paths(), "input_rows": input_rows, "style_sample_rows": style_rows, "warnings": list(warnings), "saved_files": list(saved_files)}
-    run.path("manifest").write_text(json.dumps(out, ensure_ascii=False, indent=2), encoding="utf-8")
+    run.path("manifest").write_text(json.dumps(out, ensure_ascii=False, indent=2))
     return out
 
 
-def latest_facts(base: str | Path) -> Path | None:
+def latest_facts(base: str | Path) -> Shared | None:
     """The facts of the run that was started last and has them."""
-    done = [p for p in sorted(Path(base).glob("*/")) if _there(p / FILES["stage2"])]
+    done = [p for p in shared(base).children() if _there(p / FILES["stage2"])]
     return done[-1] / FILES["stage2"] if done else None
 
 
 def check_paths(inputs: dict[str, str | Path], outputs: dict[str, str | Path]) -> None:
     """An error if an output is one of the inputs, or two outputs are one."""
-    plain = lambda x: str(x) if "://" in str(x) else str(Path(x).expanduser().resolve())
+    plain = lambda x: re.sub("^file:/+", "/", str(shared(x))).rstrip("/")
     for name, out in outputs.items():
         if same := [k for k, x in inputs.items() if plain(x) == plain(out)]:
             raise ValueError(f"{name} must not overwrite {same[0]}: {out}")
@@ -142,7 +193,7 @@ def run_stage(run: Run, name: str, work: Callable[[], object], **settings) -> St
         result.error = traceback.format_exc()
     result.duration_seconds = round(time.monotonic() - began, 3)
     text = json.dumps(asdict(result) | {"ok": result.ok}, ensure_ascii=False, indent=2)
-    (run.root / "logs" / f"{safe_name(name, 'stage', 64)}.json").write_text(text, encoding="utf-8")
+    (run.root / "logs" / f"{safe_name(name, 'stage', 64)}.json").write_text(text)
     return result
 
 

@@ -12,11 +12,11 @@ def test_workspaces(tmp_path, monkeypatch):
     run = runs.create_run(tmp_path / "runs", "한글 label!")
     assert "_한글_label_" in run.run_id and (run.root / "logs").is_dir() and run.artifacts() == []
     manifest = runs.write_manifest(run, 3, 1, ["w"], [{"original_name": "a", "bytes": 1}])
-    assert json.loads(run.path("manifest").read_text(encoding="utf-8")) == manifest and [p.name for p in run.artifacts()] == ["manifest.json"]
+    assert json.loads(run.path("manifest").read_text()) == manifest and [p.name for p in run.artifacts()] == ["manifest.json"]
     assert runs.latest_facts(tmp_path / "runs") is None
     run.path("stage2").mkdir()
     assert runs.latest_facts(tmp_path / "runs") is None  # not complete
-    (run.path("stage2") / "_SUCCESS").touch()
+    (run.path("stage2") / "_SUCCESS").write_text("")
     assert runs.latest_facts(tmp_path / "runs") == run.path("stage2") and run.state() == {"input": False, "stage1": False, "stage2": True, "notes": False}
     monkeypatch.setattr(runs.uuid, "uuid4", lambda: type("U", (), {"hex": "0" * 32})())
     monkeypatch.setattr(runs, "datetime", type("D", (), {"now": staticmethod(lambda tz: type("T", (), {"__format__": lambda self, f: "t"})())}))
@@ -25,6 +25,20 @@ def test_workspaces(tmp_path, monkeypatch):
         runs.create_run(tmp_path / "same", "x")
 
 
+def test_a_workspace_named_by_a_uri(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    base = f"file:{tmp_path}/work"
+    run = runs.create_run(base, "x")
+    runs.write_manifest(run, 1, 0, [], [])
+    spark.range(3).write.parquet(str(run.path("stage2")))
+    assert run.state()["stage2"] and runs.latest_facts(base) == run.path("stage2") and [p.name for p in run.artifacts()] == ["stage2_verified_facts", "manifest.json"]
+    assert runs.run_stage(run, "s", lambda: 1 / 0).ok is False and "ZeroDivisionError" in (run.root / "logs" / "s.json").read_text()
+    assert [p.name for p in tmp_path.iterdir()] == ["work"]  # no folder "file:" beside it
+    assert runs.create_run("relative", "x").path("input").uri.startswith(f"{tmp_path}/relative/")
+    with pytest.raises(ValueError, match="overwrite"):
+        runs.check_paths({"a": f"file://{tmp_path}/t"}, {"o": f"{tmp_path}/t/"})
+
+
 def test_chain_stops_at_the_first_failure(tmp_path):
     run, done = runs.create_run(tmp_path, "x"), []
     got = runs.chain(run, [("one", lambda: done.append(1)), ("two", lambda: 1 / 0), ("three", lambda: done.append(3))])
