@@ -258,26 +258,43 @@ def document_date(mentions: Column, document_type: Column) -> Column:
 
 def date_variants(c: Column | str) -> Column:
     """Spellings under which a date may stand in the evidence, as a distinct array."""
-    t = F.regexp_replace(clean_scalar(c), "^'+|'+\\z", "")
-    parts = F.split(t, "[-./]")
-    n = F.size(parts)
-    number = lambda k: F.try_element_at(parts, F.lit(k)).try_cast("int")
-    length = lambda k: F.length(F.try_element_at(parts, F.lit(k)))
-    four_last = (n >= 3) & (length(3) == 4)
-    year = F.when(length(1) == 4, number(1)).when(four_last, number(3)).otherwise(2000 + number(1))
-    month = number(2)
-    day = F.when((n >= 3) & ((length(1) == 4) | ~four_last), number(3))
-    readable = number(1).isNotNull() & month.isNotNull() & F.coalesce((n < 3) | number(3).isNotNull(), F.lit(False))
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    y, yy = year.cast("string"), F.substring(year.cast("string"), 3, 10)
+    return F.array_distinct(_spellings(c, lambda t: t))
+
+
+def _spellings(c: Column | str, shown: Callable[[Column], Column]) -> Column:
+    """The same with repeats; the date as given goes through shown. Each step binds what the next one uses often."""
+    cleaned = F.regexp_replace(clean_scalar(c), "^'+|'+\\z", "")
+    return once(once(cleaned, lambda t: F.struct(shown(t).alias("t"), F.split(t, "[-./]").alias("parts"))), _spelled_apart)
+
+
+def _spelled_apart(x: Column) -> Column:
+    t, parts = x["t"], x["parts"]
+    part = lambda k: F.try_element_at(parts, F.lit(k))
+    seen = F.struct(F.size(parts).alias("n"), *(part(k).try_cast("int").alias(f"v{k}") for k in (1, 2, 3)), *(F.length(part(k)).alias(f"l{k}") for k in (1, 3)))
+
+    def dated(s: Column) -> Column:
+        four_last = (s["n"] >= 3) & (s["l3"] == 4)
+        year = F.when(s["l1"] == 4, s["v1"]).when(four_last, s["v3"]).otherwise(2000 + s["v1"])
+        day = F.when((s["n"] >= 3) & ((s["l1"] == 4) | ~four_last), s["v3"])
+        readable = s["v1"].isNotNull() & s["v2"].isNotNull() & F.coalesce((s["n"] < 3) | s["v3"].isNotNull(), F.lit(False))
+        return F.struct(readable.alias("readable"), year.cast("string").alias("y"), s["v2"].cast("string").alias("m"), day.cast("string").alias("d"))
+
+    def more(p: Column) -> Column:
+        y, m, d, yy = p["y"], p["m"], p["d"], F.substring(p["y"], 3, 10)
+        two = lambda v: F.lpad(v, 2, "0")
+        short = F.array(*(F.concat(a, F.lit(s), b) for a, s, b in ((y, "-", two(m)), (y, ".", two(m)), (yy, ".", m), (yy, "-", m))))
+        full = F.array(*(F.concat_ws(s, y, two(m), two(d)) for s in "-./"), *(F.concat_ws(s, yy, m, d) for s in ".-/"))
+        return F.when(~p["readable"], F.array().cast("array<string>")).when(d.isNull(), short).otherwise(full)
+
     basic = F.array(t, F.replace(t, F.lit("."), F.lit("-")), F.replace(t, F.lit("."), F.lit("/")), F.replace(t, F.lit("-"), F.lit(".")), F.replace(t, F.lit("/"), F.lit(".")))
-    short = F.array(*(F.concat(a, F.lit(s), b) for a, s, b in ((y, "-", two(month)), (y, ".", two(month)), (yy, ".", month), (yy, "-", month))))
-    full = F.array(*(F.concat_ws(s, y, two(month), two(day)) for s in "-./"), *(F.concat_ws(s, yy, month.cast("string"), day.cast("string")) for s in ".-/"))
-    more = F.when(~readable, F.array().cast("array<string>")).when(day.isNull(), short).otherwise(full)
-    return F.when(n < 2, F.array(t)).otherwise(F.array_distinct(F.concat(basic, more)))
+    return F.when(F.size(parts) < 2, F.array(t)).otherwise(F.concat(basic, once(once(seen, dated), more)))
 
 
 def date_supported(claim: Column | str, evidence: Column | str) -> Column:
-    """Whether normalised evidence holds the date in any of its spellings."""
-    e, claim = as_col(evidence), as_col(claim)
-    return F.contains(e, match_normalize(claim)) | F.exists(date_variants(claim), lambda v: F.contains(e, match_normalize(v)))
+    """Whether normalised evidence holds the date in any of its spellings. Both are computed once, not for each spelling, and the
+    date is normalised before it is spelled: other spellings are digits and signs, which normalising leaves as they are."""
+
+    def held(x: Column) -> Column:
+        return F.contains(x["e"], match_normalize(x["c"])) | F.exists(_spellings(x["c"], match_normalize), lambda v: F.contains(x["e"], v))
+
+    return once(F.struct(as_col(claim).alias("c"), as_col(evidence).alias("e")), held)

@@ -95,3 +95,11 @@ def test_date_variants(spark):
     assert {"2024-05", "24.5"} <= got[1]  # the middle part counts as month, the day is left out
     assert {"2024-01-05", "24.1.5"} <= got[2]
     assert {"2024-03", "2024.03", "24.3"} <= got[3] and got[4] == {"x"}
+
+
+def test_a_claimed_date_is_split_and_cleaned_once(spark):
+    df = spark.createDataFrame([("2024-01-05", "seen 24.1.5 here"), ("'2024.01'", "in 24-1"), ("2024-01-06", "seen 24.1.5 here"), ("Mai  7", "on mai 7"), (None, "x"), ("2024-01-05", None)], "c string, e string")
+    out = df.select(dates.date_supported("c", "e").alias("s"))
+    assert [r.s for r in out.collect()] == [True, True, False, True, True, None]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_replace(") <= 4, "spellings must not repeat how the date is read"
