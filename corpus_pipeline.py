@@ -36,10 +36,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates (five words, similarity of 0.8 or more). Rows that repeat the
-    smallest id of a group stay together; texts without words are one group; rows without an id stay."""
-    groups = simhash.similar_documents(docs).where("component_id < id").select("id").distinct()
-    return docs.join(groups, docs["doc_id"] == groups["id"], "left_anti")
+    """The document of the smallest id of each group of near-duplicates: texts whose SimHash fingerprints differ in 3 of 64 bits at
+    most, as op8 links them. Rows that repeat the smallest id of a group stay together; texts without words have fingerprint zero
+    and are linked by it like any other; rows without an id stay."""
+    groups = simhash.near_duplicates(docs).where("component_id < id").select(F.col("id").alias("_copy")).distinct()
+    return docs.join(groups, docs["doc_id"] == groups["_copy"], "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 
 import corpus_pipeline as cp
+from notemill.llm import simhash
+
+from .test_similarity import roots
 
 
 def test_stages_on_planted_cases(spark, tmp_path):
@@ -38,3 +41,23 @@ def test_stages_on_planted_cases(spark, tmp_path):
     last = seen["bpe"].collect()
     assert all(r.n_tokens == len(r.ids) for r in last) and len(last) == seen["mixing"].count()
     assert cp.run(spark, str(tmp_path)).count() == len(last)
+
+
+def test_simhash_stage_links_by_fingerprints(spark, tmp_path):
+    """As op8: three words, three bits; a pair that shares under 0.8 of its runs of five words is linked if its fingerprints are close."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        words = ["w%d" % rng.randrange(900) for _ in range(220)]
+        texts.append(" ".join(words))
+        for at in range(5, 220, 37):
+            words[at] = "x%d" % rng.randrange(900)
+        texts.append(" ".join(words))
+    marks = [simhash.fingerprint(t.encode(), 3) for t in texts]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if bin(marks[a] ^ marks[b]).count("1") <= 3]
+    assert any(len(shingles[a] & shingles[b]) < 0.8 * len(shingles[a] | shingles[b]) for a, b in pairs)
+    found = roots(len(texts), pairs)
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    left = cp.simhash_stage(spark, docs, str(tmp_path)).select("doc_id").collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None) == sorted(set(found)) and len(left) == len(set(found)) + 1
