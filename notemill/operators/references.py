@@ -82,6 +82,12 @@ def style_references(pool: DataFrame, most: int = 12) -> DataFrame:
     return texts.join(kept, ["professor", "record_id", "_h"]).select(*pool.columns, "pick")
 
 
+def shortest_references(pool: DataFrame, most: int) -> DataFrame:
+    """The ``most`` shortest references of each professor, ties by id: professor, record_id, output, pick."""
+    ranked = pool.withColumn("pick", F.row_number().over(W.partitionBy("professor").orderBy(F.length("output"), "record_id")))
+    return ranked.where(F.col("pick") <= most)
+
+
 def reference_blocks(records: DataFrame, references: DataFrame, count: int = 3, limit: int = 8000) -> DataFrame:
     """professor, record_id, block: the first ``count`` references of the professor but for the record itself."""
     refs = references.select("professor", F.col("record_id").alias("ref_id"), F.col("output").alias("ref"), "pick")

@@ -192,7 +192,7 @@ FROM x LEFT JOIN p ON p.professor = x.professor AND p.record_id = x.record_id AN
 def reference_blocks(spark, sf):
     """The three shortest references of the professor but the record itself, as one text."""
     pool = view(spark, sf, "ref").withColumn("output", F.btrim("output"))
-    whole = references.style_references(pool, 1 << 10)
+    whole = references.shortest_references(pool, 4)
     got = references.reference_blocks(view(spark, sf, "ref"), whole, 3, 1 << 30)
     return got.select("professor", "record_id", F.sha2("block", 256).alias("block_sha256"))
 

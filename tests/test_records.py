@@ -1,3 +1,4 @@
+import hashlib
 import io
 import random
 import zipfile
@@ -8,6 +9,7 @@ from pyspark.sql import types as T
 
 from notemill.operators import judge as j, notes as n, pipeline, records as r, references as ref
 from notemill.operators.backends import Config
+from notemill.plans.registry import queries
 from notemill.sources import readers, sinks
 from notemill.streaming.incremental import run_new_files
 
@@ -211,3 +213,27 @@ def test_stream_state_holds_what_is_done(spark, tmp_path):
     run_new_files(spark, land, out, check, schema, lambda df: df, ("p", "k"))
     assert rows(spark.read.parquet(out).select("p", "k"), "k") == [("x", "2")]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_manifest_hashes_files_piece_by_piece(spark, tmp_path):
+    content = {"a b.bin": bytes(range(256)) * 500, "ko.TXT": "수술".encode()}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    found = readers.files(spark, str(tmp_path))
+    plan = readers.manifest(found)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan, "no operator takes a file's content as a whole"
+    want = {(k, len(v), hashlib.sha256(v).hexdigest()) for k, v in content.items()}
+    assert {(r.original_name, r.bytes, r.sha256) for r in readers.manifest(found).collect()} == want
+    assert {(r.original_name, r.bytes, r.sha256) for r in readers.manifest(found.drop("path")).collect()} == want
+
+
+def test_reference_blocks_of_a_professor_with_very_many_references(spark, tmp_path):
+    """The shortest references, also where a professor has more than 1,024."""
+    n = 2500
+    docs = [(k, f"note number {k:05d} " + "x" * (1 + k * 37 % n), "en", "src1") for k in range(n)]
+    spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(n)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    best = sorted(docs, key=lambda d: (len(d[1]), str(d[0])))[:4]
+    block = lambda k: "\n\n".join(f"[Reference {i}]\n{d[1]}" for i, d in enumerate([d for d in best if d[0] != k][:3], 1))
+    got = {r.record_id: r.block_sha256 for r in queries()["reference_blocks"](spark, str(tmp_path)).collect()}
+    assert got == {str(k): hashlib.sha256(block(k).encode()).hexdigest() for k in range(n)}
