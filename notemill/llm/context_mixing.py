@@ -345,8 +345,9 @@ class Chunk:
         total, out = np.vstack((np.zeros(self.states + 1, np.int64), np.cumsum(self.weights(), axis=0))), {}
         n = len(self.count)
         for row, shared in ((0, np.minimum.accumulate(self.common)), (n - 1, np.minimum.accumulate(self.common[::-1]))):
+            falling = -shared
             for key, bits in self.edge(row):
-                reach = int((shared >= bits).sum())  # neighbours that share the prefix
+                reach = int(np.searchsorted(falling, -bits, "right"))  # neighbours that share the prefix
                 out[key, bits] = total[reach + 1] if row == 0 else total[n] - total[n - 1 - reach]
         return out
 
@@ -453,8 +454,9 @@ def pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows += batch.num_rows
         if rows >= CHUNK:
             whole = pa.Table.from_batches(held)
-            last = whole.column("token")[whole.num_rows - 1]
-            cut = whole.num_rows - 1 - next((k for k in range(1, whole.num_rows) if whole.column("token")[whole.num_rows - 1 - k] != last), whole.num_rows - 1)
+            token = whole.column("token").combine_chunks()
+            other = pc.indices_nonzero(pc.not_equal(token, token[len(token) - 1]))
+            cut = other[len(other) - 1].as_py() + 1 if len(other) else 0  # the last token's rows start here
             if cut > 0:
                 yield packed(whole.slice(0, cut))
                 held = whole.slice(cut).to_batches()

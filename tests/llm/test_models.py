@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from notemill.llm import context_mixing as cm, language_id as li, toxicity as tx
@@ -54,6 +55,24 @@ def test_base_score_and_counts_equal_brute_force(spark, monkeypatch):
     assert cm.score_texts(df.where("doc_id = 501")).count() == 1
 
 
+def test_chunks_never_part_a_words_rows(monkeypatch):
+    monkeypatch.setattr(cm, "CHUNK", 6)
+    monkeypatch.setattr(cm, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Now", (), {"partitionId": lambda self: 0})())}))
+    rows = [(w, b) for w, n in ((b"a ", 2), (b"b ", 3), (b"c ", 1), (b"d ", 9), (b"e ", 2), (b"f ", 1)) for b in range(n)]  # c alone after b's rows
+
+    def batches():
+        for at in range(0, len(rows), 3):
+            part = rows[at : at + 3]
+            one = pa.array([np.array([1], "<i4").tobytes()] * len(part), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([b for _, b in part], pa.int64()), pa.array([0] * len(part), pa.int32()), pa.array([1] * len(part), pa.int32()), one], names=["token", "bucket", "code", "mask", "n"])
+
+    found = []
+    for out in cm.pack_chunks(batches()):
+        row = out.to_pylist()[0]
+        found += zip(cm.tokens_of(row["data"], row["lengths"]).to_pylist(), cm.grow(row["n"], np.int64).tolist())
+    assert found == [(b"a ", 2), (b"b ", 3), (b"c ", 1), (b"d ", 9), (b"e ", 2), (b"f ", 1)]
+
+
 def chunk(pairs, trained=False):
     """A chunk of {(word, state): training count}."""
     words, n_states = sorted({w for w, _ in pairs}), max(s for _, s in pairs) + 1
