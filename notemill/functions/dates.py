@@ -5,21 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from datetime import date
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_col, clean_scalar, collapse, match_normalize, trim
+from .text import as_col, clean_scalar, match_normalize
 
 MENTION = "struct<start:int,normalized_date:string,raw_text:string,role:string,context:string>"
 #: Characters of context on either side, and for a year.
 NEAR, YEAR_NEAR = 90, 500
 #: Fixed value: the source of a missing date.
 NO_DATE = "No explicit representative document date found."
-#: White space of Python's patterns.
-UNICODE_SPACE = "[\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
 def once(value: Column, step: Callable[[Column], Column]) -> Column:
@@ -54,107 +51,14 @@ ROLES = (
 COMPARED, PLAIN = "comparison_date", "date_mention"
 
 
-def role_of(context: Column, raw: Column, document_type: Column) -> Column:
-    """What a mention is the date of: of a comparison, else the first of ROLES that holds, else a plain mention."""
-    kind, said = F.lower(document_type), F.substring_index(raw, " ", 1)
-
-    def of(low: Column) -> Column:
-        after = lambda words: F.substring(low, F.instr(low, words) + len(words), F.length(low))  # noqa: E731  contexts have single spaces
-        compared = F.contains(low, F.concat(F.lit("compared with "), said)) | (F.contains(low, F.lit("comparison ")) & F.contains(after("comparison "), said))
-        out = F.when(F.contains(low, F.lit("compar")) & compared, COMPARED)
-        for role, terms, of_kind in ROLES:
-            there = reduce(lambda a, b: a | b, (F.contains(low, F.lit(t)) for t in terms))
-            out = out.when(there & F.contains(kind, F.lit(of_kind)) if of_kind else there, role)
-        return out.otherwise(PLAIN)
-
-    return once(F.lower(context), of)
-
-
 def role_in(context: str, raw: str, document_type: str) -> str:
-    """The same of one mention."""
-    low, kind, quoted = context.lower(), document_type.lower(), re.escape(raw.split()[0])
-    if "compar" in low and re.search(rf"compared\s+with\s+{quoted}|comparison\s+.*{quoted}", low):
+    """What a mention is the date of: of a comparison, else the first of ROLES that holds, else a plain mention."""
+    low, kind, said = context.lower(), document_type.lower(), raw.split()[0]
+    if "compar" in low and (f"compared with {said}" in low or said in low.partition("comparison ")[2]):  # contexts have single spaces
         return COMPARED
     return next((role for role, terms, of_kind in ROLES if of_kind in kind and any(t in low for t in terms)), PLAIN)
 
 
-#: The four spellings of dates as one alternation (``SPELLINGS`` below, with ASCII digits). Matches are bounded by what is no digit,
-#: have numbers of other lengths, and so never overlap: one scan finds what four scans find.
-#: What may not stand before a match is tested after its first characters, so that the scan passes over other characters quickly.
-ANY_DATE = (
-    f"(?:20|19)(?<!\\d\\d\\d)\\d{{2}}(?:[-/.]\\d{{1,2}}[-/.]\\d{{1,2}}|{UNICODE_SPACE}+\\d{{1,2}}{UNICODE_SPACE}+\\d{{1,2}})(?!\\d)"
-    "|\\d{6}(?<!\\d{7})(?!\\d)|\\d{1,2}(?<=\\(\\d{1,2})[.]\\d{1,2}(?=\\))"
-)
-YEAR = "(?:20|19)(?<!\\d\\d\\d)\\d{2}(?!\\d)"
-SIX = "\\d{6}(?<!\\d{7})(?!\\d)"
-
-
-def spelled(raw: Column) -> Column:
-    """year, month and day of a match of ANY_DATE as an array; of a date in brackets, month and day only."""
-    six = F.array(F.concat(F.lit("20"), F.substring(raw, 1, 2)), F.substring(raw, 3, 2), F.substring(raw, 5, 2))
-    return F.when(F.rlike(raw, F.lit("^\\d{6}$")), six).otherwise(F.split(raw, f"(?:[-/.]|{UNICODE_SPACE})+"))
-
-
-def year_around(text: Column, at: Column) -> Column:
-    """The last year written within YEAR_NEAR characters of a place (from 0), else that of the last six-digit date there, else null."""
-    around = F.substring(text, F.greatest(at - YEAR_NEAR, F.lit(0)) + 1, YEAR_NEAR + F.least(at, F.lit(YEAR_NEAR)))
-
-    def of(near: Column) -> Column:
-        last = lambda xs: F.get(xs, F.size(xs) - 1)
-        whole = F.filter(F.regexp_extract_all(near, F.lit(SIX), F.lit(0)), lambda x: iso_date(spelled(x)[0], spelled(x)[1], spelled(x)[2]).isNotNull())
-        return F.coalesce(last(F.regexp_extract_all(near, F.lit(YEAR), F.lit(0))), F.concat(F.lit("20"), F.substring(last(whole), 1, 2)))
-
-    return once(around, of)
-
-
-def one_spaced(context: Column) -> Column:
-    """A stretch of text with runs of white space as one space and none at the ends; most stretches are so already."""
-    other = F.contains(context, F.lit("  ")) | F.rlike(context, F.lit("[\\x00-\\x1F\\x85\\xA0\\u1680\\u2000-\\u3000]"))
-    return trim(F.when(other, collapse(context)).otherwise(context))
-
-
-def scanned_mentions(text: Column, document_type: Column) -> Column:
-    """What distinct_mentions gives for texts whose digits are ASCII, in built-in expressions: one scan for the matches, one split
-    at them for the gaps between, a fold that adds up lengths to places, then dates, contexts and roles of each."""
-    found = F.regexp_extract_all(text, F.lit(ANY_DATE), F.lit(0))
-
-    def of(raws: Column) -> Column:
-        gaps = F.split(text, ANY_DATE, -1)
-        lengths = F.zip_with(raws, gaps, lambda raw, gap: F.struct(F.length(gap).alias("gap"), F.length(raw).alias("n"), raw.alias("raw")))
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,raw:string>>").alias("all"))
-
-        def add(acc: Column, x: Column) -> Column:
-            at = acc["end"] + x["gap"]
-            return F.struct((at + x["n"]).alias("end"), F.concat(acc["all"], F.array(F.struct(at.alias("start"), x["raw"].alias("raw")))).alias("all"))
-
-        placed = F.aggregate(F.filter(lengths, lambda x: x["raw"].isNotNull()), start, add, lambda acc: acc["all"])
-        return distinct_of(F.filter(F.transform(placed, one), lambda m: m["normalized_date"].isNotNull()))
-
-    def one(x: Column) -> Column:
-        raw, at = x["raw"], x["start"]
-        around = F.substring(text, F.greatest(at - NEAR, F.lit(0)) + 1, F.length(raw) + NEAR + F.least(F.lit(NEAR), at))
-        context = once(around, one_spaced)
-        return once(F.struct(spelled(raw).alias("p"), context.alias("context")), lambda y: mention(raw, at, y))
-
-    def mention(raw: Column, at: Column, y: Column) -> Column:
-        bracketed = F.size(y["p"]) == 2
-        day = F.when(bracketed, iso_date(year_around(text, at), y["p"][0], y["p"][1])).otherwise(iso_date(y["p"][0], y["p"][1], F.get(y["p"], F.lit(2))))
-        said = F.when(bracketed, F.concat(raw, F.lit(" (year inferred)"))).otherwise(raw)
-        word = F.regexp_replace(raw, f"{UNICODE_SPACE}.*", "")
-        return F.struct(at.cast("int").alias("start"), day.alias("normalized_date"), said.alias("raw_text"), role_of(y["context"], word, document_type).alias("role"), y["context"].alias("context"))
-
-    none = F.array().cast(f"array<{MENTION}>")
-    return once(found, lambda raws: F.when(F.size(raws) == 0, none).otherwise(of(raws)))
-
-
-def distinct_of(mentions: Column) -> Column:
-    """The first of each (date, raw text, role)."""
-
-    key = lambda m: F.struct(m["normalized_date"], m["raw_text"], m["role"])
-    first = lambda ms, keys: F.filter(ms, lambda m, i: F.array_position(keys, key(m)) == i + 1)
-    return once(mentions, lambda ms: F.when(F.size(ms) < 2, ms).otherwise(once(F.transform(ms, key), lambda keys: first(ms, keys))))
-
-
 def is_plain(text: Column) -> Column:
     """Whether all digits of a text are ASCII, as the scanner needs."""
     return (F.octet_length(text) == F.char_length(text)) | ~F.rlike(text, F.lit("[\\p{Nd}&&[^0-9]]"))
@@ -218,10 +122,9 @@ def distinct_mentions(text: str, document_type: str) -> list[dict]:
 def all_mentions(text: Column, document_type: Column) -> Column:
     """array of mentions in text order, the first of each (date, raw text, role). A null text has none, a null type counts as empty.
 
-    Texts are scanned in built-in expressions; only those with digits that are not ASCII (see is_plain) go to Python, in Arrow batches.
+    Texts with digits go to Python in Arrow batches: a scan for each spelling there is faster by far than lambdas, which Spark interprets.
     """
     text, kind = F.coalesce(text, F.lit("")), F.coalesce(document_type, F.lit(""))
-    plain = is_plain(text)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         fields = [("start", pa.int32()), ("normalized_date", pa.string()), ("raw_text", pa.string()), ("role", pa.string()), ("context", pa.string())]
@@ -229,8 +132,7 @@ def all_mentions(text: Column, document_type: Column) -> Column:
             yield pa.array([distinct_mentions(t, k) if t else [] for t, k in zip(texts.to_pylist(), kinds.to_pylist())], pa.list_(pa.struct(fields)))
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    rest = F.arrow_udf(run, f"array<{MENTION}>")(F.when(~plain, text), F.when(~plain, kind))
-    return F.when(plain, once(text, lambda t: scanned_mentions(t, kind))).otherwise(rest)
+    return F.arrow_udf(run, f"array<{MENTION}>")(F.when(F.rlike(text, F.lit("\\p{Nd}")), text), kind)
 
 
 def document_date(mentions: Column, document_type: Column) -> Column:

@@ -88,6 +88,13 @@ def test_generated_code_and_arrow_pass_agree(spark):
     assert 500 < sum(r.plain for r in got) < 1450
 
 
+def test_mentions_are_scanned_in_one_pass_outside_lambdas(spark):
+    df = spark.createDataFrame([("seen 2024-01-05", "Note")], "t string, k string")
+    plan = df.select(dates.all_mentions(F.col("t"), F.col("k")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+    assert dates.role_in("comparison of 2023-01-01 and 2024-01-05", "2024-01-05", "") == dates.role_in("compared with 2024-01-05", "2024-01-05", "") == dates.COMPARED
+
+
 def test_date_variants(spark):
     df = spark.createDataFrame([("2024-01-05",), ("12-5-2024",), ("'24.1.5",), ("2024.3",), ("x",)], "x string")
     got = [set(r[0]) for r in df.select(dates.date_variants("x")).collect()]
