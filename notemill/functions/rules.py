@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ LEAKED = ("hypertension", "htn", "arb")
 
 
 def has_any(text: Column, terms: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in terms))
 
 
 def has_all(text: Column, terms: Column) -> Column:
@@ -66,9 +68,13 @@ def phase_rank(document_type: Column) -> Column:
 
 def fact_category(category: Column, text: Column, document_type: Column) -> Column:
     """The category of a fact whose fact and evidence are ``text``: corrected if allowed, inferred if not."""
-    low = F.lower(text)
-    plan = F.when(F.contains(F.lower(document_type), F.lit("discharge")) | has_any(low, PLAN_TERMS), "Discharge Plan").otherwise("Other")
-    return F.when(category.isin(*CATEGORIES), first_rule(low, CORRECTIONS, category)).otherwise(first_rule(low, INFERENCES, plan))
+
+    def of(x: Column) -> Column:
+        low, stated = x["low"], x["stated"]
+        plan = F.when(F.contains(F.lower(document_type), F.lit("discharge")) | has_any(low, PLAN_TERMS), "Discharge Plan").otherwise("Other")
+        return F.when(stated.isin(*CATEGORIES), first_rule(low, CORRECTIONS, stated)).otherwise(first_rule(low, INFERENCES, plan))
+
+    return F.get(F.transform(F.array(F.struct(F.lower(text).alias("low"), category.alias("stated"))), of), F.lit(0))  # lowered once, not for each rule
 
 
 def is_low_priority(text: Column) -> Column:

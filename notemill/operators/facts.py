@@ -118,8 +118,7 @@ def payload(v: Column, document_type: Column) -> Column:
 
 def typed_facts(items: Column) -> Column:
     """array of fact structs; items that are no objects go (a list may mix them)."""
-    get = lambda x, k: F.try_variant_get(x, f"$.{k}", "string").alias(k)
-    return F.transform(F.filter(items, is_fact), lambda x: F.struct(*(get(x, k) for k in FIELDS)))
+    return F.transform(F.filter(items, is_fact), lambda x: F.try_variant_get(x, "$", FACT))
 
 
 def compact_facts(facts: Column, evidence_limit: int = 260, most: int = 0) -> Column:

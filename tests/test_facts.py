@@ -166,3 +166,19 @@ def test_uncertain_items_go_through_the_loop_into_the_report(spark):
     assert report["unresolved_issues"] == [{"document_type": "Note", "issue_type": "missing_facts", "issues": [{"fact": "m", "severity": "critical", "evidence": "e"}]}]
     assert [c["final_facts"]["uncertain_or_conflicting"] for c in whole["chunks"]] == [["dose?", '{"b":1}'], ["side?"], []]
     assert len(whole["all_facts"]) == 2 and [c["iterations_used"] for c in whole["chunks"]] == [2, 1, 1]
+
+
+def test_a_facts_words_are_lowered_once(spark):
+    df = spark.createDataFrame([("Other", "Seen in the CLINIC, follow-up")], "c string, t string")
+    out = df.select(rules.fact_category(F.col("c"), F.col("t"), F.lit("Note")).alias("x"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "exists(" not in plan and out.first().x == "Discharge Plan"
+
+
+def test_typed_facts_keep_what_is_no_text(spark):
+    facts = '{"facts":[{"fact":7,"evidence":[1,"a"],"date":null,"category":true,"other":{"x":1}},"text",{"Fact":"b","confidence":{"y":2}},{}]}'
+    df = spark.createDataFrame([(facts,)], "c string")
+    one = lambda x: F.struct(*(F.try_variant_get(x, f"$.{k}", "string").alias(k) for k in f.FIELDS))
+    items = f.parse_facts("c")["items"]
+    got = df.select(f.typed_facts(items).alias("got"), F.transform(F.filter(items, f.is_fact), one).alias("want")).first()
+    assert got.got == got.want and len(got.got) == 3
