@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import date_supported
+from ..functions.dates import date_supported, once
 from ..functions.text import DATE, MEDICAL_TERM, NUMBER, clean_scalar, is_generic, lines, match_normalize, sanitize_style, truncate_middle
 
 #: Shortest reference line that counts as copied, keys of a style profile, length limits of its prompt.
@@ -36,30 +36,37 @@ def _labelled(label: str):
 
 def note_warnings(note: Column, evidence: Column, opening: Column | None = None, style: Column | None = None) -> Column:
     """struct<warnings, unsupported> of a note against normalised evidence; dates count in any spelling."""
-    text = clean_scalar(note)
-    low = F.lower(text)
-    out = [
-        F.when(F.contains(low, F.lit("<think>")) | F.contains(low, F.lit("</think>")), F.array(F.lit("thinking tags in the note"))),
-        F.when(F.contains(text, F.lit("```")), F.array(F.lit("code fence in the note"))),
-    ]
-    if opening is not None:
-        lacks = F.coalesce((opening != "") & ~F.startswith(text, opening), F.lit(False))
-        out.append(F.when(lacks, F.array(F.concat(F.lit("missing opening line: "), opening))))
-    unsupported = []
-    for label, pattern in (("date", DATE), ("number", NUMBER), ("medical_term", MEDICAL_TERM)):
-        bad = F.filter(claims(text, pattern), _unknown(evidence, label == "date"))
-        unsupported.append(bad)
-        out.append(F.transform(bad, _labelled(f"unsupported {label}: ")))
-        if style is not None:
-            leaked = F.filter(bad, lambda x: F.contains(match_normalize(style), match_normalize(x)))
-            out.append(F.transform(leaked, _labelled("leaked from the style prompt: ")))
     none = F.array().cast("array<string>")
-    warnings = F.array_distinct(F.concat(*(F.coalesce(x, none) for x in out)))
-    empty = text == ""
-    return F.struct(
-        F.when(empty, F.array(F.lit("the note is empty"))).otherwise(warnings).alias("warnings"),
-        F.when(empty, none).otherwise(F.array_distinct(F.concat(*unsupported))).alias("unsupported"),
-    )
+    patterns = {"date": DATE, "number": NUMBER, "medical_term": MEDICAL_TERM}
+    shown = [] if style is None else [match_normalize(style).alias("style")]
+
+    def found(x: Column) -> Column:
+        bad = (F.filter(claims(x["text"], pattern), _unknown(x["evidence"], label == "date")).alias(label) for label, pattern in patterns.items())
+        return once(F.struct(*bad), lambda y: told(x, y))
+
+    def told(x: Column, bad: Column) -> Column:
+        text, low = x["text"], F.lower(x["text"])
+        out = [
+            F.when(F.contains(low, F.lit("<think>")) | F.contains(low, F.lit("</think>")), F.array(F.lit("thinking tags in the note"))),
+            F.when(F.contains(text, F.lit("```")), F.array(F.lit("code fence in the note"))),
+        ]
+        if opening is not None:
+            lacks = F.coalesce((opening != "") & ~F.startswith(text, opening), F.lit(False))
+            out.append(F.when(lacks, F.array(F.concat(F.lit("missing opening line: "), opening))))
+        for label in patterns:
+            out.append(F.transform(bad[label], _labelled(f"unsupported {label}: ")))
+            if style is not None:
+                leaked = F.filter(bad[label], lambda z: F.contains(x["style"], match_normalize(z)))
+                out.append(F.transform(leaked, _labelled("leaked from the style prompt: ")))
+        warnings = F.array_distinct(F.concat(*(F.coalesce(w, none) for w in out)))
+        empty = text == ""
+        return F.struct(
+            F.when(empty, F.array(F.lit("the note is empty"))).otherwise(warnings).alias("warnings"),
+            F.when(empty, none).otherwise(F.array_distinct(F.concat(*(bad[label] for label in patterns)))).alias("unsupported"),
+        )
+
+    # bound: a lambda would clean and normalise the whole texts anew for each claim
+    return once(F.struct(clean_scalar(note).alias("text"), evidence.alias("evidence"), *shown), found)
 
 
 #: Characters of a word by which lines of few words and notes meet: a line of COPIED characters and four words has one of seven.

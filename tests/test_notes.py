@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from notemill.functions.text import is_generic, match_normalize
 from notemill.operators import backends, notes as n, pipeline
 
@@ -79,3 +81,11 @@ def test_written_notes_report_copies_and_cut_bundles(spark, monkeypatch):
 def test_long_excerpts_are_cut_in_their_middle(spark):
     df = spark.createDataFrame([("p", "r", 1, "a" * 100 + "b" * 100)], "professor string, record_id string, pick int, output string")
     assert n.excerpts(df, 90).first().output.startswith("aa") and n.excerpts(df, 90).first().output.endswith("bb")
+
+
+def test_evidence_is_normalised_once_not_for_each_claim(spark):
+    df = spark.createDataFrame([("mass 3 cm on 2024-01-05", "MASS seen 24.1.5", "keep 3 cm")], "n string, e string, s string")
+    out = df.select(n.note_warnings(F.col("n"), match_normalize("e"), style=F.col("s")).alias("w"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(e#") == 1 and plan.count("lower(s#") == 1
+    assert "3 cm" in out.first().w.unsupported and "2024-01-05" not in out.first().w.unsupported
