@@ -25,14 +25,8 @@ WHITE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-#: Parameters: rows and bytes of a batch that goes to a Python worker, so that long texts don't add up in its memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. BATCH holds for the session from now on, as plans run after their functions have returned."""
-    for key, value in BATCH.items():
-        spark.conf.set(key, value)
+    """A table of the folder, in batches of runtime.BATCH for Python workers."""
     return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
