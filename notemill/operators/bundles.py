@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_scalar, strict_json, text_hash, truncate_middle
+from ..functions.text import as_col, clean_scalar, strict_json, text_hash, truncate_middle
 from . import facts as f
 from .records import head, record_id, require
 
@@ -18,8 +18,8 @@ READABLE_CHARS, EVIDENCE_CHARS = 2500, 260
 
 
 def json_cell(c: Column | str) -> Column:
-    """VARIANT of a cell that begins with [ or { and is JSON as a whole, else null."""
-    t = clean_scalar(c)
+    """VARIANT of a cleaned cell that begins with [ or { and is JSON as a whole, else null."""
+    t = as_col(c)
     return F.try_parse_json(strict_json(F.when(F.left(t, F.lit(1)).isin("[", "{"), t)))
 
 
@@ -29,21 +29,29 @@ def is_fact_cell(x: Column) -> Column:
     kind = F.schema_of_variant(x["v"])
     first = F.slice(F.coalesce(F.try_variant_get(x["v"], "$", "array<variant>"), F.array().cast("array<variant>")), 1, 3)
     has = lambda item, k: F.try_variant_get(item, f"$.{k}", "variant").isNotNull()
-    listed = (F.size(first) > 0) & F.forall(first, f.is_fact) & F.exists(first, lambda y: has(y, "fact") | has(y, "evidence") | has(y, "category"))
+    listed = f.bound(first, lambda ys: (F.size(ys) > 0) & F.forall(ys, f.is_fact) & F.exists(ys, lambda y: has(y, "fact") | has(y, "evidence") | has(y, "category")))
     named = x["named"] & (kind.startswith("OBJECT") | kind.startswith("ARRAY"))
     all_facts = kind.startswith("OBJECT") & F.try_variant_get(x["v"], "$.all_facts", "variant").isNotNull()
     return x["v"].isNotNull() & (x["known"] | F.coalesce(all_facts | listed | named, F.lit(False)))
 
 
 def compact_item(item: Column, evidence_chars: int) -> Column:
-    """A fact as JSON text with its known fields that are not empty, keys in order; what is no object as it is."""
-    get = lambda k: clean_scalar(F.try_variant_get(item, f"$.{k}", "string"))
-    cells = F.array(*(F.struct(F.lit(k).alias("key"), (truncate_middle(get(k), evidence_chars) if k == "evidence" else get(k)).alias("value")) for k in sorted(f.FIELDS)))
-    return F.when(f.is_fact(item), F.to_json(F.map_from_entries(F.filter(cells, lambda c: c["value"] != "")))).otherwise(F.to_json(item))
+    """A fact as JSON text with its known fields that are not empty, keys in order; what is no object as it is. A fact is read by
+    one cast, and each field is bound before it is cut and before it is written."""
+    names = sorted(f.FIELDS)
 
+    def written(fact: Column) -> Column:
+        clean = F.transform(F.array(*(fact[k] for k in names)), lambda x: clean_scalar(x))
+        cut = F.transform(clean, lambda x, i: F.when(i == names.index("evidence"), truncate_middle(x, evidence_chars)).otherwise(x))
+        text = f.bound(cut, lambda xs: _object_of({k: xs[i] for i, k in enumerate(names)}))
+        return F.when(fact.isNotNull(), text).otherwise(F.to_json(item))
 
-def _sorted_map(entries: Column) -> Column:
-    return F.map_from_entries(F.array_sort(entries))
+    return f.bound(F.try_variant_get(item, "$", f.FACT), written)  # null for what is no object
+
+
+def _object_of(cells: dict[str, Column]) -> Column:
+    """JSON of an object of texts, keys in order; null and empty texts are left out."""
+    return F.to_json(F.struct(*(F.when(cells[k] != "", cells[k]).alias(k) for k in sorted(cells))), {"ignoreNullFields": "true"}) if cells else F.lit("{}")
 
 
 def selected(df: DataFrame, professor: str | None, most: int | None, column: str = "Professor_ID", index: str = "row_index") -> DataFrame:
@@ -71,22 +79,29 @@ def fact_bundles(df: DataFrame, index: str = "row_index", professor: str = "Prof
     clean = df.select(index, *(clean_scalar(F.col(f"`{c}`")).alias(c) for c in columns))
     known = {x.lower() for x in FACT_COLUMNS}
     hidden = [c for c in columns if any(h in c.lower() for h in SOURCE_HINTS)]
-    cells = F.array(*(F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").alias("value"), json_cell(F.col(f"`{c}`")).alias("v"), F.lit(c.lower() in known).alias("known"), F.lit("fact" in c.lower()).alias("named"), F.lit(c in hidden).alias("hidden"), F.lit(FACT_COLUMNS.index(c) if c in FACT_COLUMNS else len(FACT_COLUMNS)).alias("rank")) for c in columns))
-    rows = clean.select(F.col(index).alias("row_index"), record_id(clean.drop(index)).alias("record_id"), (F.col(f"`{professor}`") if professor in columns else F.lit("")).alias("professor"), cells.alias("cells"))
-    rows = rows.withColumn("cells", F.filter("cells", lambda x: x["value"] != ""))
-    found = F.filter("cells", is_fact_cell)
-    best = F.array_min(F.transform(found, lambda x: x["rank"]))
-    rows = rows.withColumn("primary", F.get(F.transform(F.array(F.struct(found.alias("found"), best.alias("best"))), lambda y: F.get(F.filter(y["found"], lambda x: x["rank"] == y["best"]), F.lit(0))), F.lit(0)))
-    rows = rows.withColumn("items", F.when(F.col("primary").isNotNull(), f.fact_list(F.col("primary.v"))).otherwise(F.array().cast("array<variant>")))
-    entry = lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))
-    short = lambda x: F.struct(x["key"].alias("key"), truncate_middle(x["value"], READABLE_CHARS).alias("value"))
+    # cell k of a row is c<k>, its text cleaned again t<k>, its JSON v<k>; each select binds what the next one uses several times
+    at = {c: k for k, c in enumerate(columns)}
+    value, parsed = {c: F.col(f"c{k}") for c, k in at.items()}, {c: F.col(f"v{k}") for c, k in at.items()}
+    rows = clean.select(
+        F.col(index).alias("row_index"), record_id(clean.drop(index)).alias("record_id"), (F.col(f"`{professor}`") if professor in columns else F.lit("")).alias("professor"),
+        *(F.col(f"`{c}`").alias(f"c{k}") for c, k in at.items()), *(clean_scalar(F.col(f"`{c}`")).alias(f"t{k}") for c, k in at.items()),
+    )
+    rows = rows.select("row_index", "record_id", "professor", *value.values(), *(json_cell(f"t{k}").alias(f"v{k}") for k in at.values()))
+    holds = lambda c: is_fact_cell(F.struct(parsed[c].alias("v"), F.lit(c.lower() in known).alias("known"), F.lit("fact" in c.lower()).alias("named")))
+    ranked = sorted(columns, key=lambda c: FACT_COLUMNS.index(c) if c in FACT_COLUMNS else len(FACT_COLUMNS))
+    rows = rows.withColumn("primary", F.coalesce(*(F.when(holds(c), c) for c in ranked)))
+    rows = rows.withColumn("primary_v", F.coalesce(*(F.when(F.col("primary") == c, parsed[c]) for c in ranked)))
+    rows = rows.withColumn("items", f.fact_list(F.col("primary_v")))
     sent = F.slice("items", 1, most_facts) if most_facts > 0 else F.col("items")
+    # a text that is empty only once cut goes along, unlike one that is not seen
+    short = lambda c: F.when(value[c] != "", truncate_middle(value[c], READABLE_CHARS)).alias(c)
+    readable = [short(c) for c in sorted(READABLE_COLUMNS) if c in at]
     rows = rows.select(
-        "row_index", "record_id", "professor", F.coalesce("primary.key", F.lit("")).alias("primary_fact_column"), F.size("items").alias("n_facts"), F.size(sent).alias("n_sent"),
+        "row_index", "record_id", "professor", F.coalesce("primary", F.lit("")).alias("primary_fact_column"), F.size("items").alias("n_facts"), F.size(sent).alias("n_sent"),
         F.concat(F.lit("["), F.array_join(F.transform(sent, lambda x: compact_item(x, evidence_chars)), ","), F.lit("]")).alias("facts"),
-        F.to_json(_sorted_map(F.transform(F.filter("cells", lambda x: x["v"].isNull() & ~x["hidden"]), entry))).alias("fields"),
-        F.to_json(_sorted_map(F.transform(F.filter("cells", lambda x: x["key"].isin(*READABLE_COLUMNS)), short))).alias("texts"),
-        F.to_json(F.transform("cells", lambda x: x["key"])).alias("seen"),
+        _object_of({c: F.when(parsed[c].isNull(), value[c]) for c in columns if c not in hidden}).alias("fields"),
+        (F.to_json(F.struct(*readable), {"ignoreNullFields": "true"}) if readable else F.lit("{}")).alias("texts"),
+        F.to_json(F.array_compact(F.array(*(F.when(value[c] != "", c) for c in columns)))).alias("seen"),
     )
     text = lambda x: F.regexp_extract(F.to_json(F.array(x)), "(?s)^.(.*).\\z", 1)
     parts = {

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,16 @@ def test_fact_bundles(spark):
     assert "professor" not in json.loads(plain.evidence) and plain.bundle_hash != got[1].bundle_hash
 
 
+def test_bundles_read_each_cell_and_fact_once(spark):
+    made = b.fact_bundles(spark.createDataFrame(ROWS, COLUMNS), most_facts=2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # one pass through Python for the cells of all columns
+    assert len(re.findall(r"try_variant_get\(lambda x_\d+#\d+, \$(?:\.evidence)?, (?:Struct|String)", plan)) == 1  # a fact's fields come by one cast
+    odd = [{"category": 1.50, "date": True, "fact": {"b": [None]}, "evidence": " nan ", "Fact": "no"}, {"fact": "e" * 300, "evidence": "e" * 261}]
+    got = b.fact_bundles(spark.createDataFrame([(0, json.dumps(odd))], "row_index int, facts string")).first()
+    assert json.loads(got.evidence)["extracted_facts"] == [{"category": "1.5", "date": "true", "fact": '{"b":[null]}'}, {"fact": "e" * 300, "evidence": "e" * 130 + "\n...[TRUNCATED]...\n" + "e" * 98}]
+
+
 def test_raw_bundles_and_selection(spark):
     df = spark.createDataFrame([(0, "p", "r", "word " * 300), (1, "q", "s", None)], "row_index int, Professor_ID string, `수술ID` string, Input string")
     got = {r.row_index: r for r in b.raw_bundles(df, "m", most_chars=500).collect()}
