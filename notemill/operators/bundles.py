@@ -17,10 +17,12 @@ SOURCE_HINTS = ("input", "sorted_timeline", "verification_report")
 READABLE_CHARS, EVIDENCE_CHARS = 2500, 260
 
 
-def json_cell(c: Column | str) -> Column:
-    """VARIANT of a cleaned cell that begins with [ or { and is JSON as a whole, else null."""
+def json_cell(c: Column | str, trusted: bool = False) -> Column:
+    """VARIANT of a cleaned cell that begins with [ or { and is JSON as a whole, else null. ``trusted`` skips the strict parse of
+    cells that are known to be JSON as a whole if they begin so."""
     t = as_col(c)
-    return F.try_parse_json(strict_json(F.when(F.left(t, F.lit(1)).isin("[", "{"), t)))
+    text = F.when(F.left(t, F.lit(1)).isin("[", "{"), t)
+    return F.try_parse_json(text if trusted else strict_json(text))
 
 
 def is_fact_cell(x: Column) -> Column:
@@ -41,8 +43,8 @@ def compact_item(item: Column, evidence_chars: int) -> Column:
     names = sorted(f.FIELDS)
 
     def written(fact: Column) -> Column:
-        clean = F.transform(F.array(*(fact[k] for k in names)), lambda x: clean_scalar(x))
-        cut = F.transform(clean, lambda x, i: F.when(i == names.index("evidence"), truncate_middle(x, evidence_chars)).otherwise(x))
+        clean = F.transform(F.array(*(fact[k] for k in names)), lambda x: F.when(x.isNull(), "").otherwise(clean_scalar(x)))
+        cut = F.transform(clean, lambda x, i: F.when((i == names.index("evidence")) & (x != ""), truncate_middle(x, evidence_chars)).otherwise(x))
         text = f.bound(cut, lambda xs: _object_of({k: xs[i] for i, k in enumerate(names)}))
         return F.when(fact.isNotNull(), text).otherwise(F.to_json(item))
 
@@ -68,12 +70,12 @@ def selected(df: DataFrame, professor: str | None, most: int | None, column: str
     return out
 
 
-def fact_bundles(df: DataFrame, index: str = "row_index", professor: str = "Professor_ID", with_professor: bool = True, most_facts: int = 0, evidence_chars: int = EVIDENCE_CHARS) -> DataFrame:
+def fact_bundles(df: DataFrame, index: str = "row_index", professor: str = "Professor_ID", with_professor: bool = True, most_facts: int = 0, evidence_chars: int = EVIDENCE_CHARS, trusted: bool = False) -> DataFrame:
     """row_index, record_id, professor, primary_fact_column, n_facts, n_sent, evidence (JSON that the writer sees), bundle_hash.
 
     Cells are cleaned; empty ones are not seen. Facts are those of the primary fact column, compacted, the first most_facts if
     positive. Readable columns go along cut to READABLE_CHARS, and all other cells but JSON and raw sources.
-    with_professor=False leaves the professor out of what the writer sees.
+    with_professor=False leaves the professor out of what the writer sees. ``trusted``: cells that begin as JSON are JSON.
     """
     columns = [c for c in df.columns if c != index]
     clean = df.select(index, *(clean_scalar(F.col(f"`{c}`")).alias(c) for c in columns))
@@ -86,7 +88,7 @@ def fact_bundles(df: DataFrame, index: str = "row_index", professor: str = "Prof
         F.col(index).alias("row_index"), record_id(clean.drop(index)).alias("record_id"), (F.col(f"`{professor}`") if professor in columns else F.lit("")).alias("professor"),
         *(F.col(f"`{c}`").alias(f"c{k}") for c, k in at.items()), *(clean_scalar(F.col(f"`{c}`")).alias(f"t{k}") for c, k in at.items()),
     )
-    rows = rows.select("row_index", "record_id", "professor", *value.values(), *(json_cell(f"t{k}").alias(f"v{k}") for k in at.values()))
+    rows = rows.select("row_index", "record_id", "professor", *value.values(), *(json_cell(f"t{k}", trusted).alias(f"v{k}") for k in at.values()))
     holds = lambda c: is_fact_cell(F.struct(parsed[c].alias("v"), F.lit(c.lower() in known).alias("known"), F.lit("fact" in c.lower()).alias("named")))
     ranked = sorted(columns, key=lambda c: FACT_COLUMNS.index(c) if c in FACT_COLUMNS else len(FACT_COLUMNS))
     rows = rows.withColumn("primary", F.coalesce(*(F.when(holds(c), c) for c in ranked)))

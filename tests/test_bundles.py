@@ -47,6 +47,8 @@ def test_bundles_read_each_cell_and_fact_once(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1  # one pass through Python for the cells of all columns
     assert len(re.findall(r"try_variant_get\(lambda x_\d+#\d+, \$(?:\.evidence)?, (?:Struct|String)", plan)) == 1  # a fact's fields come by one cast
+    trusted = b.fact_bundles(spark.createDataFrame(ROWS[:1], COLUMNS), trusted=True)
+    assert "ArrowEvalPython" not in trusted._jdf.queryExecution().optimizedPlan().toString()
     odd = [{"category": 1.50, "date": True, "fact": {"b": [None]}, "evidence": " nan ", "Fact": "no"}, {"fact": "e" * 300, "evidence": "e" * 261}]
     got = b.fact_bundles(spark.createDataFrame([(0, json.dumps(odd))], "row_index int, facts string")).first()
     assert json.loads(got.evidence)["extracted_facts"] == [{"category": "1.5", "date": "true", "fact": '{"b":[null]}'}, {"fact": "e" * 300, "evidence": "e" * 130 + "\n...[TRUNCATED]...\n" + "e" * 98}]
